@@ -166,7 +166,7 @@ class TopK:
             asked = by_query.withColumn("level", F.explode(F.array_compact(F.array(*reach)))).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"))
             grouped = self._packed(asked, ["level", "part"], least=True).select("level", F.col("ids").alias("qids"), F.col("vs").alias("qs"), "least")
             number = F.element_at(F.create_map(*(F.lit(x) for p in parts.items() for x in p)), F.col("level"))
-            spread = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), number - 1)).cast("int"))
+            spread = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), number - 1)))
             first = first.unionByName(self._met(spread, blocks, turn, d))
         from pyspark.sql import Window
 
