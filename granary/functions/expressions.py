@@ -256,7 +256,6 @@ def redact_json(x: Column | str) -> Column:
     """
     import json
 
-    import pandas as pd
 
     def hide(v):
         if isinstance(v, dict):
@@ -272,7 +271,7 @@ def redact_json(x: Column | str) -> Column:
             return None
 
     @F.pandas_udf("string")
-    def redact(s: pd.Series) -> pd.Series:
+    def redact(s):
         return s.map(one)
 
     return redact(col(x))

@@ -9,7 +9,10 @@ from granary.functions import expressions as X
 
 
 def scan_files(spark: SparkSession, root: str, source_id: str, *, content: bool = False, glob: str | None = None) -> DataFrame:
-    """File entries below a folder of any file system that Spark reads; contents only where asked for."""
+    """File entries below a folder of any file system that Spark reads; contents only where asked for.
+
+    Spark's reader leaves out files of no bytes.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
