@@ -5,20 +5,20 @@ are judged on the input.
 
 1. *Anchors.* Of the 50-byte strings inside each 100-byte window the one with the least hash is its
    anchor (about one in 25 positions is one). Equal windows have equal anchors at equal places, so
-   windows need to be compared only around anchors that occur twice or more. Counting anchors is a
-   partial aggregation; finding who holds the repeated ones is a join that may be split where skewed.
+   windows need to be compared only around anchors that occur twice or more. Of the occurrences that a
+   task reads together only one travels to meet the anchor's others, so a common anchor is no hot key.
 2. *Contexts.* Around each repeated anchor, 50 bytes before and 100 from its start hold every window
-   that has it. Equal contexts are aggregated to their first occurrence before they are dealt out.
-3. *Suffix arrays.* The distinct contexts of an anchor are cut into blocks where any two of them begin
-   to differ, each block becomes a symbol, and a suffix array over the symbol strings is built by linear
-   grouping: suffixes are grouped by their Lyndon prefix; groups are processed in descending order, each
-   moving the suffixes its previous-smaller pointers name into new groups; a single pass then emits each
+   that has it. Equal contexts (told apart by a 64-bit hash under the same 64-bit anchor) are aggregated
+   to their first occurrence; bytes are only fetched for anchors that have different contexts.
+3. *Suffix arrays.* The contexts of an anchor are cut into blocks where any two of them begin to differ,
+   each block becomes a symbol, and a suffix array over the symbol strings is built by linear grouping:
+   suffixes are grouped by their Lyndon prefix; groups are processed in descending order, each moving
+   the suffixes that its previous-smaller pointers name into new groups; a single pass then emits each
    group's order. With its LCP array, a scan finds for each suffix the longest match with an earlier
-   occurrence, and so the windows to remove.
+   occurrence, and so the windows to remove. Anchors with over MOST_CONTEXTS contexts go another exact
+   way: their windows are compared one by one, by partial minima and a join that may be split.
 4. *Removal.* An occurrence that is not the first of its context loses the whole context, the first one
-   loses what step 3 found. Texts are dealt out once (by doc_id), for steps 2 and 4 together.
-
-Hashes only choose anchors: bytes are compared, so the result is exact.
+   loses what step 3 found. Texts are dealt out once (by doc_id, those with repeated anchors only).
 
 Defined cases: a null text is empty; texts under 100 bytes stay whole; texts of any length are read
 whole, in overlapping stretches; a repeated row (equal doc_id and text) counts as one document and is
@@ -39,12 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import durable, texts
+from granary.llm.url_filters import BloomCascade, passes
 
 WINDOW = 100
 GRAM = 50
 LEFT = WINDOW - GRAM
-#: Bytes hashed at once; longer texts are read in stretches that overlap by a window.
-STRETCH = 1 << 20
+#: Bytes hashed at once, few enough for a processor's cache; longer texts are read in stretches that overlap by a window.
+STRETCH = 1 << 15
+#: Contexts that one anchor may have to be compared in one task; beyond, its windows are compared by aggregation.
+MOST_CONTEXTS = 100_000
+_LOW = np.uint64((1 << 20) - 1)
 #: Contexts compared at once, unless one anchor has more.
 CHUNK = 20_000
 NO_ID = -(1 << 63)
@@ -68,28 +72,29 @@ def _stretch_anchors(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     up, down = _power_table()
     n = len(buf)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = (total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1]
+    x = buf.astype(np.uint64)
+    x += np.uint64(1)
+    x *= up[:n]
+    np.cumsum(x, out=total[1:])
+    h = total[GRAM:] - total[:-GRAM]
+    h *= down[: n - GRAM + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    span = WINDOW - GRAM + 1
-
-    def slide(x, f):
-        width = 1
-        while 2 * width <= span:
-            x = f(x[:-width], x[width:])
-            width *= 2
-        return f(x[: len(x) - (span - width)], x[span - width :]) if span > width else x
-
-    least = slide(h, np.minimum)
-    starts = np.arange(len(least))
-    least[starts + WINDOW > ends[np.searchsorted(ends, starts, side="right")]] = 0  # windows over a border choose none
-    edge = np.zeros(span - 1, np.uint64)
-    chosen = slide(np.concatenate([edge, least, edge]), np.maximum)[: len(h)]
-    at = np.nonzero((chosen == h) & (h != 0))[0]
+    # a window's least hash, and of equal ones the leftmost: position in the low bits
+    least = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+    span, width = WINDOW - GRAM + 1, 1
+    while 2 * width <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if span > width:
+        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+    at = (least & _LOW).astype(np.int64)
+    whole = np.ones(len(at), bool)
+    for end in ends[:-1].tolist():  # windows over a border choose none
+        whole[max(0, end - WINDOW + 1) : end] = False
+    at = at[whole]
+    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
     return h[at], at
 
 
@@ -345,36 +350,75 @@ def _text_hash(raw: bytes) -> int:
 
 
 def _occurrences(raw: bytes, h: np.ndarray, p: np.ndarray, wanted: np.ndarray):
-    """(hash, position, left, context, seen before in this text) of the wanted anchors of a text."""
+    """(hash, context key, position, left, seen before in this text) of the wanted anchors of a text."""
     keep = np.isin(h, wanted)
     seen = set()
+    digest = xxhash.xxh64_intdigest
     for x, at in zip(h[keep].view(np.int64).tolist(), p[keep].tolist()):
         left = min(at, LEFT)
-        key = (x, left, raw[at - left : at + WINDOW])
-        yield x, at, left, key[2], key in seen
-        seen.add(key)
+        key = digest(raw[at - left : at + WINDOW], left) - (1 << 63)
+        yield x, key, at, left, (x, key) in seen
+        seen.add((x, key))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of texts, each once a text. state 0: alone among the texts read together; 2: the first of several there; 1: the others.
+
+    Those of state 1 are known to be repeated: they need not meet the anchor's other occurrences.
+    """
+
+    def judged(hashes, owners, twice):
+        h, d, t = np.concatenate(hashes), np.concatenate(owners), np.concatenate(twice)
+        by = np.argsort(h, kind="stable")
+        h, d, t = h[by], d[by], t[by]
+        first = np.append(True, h[1:] != h[:-1])
+        run = np.cumsum(first) - 1
+        several = (np.bincount(run) > 1) | (np.bincount(run, t) > 0)
+        state = np.where(several[run], np.where(first, 2, 1), 0).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d), pa.array(state)], ["h", "doc_id", "state"])
+
+    hashes, owners, twice, size = [], [], [], 0
     for b in batches:
         for at in range(0, b.num_rows, 1024):
             ids = b.column(0)[at : at + 1024].to_numpy()
-            raws = [x or b"" for x in b.column(1)[at : at + 1024].cast(pa.binary()).to_pylist()]
-            hashes, owners = [], []
-            for k, h, _ in anchors(raws):
+            for k, h, _ in anchors([x or b"" for x in b.column(1)[at : at + 1024].cast(pa.binary()).to_pylist()]):
                 u, n = np.unique(h, return_counts=True)
-                u = np.concatenate([u, u[n > 1]])  # once more if the text itself repeats it
                 hashes.append(u)
                 owners.append(np.full(len(u), ids[k]))
-            if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owners))], ["h", "doc_id"])
+                twice.append(n > 1)
+                size += len(u)
+            if size > 1_500_000:
+                yield judged(hashes, owners, twice)
+                hashes, owners, twice, size = [], [], [], 0
+    if size:
+        yield judged(hashes, owners, twice)
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by h those whose anchor is repeated."""
+    held: list[np.ndarray] = []
+
+    def told(h, d, state):
+        own = state != 1
+        run = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+        repeated = (np.bincount(run, own) > 1) | (np.bincount(run, state == 2) > 0)
+        keep = repeated[run] | ~own
+        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(d[keep])], ["h", "doc_id"])
 
-
-_CONTEXT = "h long, left int, context binary, doc_id long, text_hash long, at long"
+    for b in batches:
+        x = [c.to_numpy() for c in b.columns]
+        if held:
+            x = [np.concatenate(pair) for pair in zip(held, x)]
+        cut = int(np.searchsorted(x[0], x[0][-1]))  # the last anchor may go on: it waits
+        held = [c[cut:] for c in x]
+        if cut:
+            yield told(*(c[:cut] for c in x))
+    if held:
+        yield told(*held)
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts of repeated anchors by key, each once a text."""
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
@@ -383,15 +427,35 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rows = []
             for k, h, p in anchors(raws):
                 own = _text_hash(raws[k])
-                for x, pos, left, context, seen in _occurrences(raws[k], h, p, np.array(wanted[k], np.int64).view(np.uint64)):
-                    if not seen:
-                        rows.append((x, left, context, ids[k], own, pos))
+                rows += [(x, key, ids[k], own, pos) for x, key, pos, _, seen in _occurrences(raws[k], h, p, np.array(wanted[k], np.int64).view(np.uint64)) if not seen]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows)], ["h", "key", "doc_id", "text_hash", "at"])
+
+
+_CONTEXT = "h long, left int, context binary, doc_id long, text_hash long, at long, many boolean"
+
+
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes around given places of texts."""
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            rows = []
+            for doc_id, text, places in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()):
+                raw = text or b""
+                own = _text_hash(raw)
+                for x in places:
+                    if x["text_hash"] == own:
+                        pos, left = x["at"], min(x["at"], LEFT)
+                        rows.append((x["h"], left, raw[pos - left : pos + WINDOW], doc_id, own, pos, x["many"]))
+            rows = list(dict.fromkeys(rows))  # a repeated row has the same places
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], ["h", "left", "context", "doc_id", "text_hash", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], ["h", "left", "context", "doc_id", "text_hash", "at", "many"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h: the first occurrences of contexts, with the stretches that earlier contexts cover."""
+    """Rows sorted by h: those contexts of which earlier ones cover something, with the stretches."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
     def judged(rows: list[tuple]) -> pa.RecordBatch:
@@ -409,7 +473,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rights = np.frombuffer(b"".join(r[2][r[1] :].ljust(WINDOW, b"\0") for r in own), np.uint8).reshape(-1, WINDOW)
             for c, a, z in removable(group[several], rank, lefts, llen, rights, rlen):
                 spans[several[c]] += [a, z]
-        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip([[r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], spans], kinds)], ["doc_id", "text_hash", "at", "spans"])
+        out = [(*r[3:6], x) for r, x in zip(rows, spans) if x]
+        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out) if out else ([],) * 4, kinds)], ["doc_id", "text_hash", "at", "spans"])
 
     held: list[tuple] = []
     for b in batches:
@@ -432,63 +497,109 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def _removed(raw: bytes, found, wanted, firsts) -> list[tuple[int, int]]:
-    """The stretches to remove from a text. found: its anchors; wanted: repeated ones; firsts: position to spans, where it holds a context's first occurrence."""
-    spans = []
-    for _, at, left, context, seen in _occurrences(raw, *found, np.array(wanted, np.int64).view(np.uint64)):
+def _removed(raw: bytes, found, wanted, firsts, spans) -> list[tuple[int, int]]:
+    """The stretches to remove from a text. found: its anchors; wanted: the repeated ones; firsts: places that hold a context's first occurrence; spans: what these lose."""
+    out = []
+    for _, _, at, left, seen in _occurrences(raw, *found, np.array(wanted, np.int64).view(np.uint64)):
         if not seen and at in firsts:
-            own = firsts[at]
-            spans += [(at + a, at + z) for a, z in zip(own[::2], own[1::2])]
-        elif len(context) >= WINDOW:
-            spans.append((at - left, at - left + len(context)))
-    return _union(spans)
-
-
-def _final(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids, wanted, firsts = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
-                raws = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-                removed: list[list[tuple[int, int]]] = [[] for _ in raws]
-                busy = [k for k, w in enumerate(wanted) if w]
-                for j, h, p in anchors([raws[k] for k in busy]):
-                    k = busy[j]
-                    own = _text_hash(raws[k])
-                    removed[k] = _removed(raws[k], (h, p), wanted[k], {f["at"]: f["spans"] or [] for f in firsts[k] or () if f["text_hash"] == own})
-                kept = []
-                for raw, spans in zip(raws, removed):
-                    to = [0, *(z for _, z in spans)]
-                    kept.append(b"".join(raw[a:z] for a, z in zip(to, [*(a for a, _ in spans), len(raw)])))
-                arrays = [pa.array([None if i == NO_ID else i for i in ids], pa.int64()), pa.array(list(map(len, raws)), pa.int64()), pa.array([len(r) - len(k) for r, k in zip(raws, kept)], pa.int64()), pa.array(list(map(len, removed)), pa.int64())]
-                if with_text:
-                    yield pa.RecordBatch.from_arrays([*arrays, pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), *part.columns[4:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *part.schema.names[4:]])
-                else:
-                    yield pa.RecordBatch.from_arrays([*arrays, pa.array([hashlib.sha256(k).hexdigest() for k in kept])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            own = spans.get(at, ())
+            out += [(at + a, at + z) for a, z in zip(own[::2], own[1::2])]
+        else:
+            end = min(len(raw), at + WINDOW)
+            if end - (at - left) >= WINDOW:
+                out.append((at - left, end))
+    return _union(out)
+
+
+def _kept(raw: bytes, cuts: list[int]) -> bytes:
+    return b"".join(raw[a:z] for a, z in zip([0, *cuts[1::2]], [*cuts[::2], len(raw)]))
+
+
+_JUDGED = "doc_id long, text_hash long, cuts array<long>, kept_sha256 string, n_removed long"
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64()]
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            ids, _, wanted, firsts, spans = (c.to_pylist() for c in part.columns)
+            raws = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
+            rows = []
+            for k, h, p in anchors(raws):
+                own = _text_hash(raws[k])
+                first = {f["at"] for f in firsts[k] or () if f["text_hash"] == own}
+                lost: dict[int, list[int]] = {}
+                for f in spans[k] or ():
+                    if f["text_hash"] == own:
+                        lost.setdefault(f["at"], []).extend(f["spans"])
+                cuts = [x for pair in _removed(raws[k], (h, p), wanted[k], first, lost) for x in pair]
+                if cuts:
+                    kept = _kept(raws[k], cuts)
+                    rows.append((ids[k], own, cuts, hashlib.sha256(kept).hexdigest(), len(raws[k]) - len(kept)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], ["doc_id", "text_hash", "cuts", "kept_sha256", "n_removed"])
+
 
-    return run
+def _among(base: DataFrame, wanted: DataFrame, most_words: int = 1 << 20) -> DataFrame:
+    """base without most of the documents that ``wanted`` lacks: by a Bloom filter of checked size, so that texts not needed stay where they are."""
+    n, words = wanted.count(), 1
+    while words * 64 < 10 * n:
+        words *= 2
+    if n == 0 or words > most_words:
+        return base
+    bits = BloomCascade(hashes=3)._filter(wanted.select(F.col("doc_id").cast("string").alias("key")), 0, words)
+    with_bits = base.withColumn("bits", bits.scalar())
+    return with_bits.filter(passes(F.col("doc_id").cast("string"), 0, 3, words, F.col("bits"))).select(base.columns)
 
 
-def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Texts by document (dealt once, used twice), repeated anchors by document, first occurrences by document."""
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id (null as NO_ID), text_hash, cuts (starts and ends of what goes), kept_sha256 and n_removed, of the texts that lose something."""
     base = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    found = base.mapInArrow(_anchor_rows, "h long, doc_id long")
-    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    wanted = durable(found.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("wanted")), "repeated-anchors")
-    contexts = base.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_context_rows, _CONTEXT)
-    first = contexts.groupBy("h", "left", "context").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"))
-    dealt = first.select("h", "left", "context", "first.*").repartition("h").sortWithinPartitions("h")
-    spans = dealt.mapInArrow(_compare, "doc_id long, text_hash long, at long, spans array<int>")
-    firsts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "at", "spans")).alias("firsts"))
-    return base, wanted, firsts
+    found = base.mapInArrow(_anchor_rows, "h long, doc_id long, state byte")
+    meeting = F.when(F.col("state") == 1, F.xxhash64("doc_id", "h")).otherwise(F.col("h"))
+    repeated = found.repartition(meeting).sortWithinPartitions("h").mapInArrow(_repeats, "h long, doc_id long")
+    wanted = durable(repeated.groupBy("doc_id").agg(F.collect_set("h").alias("wanted")), "repeated-anchors")
+    # the same in all three uses below, so that texts are dealt out once
+    held = _among(base, wanted).join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    order = F.struct("doc_id", "text_hash", "at")
+    first = held.mapInArrow(_key_rows, "h long, key long, doc_id long, text_hash long, at long").groupBy("h", "key").agg(F.min(order).alias("f")).select("h", "f.*")
+    several = first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    places = first.join(several, "h").groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "at", "h", (F.col("n") > MOST_CONTEXTS).alias("many"))).alias("places"))
+    contexts = held.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_context_rows, _CONTEXT)
+    few = contexts.filter(~F.col("many")).drop("many").repartition("h").sortWithinPartitions("h")
+    spans = few.mapInArrow(_compare, "doc_id long, text_hash long, at long, spans array<int>").unionByName(_window_spans(contexts.filter("many")))
+    lost = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "at", "spans")).alias("spans"))
+    firsts = first.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "at")).alias("firsts"))
+    return held.join(firsts, "doc_id", "left").join(lost, "doc_id", "left").select("doc_id", "text", "wanted", "firsts", "spans").mapInArrow(_judge, _JUDGED)
+
+
+def _window_spans(contexts: DataFrame) -> DataFrame:
+    """What contexts lose, for anchors with too many to compare in one task: each window by itself, first occurrences by partial minima."""
+    n = F.octet_length("context") - WINDOW
+    each = contexts.withColumn("o", F.explode(F.sequence(F.lit(0), n)))
+    each = each.select("h", F.substr("context", F.col("o") + 1, F.lit(WINDOW)).alias("window"), F.struct("doc_id", "text_hash", (F.col("at") - F.col("left") + F.col("o")).alias("start")).alias("own"), "doc_id", "text_hash", "at", (F.col("o") - F.col("left")).cast("int").alias("begin"))
+    least = each.groupBy("window").agg(F.min("own").alias("least"))
+    later = each.join(least, "window").filter(F.col("least") < F.col("own"))
+    return later.select("doc_id", "text_hash", "at", F.array("begin", F.col("begin") + WINDOW).alias("spans"))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        raws = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_text_hash(x) for x in raws], pa.int64()), pa.array(list(map(len, raws)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raws])], ["doc_id", "text_hash", "n_bytes", "whole_sha256"])
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row."""
-    base, wanted, firsts = _plan(docs)
-    joined = base.join(wanted, "doc_id", "left").join(firsts, "doc_id", "left").select("doc_id", "text", "wanted", "firsts")
-    return joined.mapInArrow(_final(False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    base = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    whole = base.mapInArrow(_whole, "doc_id long, text_hash long, n_bytes long, whole_sha256 string")
+    lost = judged(docs).groupBy("doc_id", "text_hash").agg(F.first("kept_sha256").alias("kept"), F.first("n_removed").alias("n_removed"), F.first(F.size("cuts")).alias("n_cuts"))
+    j = whole.join(lost, ["doc_id", "text_hash"], "left")
+    return j.select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce((F.col("n_cuts") / 2).cast("long"), F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept", "whole_sha256").alias("kept_sha256"),
+    )
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
@@ -496,20 +607,31 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
 
     A cut can split a character's bytes; such a remnant is dropped. n_chars, if there is one, is counted anew.
     """
-    base, wanted, firsts = _plan(docs)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    carried = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
-    joined = carried.join(wanted, "doc_id", "left").join(firsts, "doc_id", "left").select("doc_id", "text", "wanted", "firsts", "rest")
-    kind = joined.schema["rest"].dataType.simpleString()
-    out = joined.mapInArrow(_final(True), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept string, rest {kind}")
+    lost = judged(docs).groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set(F.struct("text_hash", "cuts")).alias("lost"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, they do not clash
+    carried = docs.toDF(*names).withColumn("lost_id", F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit(NO_ID)))
+    joined = carried.join(lost, "lost_id", "left")
+
+    @F.pandas_udf("string")
+    def cut(text, found):
+        import pandas as pd
+
+        out = []
+        for t, rows in zip(text, found):
+            if rows is not None and t is not None:
+                raw = t.encode()
+                own = _text_hash(raw)
+                for r in rows:
+                    if r["text_hash"] == own:
+                        t = _kept(raw, list(r["cuts"])).decode("utf-8", "ignore")
+                        break
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    text = cut(F.col(names[docs.columns.index("text")]), F.col("lost"))
+    out = joined.withColumn("kept_text", text)
     columns = []
-    for c in docs.columns:
-        if c == "doc_id":
-            columns.append(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias(c))
-        elif c == "text":
-            columns.append(F.col("kept").alias(c))
-        elif c == "n_chars":
-            columns.append(F.length("kept").cast(docs.schema[c].dataType).alias(c))
-        else:
-            columns.append(F.col(f"rest.`{c}`").alias(c))
+    for n, c in zip(names, docs.columns):
+        kind = docs.schema[c].dataType
+        columns.append(F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(kind).alias(c) if c == "n_chars" else F.col(n).alias(c))
     return out.select(*columns)

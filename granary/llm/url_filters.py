@@ -28,7 +28,7 @@ def _positions(key: Column, level: int, hashes: int, words: int) -> list[Column]
     return [F.pmod(F.xxhash64(key, F.lit(level * 64 + j)), F.lit(words * 64)) for j in range(hashes)]
 
 
-def _passes(key: Column, level: int, hashes: int, words: int, bits: Column) -> Column:
+def passes(key: Column, level: int, hashes: int, words: int, bits: Column) -> Column:
     out = F.lit(True)
     for p in _positions(key, level, hashes, words):
         word = F.element_at(bits, (F.floor(p / 64) + 1).cast("int"))
@@ -64,19 +64,19 @@ class BloomCascade:
             if words > self.max_words:
                 self.levels, self.sizes = [], []
                 return self
-            self.levels.append(self._level(wanted, level, words))
+            self.levels.append(self._filter(wanted, level, words))
             self.sizes.append(words)
             # what the new level must tell apart from what it encodes: at level 0 all keys asked for, later the encoded keys of the level before
             others = asked if level == 0 else own
             with_bits = others.withColumn("bits", self.levels[-1].scalar())
-            passed = with_bits.filter(_passes(F.col("key"), level, self.hashes, words, F.col("bits"))).select("key").distinct()
+            passed = with_bits.filter(passes(F.col("key"), level, self.hashes, words, F.col("bits"))).select("key").distinct()
             wrong = durable(passed.join(wanted, "key", "left_anti"), f"cascade-{level}")
             own, wanted = wanted, wrong
         else:
             self.levels, self.sizes = [], []
         return self
 
-    def _level(self, keys: DataFrame, level: int, words: int) -> DataFrame:
+    def _filter(self, keys: DataFrame, level: int, words: int) -> DataFrame:
         at = F.explode(F.array(*_positions(F.col("key"), level, self.hashes, words)))
         set_bits = keys.select(at.alias("p")).select(F.floor(F.col("p") / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int")).alias("bits"))
         none = keys.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
@@ -97,7 +97,7 @@ class BloomCascade:
         """Whether a key of the universe is listed, on a table from :meth:`attach`."""
         out = F.lit(False)
         for i in reversed(range(len(self.levels))):
-            out = _passes(key, i, self.hashes, self.sizes[i], F.col(f"{prefix}{i}")) & ~out
+            out = passes(key, i, self.hashes, self.sizes[i], F.col(f"{prefix}{i}")) & ~out
         return F.coalesce(out, F.lit(False))
 
     def filter_members(self, df: DataFrame, key: str = "key") -> DataFrame:
