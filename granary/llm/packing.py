@@ -31,17 +31,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.bpe import chunked
 from granary.llm.common import durable, texts
 
-MEMO_ENTRIES = 600_000
+#: Chunks of text whose ids a task remembers. A memo only: it changes no result.
+MEMO_ENTRIES = 1_000_000
+#: Places where the pre-tokeniser always ends a token, whatever stands around: before a blank that follows
+#: something visible; around a single line end between visible characters; between a letter and a full
+#: stop or comma. \x01 marks them; a text that holds it is not cut.
+_MARK = "\x01"
+_CUTS = (
+    (r"([^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) ", "\\1\x01 "),
+    (r"([!-~])\n([!-~])", "\\1\x01\n\x01\\2"),
+    (r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,])", "\\1\x01\\2"),
+)
+#: A chunk without white space but for one blank before it.
+_PLAIN = r"^ ?[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
+
+
+def _ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The concatenation of stretches of ``values``."""
+    to = np.cumsum(lengths)
+    return values[np.repeat(starts - (to - lengths), lengths) + np.arange(to[-1] if len(to) else 0)]
 
 
 class TokenCounter:
-    """Token ids by a ``tokenizers`` file, remembered for chunks that the pre-tokeniser always separates."""
+    """Token ids by a ``tokenizers`` file.
+
+    Texts are cut where the pre-tokeniser always ends a token, equal chunks of a batch are encoded once,
+    and the ids gathered back.
+    """
 
     def __init__(self, path: str):
         import os
@@ -50,30 +72,65 @@ class TokenCounter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([_MARK, *special])
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.memo: dict[str, bytes] = {}
 
-    def ids(self, batch: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        memo, cut, whole = self.memo, [], []
-        for t in batch:
-            special = bool(self.special and self.special.search(t))
-            whole.append(special)
-            cut.append([] if special else chunked(t))
-        new = list({c for chunks in cut for c in chunks}.difference(memo))
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
-            new = list({c for chunks in cut for c in chunks})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if special else b"".join(map(get, chunks))
-            for t, special, chunks in zip(batch, whole, cut)
-        ]
+    def _encoded(self, chunks: pa.Array) -> list[bytes]:
+        """The ids of each chunk: those not remembered are encoded many to a text, a line end between any two."""
+        memo, known = self.memo, chunks.to_pylist()
+        out = list(map(memo.get, known))
+        new = [k for k, x in enumerate(out) if x is None]
+        plain = pc.match_substring_regex(chunks.take(pa.array(new, pa.int64())), _PLAIN).to_pylist() if new else []
+        alone, joined = [k for k, p in zip(new, plain) if not p], [k for k, p in zip(new, plain) if p]
+        for at in range(0, len(joined), 4096):
+            part = joined[at : at + 4096]
+            ids = np.array(self.tokenizer.encode("\n".join([known[k] for k in part]), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_end)
+            if len(cuts) != len(part) - 1:
+                alone += part
+                continue
+            raw = ids.tobytes()
+            for k, a, z in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]):
+                out[k] = raw[a:z]
+        for at in range(0, len(alone), 4096):
+            part = alone[at : at + 4096]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([known[k] for k in part], add_special_tokens=False)):
+                out[k] = np.array(e.ids, "<u4").tobytes()
+        room = max(0, MEMO_ENTRIES - len(memo))
+        memo.update((known[k], out[k]) for k in new[:room])
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's end."""
+        n = len(texts)
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False).astype(bool)
+        cut = texts.filter(pa.array(~whole))
+        for pattern, marked in _CUTS:
+            cut = pc.replace_substring_regex(cut, pattern, marked)
+        words = pc.split_pattern(cut, _MARK)
+        flat = words.flatten().dictionary_encode()
+        code, ids = flat.indices.to_numpy(), self._encoded(flat.dictionary)
+        length = np.array([len(x) // 4 for x in ids], np.int64)
+        values = np.frombuffer(b"".join(ids), "<u4")
+        pieces = _ragged(values, (np.cumsum(length) - length)[code], length[code])
+        ends = np.zeros(n, np.int64)
+        per_word = np.append(0, np.cumsum(length[code]))
+        ends[~whole] = np.diff(per_word[words.offsets.to_numpy() - words.offsets[0].as_py()])
+        if not whole.any():
+            return pieces, np.cumsum(ends)
+        alone = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+        ends[whole] = list(map(len, alone))
+        out, to = [], np.append(0, np.cumsum(ends[~whole]))
+        rest, cut = iter(alone), iter(zip(to[:-1].tolist(), to[1:].tolist()))
+        for w in whole.tolist():
+            if w:
+                out.append(next(rest))
+            else:
+                a, z = next(cut)
+                out.append(pieces[a:z])
+        return np.concatenate(out), np.cumsum(ends)
 
 
 _counters: dict[str, TokenCounter] = {}
@@ -85,21 +142,25 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, en
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counters.setdefault(tokenizer_path, None) or TokenCounter(tokenizer_path)
-        _counters[tokenizer_path] = counter
+        if tokenizer_path not in _counters:
+            _counters[tokenizer_path] = TokenCounter(tokenizer_path)
+        counter = _counters[tokenizer_path]
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                doc_ids = b.column(0)[at : at + 512].to_pylist()
-                rows = []
-                for doc_id, ids in zip(doc_ids, counter.ids([t or "" for t in b.column(1)[at : at + 512].to_pylist()])):
-                    ids += end
-                    n = len(ids) // 4
+            for at in range(0, b.num_rows, 5000):
+                part = b.slice(at, 5000)
+                ids, ends = counter.ids(pc.fill_null(part.column(1), ""))
+                raw = memoryview(ids.tobytes())
+                rows, begin = [], 0
+                for doc_id, to in zip(part.column(0).to_pylist(), ends.tolist()):
+                    n = to - begin + 1
                     cuts = [*range(n % capacity if n > capacity and n % capacity else min(n, capacity), n, capacity), n]
                     start = 0
-                    for k, to in enumerate(cuts):
-                        rows.append((doc_id, k, start, to - start, zlib.crc32(ids[4 * start : 4 * to])))
-                        start = to
+                    for k, z in enumerate(cuts):
+                        crc = zlib.crc32(raw[4 * (begin + start) : 4 * (begin + min(z, n - 1))])
+                        rows.append((doc_id, k, start, z - start, zlib.crc32(end, crc) if z == n else crc))
+                        start = z
+                    begin = to
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], names)
 
     return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -249,7 +310,7 @@ class IslandPacker:
         lengths = problems.select("block", F.transform("items", lambda x: x["length"].cast("int")).alias("lengths"))
         state = lengths.select("block", F.explode(F.sequence(F.lit(0), F.lit(self.islands - 1))).alias("island"), "lengths", F.array().cast("array<binary>").alias("elites"))
         for epoch in range(self.epochs):
-            state = durable(self._epoch(state.repartition("block", "island"), epoch), f"epoch-{round_no}-{epoch}")
+            state = durable(self._epoch(state.repartition(min(blocks * self.islands, 10_000), "block", "island"), epoch), f"epoch-{round_no}-{epoch}")
             if epoch < self.epochs - 1:  # migration: the best of each island go to the next of its ring
                 gone = state.select("block", ((F.col("island") + 1) % self.islands).alias("island"), F.lit(None).cast("array<int>").alias("lengths"), "elites")
                 met = state.select("block", "island", "lengths", "elites").unionByName(gone)
