@@ -39,6 +39,8 @@ from granary.llm.common import durable, texts
 
 #: Chunks of text whose ids a task remembers. A memo only: it changes no result.
 MEMO_ENTRIES = 1_000_000
+#: Chunks encoded as one text: more are slower, since what the tokeniser keeps for a text outgrows a processor's cache.
+JOINED = 32
 #: Places where the pre-tokeniser always ends a token, whatever stands around: before a blank that follows
 #: something visible; around a single line end between visible characters; between a letter and a full
 #: stop or comma. \x01 marks them; a text that holds it is not cut.
@@ -84,16 +86,21 @@ class TokenCounter:
         new = [k for k, x in enumerate(out) if x is None]
         plain = pc.match_substring_regex(chunks.take(pa.array(new, pa.int64())), _PLAIN).to_pylist() if new else []
         alone, joined = [k for k, p in zip(new, plain) if not p], [k for k, p in zip(new, plain) if p]
-        for at in range(0, len(joined), 4096):
-            part = joined[at : at + 4096]
-            ids = np.array(self.tokenizer.encode("\n".join([known[k] for k in part]), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line_end)
-            if len(cuts) != len(part) - 1:
-                alone += part
-                continue
-            raw = ids.tobytes()
-            for k, a, z in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]):
-                out[k] = raw[a:z]
+        groups = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)]
+        for at in range(0, len(groups), 128):
+            some, ids, fit = groups[at : at + 128], [], []
+            for group, e in zip(some, self.tokenizer.encode_batch_fast(["\n".join([known[k] for k in g]) for g in some], add_special_tokens=False)):
+                own = e.ids
+                if own.count(self.line_end) == len(group) - 1:
+                    fit += group
+                    ids += own
+                    ids.append(self.line_end)
+                else:
+                    alone += group
+            found = np.array(ids, "<u4")
+            cuts, raw = (4 * np.flatnonzero(found == self.line_end)).tolist(), found.tobytes()
+            for k, a, z in zip(fit, [-4, *cuts], cuts):
+                out[k] = raw[a + 4 : z]
         for at in range(0, len(alone), 4096):
             part = alone[at : at + 4096]
             for k, e in zip(part, self.tokenizer.encode_batch_fast([known[k] for k in part], add_special_tokens=False)):
