@@ -91,8 +91,8 @@ def train(rows, bits: int, *, alpha: float, beta: float, l1: float, l2: float, p
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(passes):
-        for index, value, label in rows:
-            w = weights(index)
+        for index, held, label in rows:
+            value, w = held.astype(float), weights(index)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ value, -35, 35)))
             g = (p - label) * value
             more = n[index] + g * g
@@ -138,14 +138,14 @@ class QualityClassifier:
         # at most max_train rows of two numbers: small enough to broadcast, whatever the input
         vectors = arrow_map(texts(docs).join(F.broadcast(chosen), "doc_id"), make, "doc_id long, index binary, value binary, quality int")
 
-        def learn(pdf):
-            import pandas as pd
-
-            pdf = pdf.assign(order=[zlib.crc32(str(i).encode()) for i in pdf.doc_id]).sort_values(["order", "doc_id", "value"])
-            rows = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4").astype(float), q) for i, v, q in zip(pdf["index"], pdf["value"], pdf["quality"])]
-            return pd.DataFrame({"weights": [train(rows, bits, **how).tobytes()]})
+        def learn(batches):
+            rows = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4"), q) for b in batches for i, v, q in zip(*(c.to_pylist() for c in b.columns))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([train(rows, bits, **how).tobytes()], pa.binary())], ["weights"])
 
-        found = vectors.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "weights binary").collect()  # one row of 4 * 2 ** bits bytes
+        # one task by the method's nature; its rows are bounded by max_train
+        one = vectors.withColumn("order", F.crc32(F.col("doc_id").cast("string").cast("binary"))).repartition(1).sortWithinPartitions("order", "doc_id", "value")
+        found = one.select("index", "value", "quality").mapInArrow(learn, "weights binary").collect()  # one row of 4 * 2 ** bits bytes
         self.weights = np.frombuffer(found[0][0], "<f4") if found else np.zeros(1 << bits, np.float32)
         return self
 
