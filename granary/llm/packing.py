@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import durable, texts
 
 #: Chunks of text whose ids a task remembers. A memo only: it changes no result.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 400_000
 #: Chunks encoded as one text: more are slower, since what the tokeniser keeps for a text outgrows a processor's cache.
 JOINED = 32
 #: Places where the pre-tokeniser always ends a token, whatever stands around: before a blank that follows
