@@ -153,22 +153,26 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, en
             _counters[tokenizer_path] = TokenCounter(tokenizer_path)
         counter = _counters[tokenizer_path]
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 5000):
-                part = b.slice(at, 5000)
-                ids, ends = counter.ids(pc.fill_null(part.column(1), ""))
-                raw = memoryview(ids.tobytes())
-                rows, begin = [], 0
-                for doc_id, to in zip(part.column(0).to_pylist(), ends.tolist()):
-                    n = to - begin + 1
-                    cuts = [*range(n % capacity if n > capacity and n % capacity else min(n, capacity), n, capacity), n]
-                    start = 0
-                    for k, z in enumerate(cuts):
-                        crc = zlib.crc32(raw[4 * (begin + start) : 4 * (begin + min(z, n - 1))])
-                        rows.append((doc_id, k, start, z - start, zlib.crc32(end, crc) if z == n else crc))
-                        start = z
-                    begin = to
-                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], names)
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 5000):
+                    part = b.slice(at, 5000)
+                    ids, ends = counter.ids(pc.fill_null(part.column(1), ""))
+                    raw = memoryview(ids.tobytes())
+                    rows, begin = [], 0
+                    for doc_id, to in zip(part.column(0).to_pylist(), ends.tolist()):
+                        n = to - begin + 1
+                        cuts = [*range(n % capacity if n > capacity and n % capacity else min(n, capacity), n, capacity), n]
+                        start = 0
+                        for k, z in enumerate(cuts):
+                            crc = zlib.crc32(raw[4 * (begin + start) : 4 * (begin + min(z, n - 1))])
+                            rows.append((doc_id, k, start, z - start, zlib.crc32(end, crc) if z == n else crc))
+                            start = z
+                        begin = to
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], names)
+        finally:  # the worker goes on to other tasks
+            counter.memo.clear()
+            pa.default_memory_pool().release_unused()
 
     return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -127,9 +127,9 @@ class QualityClassifier:
             hasher = Hasher(bits)
 
             def run(b: pa.RecordBatch) -> pa.RecordBatch:
-                rows = [hasher(x) for x in utf8(b.column(1))]
+                rows = [(i.astype("<i4").tobytes(), v.astype("<f4").tobytes()) for i, v in map(hasher, utf8(b.column(1)))]
                 return pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([i.astype("<i4").tobytes() for i, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary()), b.column(2)],
+                    [b.column(0), pa.array([i for i, _ in rows], pa.binary()), pa.array([v for _, v in rows], pa.binary()), b.column(2)],
                     ["doc_id", "index", "value", "quality"],
                 )
 
