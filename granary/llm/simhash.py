@@ -156,15 +156,29 @@ class _Forest:
 
 
 def _links(fps: np.ndarray, forest: _Forest, max_bits: int, block: int = 1024):
-    """Verified links among the fingerprints of one key that join something new."""
+    """Verified links among the fingerprints of one key, in any order, that join something new.
+
+    Of a pair of blocks with many links, each fingerprint offers one link to another component at a time, so
+    the components with links left at least halve in each round.
+    """
     for at in range(0, len(fps), block):
         left = fps[at : at + block]
         for to in range(at, len(fps), block):
-            near = np.bitwise_count(left[:, None] ^ fps[None, to : to + block]) <= max_bits
-            for i, j in zip(*np.nonzero(near)):
-                a, b = int(left[i]), int(fps[to + j])
-                if a < b and forest.join(a, b):
-                    yield a, b
+            right = fps[to : to + block]
+            i, j = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= max_bits)
+            apart = i < j if to == at else left[i] != right[j]
+            i, j = i[apart], j[apart]
+            while len(i):
+                few = len(i) <= block
+                some = np.arange(len(i)) if few else np.union1d(np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1])
+                for a, b in zip(left[i[some]].tolist(), right[j[some]].tolist()):
+                    if forest.join(a, b):
+                        yield min(a, b), max(a, b)
+                if few:
+                    break
+                of_left, of_right = (np.array([forest.root(x) for x in side.tolist()], np.uint64) for side in (left, right))
+                apart = of_left[i] != of_right[j]
+                i, j = i[apart], j[apart]
 
 
 def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:

@@ -90,6 +90,24 @@ def test_links_span_random_clusters(spark):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_links_of_a_key_with_many_fingerprints_in_any_order():
+    """Over 1024 fingerprints: links whose larger side comes first must be found, too."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    fps = np.concatenate([base, rng.integers(0, 1 << 63, 1500, dtype=np.uint64)])
+    fps = np.concatenate([fps, fps ^ (np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64))])
+    fps = np.concatenate([fps, *(base[0] ^ (np.uint64(1) << np.uint64(i)) ^ (np.uint64(1) << np.arange(i).astype(np.uint64)) for i in range(1, 64))])
+    fps = rng.permutation(np.unique(fps))
+    assert len(fps) > 4 * 1024
+    found, want = S._Forest(), S._Forest()
+    for a, b in S._links(fps, S._Forest(), 3):
+        assert a < b and (a ^ b).bit_count() <= 3 and found.join(a, b)  # a forest: no link tells what is known
+    for at, x in enumerate(fps):
+        for y in fps[at + 1 :][np.bitwise_count(fps[at + 1 :] ^ x) <= 3].tolist():
+            want.join(int(x), y)
+    assert [found.root(x) for x in fps.tolist()] == [want.root(x) for x in fps.tolist()]
+
+
 def test_components_of_a_chain(spark):
     n = 200
     edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).orderBy(F.rand(1))
