@@ -1,16 +1,19 @@
 """LM scoring by cross-entropy difference.
 
-Two word-pair models, of the target texts and of all texts, share one vocabulary (the
-``vocabulary`` most frequent words of all documents; the rest is one unknown word), one order, one
-smoothing and one total mass (the background's counts are scaled to the target's total, so that size
-alone makes no difference). A document's score is the mean over its tokens of the target model's loss
-less the background model's: below zero, it is more like the target.
+Two word-pair models, of the target texts and of all texts, share one vocabulary (all words of all
+documents), one order, one smoothing and one total mass (the background's counts are scaled to the
+target's total, so that size alone makes no difference). A document's score is the mean over its tokens of
+the target model's loss less the background model's: below zero, it is more like the target.
 
-p(w | v) = (c(v, w) + mass * p(w)) / (c(v) + mass), with p(w) = (c(w) + 1) / (n + words).
+p(w | v) = (c(v, w) + mass * p(w)) / (c(v) + mass), with p(w) = (c(w) + 1) / (n + words + 1).
 
-All counts are over all documents: tasks count their pairs, which meet by partial sums. Pairs are counted
-in ``2 ** bits`` hashed cells (documented bound; what is broadcast is 8 bytes a cell and does not grow
-with the input).
+Counts are exact and over all documents: tasks count their words and pairs, which meet by partial sums in
+a table that grows with the input (keys are 64-bit hashes). A pair that is not in it occurs once.
+
+Scoring: the most frequent words and pairs (at most ``hot_words`` and ``2 ** bits``) are broadcast, with a
+filter of ``2 ** (bits + 6)`` bits over the others that repeat; what the filter does not hold occurs once. What these do not settle, a rare word
+or pair, goes to the table by a join, and the losses meet by document. The broadcasts only save rows: the
+scores do not depend on their sizes.
 
 Defined cases: a null or empty text has no tokens, and losses and score 0; texts of any length are read
 whole; a document is a target once, however often its label repeats; repeated documents count as often
@@ -25,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import texts, utf8
+from granary.llm.common import durable, texts, utf8
 from granary.llm.url_filters import BloomCascade
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -38,49 +42,93 @@ def word_hash(w: bytes) -> int:
     return xxhash.xxh64_intdigest(w) - (1 << 63)
 
 
+#: Stands before the first word; no word holds a space.
+START = word_hash(b" ")
+
+
 class _Words:
-    """Words of lower-cased texts, as hashes or as numbers in a vocabulary; remembers what it has seen."""
+    """Words of lower-cased texts as hashes; remembers what it has seen."""
 
-    def __init__(self, number=None):
-        self.number, self.memo = number, {}
+    def __init__(self) -> None:
+        self.memo: dict[bytes, int] = {}
 
-    def __call__(self, raw: bytes) -> list[int]:
+    def __call__(self, raw: bytes) -> np.ndarray:
         words, memo = raw.lower().split(), self.memo
         new = set(words).difference(memo)
         if new:
             if len(memo) + len(new) > 600_000:
                 memo.clear()
                 new = set(words)
-            if self.number is None:
-                memo.update((w, word_hash(w)) for w in new)
-            else:
-                get, unknown = self.number.get, len(self.number)
-                memo.update((w, get(word_hash(w), unknown)) for w in new)
-        return list(map(memo.__getitem__, words))
-
-
-def vocabulary_of(docs: DataFrame, size: int) -> list[int]:
-    """Hashes of the ``size`` most frequent words over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                ids = [i for raw in utf8(b.column(0)[at : at + 2048]) for i in words(raw)]
-                if ids:
-                    u, n = np.unique(np.array(ids, np.int64), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], ["word", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(size).collect()]  # size rows: a documented bound
-
-
-def _cells(ids: np.ndarray, words: int, bits: int) -> np.ndarray:
-    """The cell of each word's pair with the word before (a start mark before the first)."""
-    before = np.concatenate([[words + 1], ids[:-1]]).astype(np.uint64)
-    h = before * np.uint64(words + 2) + ids.astype(np.uint64)
-    h = (h ^ (h >> np.uint64(17))) * _MIX
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+            memo.update((w, word_hash(w)) for w in new)
+        return np.array(list(map(memo.__getitem__, words)), np.int64)
+
+
+def _before(found: list[np.ndarray]) -> np.ndarray:
+    """The word before each word of some texts."""
+    out = np.concatenate([np.array([START], np.int64), *found])[:-1]
+    out[np.cumsum([0, *map(len, found[:-1])])] = START
+    return out
+
+
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (v.view(np.uint64) * _MIX + w.view(np.uint64)).view(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    split, held, size = _Words(), [], 0
+
+    def close():
+        found = [ids for ids, _ in held]
+        w = np.concatenate(found)
+        own = np.repeat([t for _, t in held], [len(x) for x in found])
+        starts = np.full(len(found), START)
+        for pair, keys, target in ((True, _pair(_before(found), w), own), (False, np.concatenate([w, starts]), np.concatenate([own, [t for _, t in held]]))):
+            u, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+            t = np.bincount(at, weights=target, minlength=len(u)).astype(np.int64)
+            for i in range(0, len(u), 1 << 17):
+                k = slice(i, i + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u[k]), pair)), pa.array(u[k]), pa.array(n[k].astype(np.int64)), pa.array(t[k])], ["pair", "key", "n", "t"])
+
+    for b in batches:
+        for raw, target in zip(utf8(b.column(0)), b.column(1).to_pylist()):
+            ids = split(raw)
+            if len(ids):
+                held.append((ids, int(target)))
+                size += len(ids)
+            if size >= 1 << 20:
+                yield from close()
+                held, size = [], 0
+    if held:
+        yield from close()
+    pa.default_memory_pool().release_unused()
+
+
+def _hot(counts: DataFrame, limit: int, cap: int = 1 << 16) -> int:
+    """The least count that at most ``limit`` rows reach."""
+    least, rows = 1 << 62, 0
+    for r in sorted(counts.groupBy(F.least("n", F.lit(cap)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):  # at most cap rows
+        rows += r["rows"]
+        if rows > limit:
+            break
+        least = r["n"]
+    return least
+
+
+def _sorted(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    table = counts.select("key", "n", "t").toArrow()
+    key, n, t = (table.column(c).to_numpy() for c in ("key", "n", "t"))
+    order = np.argsort(key)
+    small = np.int32 if n.max(initial=0) < 1 << 31 else np.int64
+    return key[order], n[order].astype(small), t[order].astype(small)
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each key is in a sorted table, and its counts."""
+    key, n, t = table
+    if not len(key):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+    return key[at] == keys, n[at].astype(np.int64), t[at].astype(np.int64)
 
 
 def _marked(base: DataFrame, targets: DataFrame) -> DataFrame:
@@ -97,67 +145,98 @@ def _marked(base: DataFrame, targets: DataFrame) -> DataFrame:
     return base.join(chosen.distinct().select(F.col("key").cast("long").alias("doc_id"), F.lit(True).alias("target")), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, vocabulary: int = 1 << 16, bits: int = 22, mass: float = 50.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_SCHEMA = "uid long, doc_id long, n_tokens long, lt double, lb double, pair long, n2 long, t2 long, word long, n1 long, t1 long"
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, hot_words: int = 1 << 19, bits: int = 22, mass: float = 50.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score of every row. targets: doc_id of the target texts."""
-    base = texts(docs, id_col=id_col, text_col=text_col)
-    spark = docs.sparkSession
-    number = {h: i for i, h in enumerate(vocabulary_of(base, vocabulary))}
-    shared_number, words, cells = spark.sparkContext.broadcast(number), len(number), 1 << bits
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, size = _Words(shared_number.value), cells + words + 2
-        every, own = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                keys: list[list] = [[], []]
-                for raw, target in zip(utf8(b.column(0)[at : at + 4096]), b.column(1)[at : at + 4096].to_pylist()):
-                    ids = np.array(split(raw), np.int64)
-                    if len(ids):
-                        keys[target] += [_cells(ids, words, bits), cells + ids, [cells + words + 1]]  # the last: the start mark
-                for target, found in enumerate(keys):
-                    if found:
-                        n = np.bincount(np.concatenate(found), minlength=size)
-                        every += n
-                        if target:
-                            own += n
-        some = np.flatnonzero(every)
-        for at in range(0, len(some), 1 << 19):
-            u = some[at : at + (1 << 19)]
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(every[u]), pa.array(own[u])], ["cell", "n", "t"])
-
-    marked = _marked(base, targets).select("text", F.col("target").cast("boolean").alias("target"))
-    found = marked.mapInArrow(count, "cell int, n long, t long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    table = found.select("cell", F.col("n").cast("double").alias("n"), F.col("t").cast("double").alias("t")).toArrow()  # at most cells + words + 1 rows
-    background, target = np.zeros(cells + words + 2, np.float32), np.zeros(cells + words + 2, np.float32)
-    at = table.column("cell").to_numpy()
-    background[at], target[at] = table.column("n").to_numpy(), table.column("t").to_numpy()
-    n_background, n_target = float(background[cells:].sum(dtype=float)), float(target[cells:].sum(dtype=float))
-    if n_background and n_target:
-        background *= n_target / n_background
-    models = spark.sparkContext.broadcast((target, background))
-
-    def losses(ids: np.ndarray, cell: np.ndarray, counts: np.ndarray) -> float:
-        single = counts[cells:]  # of each word, of the unknown word, and of starts
-        total = single[: words + 1].sum(dtype=float)
-        before = np.concatenate([[words + 1], ids[:-1]])
-        p_word = (single[ids] + 1.0) / (total + words + 1)
-        p = (counts[cell] + mass * p_word) / (np.maximum(single[before], counts[cell]) + mass)
-        return float(-np.log(p).mean())
+    marked = _marked(texts(docs, id_col=id_col, text_col=text_col), targets).select("doc_id", "text", F.col("target").cast("boolean").alias("target"))
+    context = docs.sparkSession.sparkContext
+    found = marked.select("text", "target").mapInArrow(_count, "pair boolean, key long, n long, t long").groupBy("pair", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    counts = durable(found.filter(~F.col("pair") | (F.col("n") > 1)), "counts")
+    words, pairs = counts.filter(~F.col("pair")), counts.filter("pair")
+    is_word = F.col("key") != START
+    total = words.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.when(is_word, F.col("n")), F.when(is_word, F.col("t")), F.col("n"), F.col("t"), F.when(is_word, F.lit(1))))).first()
+    n_words, scale = total[4], total[3] / total[2] if total[2] and total[3] else 1.0
+    n_target, n_background = float(total[1]), total[0] * scale
+
+    hot_word, hot_pair = _hot(words, hot_words), _hot(pairs, 1 << bits)
+    spot, width = F.explode(F.array(F.shiftrightunsigned("key", 58 - bits), F.col("key").bitwiseAND((1 << (bits + 6)) - 1))), 1 << bits
+    rest = counts.filter((F.col("n") > 1) & (F.col("n") < F.when(F.col("pair"), F.lit(hot_pair)).otherwise(F.lit(hot_word)))).select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("mask")).toArrow()  # at most 2 ** bits rows
+    repeats = np.zeros(width, np.int64)
+    repeats[rest.column("at").to_numpy()] = rest.column("mask").to_numpy()
+    known = context.broadcast((_sorted(words.filter(F.col("n") >= hot_word)), _sorted(pairs.filter(F.col("n") >= hot_pair)), repeats))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, (own_target, own_background) = _Words(shared_number.value), models.value
+        split, (of_word, of_pair, mask) = _Words(), known.value
+        uid = TaskContext.get().partitionId() << 33
+
+        def in_filter(keys):
+            out = np.ones(len(keys), bool)
+            for x in (keys.view(np.uint64) >> np.uint64(58 - bits), keys.view(np.uint64) & np.uint64((1 << (bits + 6)) - 1)):
+                out &= (mask[(x >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (x & np.uint64(63))) & np.uint64(1) == 1
+            return out
+
         for b in batches:
-            rows = []
-            for raw in utf8(b.column(1)):
-                ids = np.array(split(raw), np.int64)
-                if len(ids):
-                    cell = _cells(ids, words, bits)
-                    lt, lb = losses(ids, cell, own_target), losses(ids, cell, own_background)
-                    rows.append((len(ids), lt, lb, lt - lb))
-                else:
-                    rows.append((0, 0.0, 0.0, 0.0))
-            if rows:
-                n, lt, lb, s = zip(*rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lt), pa.array(lb), pa.array(s)], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return base.mapInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+            for at in range(0, b.num_rows, 512):
+                rows = b.slice(at, 512)
+                ids = [split(raw) for raw in utf8(rows.column(1))]
+                sizes = np.array([len(x) for x in ids])
+                some = [x for x in ids if len(x)]
+                uids = uid + np.arange(len(ids))
+                uid += len(ids)
+                lt, lb = np.zeros(len(ids)), np.zeros(len(ids))
+                cold = []
+                if some:
+                    doc, w = np.repeat(np.arange(len(ids)), sizes), np.concatenate(some)
+                    v = _before(some)
+                    own = np.repeat(np.array(rows.column(2).to_pylist(), np.int64), sizes)
+                    u, back = np.unique(np.concatenate([w, v]), return_inverse=True)
+                    hit, n1, t1 = _look_up(of_word, u)
+                    has, hit, n1, t1 = (hit | ~in_filter(u))[back], hit[back], n1[back], t1[back]
+                    n1, t1 = np.where(hit, n1, 1), np.where(hit, t1, np.tile(own, 2))
+                    has_w, has_v = has[: len(w)], has[len(w) :]
+                    pair = _pair(v, w)
+                    u, back = np.unique(pair, return_inverse=True)
+                    hit, n2, t2 = _look_up(of_pair, u)
+                    has_p, hit, n2, t2 = (hit | ~in_filter(u))[back], hit[back], n2[back], t2[back]
+                    n2, t2 = np.where(hit, n2, 1), np.where(hit, t2, own)
+                    whole = has_w & has_p
+                    for into, f, n, two, one in ((lt, 1.0, n_target, t2, t1), (lb, scale, n_background, n2, n1)):
+                        p_word = (f * one[: len(w)] + 1) / (n + n_words + 1)
+                        into -= np.bincount(doc[whole], np.log(f * two + mass * p_word)[whole], len(ids))
+                        into += np.bincount(doc[has_v], np.log(f * one[len(w) :] + mass)[has_v], len(ids))
+                    open_, before = np.nonzero(~whole)[0], np.nonzero(~has_v)[0]
+                    no = np.zeros(len(before), np.int64)
+                    cold = [
+                        np.concatenate([uids[doc[open_]], uids[doc[before]]]),
+                        pa.array(np.concatenate([pair[open_], no]), mask=np.concatenate([has_p[open_], no == 0])),
+                        pa.array(np.concatenate([n2[open_], no])),  # 0: only the word before is asked for
+                        pa.array(np.concatenate([t2[open_], no])),
+                        pa.array(np.concatenate([w[open_], v[before]]), mask=np.concatenate([has_w[open_], no != 0])),
+                        pa.array(np.concatenate([n1[: len(w)][open_], no])),
+                        pa.array(np.concatenate([t1[: len(w)][open_], no])),
+                    ]
+                names = [x.split()[0] for x in _SCHEMA.split(", ")]
+                longs = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(uids), rows.column(0), pa.array(sizes.astype(np.int64)), pa.array(lt), pa.array(lb), *[longs] * 6], names)
+                if cold and len(cold[0]):
+                    n = len(cold[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(cold[0]), *[pa.nulls(n, pa.int64())] * 2, *[pa.nulls(n, pa.float64())] * 2, *cold[1:]], names)
+        pa.default_memory_pool().release_unused()
+
+    sent = durable(marked.mapInArrow(score, _SCHEMA), "losses")
+    cold = sent.filter(F.col("n_tokens").isNull()).select("uid", "pair", "n2", "t2", "word", "n1", "t1")
+    asked = cold.filter(F.col("word").isNotNull()).join(words.select(F.col("key").alias("word"), F.col("n").alias("n"), F.col("t").alias("t")), "word")
+    told = asked.select("uid", "pair", "n2", "t2", F.col("n").alias("n1"), F.col("t").alias("t1")).unionByName(cold.filter(F.col("word").isNull()).drop("word"))
+    asked = told.filter(F.col("pair").isNotNull()).join(pairs.filter(F.col("n") < hot_pair).select(F.col("key").alias("pair"), "n", "t"), "pair", "left")
+    told = asked.select("uid", F.coalesce("n", "n2").alias("n2"), F.coalesce("t", "t2").alias("t2"), "n1", "t1").unionByName(told.filter(F.col("pair").isNull()).drop("pair"))
+
+    def loss(f, n, two, one):
+        p_word = (f * F.col(one) + 1.0) / F.lit(n + n_words + 1.0)
+        return F.when(F.col("n2") == 0, F.log(f * F.col(one) + mass)).otherwise(-F.log(f * F.col(two) + mass * p_word))
+
+    more = told.groupBy("uid").agg(F.sum(loss(F.lit(1.0), n_target, "t2", "t1")).alias("mt"), F.sum(loss(F.lit(float(scale)), n_background, "n2", "n1")).alias("mb"))
+    base = sent.filter(F.col("n_tokens").isNotNull()).join(more, "uid", "left")
+    mean = [(F.coalesce((F.col(a) + F.coalesce(b, F.lit(0.0))) / F.nullif("n_tokens", F.lit(0)), F.lit(0.0))).alias(c) for a, b, c in (("lt", "mt", "loss_target"), ("lb", "mb", "loss_background"))]
+    return base.select("doc_id", "n_tokens", *mean).withColumn("score", F.col("loss_target") - F.col("loss_background"))

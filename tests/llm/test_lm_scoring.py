@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -49,6 +50,20 @@ def test_against_brute_force(spark, small):
         assert r["score"] == pytest.approx(r["loss_target"] - r["loss_background"])
 
 
+@pytest.mark.parametrize(("bits", "hot_words"), [(0, 0), (4, 50), (10, 1000), (22, 1 << 19)])
+def test_every_word_and_pair_counts(spark, bits, hot_words):
+    """70,000 words and some 200,000 pairs: more than fit what is broadcast, and each has its own count."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(70_000 * rng.random() ** (1 + i % 3))}" for _ in range(1000))) for i in range(300)] + [(1000, None), (1001, "once")]
+    targets = [i for i, _ in rows if i % 3 == 0]
+    want = brute(rows, targets)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = L.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in targets], "doc_id long"), bits=bits, hot_words=hot_words).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-9)
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     for targets in (spark.createDataFrame([(4,), (None,)], "doc_id long"), spark.createDataFrame([], "doc_id long")):
         for df in (odd_docs, no_docs):
