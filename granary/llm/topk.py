@@ -2,22 +2,25 @@
 
 Components become integers, floor(1024 * x). The candidates' second-moment matrix (summed over all
 rows) gives a rotation, by singular value decomposition, that puts most of a product into the first
-coordinates. Candidates are dealt into blocks by descending norm; inside a block they are visited by
-descending norm, too. A query's product with a candidate is at most (Cauchy-Schwarz)
+coordinates. Candidates are dealt into levels of descending norm and these into blocks; inside a block
+they are visited by descending norm, too. A query's product with a candidate is at most (Cauchy-Schwarz)
 
-* the product of their norms, which ends a block early and skips whole blocks, and
+* the product of their norms, which ends a search early and skips whole levels, and
 * the product over the first ``head`` rotated coordinates plus the product of the norms of the rest,
   which leaves only few candidates to multiply in full, in integers.
 
-Two rounds: each query meets the blocks of the highest norms first, which gives it a threshold (its
-k-th best so far); it then goes only to blocks whose bound reaches that threshold. The query set is
-stated and met with all rows in blocks: queries and candidates are packed into rows of at most
-``block_rows`` vectors, so the join is by block and no task holds more than one block of each.
+Two rounds: each query meets the level of the highest norms first, which gives it a threshold (its
+k-th best so far); it then goes only to levels whose bound reaches that threshold. Queries that reach
+equally far share a group. Groups and blocks meet on a grid: blocks are dealt to columns, a group is sent
+once to each column and a block once to each group that reaches it. A cell of the grid holds one group
+of at most ``query_rows`` queries and reads its blocks one after another, so its memory is bounded.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; a shorter
-vector counts as filled up with zeros; a vec_id that repeats counts once, with its least vector; equal
-scores go to the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an
-empty result; other columns are ignored.
+vector counts as filled up with zeros, so an empty one scores 0; every row is a candidate of its own,
+also where a vec_id repeats, and each query row that repeats a vec_id has its own results; a row without
+vec_id is a candidate (after all others of its score), not a query; equal scores go to the smaller vec_id;
+with fewer than k candidates all are returned; components and scores beyond the range of a long are held
+at its ends; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,21 +30,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import durable
 
-_RESULT = "query_id long, vec_id long, score long"
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+_RESULT = "quid long, query_id long, uid long, vec_id long, score long"
 
 
 def integer_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
-    """vec_id and v (array of long), one row for each vec_id that takes part."""
+    """uid (a number of the row, below zero without vec_id), vec_id and v (array of long) of every row that takes part."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
-    whole = base.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
-    ints = whole.select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
-    return ints.groupBy("vec_id").agg(F.min("v").alias("v"))
+    whole = base.filter(F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+    low, high = F.lit(_LEAST), F.lit(_MOST)
+    ints = F.transform("x", lambda c: F.when(c * scale >= 2.0**63, high).when(c * scale <= -(2.0**63), low).otherwise(F.floor(F.when(F.abs(c * scale) < 2.0**63, c * scale))))
+    number = F.monotonically_increasing_id()
+    return whole.select(F.when(F.col("vec_id").isNull(), -1 - number).otherwise(number).alias("uid"), "vec_id", ints.alias("v"))
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -74,48 +80,63 @@ def rotation(ints: DataFrame, d: int) -> np.ndarray:
 
 
 def _multiplied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows: by floating point where no sum can leave its exact range."""
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < 2.0**52:
+    """Exact integer products of rows, held within a long: by the fastest arithmetic that no sum can leave."""
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
+    if most < 2.0**52:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+    if most < 2.0**62:
+        return a @ b.T
+    exact = a.astype(object) @ b.astype(object).T
+    return np.clip(exact, _LEAST, _MOST).astype(np.int64)
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, least: np.ndarray, cid: np.ndarray, c: np.ndarray, turn: np.ndarray, k: int, head: int, step: int = 512) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of the k best candidates of a block for each query.
+class Search:
+    """The k best candidates of some queries, over blocks visited one after another.
 
-    least: a score that each query has k times already. Candidates that score below it are of no use.
+    low: a score that each query has k times already. Candidates that score below it are of no use.
     """
-    qr, cr = q @ turn, c @ turn
-    q_norm, c_norm = np.sqrt((qr * qr).sum(1)), np.sqrt((cr * cr).sum(1))
-    by = np.argsort(-c_norm, kind="stable")
-    cid, c, cr, c_norm = cid[by], c[by], cr[by], c_norm[by]
-    c_rest, q_rest = np.sqrt((cr[:, head:] ** 2).sum(1)), np.sqrt((qr[:, head:] ** 2).sum(1))
-    best: list[list[tuple[int, int]]] = [[] for _ in qid]  # (-score, candidate), sorted
-    least = least.astype(float)
-    for at in range(0, len(cid), step):
-        to = min(at + step, len(cid))
-        slack = 1e-9 * (q_norm * c_norm[at]) + 1e-6
-        live = np.nonzero(q_norm * c_norm[at] + slack >= least)[0]
-        if not len(live):
-            break
-        bound = qr[live, :head] @ cr[at:to, :head].T + np.outer(q_rest[live], c_rest[at:to]) + slack[live, None]
-        may = bound >= least[live, None]
-        rows, columns = np.nonzero(may.any(1))[0], np.nonzero(may.any(0))[0]
-        if not len(rows):
-            continue
-        scores = _multiplied(q[live[rows]], c[at + columns])
-        for r, own in zip(rows, scores):
-            i = live[r]
-            good = np.nonzero(may[r, columns] & (own >= least[i]) & (cid[at + columns] != qid[i]))[0]
-            if len(good):
-                if len(good) > 4 * k:  # ties at the border are all kept here, and sorted out below
-                    border = np.partition(own[good], len(good) - k)[len(good) - k]
-                    good = good[own[good] >= border]
-                found = sorted(best[i] + list(zip((-own[good]).tolist(), cid[at + columns[good]].tolist())))[:k]
-                best[i] = found
-                if len(found) == k:
-                    least[i] = max(least[i], -found[-1][0])
-    return [(int(qid[i]), x, -s) for i, found in enumerate(best) for s, x in found]
+
+    def __init__(self, uid: np.ndarray, q: np.ndarray, low: np.ndarray, turn: np.ndarray, k: int, head: int):
+        self.uid, self.q, self.low, self.turn, self.k, self.head = uid, q, low.copy(), turn, k, head
+        self.turned = q @ turn
+        self.norm = np.sqrt((self.turned**2).sum(1))
+        self.rest = np.sqrt((self.turned[:, head:] ** 2).sum(1))
+        self.best: list[list[tuple[int, int, int]]] = [[] for _ in uid]  # (-score, vec_id, -uid), sorted
+
+    def visit(self, uid: np.ndarray, vec_id: np.ndarray, c: np.ndarray, step: int = 512) -> None:
+        head = self.head
+        cr = c @ self.turn
+        norm = np.sqrt((cr**2).sum(1))
+        by = np.argsort(-norm, kind="stable")
+        uid, vec_id, c, cr, norm = uid[by], vec_id[by], c[by], cr[by], norm[by]
+        rest = np.sqrt((cr[:, head:] ** 2).sum(1))
+        for at in range(0, len(uid), step):
+            to = min(at + step, len(uid))
+            least = np.where(self.low == _LEAST, -np.inf, self.low.astype(float))
+            slack = 1e-9 * self.norm * norm[at] + 1e-6  # more than rounding can amount to
+            live = np.nonzero(self.norm * norm[at] + slack >= least)[0]
+            if not len(live):
+                return
+            bound = self.turned[live, :head] @ cr[at:to, :head].T + np.outer(self.rest[live], rest[at:to]) + slack[live, None]
+            may = bound >= least[live, None]
+            rows, columns = np.nonzero(may.any(1))[0], np.nonzero(may.any(0))[0]
+            if not len(rows):
+                continue
+            for r, own in zip(rows, _multiplied(self.q[live[rows]], c[at + columns])):
+                i = live[r]
+                good = np.nonzero(may[r, columns] & (own >= self.low[i]) & (uid[at + columns] != self.uid[i]))[0]
+                if len(good):
+                    self._take(i, own[good], at + columns[good], vec_id, uid)
+
+    def _take(self, i: int, score: np.ndarray, place: np.ndarray, vec_id: np.ndarray, uid: np.ndarray) -> None:
+        k = self.k
+        if len(score) > 4 * k:  # ties at the border are all kept here, and sorted out below
+            some = score >= np.partition(score, len(score) - k)[len(score) - k]
+            score, place = score[some], place[some]
+        found = sorted(self.best[i] + [(-s, v, -u) for s, v, u in zip(score.tolist(), vec_id[place].tolist(), uid[place].tolist())])[:k]
+        self.best[i] = found
+        if len(found) == k:
+            self.low[i] = max(int(self.low[i]), -found[-1][0])
 
 
 @dataclass
@@ -123,8 +144,9 @@ class TopK:
     """Parameters of the search."""
 
     k: int = 10
-    block_rows: int = 4096
-    query_rows: int = 1024
+    block_rows: int = 2048
+    query_rows: int = 2048
+    column_blocks: int = 8
     levels: int = 32
     head: int = 16
 
@@ -133,9 +155,9 @@ class TopK:
         ints = durable(ints, "vectors")
         spark = ints.sparkSession
         seen = ints.agg(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-        if not seen["n"] or not seen["d"]:
+        if not seen["n"]:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-        d = seen["d"]
+        d = max(1, seen["d"])
         turn = rotation(ints, d)
         square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
         normed = ints.withColumn("norm", F.sqrt(square))
@@ -145,62 +167,97 @@ class TopK:
         for cut in cuts:
             level = level + (F.col("norm") <= cut).cast("int")
         levels = {r["level"]: r for r in normed.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).collect()}  # at most `levels` rows
-        parts = {k: -(-r["n"] // self.block_rows) for k, r in levels.items()}
-        of = F.element_at(F.create_map(*(F.lit(x) for p in parts.items() for x in p)), F.col("level"))
-        dealt = normed.withColumn("level", level).withColumn("part", F.pmod(F.xxhash64("vec_id"), of).cast("int"))
-        blocks = durable(self._packed(dealt, ["level", "part"]), "blocks")
-        queries = normed.filter(is_query)
-        groups = max(1, -(-queries.count() // self.query_rows))
-        packed = durable(self._packed(queries.withColumn("level", F.lit(0)).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")), ["level", "part"]), "queries").select(F.col("part").alias("group"), F.col("ids").alias("qids"), F.col("vs").alias("qs"))
         order = sorted(levels)
-        first = self._round(packed.withColumn("least", F.lit(None).cast("array<double>")), blocks, {order[0]: parts[order[0]]}, turn, d)
-        first = durable(first, "first-round")
+        parts = {k: -(-levels[k]["n"] // self.block_rows) for k in order}
+        before = {k: sum(parts[j] for j in order if j < k) for k in order}
+        dealt = normed.withColumn("level", level).withColumn("part", F.pmod(F.xxhash64("uid"), _of(parts)).cast("int"))
+        blocks = durable(self._packed(dealt, "level", "part"), "blocks").withColumn("number", _of(before) + F.col("part"))
+
+        queries = normed.filter(is_query).withColumn("low", F.lit(_LEAST))
+        n = queries.count()
+        groups = self._grouped(queries.withColumn("depth", F.lit(0)), {0: n})
+        top = blocks.filter(F.col("level") == order[0]).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(max(0, self._groups(n) - 1)))))
+        first = durable(self._met(groups, top, parts[order[0]], turn, d), "first-round")
         if len(order) > 1:
-            top = {k: float(levels[k]["top"]) for k in order}
-            # a query that has k results already needs no block whose bound is below the last of them
-            kth = first.groupBy("query_id").agg(F.array_sort(F.collect_list("score"), lambda a, b: (b - a).cast("int")).alias("s"))
-            kth = kth.filter(F.size("s") >= self.k).select("query_id", F.element_at("s", self.k).cast("double").alias("least"))
-            by_query = queries.select(F.col("vec_id"), "v", "norm").join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
-            by_query = by_query.withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-            reach = [F.when(F.col("norm") * top[k] * (1 + 1e-9) + 1e-6 >= F.col("least"), F.lit(k)) for k in order[1:]]
-            asked = by_query.withColumn("level", F.explode(F.array_compact(F.array(*reach)))).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"))
-            grouped = self._packed(asked, ["level", "part"], least=True).select("level", F.col("ids").alias("qids"), F.col("vs").alias("qs"), "least")
-            number = F.element_at(F.create_map(*(F.lit(x) for p in parts.items() for x in p)), F.col("level"))
-            spread = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), number - 1)))
-            first = first.unionByName(self._met(spread, blocks, turn, d))
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= self.k).select("query_id", "rank", "vec_id", "score")
-
-    def _packed(self, rows: DataFrame, by: list[str], least: bool = False) -> DataFrame:
-        """Blocks of about block_rows or query_rows vectors, one row each."""
-        item = F.struct("vec_id", "v", *(["least"] if least else []))
-        out = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("all"))
-        fields = [F.transform("all", lambda x: x["vec_id"]).alias("ids"), F.transform("all", lambda x: x["v"]).alias("vs")]
-        return out.select(*by, *fields, *([F.transform("all", lambda x: x["least"]).alias("least")] if least else []))
-
-    def _round(self, packed: DataFrame, blocks: DataFrame, parts: dict[int, int], turn: np.ndarray, d: int) -> DataFrame:
-        pairs = [(k, p) for k, n in parts.items() for p in range(n)]
-        to = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(p).alias("part")) for k, p in pairs)))
-        spread = packed.withColumn("to", to).select("qids", "qs", "least", "to.level", "to.part")
-        return self._met(spread, blocks, turn, d)
-
-    def _met(self, spread: DataFrame, blocks: DataFrame, turn: np.ndarray, d: int) -> DataFrame:
-        k, head = self.k, min(self.head, d)
+            # a query that has k results already needs no level whose bound is below the last of them
+            kth = _ranked(first, self.k).filter(F.col("rank") == self.k).select(F.col("quid").alias("uid"), F.col("score").alias("kth"))
+            asked = queries.drop("low").join(kth, "uid", "left").withColumn("low", F.coalesce("kth", F.lit(_LEAST)))
+            reach = lambda k: (F.col("kth").isNull() | (F.col("norm") * float(levels[k]["top"]) * (1 + 1e-9) + 1e-6 >= F.col("kth").cast("double"))).cast("int")
+            asked = durable(asked.withColumn("depth", sum((reach(k) for k in order[1:]), F.lit(0))).filter("depth > 0"), "asked")
+            deep = {r["depth"]: r["n"] for r in asked.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `levels` rows
+            if deep:
+                groups = self._grouped(asked, deep)
+                start, total = {}, 0  # where the groups begin that reach a depth
+                for depth in range(1, len(order)):
+                    start[order[depth]] = total
+                    total += self._groups(deep.get(depth, 0))
+                rest = blocks.filter(F.col("level") > order[0]).withColumn("start", _of(start)).filter(F.col("start") < total)
+                rest = rest.withColumn("group", F.explode(F.sequence(F.col("start"), F.lit(total - 1)))).drop("start")
+                first = first.unionByName(self._met(groups, rest, sum(parts[k] for k in order[1:]), turn, d))
+        found = _ranked(first, self.k)
+        return found.select("query_id", "rank", F.when(F.col("uid") >= 0, F.col("vec_id")).alias("vec_id"), "score")
+
+    def _groups(self, n: int) -> int:
+        return -(-n // self.query_rows)
+
+    def _grouped(self, queries: DataFrame, deep: dict[int, int]) -> DataFrame:
+        """Groups of queries of equal depth, numbered by depth, of about query_rows each; one row a group."""
+        start, total = {}, 0
+        for depth in sorted(deep):
+            start[depth] = total
+            total += self._groups(deep[depth])
+        of = F.greatest(_of({k: self._groups(n) for k, n in deep.items()}, "depth"), F.lit(1))
+        group = (_of(start, "depth") + F.pmod(F.xxhash64("uid", F.lit(1)), of)).cast("int")
+        return durable(self._packed(queries.withColumn("group", group), "group"), "queries")
+
+    def _packed(self, rows: DataFrame, *by: str) -> DataFrame:
+        """Blocks of vectors, one row each."""
+        low = "low" if "low" in rows.columns else F.lit(_LEAST).alias("low")
+        item = F.struct("uid", F.coalesce("vec_id", F.lit(_MOST)).alias("vec_id"), low, "v")
+        out = rows.groupBy(*by).agg(F.collect_list(item).alias("all"))  # about block_rows or query_rows vectors
+        return out.select(*by, *(F.col(f"all.{f}").alias(f + "s") for f in ("uid", "vec_id", "low", "v")))
+
+    def _met(self, groups: DataFrame, blocks: DataFrame, n_blocks: int, turn: np.ndarray, d: int) -> DataFrame:
+        """The cells of the grid: groups (group) with blocks (group, level, number), by descending norm."""
+        k, head, columns = self.k, min(self.head, d), max(1, -(-n_blocks // self.column_blocks))
+        packed = ["uids", "vec_ids", "lows", "vs"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell = search = ids = None
+
+            def found():
+                rows = [(int(search.uid[i]), int(ids[i]), -u, v, -s) for i, best in enumerate(search.best) for s, v, u in best]
+                return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 5)], ["quid", "query_id", "uid", "vec_id", "score"])
+
             for b in batches:
                 for i in range(b.num_rows):
-                    qids, qs, least, ids, vs = (b.column(j)[i] for j in range(5))
-                    qid = qids.values.to_numpy(zero_copy_only=False)
-                    low = least.values.to_numpy(zero_copy_only=False) if least.is_valid else np.full(len(qid), -np.inf)
-                    found = search_block(qid, _matrix(qs.values, d), low, ids.values.to_numpy(zero_copy_only=False), _matrix(vs.values, d), turn, k, head)
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["query_id", "vec_id", "score"])
-
-        met = spread.join(blocks, ["level", "part"]).select("qids", "qs", "least", "ids", "vs")
-        return met.mapInArrow(run, _RESULT)
+                    group, column, level = (b.column(j)[i].as_py() for j in range(3))
+                    uid, vec_id, low = (b.column(j)[i].values.to_numpy(zero_copy_only=False) for j in (4, 5, 6))
+                    v = _matrix(b.column(7)[i].values, d)
+                    if level < 0:
+                        if search is not None:
+                            yield found()
+                        cell, ids, search = (group, column), vec_id, Search(uid, v, low, turn, k, head)
+                    elif cell == (group, column):
+                        search.visit(uid, vec_id, v)
+            if search is not None:
+                yield found()
+
+        asking = groups.select("group", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"), F.lit(-1).alias("level"), F.lit(0).cast("long").alias("number"), *packed)
+        asked = blocks.select("group", F.pmod("number", F.lit(columns)).cast("int").alias("column"), "level", F.col("number").cast("long").alias("number"), *packed)
+        cells = asking.unionByName(asked).repartition("group", "column").sortWithinPartitions("group", "column", "level", "number")
+        return cells.mapInArrow(run, _RESULT)
+
+
+def _of(values: dict[int, int], column: str = "level") -> Column:
+    """The value of a level (or depth), of which there are few."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col(column)) if values else F.lit(0)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query row; of a query's rows in a task only k go to meet the others."""
+    w = Window.partitionBy("quid").orderBy(F.col("score").desc(), "vec_id", F.col("uid").desc())
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def top_products(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
