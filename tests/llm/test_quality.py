@@ -1,4 +1,6 @@
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -18,7 +20,10 @@ def brute(text):
     for i, w in enumerate(windows):
         if times[w] > 1:
             inside |= {i, i + 1, i + 2}
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside)
+    marks = [c for c in text if 32 < ord(c) < 127 and not c.isalnum()]
+    bare = [w for w in words if all(c in marks for c in w)]
+    ends, capitals = [w for w in words if w[-1] in "#*$%&|<>"], [w for w in words if "A" <= w[0] <= "Z"]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside), len(marks), len(bare), len(ends), len(capitals)
 
 
 def test_statistics(spark, small, odd_docs):
@@ -27,26 +32,81 @@ def test_statistics(spark, small, odd_docs):
         assert got == sorted((str(r["doc_id"]), *brute(r["text"])) for r in df.select("doc_id", "text").collect())
 
 
-def test_rules_on_small_table(spark, small):
-    got = entry.op8_quality_rules(spark, small).collect()
-    assert all(r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) for r in got)
-    assert not any(r["kept"] and r["base_failed"] for r in got)
-    good = {r["doc_id"] for r in spark.read.parquet(f"{small}/labels.parquet").filter("quality = 1").collect()}
-    passed = [r for r in got if r["doc_id"] in good and not r["base_failed"]]
-    assert sum(r["kept"] for r in passed) >= 0.95 * len(passed)
-    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
-    rules, _ = R.fit_rules(spark, docs, labels)
-    assert {r["doc_id"] for r in rules.keep(docs).select("doc_id").collect()} == {r["doc_id"] for r in got if r["kept"]}
+def brute_path(forest, tree, x):
+    node, depth = 0, 0
+    while forest.column[tree][node] >= 0:
+        node = 2 * node + (2 if x[forest.column[tree][node]] >= forest.value[tree][node] else 1)
+        depth += 1
+    return forest.path[tree][node]
+
+
+def brute_features(s):
+    words, chars, symbols, _, _, marks, bare, ends, capitals = s
+    n, c = max(words, 1), max(chars, 1)
+    return [c / n, symbols / c, marks / c, bare / n, ends / n, capitals / n]
+
+
+def test_forest_decides(spark, small):
+    """Scores, threshold and verdicts against a walk through the trees, and what they catch of rows not calibrated on."""
+    sf = small.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules, statistics = R.fit_rules(spark, docs, labels.filter(~C.held_out("doc_id")))
+    got = {r["doc_id"]: r for r in entry.op8_quality_rules(spark, sf).collect()}
+    assert len(got) == docs.count() and len(rules.forest.column) == 100 and rules.forest.psi == 256
+    normal = 2 * (math.log(255) + 0.5772156649015329) - 2 * 255 / 256
+    steps = {}
+    for i, r in got.items():
+        x = brute_features([r[c] for c in R.STAT_COLUMNS])
+        mean = sum(brute_path(rules.forest, t, x) for t in range(100)) / 100
+        steps[i] = int(2 ** (-mean / normal) * 4096)
+        assert abs(r["anomaly"] * 4096 - steps[i]) <= 1e-6
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert r["kept"] == (not r["base_failed"] and steps[i] <= rules.threshold)
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect() if not got[r["doc_id"]]["base_failed"]}
+    known = {i: q for i, q in quality.items() if zlib.crc32(str(i).encode()) % 5}
+
+    def told(rows, threshold):
+        return sum(q == 0 and steps[i] > threshold for i, q in rows.items()), -sum(q == 1 and steps[i] > threshold for i, q in rows.items())
+
+    allowed = [told(known, t) for t in range(4097) if -told(known, t)[1] <= 0.005 * sum(known.values())]
+    assert told(known, rules.threshold) == max(allowed)
+    held = {i: q for i, q in quality.items() if i not in known}
+    caught, lost = told(held, rules.threshold)
+    n_bad = sum(q == 0 for q in held.values())
+    assert n_bad > 0 and caught >= 0.5 * n_bad and -lost <= 0.02 * sum(held.values())
+    assert sum(not r["kept"] and not r["base_failed"] for r in got.values()) >= 0.02 * len(got)
+    assert {r["doc_id"] for r in rules.keep(docs).select("doc_id").collect()} == {i for i, r in got.items() if r["kept"]}
+
+
+def test_each_tree_has_a_sample_of_all_rows(spark):
+    names = ", ".join(f"{c} long" for c in R.STAT_COLUMNS)
+    rows = [(i, 100 + i % 7, 500 + i, *range(7)) for i in range(3000)] * 2  # repeated rows count once
+    df = spark.createDataFrame(rows, f"doc_id long, {names}")
+    rules = R.QualityRules(n_trees=6, psi=32)
+    got = rules.samples(df).toPandas()
+    assert (got.groupby("tree").size() == 32).all() and got.tree.nunique() == 6 and not got.duplicated(["tree", "word_chars"]).any()
+    every = R.QualityRules(n_trees=6, psi=3000).samples(df).toPandas()
+    for t, own in got.groupby("tree"):
+        assert sorted(own.pick) == sorted(every[every.tree == t].pick)[:32]
+    assert got.word_chars.nunique() > 150
 
 
 def test_forest_isolates_what_is_odd():
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (2000, 3))
     x[:5] += 8
-    forest = R.IsolationForest.grow(x, 100, 256, 1)
-    s = forest.scores(x)
+    trees = [R.grow_tree(x[rng.choice(2000, 256, replace=False)], 256, rng) for _ in range(100)]
+    s = R.IsolationForest(*map(np.array, zip(*trees)), 256).scores(x)
     assert s[:5].min() > np.quantile(s[5:], 0.99)
-    assert len(R.IsolationForest.grow(x[:0], 3, 8, 1).scores(x)) == 2000
+    assert len(R.grow_tree(x[:0], 8, rng)[0]) == 15
+
+
+def test_threshold():
+    assert R.calibrated([], 0.1) is None
+    assert R.calibrated([(5, 10, 0), (9, 0, 4), (7, 1, 3)], 0.0) == 7
+    assert R.calibrated([(5, 10, 0), (9, 0, 4), (7, 1, 3)], 0.1) == 5
+    assert R.calibrated([(5, 10, 0)], 0.5) == 5
+    assert R.calibrated([(5, 0, 3), (4, 0, 1)], 0.0) == 3
 
 
 def test_rules_on_odd_documents(spark, odd_docs, no_docs):
@@ -80,8 +140,6 @@ def test_classifier_on_odd_documents(spark, odd_docs, no_docs):
 
 
 def test_held_out_rows(spark):
-    import zlib
-
     df = spark.range(200).withColumn("o", C.held_out("id"))
     assert all(r["o"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in df.collect())
     assert df.filter(F.col("o")).count() > 0
