@@ -1,24 +1,27 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm on islands.
 
 Documents become token ids with an end mark; only those longer than a sequence are cut (the first piece
-may be shorter). Full pieces are sequences by themselves. The other pieces are dealt by hash into blocks
-of about ``block_pieces``; each block is a bin-packing problem of its own, evolved on several islands.
-
-An individual is a packing: a set of bins. Crossover takes whole well-filled bins of one parent into
-the other, drops the other's bins that hold the same pieces, and puts the pieces so displaced back by
-best fit. Mutation empties a few badly filled bins and does the same. Fitness is the number of bins,
-then the mean square fill. After each epoch an island's best individuals migrate to the next island of
-the ring (a shuffle of small rows). Then bins filled below ``dissolve`` of all blocks' winners are
-dissolved, and their pieces are dealt anew into fewer blocks and packed again, ``rounds`` times in all,
-so what cutting into blocks costs does not grow with the input.
-
-Work: tokenising is one pass, written to the shared folder (a few numbers a piece, no ids); everything
-later moves only those rows. A block's size does not grow with the input, and no task holds more than
-its blocks one after another.
+may be shorter). Packing sees a piece's length only, and pieces of equal length are alike, so the whole
+corpus is one bin-packing problem over counted lengths: at most ``capacity`` of them, however many
+pieces there are. No block is packed by itself, so nothing is lost at block borders.
+
+An individual is a packing: bin contents (lengths and their numbers) and how many bins have each.
+Crossover takes whole well-filled bins of one parent into the other, drops the other's bins that would
+repeat their pieces, and puts the pieces so displaced back by best fit. Mutation empties a few badly
+filled bins and some others and does the same in a shaken order. Fitness is the number of bins, then
+the sum of squared fills. Each island evolves a population in a task; after an epoch its best individuals
+migrate to the next island of the ring (a shuffle of a few rows). Every island starts from plain best fit
+decreasing over all pieces, so the result is never worse than that.
+
+Work: tokenising is one pass, written to the shared folder (a few numbers a piece, no ids). Each piece has
+a number among its task's pieces of its length; counts by task and length give its number among all, and
+that its bin and place, by a look-up in the winner (bounded by the number of lengths, and broadcast). An
+individual holds at most four more contents a length than those it was made of, and never more than there
+are bins; on millions of pieces some thousands were seen.
 
 Defined cases: a null text is empty and has the end mark alone; texts of any length are cut; repeated
-rows (equal doc_id) are separate pieces, each placed; an empty table gives an empty result; other
-columns are ignored.
+rows (equal or no doc_id) are separate pieces, each placed, however many there are; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import durable, texts
@@ -141,18 +146,23 @@ class TokenCounter:
 
 
 _counters: dict[str, TokenCounter] = {}
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long"
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document; one pass, no shuffle."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document; one pass, no shuffle.
+
+    task and number: which of its task's pieces of this length it is, from 0. They hold for a table that is written at once.
+    """
+    names = [x.split()[0] for x in _PIECES.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _counters:
             _counters[tokenizer_path] = TokenCounter(tokenizer_path)
         counter = _counters[tokenizer_path]
         end = np.array([end_id], "<u4").tobytes()
+        task, seen = TaskContext.get().partitionId(), Counter()
         try:
             for b in batches:
                 for at in range(0, b.num_rows, 5000):
@@ -166,7 +176,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, en
                         start = 0
                         for k, z in enumerate(cuts):
                             crc = zlib.crc32(raw[4 * (begin + start) : 4 * (begin + min(z, n - 1))])
-                            rows.append((doc_id, k, start, z - start, zlib.crc32(end, crc) if z == n else crc))
+                            rows.append((doc_id, k, start, z - start, zlib.crc32(end, crc) if z == n else crc, task, seen[z - start]))
+                            seen[z - start] += 1
                             start = z
                         begin = to
                     yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], names)
@@ -174,113 +185,178 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, en
             counter.memo.clear()
             pa.default_memory_pool().release_unused()
 
-    return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(run, _PIECES)
 
 
 class Packing:
-    """One individual: bins of piece numbers, over pieces whose lengths are known."""
+    """One individual: how often each bin content occurs. A content is a tuple of (length, pieces), as pieces of equal length are alike."""
+
+    __slots__ = ("bins", "capacity")
 
-    __slots__ = ("bins", "fill", "length", "capacity")
+    def __init__(self, capacity: int, bins: dict[tuple, int] | None = None):
+        self.capacity, self.bins = capacity, dict(bins or {})
 
-    def __init__(self, length: list[int], capacity: int, bins: list[list[int]] = ()):
-        self.length, self.capacity = length, capacity
-        self.bins = [list(b) for b in bins]
-        self.fill = [sum(length[i] for i in b) for b in self.bins]
+    @staticmethod
+    def fill(content: tuple) -> int:
+        return sum(n * t for n, t in content)
 
     def fitness(self) -> tuple[int, int]:
-        return -len(self.bins), sum(f * f for f in self.fill)
-
-    def best_fit(self, pieces: list[int]) -> None:
-        """Each piece, longest first, goes into the fullest bin that still has room."""
-        order = sorted((f, k) for k, f in enumerate(self.fill))
-        for i in sorted(pieces, key=lambda i: (-self.length[i], i)):
-            n = self.length[i]
-            at = bisect.bisect_right(order, (self.capacity - n, 1 << 60)) - 1
-            if at >= 0:
-                f, k = order.pop(at)
-                self.bins[k].append(i)
-            else:
-                f, k = 0, len(self.bins)
-                self.bins.append([i])
-                self.fill.append(0)
-            self.fill[k] = f + n
-            bisect.insort(order, (f + n, k))
-
-    def without(self, drop: set[int]) -> Packing:
-        out = Packing(self.length, self.capacity)
-        kept = [k for k in range(len(self.bins)) if k not in drop]
-        out.bins, out.fill = [list(self.bins[k]) for k in kept], [self.fill[k] for k in kept]
+        """Fewer bins are better, then a higher sum of squared fills."""
+        return -sum(self.bins.values()), sum(t * self.fill(c) ** 2 for c, t in self.bins.items())
+
+    def pieces(self) -> Counter:
+        out: Counter = Counter()
+        for content, times in self.bins.items():
+            for n, t in content:
+                out[n] += t * times
         return out
 
-    def crossed(self, other: Packing, rng: np.random.Generator) -> Packing:
-        """Inject well-filled bins of ``other``; drop own bins that repeat their pieces; best-fit the rest."""
-        fill = np.array(other.fill, float)
-        take = np.nonzero(rng.random(len(fill)) < 0.3 * (fill / self.capacity) ** 8)[0]
-        injected = [other.bins[k] for k in take]
-        inside = {i for b in injected for i in b}
-        hit = {k for k, b in enumerate(self.bins) if not inside.isdisjoint(b)}
-        displaced = [i for k in hit for i in self.bins[k] if i not in inside]
-        child = self.without(hit)
-        child.bins += [list(b) for b in injected]
-        child.fill += [other.fill[k] for k in take]
-        child.best_fit(displaced)
+    def best_fit(self, pieces: dict[int, int], order: list[int]) -> None:
+        """Each piece, in the order of lengths given, goes into the fullest bin that still has room.
+
+        Equal bins are treated at once: a length adds at most four contents, however many pieces it has.
+        """
+        by_room: dict[int, dict[tuple, int]] = {}
+        for content, times in self.bins.items():
+            by_room.setdefault(self.capacity - self.fill(content), {})[content] = times
+        rooms = sorted(by_room)
+
+        def put(content, room, times):
+            if room not in by_room:
+                by_room[room] = {}
+                bisect.insort(rooms, room)
+            by_room[room][content] = by_room[room].get(content, 0) + times
+
+        for n in order:
+            left = pieces.get(n, 0)
+            while left:
+                at = bisect.bisect_left(rooms, n)
+                if at < len(rooms):
+                    room = rooms[at]
+                    content, times = by_room[room].popitem()
+                    if not by_room[room]:
+                        del by_room[room], rooms[at]
+                else:
+                    room, content = self.capacity, ()
+                    times = -(-left // (room // n))
+                each = room // n  # a bin that took one is the fullest for the next, too
+                whole = min(times, left // each)
+                part = left - whole * each if whole < times else 0
+                if whole:
+                    put((*content, (n, each)), room - each * n, whole)
+                if part:
+                    put((*content, (n, part)), room - part * n, 1)
+                if content and times > whole + bool(part):
+                    put(content, room, times - whole - bool(part))
+                left -= whole * each + part
+        self.bins = {}
+        for contents in by_room.values():
+            for content, times in contents.items():
+                c = Counter()
+                for n, t in content:
+                    c[n] += t
+                content = tuple(sorted(c.items(), reverse=True))
+                self.bins[content] = self.bins.get(content, 0) + times
+
+    def crossed(self, other: Packing, pieces: dict[int, int], rng: np.random.Generator) -> Packing:
+        """Inject whole well-filled bins of ``other``; drop own bins that repeat their pieces; best-fit the displaced."""
+        contents = list(other.bins)
+        fill = np.array([self.fill(c) for c in contents], float)
+        share = 0.5 * (fill / self.capacity) ** 16
+        times = rng.binomial(np.array([other.bins[c] for c in contents]), share)
+        child = Packing(self.capacity, {c: t for c, t in zip(contents, times.tolist()) if t})
+        left = Counter(pieces)
+        left.subtract(child.pieces())
+        for content in sorted(self.bins, key=lambda c: (-self.fill(c), c)):
+            t = min(self.bins[content], *(left[n] // k for n, k in content))
+            if t:
+                child.bins[content] = child.bins.get(content, 0) + t
+                for n, k in content:
+                    left[n] -= t * k
+        child.best_fit(left, sorted((n for n, t in left.items() if t), reverse=True))
         return child
 
     def mutated(self, rng: np.random.Generator) -> Packing:
-        """Empty the worst bins and some others, and best-fit their pieces."""
-        n = max(2, len(self.bins) // 20)
-        worst = set(np.argsort(self.fill, kind="stable")[:n].tolist()) | set(rng.integers(0, len(self.bins), n).tolist())
-        child = self.without(worst)
-        child.best_fit([i for k in worst for i in self.bins[k]])
+        """Empty the worst bins and some others, and best-fit their pieces in a shaken order."""
+        contents = sorted(self.bins, key=lambda c: (self.fill(c), c))
+        times = np.array([self.bins[c] for c in contents])
+        worst = max(2, int(times.sum()) // 20)
+        gone = np.clip(worst - (np.cumsum(times) - times), 0, times)
+        gone += rng.binomial(times - gone, 0.05)
+        child = Packing(self.capacity, {c: t for c, t in zip(contents, (times - gone).tolist()) if t})
+        displaced = Packing(self.capacity, {c: t for c, t in zip(contents, gone.tolist()) if t}).pieces()
+        child.best_fit(displaced, shaken(displaced, rng, 0.1))
         return child
 
     def packed(self) -> bytes:
-        """The bin of each piece, as 32-bit integers."""
-        out = np.zeros(len(self.length), "<i4")
-        for k, b in enumerate(self.bins):
-            out[b] = k
-        return out.tobytes()
+        """Contents as 64-bit integers: times, number of lengths, then each length and its pieces."""
+        out = []
+        for content, times in self.bins.items():
+            out += [times, len(content), *(x for pair in content for x in pair)]
+        return np.array(out, "<i8").tobytes()
 
     @staticmethod
-    def unpacked(raw: bytes, length: list[int], capacity: int) -> Packing:
-        of = np.frombuffer(raw, "<i4")
-        bins: list[list[int]] = [[] for _ in range(int(of.max()) + 1 if len(of) else 0)]
-        for i, k in enumerate(of.tolist()):
-            bins[k].append(i)
-        return Packing(length, capacity, bins)
+    def unpacked(raw: bytes, capacity: int) -> Packing:
+        x, at, bins = np.frombuffer(raw, "<i8").tolist(), 0, {}
+        while at < len(x):
+            times, n = x[at : at + 2]
+            bins[tuple(zip(x[at + 2 : at + 2 + 2 * n : 2], x[at + 3 : at + 2 + 2 * n : 2]))] = times
+            at += 2 + 2 * n
+        return Packing(capacity, bins)
+
+
+def shaken(pieces: dict[int, int], rng: np.random.Generator, by: float) -> list[int]:
+    """Lengths, longest first but for some noise."""
+    lengths = np.array(sorted(pieces), float)
+    return lengths[np.argsort(-lengths * (1 + by * rng.standard_normal(len(lengths))), kind="stable")].astype(int).tolist()
+
 
+def best_fit_decreasing(pieces: dict[int, int], capacity: int) -> Packing:
+    p = Packing(capacity)
+    p.best_fit(pieces, sorted(pieces, reverse=True))
+    return p
 
-def evolve(length: list[int], capacity: int, seeds: list[bytes], rng: np.random.Generator, population: int, generations: int) -> list[Packing]:
-    """A population evolved from given individuals, the rest new; best first."""
-    own = [Packing.unpacked(s, length, capacity) for s in seeds]
+
+def evolve(pieces: dict[int, int], capacity: int, seeds: list[bytes], rng: np.random.Generator, population: int, generations: int) -> list[Packing]:
+    """A population evolved from given individuals, the rest new; best first. None is worse than plain best fit if it starts from nothing."""
+    if not pieces:
+        return [Packing(capacity)]
+    own = [Packing.unpacked(s, capacity) for s in seeds] or [best_fit_decreasing(pieces, capacity)]
     while len(own) < population:
-        p = Packing(length, capacity)
-        if own:  # a random start: part of the pieces in random order, the rest by best fit
-            shuffled = rng.permutation(len(length))[: len(length) // 2].tolist()
-            for i in shuffled:
-                if p.bins and p.fill[-1] + length[i] <= capacity:
-                    p.bins[-1].append(i)
-                    p.fill[-1] += length[i]
-                else:
-                    p.bins.append([i])
-                    p.fill.append(length[i])
-            p = p.without({k for k, f in enumerate(p.fill) if f < 0.97 * capacity})
-            placed = {i for b in p.bins for i in b}
-            p.best_fit([i for i in range(len(length)) if i not in placed])
-        else:
-            p.best_fit(list(range(len(length))))
+        p = Packing(capacity)
+        p.best_fit(pieces, shaken(pieces, rng, 0.02 * 4 ** rng.integers(0, 4)))
         own.append(p)
-    least = -(-sum(length) // capacity)
-    for _ in range(generations):
-        own.sort(key=Packing.fitness, reverse=True)
-        if len(own[0].bins) <= least:
-            break
-        a, b = (own[int(k)] for k in rng.choice(len(own), 2, replace=False))
-        child = a.crossed(b, rng) if rng.random() < 0.6 else own[0].mutated(rng)
-        if child.fitness() > own[-1].fitness():
-            own[-1] = child
-    own.sort(key=Packing.fitness, reverse=True)
-    return own[:population]
+    scored = sorted(((p.fitness(), k, p) for k, p in enumerate(own)), key=lambda x: (x[0], -x[1]), reverse=True)
+    for k in range(generations):
+        a, b = (int(i) for i in rng.choice(len(scored), 2, replace=False))
+        child = scored[min(a, b)][2].crossed(scored[max(a, b)][2], pieces, rng) if rng.random() < 0.7 else scored[0][2].mutated(rng)
+        fitness = child.fitness()
+        if fitness > scored[-1][0] and all(fitness != f for f, _, _ in scored):
+            scored[-1] = (fitness, population + k, child)
+            scored.sort(key=lambda x: (x[0], -x[1]), reverse=True)
+    return [p for _, _, p in scored]
+
+
+class Places:
+    """Where each piece goes in a packing: the pieces of a length, numbered from 0, fill its places in order."""
+
+    def __init__(self, packing: Packing):
+        rows, taken, sequence = [], Counter(), 0
+        for content, times in sorted(packing.bins.items(), reverse=True):
+            at = 0
+            for n, k in content:
+                rows.append((n << 48 | taken[n], k, sequence, at, n))
+                taken[n] += k * times
+                at += n * k
+            sequence += times
+        self.key, self.each, self.sequence, self.at, self.length = np.array(sorted(rows), np.int64).reshape(-1, 5).T.copy()
+
+    def __call__(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset of the pieces of these lengths and numbers."""
+        key = length << 48 | number
+        i = np.searchsorted(self.key, key, side="right") - 1
+        within = key - self.key[i]
+        return self.sequence[i] + within // self.each[i], self.at[i] + within % self.each[i] * length
 
 
 @dataclass
@@ -288,82 +364,60 @@ class IslandPacker:
     """Parameters of the search; :meth:`pack` runs it."""
 
     capacity: int = 2048
-    block_pieces: int = 4096
-    islands: int = 2
-    population: int = 4
-    generations: int = 8
-    epochs: int = 2
+    islands: int = 4
+    population: int = 6
+    generations: int = 16
+    epochs: int = 3
     elites: int = 2
-    rounds: int = 2
-    dissolve: float = 0.95
     seed: int = 11
 
     def pack(self, pieces: DataFrame) -> DataFrame:
-        """pieces: a durable table from :func:`cut_pieces`. Adds sequence_id and offset."""
-        full = pieces.filter(F.col("length") >= self.capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-        rest, out = pieces.filter(F.col("length") < self.capacity), full
-        for round_no in range(self.rounds):
-            last = round_no == self.rounds - 1
-            placed = durable(self._blocks(rest, round_no), f"packed-{round_no}")
-            keep = F.lit(True) if last else F.col("fill") >= int(self.dissolve * self.capacity)
-            out = out.unionByName(placed.filter(keep).drop("fill"))
-            if not last:
-                rest = placed.filter(~keep).drop("fill", "sequence_id", "offset")
-        return out
+        """pieces: a durable table from :func:`cut_pieces`. Their columns with sequence_id and offset."""
+        counts = durable(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+        places = pieces.sparkSession.sparkContext.broadcast(Places(self.search(counts)))
+        w = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+        before = counts.select("task", "length", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+        fields = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def _blocks(self, rest: DataFrame, round_no: int) -> DataFrame:
-        n = rest.count()
-        blocks = max(1, -(-n // self.block_pieces))
-        block = F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(round_no)), F.lit(blocks)).alias("block")
-        item = F.struct((-F.col("length")).alias("less"), "doc_id", "piece", "start", "length", "ids_crc32")
-        problems = rest.select(block, item.alias("item")).groupBy("block").agg(F.array_sort(F.collect_list("item")).alias("items"))
-        problems = durable(problems, f"blocks-{round_no}")
-        lengths = problems.select("block", F.transform("items", lambda x: x["length"].cast("int")).alias("lengths"))
-        state = lengths.select("block", F.explode(F.sequence(F.lit(0), F.lit(self.islands - 1))).alias("island"), "lengths", F.array().cast("array<binary>").alias("elites"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    found = places.value(b.column(3).to_numpy(), b.column(5).to_numpy())
+                    yield pa.RecordBatch.from_arrays([*b.columns[:5], *map(pa.array, found)], [*fields, "sequence_id", "offset"])
+
+        numbered = pieces.join(before, ["task", "length"]).select(*fields, (F.col("number") + F.col("before")).alias("number"))
+        return numbered.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+    def search(self, counts: DataFrame) -> Packing:
+        """The best packing found of pieces counted by length (rows of a length add up)."""
+        lengths = counts.groupBy("length").agg(F.sum("n").alias("n"))  # at most ``capacity`` rows
+        problem = lengths.agg(F.array_sort(F.collect_list(F.struct("length", "n"))).alias("lengths"))
+        state = problem.select(F.explode(F.sequence(F.lit(0), F.lit(self.islands - 1))).alias("island"), "lengths", F.array().cast("array<binary>").alias("elites"))
         for epoch in range(self.epochs):
-            state = durable(self._epoch(state.repartition(min(blocks * self.islands, 10_000), "block", "island"), epoch), f"epoch-{round_no}-{epoch}")
-            if epoch < self.epochs - 1:  # migration: the best of each island go to the next of its ring
-                gone = state.select("block", ((F.col("island") + 1) % self.islands).alias("island"), F.lit(None).cast("array<int>").alias("lengths"), "elites")
-                met = state.select("block", "island", "lengths", "elites").unionByName(gone)
-                state = met.groupBy("block", "island").agg(F.first("lengths", ignorenulls=True).alias("lengths"), F.flatten(F.collect_list("elites")).alias("elites"))
-        winner = state.groupBy("block").agg(F.max_by(F.col("elites")[0], F.struct("fitness", (-F.col("island")).alias("island"))).alias("best"))
-        return self._placed(problems.join(winner, "block"), round_no)
+            state = durable(self._epoch(state.repartition(self.islands, "island"), epoch), f"epoch-{epoch}")
+            if epoch < self.epochs - 1:  # migration: the best of each island go to the next of its ring, too
+                gone = state.select(((F.col("island") + 1) % self.islands).alias("island"), F.lit(None).cast(state.schema["lengths"].dataType).alias("lengths"), "elites")
+                met = state.select("island", "lengths", "elites").unionByName(gone)
+                state = met.groupBy("island").agg(F.first("lengths", ignorenulls=True).alias("lengths"), F.flatten(F.collect_list("elites")).alias("elites"))
+        best = state.agg(F.max_by(F.col("elites")[0], F.struct("fitness", (-F.col("island")).alias("island"))).alias("best")).first()["best"]
+        return Packing.unpacked(best or b"", self.capacity)
 
     def _epoch(self, state: DataFrame, epoch: int) -> DataFrame:
         capacity, population, generations, elites, seed = self.capacity, self.population, self.generations, self.elites, self.seed
+        pairs = pa.list_(pa.struct([("length", pa.int64()), ("n", pa.int64())]))
+        kind = pa.schema([("island", pa.int32()), ("lengths", pairs), ("elites", pa.list_(pa.binary())), ("fitness", pa.list_(pa.int64()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
                 for r in b.to_pylist():
-                    rng = np.random.default_rng([seed, epoch, r["island"], r["block"]])
-                    found = evolve(r["lengths"], capacity, list(dict.fromkeys(r["elites"]))[:population], rng, population, generations)[:elites]
-                    count, square = found[0].fitness()
-                    out.append({"block": r["block"], "island": r["island"], "lengths": r["lengths"], "elites": [p.packed() for p in found], "fitness": [count, square]})
+                    rng = np.random.default_rng([seed, epoch, r["island"]])
+                    pieces = {x["length"]: x["n"] for x in r["lengths"]}
+                    found = evolve(pieces, capacity, sorted(set(r["elites"]))[:population], rng, population, generations)[:elites]
+                    out.append(r | {"elites": [p.packed() for p in found], "fitness": list(found[0].fitness())})
                 yield pa.RecordBatch.from_pylist(out, kind)
 
-        kind = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("elites", pa.list_(pa.binary())), ("fitness", pa.list_(pa.int64()))])
-        return state.select("block", "island", "lengths", "elites").mapInArrow(run, "block long, island int, lengths array<int>, elites array<binary>, fitness array<long>")
-
-    def _placed(self, won: DataFrame, round_no: int) -> DataFrame:
-        capacity, fields = self.capacity, ["doc_id", "piece", "start", "length", "ids_crc32"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in b.to_pylist():
-                    items = r["items"]
-                    packing = Packing.unpacked(r["best"], [x["length"] for x in items], capacity)
-                    rows = []
-                    for k, (members, fill) in enumerate(zip(packing.bins, packing.fill)):
-                        at = 0
-                        for i in members:
-                            x = items[i]
-                            rows.append((*(x[f] for f in fields), (round_no << 56) | r["block"] << 16 | k, at, fill))
-                            at += x["length"]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], [*fields, "sequence_id", "offset", "fill"])
-
-        return won.select("items", "best", "block").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long")
+        return state.select("island", "lengths", "elites").mapInArrow(run, "island int, lengths array<struct<length: long, n: long>>, elites array<binary>, fitness array<long>")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, packer: IslandPacker | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,11 @@
+import bisect
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from granary.llm import packing
@@ -32,34 +36,93 @@ def check(docs, got, capacity=2048):
     return len(bins), -(-sum(r["length"] for r in got) // capacity)
 
 
-def test_small_table(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+def plain_best_fit(lengths, capacity):
+    """How many bins best fit decreasing needs, piece by piece."""
+    rooms, used = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        used += room == capacity
+        bisect.insort(rooms, room - n)
+    return used
+
+
+def hard(n, capacity, seed):
+    """Lengths that n full bins of three pieces can hold."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(capacity // 5, capacity // 2))
+        b = int(rng.integers(capacity // 5, min(capacity // 2, capacity - a - capacity // 5) + 1))
+        out += [a, b, capacity - a - b]
+    return out
+
+
+def test_never_worse_than_best_fit(spark, small):
+    docs = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet")
     got = packing.pack_documents(docs, PATH).collect()
     used, least = check(docs, got)
-    assert used <= least + 2
+    assert least <= used <= plain_best_fit([r["length"] for r in got], 2048)
 
 
 def test_odd_documents(odd_docs, no_docs):
-    packer = packing.IslandPacker(capacity=16, block_pieces=8)
-    check(odd_docs, packing.pack_documents(odd_docs, PATH, packer=packer).collect(), 16)
+    for capacity in (16, 2):
+        check(odd_docs, packing.pack_documents(odd_docs, PATH, packer=packing.IslandPacker(capacity=capacity)).collect(), capacity)
     assert packing.pack_documents(no_docs, PATH).count() == 0
 
 
-def test_search_beats_its_start():
-    rng = np.random.default_rng(3)
-    length = np.sort(rng.integers(300, 900, 400))[::-1].tolist()
-    start = packing.Packing(length, 1000)
-    start.best_fit(list(range(400)))
-    found = packing.evolve(length, 1000, [], np.random.default_rng(1), 6, 60)[0]
-    assert sorted(i for b in found.bins for i in b) == list(range(400)) and max(found.fill) <= 1000
-    assert found.fitness() >= start.fitness()
-    assert packing.Packing.unpacked(found.packed(), length, 1000).fill == found.fill
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_many_rows_of_one_id(spark, doc_id):
+    docs = spark.range(100_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.concat_ws(" ", F.sequence(F.lit(0), F.col("id") % 23)).alias("text"))
+    got = packing.pack_documents(docs, PATH).toPandas()
+    assert len(got) == 100_000
+    got = got.sort_values(["sequence_id", "offset"])
+    ends = got.groupby("sequence_id").length.cumsum()
+    assert (got.offset == ends - got.length).all() and ends.max() <= 2048
+    assert got.sequence_id.nunique() <= plain_best_fit(got.length.tolist(), 2048)
+
+
+@pytest.mark.parametrize(("n", "capacity"), [(60, 100), (200, 200), (1000, 2048)])
+def test_search_beats_best_fit(spark, n, capacity):
+    for seed in (1, 2):
+        lengths = hard(n, capacity, seed)
+        start = packing.best_fit_decreasing(Counter(lengths), capacity)
+        assert -start.fitness()[0] == plain_best_fit(lengths, capacity) and start.pieces() == Counter(lengths)
+        counts = spark.createDataFrame([(x, 1) for x in lengths], "length long, n long")
+        found = packing.IslandPacker(capacity=capacity).search(counts)
+        assert found.pieces() == Counter(lengths) and max(map(found.fill, found.bins)) <= capacity
+        assert n <= -found.fitness()[0] < -start.fitness()[0]
 
 
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(5)
-    length = rng.integers(1, 100, 60).tolist()
-    a, b = packing.evolve(length, 100, [], rng, 4, 0)[:2]
+    lengths = Counter(rng.integers(1, 100, 600).tolist())
+    a, b = packing.evolve(lengths, 100, [], rng, 4, 0)[:2]
     for _ in range(20):
-        child = a.crossed(b, rng).mutated(rng)
-        assert sorted(i for x in child.bins for i in x) == list(range(60)) and all(f == sum(length[i] for i in x) <= 100 for x, f in zip(child.bins, child.fill))
+        child = a.crossed(b, lengths, rng).mutated(rng)
+        assert child.pieces() == lengths and max(map(child.fill, child.bins)) <= 100
+        assert packing.Packing.unpacked(child.packed(), 100).bins == child.bins
+
+
+def test_size_does_not_grow_with_the_pieces():
+    rng = np.random.default_rng(6)
+    lengths = Counter(np.clip(rng.lognormal(5, 1, 100_000).astype(int), 1, 2048).tolist())
+    for times in (1, 1000):
+        found = packing.evolve({n: t * times for n, t in lengths.items()}, 2048, [], np.random.default_rng(1), 4, 20)
+        assert all(len(p.bins) < 8 * 2048 for p in found)
+
+
+def test_places_are_gapless():
+    lengths = Counter(hard(50, 64, 3))
+    p = packing.evolve(lengths, 64, [], np.random.default_rng(2), 4, 20)[0]
+    rows = [(n, k) for n, t in lengths.items() for k in range(t)]
+    sequence, offset = packing.Places(p)(*np.array(rows, np.int64).T)
+    held = {}
+    for (n, _), s, o in zip(rows, sequence.tolist(), offset.tolist()):
+        held.setdefault(s, []).append((o, n))
+    assert sorted(held) == list(range(-p.fitness()[0]))
+    for own in held.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= 64
