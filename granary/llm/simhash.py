@@ -10,22 +10,34 @@ segment untouched, and among the other three at least one with at most one diffe
 would hold two). That segment, padded to 23 bits, is decoded by the perfect binary Golay code: words at
 distance one share the index of a codeword nearby, where a word at distance three from its own
 codeword also takes the five codewords at distance four. So fingerprints that link share a key
-(exact segment, other segment's codeword), for one of 12 ordered pairs of segments.
+(exact segment, other segment's codeword), for one of 12 ordered pairs of segments. ``near_pairs`` takes
+codewords of both segments of a pair: then five differing bits always leave a shared key, and more often do.
 
 Work: exact copies collapse first (fingerprints are grouped, with partial sums), so keys, joins and
-components are over distinct fingerprints. Keys are dealt out by hash; each task sorts its keys and
-compares the fingerprints of a key in blocks, verifies the distance, and emits only a forest of the
-links it finds (a link that joins what is joined already in this task tells nothing new), so no task
-emits all pairs of a group. Components then come from rounds of star contraction over that forest, each
-round a shuffle whose result is written to the shared folder.
+components are over distinct fingerprints. Keys are dealt out by hash; a key with over ``block``
+fingerprints is dealt by pairs of parts, so that no cell compares more than about ``block`` with ``block``.
+Each task verifies the distance and emits only a forest of the links it finds (a link that joins what is
+joined already in this task tells nothing new), so no task emits all pairs of a group. Components then
+come from rounds of star contraction over that forest, each round a shuffle whose result is written to
+the shared folder. Rows whose fingerprint neither repeats nor links find nothing in the last join.
+
+:class:`NearCopies` is the setting for a corpus: texts are copies if their sets of five-word shingles have
+a Jaccard similarity of 0.8 or more. Fingerprints of two-word shingles (an edit changes fewer of them) bring
+candidates together by ``near_pairs``, within ``max_bits`` = 14; whatever is connected that way is one loose
+group. The shingle sets of a group's texts meet once (a large group in pairs of blocks), every pair is
+compared in full, and the links that hold make the components. No link is made without that comparison.
 
 Defined cases: null and empty texts have fingerprint zero and link with each other; texts of any length
-are read whole; repeated rows are repeated in the result; an empty table gives an empty result; other
+are read whole; repeated rows are repeated in the result; a row without doc_id belongs to its component
+like any other, and is its first only if all are without; an empty table gives an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,36 +51,42 @@ SEGMENTS, SEGMENT_BITS = 4, 16
 GOLAY = 0b101011100011
 
 
-def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit fingerprint of a text's UTF-8 bytes."""
+def shingle_hashes(raw: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of all runs of words of a text's UTF-8 bytes, repeats included."""
     words = raw.lower().split()
-    if not words:
-        return 0
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = [0, *(ends[:-shingle] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-shingle] + 1).tolist()]
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit fingerprint of a text's UTF-8 bytes."""
+    hashes = shingle_hashes(raw, shingle, seed)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; no shuffle."""
+def fingerprints(docs: DataFrame, *more: str, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and sig (a hash of the exact text) of every row; no shuffle."""
 
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            fp = np.array([fingerprint(x) for x in utf8(b.column(1))], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(x, shingle) for x in utf8(b.column(1))], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], ["doc_id", "fp", "sig"])
 
         return run
 
-    return arrow_map(texts(docs, id_col=id_col, text_col=text_col), make, "doc_id long, fp long")
+    return arrow_map(_signed(texts(docs, id_col=id_col, text_col=text_col)), make, "doc_id long, fp long, sig long")
+
+
+def _signed(base: DataFrame) -> DataFrame:
+    return base.withColumn("sig", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def _codewords() -> np.ndarray:
@@ -117,19 +135,21 @@ def golay_keys() -> tuple[np.ndarray, np.ndarray]:
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def candidate_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidate_keys(fp: np.ndarray, near_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Keys of distinct fingerprints (uint64), and the position of the fingerprint each belongs to."""
     if not _tables:
         _tables.append(golay_keys())
     keys, count = _tables[0]
     parts = [(fp >> np.uint64(SEGMENT_BITS * i)).astype(np.int64) & 0xFFFF for i in range(SEGMENTS)]
     out, owner = [], []
-    for exact in range(SEGMENTS):
+    for first in range(SEGMENTS):
         for near in range(SEGMENTS):
-            if near != exact:
-                head = (exact * SEGMENTS + near) << 28 | parts[exact] << 12
+            if near == first or near_pairs and near < first:
+                continue
+            for j in range(6 if near_pairs else 1):
+                head = (first * SEGMENTS + near) << 28 | (keys[parts[first], j].astype(np.int64) if near_pairs else parts[first]) << 12
                 for k in range(6):
-                    has = np.nonzero(count[parts[near]] > k)[0]
+                    has = np.nonzero((count[parts[near]] > k) & ((count[parts[first]] > j) | (not near_pairs)))[0]
                     out.append(head[has] | keys[parts[near][has], k].astype(np.int64))
                     owner.append(has)
     return np.concatenate(out), np.concatenate(owner)
@@ -155,74 +175,116 @@ class _Forest:
         return True
 
 
-def _links(fps: np.ndarray, forest: _Forest, max_bits: int, block: int = 1024):
-    """Verified links among the fingerprints of one key, in any order, that join something new.
+def _links(left: np.ndarray, right: np.ndarray, forest: _Forest, max_bits: int, step: int = 1024):
+    """Verified links between two sets of fingerprints (or within one), in any order, that join something new.
 
     Of a pair of blocks with many links, each fingerprint offers one link to another component at a time, so
     the components with links left at least halve in each round.
     """
-    for at in range(0, len(fps), block):
-        left = fps[at : at + block]
-        for to in range(at, len(fps), block):
-            right = fps[to : to + block]
-            i, j = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= max_bits)
-            apart = i < j if to == at else left[i] != right[j]
+    within = left is right
+    for at in range(0, len(left), step):
+        for to in range(at if within else 0, len(right), step):
+            a, b = left[at : at + step], right[to : to + step]
+            i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= max_bits)
+            apart = i < j if within and to == at else a[i] != b[j]
             i, j = i[apart], j[apart]
             while len(i):
-                few = len(i) <= block
+                few = len(i) <= step
                 some = np.arange(len(i)) if few else np.union1d(np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1])
-                for a, b in zip(left[i[some]].tolist(), right[j[some]].tolist()):
-                    if forest.join(a, b):
-                        yield min(a, b), max(a, b)
+                for x, y in zip(a[i[some]].tolist(), b[j[some]].tolist()):
+                    if forest.join(x, y):
+                        yield min(x, y), max(x, y)
                 if few:
                     break
-                of_left, of_right = (np.array([forest.root(x) for x in side.tolist()], np.uint64) for side in (left, right))
-                apart = of_left[i] != of_right[j]
+                of_a, of_b = (np.array([forest.root(x) for x in side.tolist()], np.uint64) for side in (a, b))
+                apart = of_a[i] != of_b[j]
                 i, j = i[apart], j[apart]
 
 
-def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
+def in_cells(rows: DataFrame, by: str, item: str, block: int) -> DataFrame:
+    """rows with columns lo, hi and own, dealt out by (by, lo, hi) and sorted so.
+
+    A value of ``by`` that over ``block`` rows have is cut into parts by the hash of ``item``; a row goes to the cells of
+    its part (own) with every part, so that every two rows meet, and none holds more than two parts. Others are one cell.
+    """
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > block)
+    large = durable(sizes.select(F.col(by).alias("large"), F.ceil(F.col("n_rows") / block).cast("int").alias("parts")), "large-groups")
+    n = large.count()
+    if n == 0:
+        cells = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0), "own": F.lit(0)})
+    else:
+        small = F.broadcast(large) if n <= 100_000 else large
+        cut = rows.join(small, rows[by] == large["large"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        cut = cut.withColumn("own", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
+        cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*rows.columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+    return cells.repartition(by, "lo", "hi").sortWithinPartitions(by, "lo", "hi")
+
+
+def _cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, int, dict[str, list]]]:
+    """The cells of a task one after another: lo, hi and the named columns, each a list of arrays. The first three columns are by, lo, hi."""
+    cell, held = None, {n: [] for n in names}
+    for b in batches:
+        key = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
+        edges = np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
+            if start == end:
+                continue
+            own = tuple(key[start].tolist())
+            if own != cell:
+                if cell is not None:
+                    yield cell[1], cell[2], held
+                cell, held = own, {n: [] for n in names}
+            for n in names:
+                held[n].append(b.column(b.schema.get_field_index(n)).slice(start, end - start))
+    if cell is not None:
+        yield cell[1], cell[2], held
+
+
+def _pairs(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[int, int]] = []
+
+    def batch():
+        x = np.array(rows, np.uint64).view(np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    for pair in found:
+        rows.append(pair)
+        if len(rows) == 10_000:
+            yield batch()
+            rows = []
+    if rows:
+        yield batch()
+
+
+def links(distinct: DataFrame, max_bits: int = 3, *, near_pairs: bool = False, block: int = 4096) -> DataFrame:
     """distinct: a table with one column fp, each once. a, b (a < b unsigned): links that span all links."""
 
     def make():
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             fp = b.column(0).to_numpy().view(np.uint64)
-            keys, owner = candidate_keys(fp)
+            keys, owner = candidate_keys(fp, near_pairs)
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[owner].view(np.int64))], ["key", "fp"])
 
         return run
 
-    def compare(batches):
-        forest, held_key, held = _Forest(), None, []
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
 
-        def close():
-            if len(held) > 1 or (held and len(held[0]) > 1):
-                yield from _links(np.concatenate(held), forest, max_bits)
-
-        for b in batches:
-            key, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-            edges = np.nonzero(np.diff(key))[0] + 1
-            found = []
-            for start, end in zip([0, *edges], [*edges, len(key)]):
-                if start == end:
+        def found():
+            for lo, hi, held in _cells(batches, ["own", "fp"]):
+                fp = np.concatenate([x.to_numpy() for x in held["fp"]]).view(np.uint64)
+                if len(fp) < 2:
                     continue
-                if held and key[start] != held_key:
-                    found.extend(close())
-                    held = []
-                held_key = key[start]
-                held.append(fp[start:end].copy())
-            if found:
-                yield _batch(found)
-        if held and (found := list(close())):
-            yield _batch(found)
-
-    def _batch(found):
-        x = np.array(found, np.uint64).view(np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+                if lo == hi:
+                    yield from _links(fp, fp, forest, max_bits)
+                else:
+                    left = np.concatenate([x.to_numpy() for x in held["own"]]) == lo
+                    yield from _links(fp[left], fp[~left], forest, max_bits)
+
+        yield from _pairs(found())
 
     keyed = arrow_map(distinct.select("fp"), make, "key long, fp long")
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return in_cells(keyed, "key", "fp", block).select("key", "lo", "hi", "own", "fp").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame, *, name: str = "component") -> DataFrame:
@@ -255,18 +317,126 @@ def components(edges: DataFrame, *, name: str = "component") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links, itself included) of every row."""
-    prints = durable(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    first = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    prints = durable(fingerprints(docs, id_col=id_col, text_col=text_col).drop("sig"), "fingerprints")
+    first = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = components(links(first, max_bits))
     # the smallest document of each component; only fingerprints that have a link are here
     rooted = roots.join(first.select(F.col("fp").alias("node"), "first"), "node")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = durable(rooted.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "component-of-fingerprint")
-    of_fp = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    # rows whose fingerprint neither repeats nor links are components of their own
+    of_fp = first.filter("n > 1").select("fp", "first").join(linked, "fp", "full").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(of_fp, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def similar_pairs(sets: list[np.ndarray], others: list[np.ndarray] | None, similarity: float, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs (of one list, or of one from each) whose Jaccard similarity reaches the bound; two empty sets are alike.
+
+    Overlaps are products of incidence matrices, taken a few columns at a time.
+    """
+    both = sets if others is None else [*sets, *others]
+    size = np.array([len(x) for x in both], np.int64)
+    owner = np.repeat(np.arange(len(both)), size)
+    _, code, times = np.unique(np.concatenate([*both, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    owner, code = owner[shared], code[shared]
+    by = np.argsort(code, kind="stable")
+    owner, code = owner[by], np.unique(code[by], return_inverse=True)[1]
+    split = len(sets) if others is not None else 0
+    overlap = np.zeros((len(sets), len(both) - split), np.float32)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, columns):
+        some = slice(*np.searchsorted(code, [at, at + columns]))
+        held = np.zeros((len(both), columns), np.float32)
+        held[owner[some], code[some] - at] = 1
+        overlap += held[: len(sets)] @ held[split:].T
+    union = size[: len(sets), None] + size[None, split:] - overlap
+    i, j = np.nonzero(overlap >= similarity * union - 1e-6)
+    if others is None:
+        i, j = i[i < j], j[i < j]
+    return i, j
+
+
+@dataclass
+class NearCopies:
+    """Texts whose shingle sets are alike; see the module's head."""
+
+    shingle: int = 5
+    similarity: float = 0.8
+    probe: int = 2
+    max_bits: int = 14
+    block: int = 1000
+
+    def components(self, docs: DataFrame) -> DataFrame:
+        """doc_id, sig (hash of the exact text), component_id (its smallest doc_id) and first (whether the row is the one that stands for it) of every row."""
+        prints = durable(fingerprints(docs, shingle=self.probe), "copy-fingerprints")
+        exact = durable(prints.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")), "exact-copies")
+        loose = components(links(exact.select("fp").distinct(), self.max_bits, near_pairs=True), name="loose")
+        grouped = exact.join(loose.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("group", F.coalesce("root", "fp")).drop("root")
+        several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+        members = durable(grouped.join(several, "group", "left_semi"), "loose-groups")
+        rooted = durable(components(self._links(docs, members), name="copies"), "roots")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("least")
+        of = exact.join(rooted.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        chosen = of.groupBy("root").agg(least, F.count(F.lit(1)).alias("n"))
+        # texts that stand for themselves alone need no row here
+        other = of.join(chosen.filter("n > 1"), "root").select("sig", F.col("least.doc_id").alias("least_id"), F.col("least.sig").alias("least_sig"))
+        repeated = prints.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("own")).filter("n > 1").select("sig", "own")
+        told = durable(repeated.join(other, "sig", "full").select("sig", F.coalesce("least_sig", "sig").alias("least_sig"), F.when(F.col("least_sig").isNull(), F.col("own")).otherwise(F.col("least_id")).alias("least_id"), F.lit(True).alias("told")), "first-of-copies")
+        own = prints.select("doc_id", "sig").join(told, "sig", "left")
+        is_first = F.col("told").isNull() | ((F.col("sig") == F.col("least_sig")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
+        return own.select("doc_id", "sig", F.when(F.col("told"), F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"), is_first.alias("first"))
+
+    def _links(self, docs: DataFrame, members: DataFrame) -> DataFrame:
+        """a, b: hashes of texts that are alike, of those of one loose group; links that span all links."""
+        shingle, similarity = self.shingle, self.similarity
+
+        def make():
+            def run(b: pa.RecordBatch) -> pa.RecordBatch:
+                sets = [np.unique(shingle_hashes(x, shingle)).tobytes() for x in utf8(b.column(2))]
+                return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["group", "sig", "set"])
+
+            return run
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forest = _Forest()
+
+            def found():
+                for lo, hi, held in _cells(batches, ["own", "sig", "set"]):
+                    sig = np.concatenate([x.to_numpy() for x in held["sig"]]).view(np.uint64)
+                    sets = [np.frombuffer(x, np.uint64) for part in held["set"] for x in part.to_pylist()]
+                    left = np.concatenate([x.to_numpy() for x in held["own"]]) == lo
+                    if lo == hi:
+                        a, b = sig, sig
+                        i, j = similar_pairs(sets, None, similarity)
+                    else:
+                        a, b = sig[left], sig[~left]
+                        i, j = similar_pairs([x for x, of in zip(sets, left) if of], [x for x, of in zip(sets, left) if not of], similarity)
+                    for x, y in zip(a[i].tolist(), b[j].tolist()):
+                        if forest.join(x, y):
+                            yield min(x, y), max(x, y)
+
+            yield from _pairs(found())
+
+        base = _signed(texts(docs))
+        wanted = members.select("group", "sig", F.col("doc_id").alias("own_id"))
+        # one row for each text; of its copies only those with its smallest doc_id come here
+        one = base.join(wanted, (base["sig"] == wanted["sig"]) & base["doc_id"].eqNullSafe(wanted["own_id"])).select("group", wanted["sig"], "text")
+        sets = arrow_map(one.groupBy("group", "sig").agg(F.first("text").alias("text")), make, "group long, sig long, set binary")
+        return in_cells(durable(sets, "shingle-sets"), "group", "sig", self.block).select("group", "lo", "hi", "own", "sig", "set").mapInArrow(compare, "a long, b long")
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs but those whose document is not the first of its component, with all columns. A row without doc_id stays."""
-    later = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component, with all its columns: the first. found: of :meth:`NearCopies.components`, over docs.
+
+    Of rows equal in doc_id and text, and so of the first's, one stays.
+    """
+    pairs = found.groupBy("doc_id", "sig").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n")).filter(~F.col("first") | (F.col("n") > 1))
+    told = pairs.select(F.col("doc_id").alias("told_id"), F.col("sig").alias("told_sig"), F.col("first").alias("told_first"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, they do not clash
+    own = docs.toDF(*names)
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    own = own.withColumns({"own_id": doc_id.cast("long"), "own_sig": F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))})
+    judged = own.join(told, own["own_id"].eqNullSafe(told["told_id"]) & (own["own_sig"] == told["told_sig"]), "left")
+    alone = judged.filter(F.col("told_first").isNull()).select(*names)
+    several = judged.filter("told_first").groupBy("own_id", "own_sig").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+    return alone.unionByName(several).toDF(*docs.columns)

@@ -44,8 +44,6 @@ def test_odd_documents(odd_docs, no_docs):
     want = brute_components([(r["doc_id"], brute_print(r["text"])) for r in odd_docs.collect()])
     got = S.near_duplicates(odd_docs).collect()
     assert sorted((str(r["doc_id"]), f"{r['fp'] % (1 << 64):016x}", r["component_id"]) for r in got) == want
-    kept = S.keep_first(odd_docs, S.near_duplicates(odd_docs))
-    assert kept.columns == odd_docs.columns and kept.filter("doc_id is null").count() == 1
     assert S.near_duplicates(no_docs).count() == 0
 
 
@@ -100,7 +98,7 @@ def test_links_of_a_key_with_many_fingerprints_in_any_order():
     fps = rng.permutation(np.unique(fps))
     assert len(fps) > 4 * 1024
     found, want = S._Forest(), S._Forest()
-    for a, b in S._links(fps, S._Forest(), 3):
+    for a, b in S._links(fps, fps, S._Forest(), 3):
         assert a < b and (a ^ b).bit_count() <= 3 and found.join(a, b)  # a forest: no link tells what is known
     for at, x in enumerate(fps):
         for y in fps[at + 1 :][np.bitwise_count(fps[at + 1 :] ^ x) <= 3].tolist():
@@ -108,6 +106,87 @@ def test_links_of_a_key_with_many_fingerprints_in_any_order():
     assert [found.root(x) for x in fps.tolist()] == [want.root(x) for x in fps.tolist()]
 
 
+def test_large_key_is_compared_in_cells(spark):
+    """50,000 fingerprints of one key: no cell holds more than two parts, and every link is found."""
+    rng = np.random.default_rng(8)
+    low = rng.choice(1 << 32, 50_000, replace=False).astype(np.uint64)
+    low[1::2] = low[::2] ^ (np.uint64(1) << rng.integers(0, 32, 25_000).astype(np.uint64))
+    fps = np.unique(low)
+    df = spark.createDataFrame([(x,) for x in fps.tolist()], "fp long")
+    cells = S.in_cells(df.withColumn("key", F.lit(1)), "key", "fp", 4096).groupBy("lo", "hi").count().collect()
+    assert len(cells) == 13 * 14 // 2 and max(r["count"] for r in cells) < 2.2 * 4096
+    found = S._Forest()
+    for a, b in map(tuple, S.links(df).collect()):
+        assert (a ^ b).bit_count() <= 3
+        found.join(a, b)
+    assert all(found.root(a) == found.root(b) for a, b in zip(low[::2].tolist(), low[1::2].tolist()))
+
+
+def jaccard(a, b):
+    a, b = (set(S.shingle_hashes(x.encode(), 5).tolist()) for x in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_pairs():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.choice(60, int(rng.integers(0, 60)), replace=False).astype(np.uint64)) for _ in range(60)] + [np.arange(50, dtype=np.uint64)] * 2
+    like = lambda x, y: 1.0 if not len(x) and not len(y) else len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    i, j = S.similar_pairs(sets, None, 0.6, columns=7)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for b in range(62) for a in range(b) if like(sets[a], sets[b]) >= 0.6}
+    i, j = S.similar_pairs(sets[:30], sets[30:], 0.6, columns=7)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(30) for b in range(32) if like(sets[a], sets[30 + b]) >= 0.6}
+
+
+def planted(rng, n):
+    """Texts, and copies of them with some words changed, so that similarities lie on both sides of 0.8."""
+    words = [f"{a}{b}" for a in "ka lo mi tu re san dor vel".split() for b in "na po qui ster lun far gom ble".split()]
+    out = []
+    for _ in range(n):
+        text = rng.choice(words, int(rng.integers(80, 400))).tolist()
+        out.append(" ".join(text))
+        for _ in range(int(rng.integers(0, 4))):
+            own = list(text)
+            for at in rng.integers(0, len(own), int(rng.uniform(0, 0.06) * len(own))):
+                own[at] = f"x{rng.integers(1000)}"
+            out.append(" ".join(own))
+    return out
+
+
+def test_near_copies_against_brute_force(spark):
+    """Every link is a pair of similarity 0.8 or more, and nearly all such pairs are found (the recall that the README gives)."""
+    texts = planted(np.random.default_rng(10), 250)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [np.unique(S.shingle_hashes(x.encode(), 5)) for x in texts]
+    want = set(zip(*(x.tolist() for x in S.similar_pairs(sets, None, 0.8))))
+    assert len(want) > 100 and all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in list(want)[:50])
+    up = S._Forest()
+    for a, b in want:
+        up.join(a, b)
+    for block in (1000, 3):
+        got = {r["doc_id"]: r["component_id"] for r in S.NearCopies(block=block).components(df).collect()}
+        assert len(got) == len(texts) and all(up.root(i) == up.root(c) for i, c in got.items())  # nothing joined that is not alike
+        assert sum(got[a] == got[b] for a, b in want) >= 0.9 * len(want)
+
+
+def test_one_row_of_each_component_stays(spark, odd_docs, no_docs):
+    found = S.NearCopies().components(odd_docs)
+    rows = odd_docs.collect()
+    assert found.count() == len(rows)
+    kept = S.keep_first(odd_docs, found)
+    assert kept.columns == odd_docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    texts = {r["text"] or "" for r in rows}
+    assert len(got) == len(set(got)) and {t or "" for _, t in got} <= texts
+    assert {t for _, t in got if t and t.split()} >= {"a", "one two three", "another text", "no id"} and sum(not (t or "").split() for _, t in got) == 1
+    assert S.keep_first(no_docs, S.NearCopies().components(no_docs)).count() == 0
+    # repeated rows, rows without id, and a doc_id that repeats with another text
+    same = [(1, "p q r s t u v")] * 3 + [(None, "lone text here")] * 3 + [(None, "p q r s t u v")] + [(2, "first of two"), (2, "p q r s t u v"), (9, "p q r s t u v")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in same], "doc_id long, text string, `a.b` string")
+    kept = S.keep_first(df, S.NearCopies().components(df))
+    assert kept.columns == df.columns
+    assert sorted(((r[0] or 0), r[1]) for r in kept.collect()) == [(0, "lone text here"), (1, "p q r s t u v"), (2, "first of two")]
+
+
 def test_components_of_a_chain(spark):
     n = 200
     edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).orderBy(F.rand(1))
