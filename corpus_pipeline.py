@@ -33,8 +33,8 @@ def drop_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With one document of each group of near copies: the one with the smallest doc_id."""
-    return simhash.keep_first(docs, simhash.near_duplicates(docs))
+    """With one document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
+    return simhash.keep_first(docs, simhash.NearCopies().components(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
