@@ -3,27 +3,31 @@
 Texts are UTF-8 bytes; "earlier" is a smaller doc_id, or an earlier start in the same text. All strings
 are judged on the input.
 
-1. *Anchors.* Of the 50-byte strings inside each 100-byte window the one with the least hash is its
-   anchor (about one in 25 positions is one). Equal windows have equal anchors at equal places, so
-   windows need to be compared only around anchors that occur twice or more. Of the occurrences that a
-   task reads together only one travels to meet the anchor's others, so a common anchor is no hot key.
-2. *Contexts.* Around each repeated anchor, 50 bytes before and 100 from its start hold every window
-   that has it. Equal contexts (told apart by a 64-bit hash under the same 64-bit anchor) are aggregated
-   to their first occurrence; bytes are only fetched for anchors that have different contexts.
-3. *Suffix arrays.* The contexts of an anchor are cut into blocks where any two of them begin to differ,
-   each block becomes a symbol, and a suffix array over the symbol strings is built by linear grouping:
-   suffixes are grouped by their Lyndon prefix; groups are processed in descending order, each moving
-   the suffixes that its previous-smaller pointers name into new groups; a single pass then emits each
-   group's order. With its LCP array, a scan finds for each suffix the longest match with an earlier
-   occurrence, and so the windows to remove. Anchors with over MOST_CONTEXTS contexts go another exact
-   way: their windows are compared one by one, by partial minima and a join that may be split.
-4. *Removal.* An occurrence that is not the first of its context loses the whole context, the first one
-   loses what step 3 found. Texts are dealt out once (by doc_id, those with repeated anchors only).
+1. *Anchors* bring together what can be equal. Of the 24-byte strings inside each 100-byte window the one
+   with the least hash is its anchor (about one in 38 positions is one). Equal windows have equal anchors at
+   equal places, so windows need to be compared only around anchors that occur twice or more. Around an
+   anchor, 76 bytes before and 100 from its start are its context: they hold every window that has it.
+   Contexts that are equal (under two independent 64-bit hashes, of anchor and context) collapse to their
+   first occurrence and the knowledge that others follow. Of equal contexts that a task reads together
+   only the first travels to meet the anchor's others, so a common passage is no hot key.
+2. *Suffix arrays* decide what goes. The contexts of an anchor, each once as its first occurrence and once
+   more for those that follow, are cut into blocks where any two of them begin to differ; each block becomes
+   a symbol, and a suffix array over the symbol strings of many anchors is built by linear grouping: suffixes
+   are grouped by their Lyndon prefix; groups are processed in descending order, each moving the suffixes
+   that its previous-smaller pointers name into new groups; a single pass then emits each group's order. With
+   its LCP array, a scan finds for each suffix the longest match with an earlier occurrence, and so the
+   stretches that first occurrences and later ones lose. Nothing is removed but by this.
+3. *Removal.* The stretches go to all occurrences by a join on (anchor, context), and meet by document. Texts
+   are dealt out once, those with repeated anchors only.
+
+An anchor with over MOST_CONTEXTS different contexts is dealt by window: each window is a context of its
+own, collapsed by partial minima, and judged by the same suffix arrays. So no task holds more than
+MOST_CONTEXTS contexts of an anchor.
 
 Defined cases: a null text is empty; texts under 100 bytes stay whole; texts of any length are read
 whole, in overlapping stretches; a repeated row (equal doc_id and text) counts as one document and is
-returned as often as it came; rows with equal doc_id and different text are ordered by a hash of the
-text; a null doc_id sorts before all others; an empty table gives an empty result; other columns are
+returned as often as it came; rows with equal doc_id (or none) and different text are ordered by a hash of
+the text; a null doc_id sorts before all others; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -39,18 +43,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import durable, texts
-from granary.llm.url_filters import BloomCascade, passes
+from granary.llm.url_filters import Filter, filter_level
 
 WINDOW = 100
-GRAM = 50
+GRAM = 24
 LEFT = WINDOW - GRAM
 #: Bytes hashed at once, few enough for a processor's cache; longer texts are read in stretches that overlap by a window.
 STRETCH = 1 << 15
-#: Contexts that one anchor may have to be compared in one task; beyond, its windows are compared by aggregation.
-MOST_CONTEXTS = 100_000
+#: Different contexts of one anchor that are compared with each other; with more, its windows are.
+MOST_CONTEXTS = 10_000
 _LOW = np.uint64((1 << 20) - 1)
 #: Contexts compared at once, unless one anchor has more.
 CHUNK = 20_000
+#: Anchors of texts read together.
+TOGETHER = 1_000_000
 NO_ID = -(1 << 63)
 
 _P = 0x9E3779B97F4A7C15
@@ -291,10 +297,10 @@ def _symbols(group, order, shared, reach, side_no):
     return order[owner], depth, width[cut_no], code
 
 
-def removable(group: np.ndarray, rank: np.ndarray, lefts: np.ndarray, left_len: np.ndarray, rights: np.ndarray, right_len: np.ndarray) -> list[tuple[int, int, int]]:
-    """(context, from, to) around the anchor's start: what each context shares with earlier ones of its group, windows of 100 bytes at least.
+def _strings(group: np.ndarray, rank: np.ndarray, lefts: np.ndarray, left_len: np.ndarray, rights: np.ndarray, right_len: np.ndarray) -> tuple[list, list, list, list, list]:
+    """Contexts as strings of symbols, one after another, each closed by the symbol 1: symbols, where each begins and ends (seen from the anchor), rank and context of each.
 
-    group: number of each context's anchor; rank: order of first occurrences. lefts: bytes before the
+    group: number of each context's anchor; rank: order of occurrences. lefts: bytes before the
     anchor, nearest first; rights: bytes from its start.
     """
     n = len(group)
@@ -304,8 +310,9 @@ def removable(group: np.ndarray, rank: np.ndarray, lefts: np.ndarray, left_len:
     for order, shared, reach in ((lo, ls, reach_l), (ro, rs, reach_r)):
         reach[order] = np.maximum(np.maximum(shared, np.append(shared[1:], -1)), 0)
     active = reach_l + reach_r >= WINDOW
+    s, starts, ends, ranks, owner = [], [], [], [], []
     if not active.any():
-        return []
+        return s, starts, ends, ranks, owner
     left = _symbols(group, lo, ls, np.where(active, reach_l, 0), 0)
     right = _symbols(group, ro, rs, np.where(active, reach_r, 0), 1)
     context = np.concatenate([left[0], right[0]])
@@ -315,9 +322,8 @@ def removable(group: np.ndarray, rank: np.ndarray, lefts: np.ndarray, left_len:
     by = np.lexsort([place, context])
     context, place, width, code = context[by], place[by], width[by], code[by] + 2
     border = np.append(np.nonzero(np.diff(context))[0] + 1, len(context))
-    s, starts, ends, ranks, owner = [], [], [], [], []
     begin = 0
-    for end in border.tolist():  # contexts one after another, each closed by a separator
+    for end in border.tolist():
         c = int(context[begin])
         s += code[begin:end].tolist()
         starts += place[begin:end].tolist()
@@ -328,11 +334,14 @@ def removable(group: np.ndarray, rank: np.ndarray, lefts: np.ndarray, left_len:
         starts.append(0)
         ends.append(0)
         begin = end
-    s.append(0)
-    ranks.append(-1)
+    return s, starts, ends, ranks, owner
+
+
+def matched(s: list[int], starts: list[int], ends: list[int], ranks: list[int], owner: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(context, from, to): what each context shares with earlier ones, windows of 100 bytes at least. s: strings that end with 1."""
+    s, ranks = [*s, 0], [*ranks, -1]
     sa = suffix_array(s)
     shared = earlier_matches(sa, common_prefixes(s, sa), ranks)
-    out = []
     left_of = 0
     for i in range(len(s) - 2, -1, -1):
         if s[i] == 1:
@@ -341,148 +350,208 @@ def removable(group: np.ndarray, rank: np.ndarray, lefts: np.ndarray, left_len:
         left_of += 1
         blocks = min(shared[i], left_of)
         if blocks and (to := ends[i + blocks - 1]) - starts[i] >= WINDOW:
-            out.append((owner[i], starts[i], to))
-    return out
+            yield owner[i], starts[i], to
 
 
-def _text_hash(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw) - (1 << 63)
+_ANCHOR = "h long, ctx long, doc_id long, text_hash long, at int, flags byte"
+_OCCURRENCE = "h long, ctx long, doc_id long, text_hash long, at int, later boolean, copies boolean, dense boolean"
+_CONTEXT = "h long, ctx long, left int, context binary, doc_id long, text_hash long, at int, copies boolean, dense boolean"
+_VERDICT = "h long, ctx long, later boolean, a int, z int"
+_JUDGED = "doc_id long, text_hash long, cuts array<long>, kept_sha256 string, n_removed long"
 
 
-def _occurrences(raw: bytes, h: np.ndarray, p: np.ndarray, wanted: np.ndarray):
-    """(hash, context key, position, left, seen before in this text) of the wanted anchors of a text."""
-    keep = np.isin(h, wanted)
-    seen = set()
-    digest = xxhash.xxh64_intdigest
-    for x, at in zip(h[keep].view(np.int64).tolist(), p[keep].tolist()):
-        left = min(at, LEFT)
-        key = digest(raw[at - left : at + WINDOW], left) - (1 << 63)
-        yield x, key, at, left, (x, key) in seen
-        seen.add((x, key))
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: whether each is the first with its keys, and the number of its run."""
+    first = np.ones(len(keys[0]), bool)
+    if len(first) > 1:
+        first[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return first, np.cumsum(first) - 1
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of texts, each once a text. state 0: alone among the texts read together; 2: the first of several there; 1: the others.
+    """The anchors of texts with the hash of their context.
 
-    Those of state 1 are known to be repeated: they need not meet the anchor's other occurrences.
+    flags: 1: not the first of its context among the texts read together (so it need not meet the anchor's
+    others); otherwise 2: the anchor has others there, and 4: so has the context.
     """
 
-    def judged(hashes, owners, twice):
-        h, d, t = np.concatenate(hashes), np.concatenate(owners), np.concatenate(twice)
-        by = np.argsort(h, kind="stable")
-        h, d, t = h[by], d[by], t[by]
-        first = np.append(True, h[1:] != h[:-1])
-        run = np.cumsum(first) - 1
-        several = (np.bincount(run) > 1) | (np.bincount(run, t) > 0)
-        state = np.where(several[run], np.where(first, 2, 1), 0).astype(np.int8)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(d), pa.array(state)], ["h", "doc_id", "state"])
-
-    hashes, owners, twice, size = [], [], [], 0
+    def close(held):
+        h, ctx, doc, text, at = (np.concatenate(x) for x in zip(*held))
+        by = np.lexsort((at, text, doc, ctx, h))
+        rows = [x[by] for x in (h, ctx, doc, text, at)]
+        once, _ = _runs(*rows)  # a repeated row counts once
+        h, ctx, doc, text, at = (x[once] for x in rows)
+        _, of_h = _runs(h)
+        first, of_ctx = _runs(h, ctx)
+        flags = np.where(first, 2 * (np.bincount(of_h)[of_h] > 1) + 4 * (np.bincount(of_ctx)[of_ctx] > 1), 1)
+        return _batch(_ANCHOR, h, ctx, doc, text, at, flags.astype(np.int8))
+
+    held, size, digest = [], 0, xxhash.xxh3_64_intdigest
     for b in batches:
-        for at in range(0, b.num_rows, 1024):
-            ids = b.column(0)[at : at + 1024].to_numpy()
-            for k, h, _ in anchors([x or b"" for x in b.column(1)[at : at + 1024].cast(pa.binary()).to_pylist()]):
-                u, n = np.unique(h, return_counts=True)
-                hashes.append(u)
-                owners.append(np.full(len(u), ids[k]))
-                twice.append(n > 1)
-                size += len(u)
-            if size > 1_500_000:
-                yield judged(hashes, owners, twice)
-                hashes, owners, twice, size = [], [], [], 0
-    if size:
-        yield judged(hashes, owners, twice)
-
-
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h those whose anchor is repeated."""
-    held: list[np.ndarray] = []
-
-    def told(h, d, state):
-        own = state != 1
-        run = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
-        repeated = (np.bincount(run, own) > 1) | (np.bincount(run, state == 2) > 0)
-        keep = repeated[run] | ~own
-        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(d[keep])], ["h", "doc_id"])
+        for start in range(0, b.num_rows, 1024):
+            ids, hashes = (b.column(k)[start : start + 1024].to_numpy() for k in (0, 2))
+            raws = [x or b"" for x in b.column(1)[start : start + 1024].cast(pa.binary()).to_pylist()]
+            for k, h, p in anchors(raws):
+                raw = raws[k]
+                left = np.minimum(p, LEFT)
+                ctx = np.array([digest(raw[a:z], n) for a, z, n in zip((p - left).tolist(), (p + WINDOW).tolist(), left.tolist())], np.uint64)
+                held.append((h.view(np.int64), ctx.view(np.int64), np.full(len(p), ids[k]), np.full(len(p), hashes[k]), p.astype(np.int32)))
+                size += len(p)
+            if size > TOGETHER:
+                yield close(held)
+                held, size = [], 0
+    if held:
+        yield close(held)
+    pa.default_memory_pool().release_unused()
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of anchors sorted by (h, ctx) those that are repeated: whether they follow others of their context, whether others follow, and whether the anchor has too many contexts."""
+    dense_h: int | None = None
+
+    def told(x):
+        by = np.lexsort((x[4], x[3], x[2], x[1], x[0]))
+        x = [c[by] for c in x]
+        first, run = _runs(*x[:5])
+        flags = np.zeros(run[-1] + 1 if len(run) else 0, np.int64)
+        np.bitwise_or.at(flags, run, x[5].astype(np.int64))  # the same row may have been read twice
+        h, ctx, doc, text, at = (c[first] for c in x[:5])
+        begins, of_h = _runs(h)
+        new, of_ctx = _runs(h, ctx)
+        n = np.bincount(of_h)
+        repeated = (n > 1) | (np.bincount(of_h, flags & 2) > 0)
+        dense = np.bincount(of_h, new) > MOST_CONTEXTS
+        if dense_h is not None:
+            repeated |= h[begins] == dense_h
+            dense |= h[begins] == dense_h
+        copies = (np.bincount(of_ctx) > 1) | (np.bincount(of_ctx, flags & 4) > 0)
+        keep = repeated[of_h]
+        return _batch(_OCCURRENCE, *(c[keep] for c in (h, ctx, doc, text, at, ~new, copies[of_ctx], dense[of_h])))
 
+    held: list[np.ndarray] = []
     for b in batches:
         x = [c.to_numpy() for c in b.columns]
+        follows = x[5] == 1
+        if follows.any():
+            yes = np.ones(int(follows.sum()), bool)
+            yield _batch(_OCCURRENCE, *(c[follows] for c in x[:5]), yes, yes, ~yes)
+            x = [c[~follows] for c in x]
         if held:
             x = [np.concatenate(pair) for pair in zip(held, x)]
+        if not len(x[0]):
+            continue
         cut = int(np.searchsorted(x[0], x[0][-1]))  # the last anchor may go on: it waits
+        if len(x[0]) - cut > 2 * MOST_CONTEXTS:
+            last = cut + int(np.searchsorted(x[1][cut:], x[1][-1]))
+            if last - cut > MOST_CONTEXTS:  # too many to wait: only its last context does
+                dense_h, cut = int(x[0][-1]), last
         held = [c[cut:] for c in x]
         if cut:
-            yield told(*(c[:cut] for c in x))
-    if held:
-        yield told(*held)
-
-
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contexts of repeated anchors by key, each once a text."""
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            ids, wanted = part.column(0).to_pylist(), part.column(2).to_pylist()
-            raws = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-            rows = []
-            for k, h, p in anchors(raws):
-                own = _text_hash(raws[k])
-                rows += [(x, key, ids[k], own, pos) for x, key, pos, _, seen in _occurrences(raws[k], h, p, np.array(wanted[k], np.int64).view(np.uint64)) if not seen]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows)], ["h", "key", "doc_id", "text_hash", "at"])
-
-
-_CONTEXT = "h long, left int, context binary, doc_id long, text_hash long, at long, many boolean"
+            yield told([c[:cut] for c in x])
+    if held and len(held[0]):
+        yield told(held)
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around given places of texts."""
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    """The bytes around given places of texts. Of equal rows that follow each other one is enough."""
+    last = None
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            rows = []
-            for doc_id, text, places in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()):
-                raw = text or b""
-                own = _text_hash(raw)
-                for x in places:
-                    if x["text_hash"] == own:
-                        pos, left = x["at"], min(x["at"], LEFT)
-                        rows.append((x["h"], left, raw[pos - left : pos + WINDOW], doc_id, own, pos, x["many"]))
-            rows = list(dict.fromkeys(rows))  # a repeated row has the same places
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], ["h", "left", "context", "doc_id", "text_hash", "at", "many"])
+        for start in range(0, b.num_rows, 256):
+            part = b.slice(start, 256)
+            doc, text, raws = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).cast(pa.binary()).to_pylist()
+            places, n = part.column(3).flatten(), part.column(3).value_lengths().to_numpy().copy()
+            for k, key in enumerate(zip(doc.tolist(), text.tolist())):
+                if key == last:
+                    n[k] *= -1
+                last = key
+            owner = np.repeat(np.arange(len(n)), np.abs(n))
+            new = (n > 0)[owner]
+            at, h, ctx, copies, dense = (places.field(c).to_numpy(zero_copy_only=False)[new] for c in ("at", "h", "ctx", "copies", "dense"))
+            owner = owner[new]
+            left = np.minimum(at, LEFT).astype(np.int32)
+            context = [raws[k][p - m : p + WINDOW] for k, p, m in zip(owner.tolist(), at.tolist(), left.tolist())]
+            yield _batch(_CONTEXT, h, ctx, left, pa.array(context, pa.binary()), doc[owner], text[owner], at, copies, dense)
+
+
+def judged_contexts(h, ctx, left, context: list[bytes], doc, text, at, copies) -> pa.RecordBatch:
+    """What the contexts of whole anchors lose, as first occurrences and as later ones."""
+    by = np.lexsort((at, text, doc, ctx, h))
+    once, _ = _runs(h[by], ctx[by])
+    by = by[once]  # a context may have come twice
+    h, ctx, left, doc, text, at, copies = (x[by] for x in (h, ctx, left, doc, text, at, copies))
+    context = [context[i] for i in by.tolist()]
+    n = len(h)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((at, text, doc))] = np.arange(n)
+    _, group = _runs(h)
+    several = np.bincount(group)[group] > 1
+    # those that follow are contexts of their own, after all first ones
+    some = np.nonzero(several)[0]
+    rows = np.concatenate([some, some[copies[some]]])
+    ranks = np.concatenate([rank[some], n + rank[some[copies[some]]]])
+    follows = np.arange(len(rows)) >= len(some)
+    llen = left[rows].astype(np.int64)
+    held = [context[i] for i in rows.tolist()]
+    rlen = np.array([len(c) for c in held], np.int64) - llen
+    lefts = np.frombuffer(b"".join(c[:m][::-1].ljust(LEFT, b"\0") for c, m in zip(held, llen.tolist())), np.uint8).reshape(-1, LEFT)
+    rights = np.frombuffer(b"".join(c[m:].ljust(WINDOW, b"\0") for c, m in zip(held, llen.tolist())), np.uint8).reshape(-1, WINDOW)
+    s, starts, ends, of_rank, owner = _strings(group[rows], ranks, lefts, llen, rights, rlen) if len(rows) else ([], [], [], [], [])
+    # a lone context differs from no other: it is one block, first occurrence and those that follow
+    lone = np.nonzero(~several & copies)[0].tolist()
+    symbol, place = max(s, default=1) + 1, len(rows)
+    for k, i in enumerate(lone):
+        a, z = -int(left[i]), len(context[i]) - int(left[i])
+        s += [symbol + k, 1, symbol + k, 1]
+        starts += [a, 0, a, 0]
+        ends += [z, 0, z, 0]
+        of_rank += [int(rank[i])] * 2 + [n + int(rank[i])] * 2
+        owner += [place + 2 * k] * 2 + [place + 2 * k + 1] * 2
+    rows = np.concatenate([rows, np.repeat(np.array(lone, np.int64), 2)])
+    follows = np.concatenate([follows, np.tile([False, True], len(lone))])
+    lost: dict[int, list[tuple[int, int]]] = {}
+    for i, a, z in matched(s, starts, ends, of_rank, owner):
+        lost.setdefault(i, []).append((a, z))
+    found = [(i, a, z) for i, spans in lost.items() for a, z in _union(spans)]
+    i, a, z = np.array(found, np.int64).reshape(-1, 3).T
+    return _batch(_VERDICT, h[rows[i]], ctx[rows[i]], follows[i].astype(bool), a.astype(np.int32), z.astype(np.int32))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h: those contexts of which earlier ones cover something, with the stretches."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-
-    def judged(rows: list[tuple]) -> pa.RecordBatch:
-        spans: list[list[int]] = [[] for _ in rows]
-        h = np.array([r[0] for r in rows], np.int64)
-        group = np.cumsum(np.append(0, np.diff(h) != 0))
-        several = np.nonzero(np.bincount(group)[group] > 1)[0]
-        if len(several):
-            own = [rows[i] for i in several]
-            rank = np.empty(len(own), np.int64)
-            rank[sorted(range(len(own)), key=lambda i: own[i][3:6])] = np.arange(len(own))
-            llen = np.array([r[1] for r in own], np.int64)
-            rlen = np.array([len(r[2]) for r in own], np.int64) - llen
-            lefts = np.frombuffer(b"".join(r[2][: r[1]][::-1].ljust(LEFT, b"\0") for r in own), np.uint8).reshape(-1, LEFT)
-            rights = np.frombuffer(b"".join(r[2][r[1] :].ljust(WINDOW, b"\0") for r in own), np.uint8).reshape(-1, WINDOW)
-            for c, a, z in removable(group[several], rank, lefts, llen, rights, rlen):
-                spans[several[c]] += [a, z]
-        out = [(*r[3:6], x) for r, x in zip(rows, spans) if x]
-        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out) if out else ([],) * 4, kinds)], ["doc_id", "text_hash", "at", "spans"])
-
-    held: list[tuple] = []
+    """Rows of contexts sorted by h: what they lose."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def judged(parts):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        x = [t.column(c).to_numpy() for c in ("h", "ctx", "left", "doc_id", "text_hash", "at", "copies")]
+        return judged_contexts(*x[:3], t.column("context").to_pylist(), *x[3:])
+
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if len(held) >= CHUNK and row[0] != held[-1][0]:
+        h = b.column(0).to_numpy()
+        start = 0
+        if held:  # the anchor that the rows before end with may go on
+            same = int(np.searchsorted(h, held[-1].column(0)[-1].as_py(), side="right"))
+            held.append(b.slice(0, same))
+            size += same
+            start = same
+            if same == len(h):
+                continue
+            if size >= CHUNK:
                 yield judged(held)
-                held = []
-            held.append(row)
+                held, size = [], 0
+        while len(h) - start >= CHUNK:
+            end = int(np.searchsorted(h, h[start + CHUNK - 1], side="right"))
+            if end == len(h):
+                break
+            yield judged([*held, b.slice(start, end - start)])
+            held, size, start = [], 0, end
+        if start < len(h):
+            held.append(b.slice(start))
+            size += len(h) - start
     if held:
         yield judged(held)
 
@@ -497,103 +566,94 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def _removed(raw: bytes, found, wanted, firsts, spans) -> list[tuple[int, int]]:
-    """The stretches to remove from a text. found: its anchors; wanted: the repeated ones; firsts: places that hold a context's first occurrence; spans: what these lose."""
-    out = []
-    for _, _, at, left, seen in _occurrences(raw, *found, np.array(wanted, np.int64).view(np.uint64)):
-        if not seen and at in firsts:
-            own = spans.get(at, ())
-            out += [(at + a, at + z) for a, z in zip(own[::2], own[1::2])]
-        else:
-            end = min(len(raw), at + WINDOW)
-            if end - (at - left) >= WINDOW:
-                out.append((at - left, end))
-    return _union(out)
-
-
 def _kept(raw: bytes, cuts: list[int]) -> bytes:
     return b"".join(raw[a:z] for a, z in zip([0, *cuts[1::2]], [*cuts[::2], len(raw)]))
 
 
-_JUDGED = "doc_id long, text_hash long, cuts array<long>, kept_sha256 string, n_removed long"
-
-
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64()]
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            ids, _, wanted, firsts, spans = (c.to_pylist() for c in part.columns)
-            raws = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
+        for start in range(0, b.num_rows, 256):
+            part = b.slice(start, 256)
             rows = []
-            for k, h, p in anchors(raws):
-                own = _text_hash(raws[k])
-                first = {f["at"] for f in firsts[k] or () if f["text_hash"] == own}
-                lost: dict[int, list[int]] = {}
-                for f in spans[k] or ():
-                    if f["text_hash"] == own:
-                        lost.setdefault(f["at"], []).extend(f["spans"])
-                cuts = [x for pair in _removed(raws[k], (h, p), wanted[k], first, lost) for x in pair]
-                if cuts:
-                    kept = _kept(raws[k], cuts)
-                    rows.append((ids[k], own, cuts, hashlib.sha256(kept).hexdigest(), len(raws[k]) - len(kept)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], ["doc_id", "text_hash", "cuts", "kept_sha256", "n_removed"])
-
-
-def _among(base: DataFrame, wanted: DataFrame, most_words: int = 1 << 20) -> DataFrame:
-    """base without most of the documents that ``wanted`` lacks: by a Bloom filter of checked size, so that texts not needed stay where they are."""
-    n, words = wanted.count(), 1
-    while words * 64 < 10 * n:
-        words *= 2
-    if n == 0 or words > most_words:
-        return base
-    bits = BloomCascade(hashes=3)._filter(wanted.select(F.col("doc_id").cast("string").alias("key")), 0, words)
-    with_bits = base.withColumn("bits", bits.scalar())
-    return with_bits.filter(passes(F.col("doc_id").cast("string"), 0, 3, words, F.col("bits"))).select(base.columns)
+            spans, ends = part.column(3).flatten(), np.cumsum(part.column(3).value_lengths().to_numpy())
+            a, z = (spans.field(c).to_numpy() for c in ("a", "z"))
+            for raw, end, n in zip(part.column(2).cast(pa.binary()).to_pylist(), ends.tolist(), part.column(3).value_lengths().to_pylist()):
+                by = np.argsort(a[end - n : end], kind="stable")
+                x, y = a[end - n : end][by], np.maximum.accumulate(z[end - n : end][by])
+                new = np.append(True, x[1:] > y[:-1])
+                cuts = np.stack([x[new], y[np.append(new[1:], True)]], 1).ravel().tolist()
+                kept = _kept(raw or b"", cuts)
+                rows.append((cuts, hashlib.sha256(kept).hexdigest(), len(raw or b"") - len(kept)))
+            cuts, sha, removed = zip(*rows)
+            yield _batch(_JUDGED, part.column(0), part.column(1), pa.array(cuts, pa.list_(pa.int64())), pa.array(sha), pa.array(removed, pa.int64()))
+
+
+def _among(base: DataFrame, wanted: DataFrame, most_words: int = 1 << 22) -> DataFrame:
+    """base without most of the documents that ``wanted`` lacks, so that texts not needed stay where they are.
+
+    By a Bloom filter of ten bits a document, of 32 MB at most: with very many documents it lets more of the others pass.
+    """
+    key = lambda: F.concat_ws(":", "doc_id", "text_hash")
+    total = min(most_words, max(1, -(-10 * wanted.count() // 64)))
+    chunks = -(-total // (1 << 16))
+    f = Filter(0, 0, chunks, -(-total // chunks), 3)
+    bits = durable(filter_level(wanted.select(F.lit(0).alias("list"), key().alias("key")), {0: f}, most_words), "documents-with-repeats")
+    return base.withColumn("bits", bits.scalar()).filter(f.passes(key(), F.col("bits"))).drop("bits")
+
+
+def _dense_verdicts(contexts: DataFrame) -> DataFrame:
+    """What contexts lose of anchors with too many: each window is a context of its own, and its first occurrence a partial minimum."""
+    n = F.octet_length("context") - WINDOW
+    each = contexts.filter(n >= 0).withColumn("o", F.explode(F.sequence(F.lit(0), n)))
+    own = F.struct("doc_id", "text_hash", (F.col("at") - F.col("left") + F.col("o")).alias("at"))
+    each = each.select("h", "ctx", "copies", F.substr("context", F.col("o") + 1, F.lit(WINDOW)).alias("window"), own.alias("own"), (F.col("o") - F.col("left")).alias("a"))
+    first = each.groupBy("window").agg(F.min("own").alias("least"), ((F.count(F.lit(1)) > 1) | F.max("copies")).alias("several"))
+    as_context = first.select(F.xxhash64("window").alias("h"), F.xxhash64("window", F.lit(1)).alias("ctx"), F.lit(0).alias("left"), F.col("window").alias("context"), "least.*", F.col("several").alias("copies"))
+    lost = _verdicts(as_context).filter("later").select(F.col("h").alias("h_window"), F.col("ctx").alias("ctx_window"))
+    told = each.join(first.select("window", "least"), "window").withColumns({"h_window": F.xxhash64("window"), "ctx_window": F.xxhash64("window", F.lit(1))}).join(lost, ["h_window", "ctx_window"])
+    which = F.explode(F.array_compact(F.array(F.when(F.col("least") < F.col("own"), F.lit(False)), F.when(F.col("copies"), F.lit(True)))))
+    return told.select("h", "ctx", which.alias("later"), "a", (F.col("a") + WINDOW).alias("z"))
+
+
+def _verdicts(contexts: DataFrame) -> DataFrame:
+    dealt = contexts.select("h", "ctx", "left", "context", "doc_id", "text_hash", "at", "copies").repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(_compare, _VERDICT)
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    return texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id (null as NO_ID), text_hash, cuts (starts and ends of what goes), kept_sha256 and n_removed, of the texts that lose something."""
-    base = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    found = base.mapInArrow(_anchor_rows, "h long, doc_id long, state byte")
-    meeting = F.when(F.col("state") == 1, F.xxhash64("doc_id", "h")).otherwise(F.col("h"))
-    repeated = found.repartition(meeting).sortWithinPartitions("h").mapInArrow(_repeats, "h long, doc_id long")
-    wanted = durable(repeated.groupBy("doc_id").agg(F.collect_set("h").alias("wanted")), "repeated-anchors")
-    # the same in all three uses below, so that texts are dealt out once
-    held = _among(base, wanted).join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    order = F.struct("doc_id", "text_hash", "at")
-    first = held.mapInArrow(_key_rows, "h long, key long, doc_id long, text_hash long, at long").groupBy("h", "key").agg(F.min(order).alias("f")).select("h", "f.*")
-    several = first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    places = first.join(several, "h").groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "at", "h", (F.col("n") > MOST_CONTEXTS).alias("many"))).alias("places"))
-    contexts = held.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_context_rows, _CONTEXT)
-    few = contexts.filter(~F.col("many")).drop("many").repartition("h").sortWithinPartitions("h")
-    spans = few.mapInArrow(_compare, "doc_id long, text_hash long, at long, spans array<int>").unionByName(_window_spans(contexts.filter("many")))
-    lost = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "at", "spans")).alias("spans"))
-    firsts = first.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "at")).alias("firsts"))
-    return held.join(firsts, "doc_id", "left").join(lost, "doc_id", "left").select("doc_id", "text", "wanted", "firsts", "spans").mapInArrow(_judge, _JUDGED)
-
-
-def _window_spans(contexts: DataFrame) -> DataFrame:
-    """What contexts lose, for anchors with too many to compare in one task: each window by itself, first occurrences by partial minima."""
-    n = F.octet_length("context") - WINDOW
-    each = contexts.withColumn("o", F.explode(F.sequence(F.lit(0), n)))
-    each = each.select("h", F.substr("context", F.col("o") + 1, F.lit(WINDOW)).alias("window"), F.struct("doc_id", "text_hash", (F.col("at") - F.col("left") + F.col("o")).alias("start")).alias("own"), "doc_id", "text_hash", "at", (F.col("o") - F.col("left")).cast("int").alias("begin"))
-    least = each.groupBy("window").agg(F.min("own").alias("least"))
-    later = each.join(least, "window").filter(F.col("least") < F.col("own"))
-    return later.select("doc_id", "text_hash", "at", F.array("begin", F.col("begin") + WINDOW).alias("spans"))
+    base = _base(docs)
+    found = base.select("doc_id", "text", "text_hash").mapInArrow(_anchor_rows, _ANCHOR)
+    meeting = F.when(F.col("flags") == 1, F.xxhash64("doc_id", "h")).otherwise(F.col("h"))
+    occurrences = durable(found.repartition(meeting).sortWithinPartitions("h", "ctx").mapInArrow(_occurrences, _OCCURRENCE), "occurrences")
+    by = ["doc_id", "text_hash"]
+    # the same in both uses below, so that texts are dealt out once
+    held = _among(base, occurrences.select(*by).distinct())
+    firsts = occurrences.filter(~F.col("later")).groupBy(*by).agg(F.collect_list(F.struct("at", "h", "ctx", "copies", "dense")).alias("places"))  # of one text
+    contexts = held.join(firsts, by).select(*by, "text", "places").mapInArrow(_context_rows, _CONTEXT)
+    if occurrences.filter("dense").limit(1).count():
+        contexts = durable(contexts, "contexts")
+        verdicts = _verdicts(contexts.filter(~F.col("dense"))).unionByName(_dense_verdicts(contexts.filter("dense")))
+    else:
+        verdicts = _verdicts(contexts)
+    spans = occurrences.select("h", "ctx", "later", *by, "at").join(verdicts, ["h", "ctx", "later"])
+    spans = spans.groupBy(*by).agg(F.collect_list(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("z")).alias("z"))).alias("spans"))  # of one text
+    return held.join(spans, by).select(*by, "text", "spans").mapInArrow(_judge, _JUDGED)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        raws = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_text_hash(x) for x in raws], pa.int64()), pa.array(list(map(len, raws)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raws])], ["doc_id", "text_hash", "n_bytes", "whole_sha256"])
+        raws = [x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, raws)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raws], pa.string())], ["doc_id", "text_hash", "n_bytes", "whole_sha256"])
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row."""
-    base = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    whole = base.mapInArrow(_whole, "doc_id long, text_hash long, n_bytes long, whole_sha256 string")
+    whole = _base(docs).mapInArrow(_whole, "doc_id long, text_hash long, n_bytes long, whole_sha256 string")
     lost = judged(docs).groupBy("doc_id", "text_hash").agg(F.first("kept_sha256").alias("kept"), F.first("n_removed").alias("n_removed"), F.first(F.size("cuts")).alias("n_cuts"))
     j = whole.join(lost, ["doc_id", "text_hash"], "left")
     return j.select(
@@ -607,31 +667,19 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
 
     A cut can split a character's bytes; such a remnant is dropped. n_chars, if there is one, is counted anew.
     """
-    lost = judged(docs).groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set(F.struct("text_hash", "cuts")).alias("lost"))
+    lost = judged(docs).groupBy(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash")).agg(F.first("cuts").alias("cuts"))
     names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, they do not clash
-    carried = docs.toDF(*names).withColumn("lost_id", F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit(NO_ID)))
-    joined = carried.join(lost, "lost_id", "left")
+    own_id, own_text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    carried = docs.toDF(*names).withColumns({"lost_id": F.coalesce(own_id.cast("long"), F.lit(NO_ID)), "lost_hash": F.xxhash64(F.coalesce(own_text.cast("string"), F.lit("")))})
 
     @F.pandas_udf("string")
-    def cut(text, found):
+    def cut(text, cuts):
         import pandas as pd
 
-        out = []
-        for t, rows in zip(text, found):
-            if rows is not None and t is not None:
-                raw = t.encode()
-                own = _text_hash(raw)
-                for r in rows:
-                    if r["text_hash"] == own:
-                        t = _kept(raw, list(r["cuts"])).decode("utf-8", "ignore")
-                        break
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    text = cut(F.col(names[docs.columns.index("text")]), F.col("lost"))
-    out = joined.withColumn("kept_text", text)
+        return pd.Series([t if x is None or t is None else _kept(t.encode(), list(x)).decode("utf-8", "ignore") for t, x in zip(text, cuts)], dtype=object)
+
+    out = carried.join(lost, ["lost_id", "lost_hash"], "left").withColumn("kept_text", cut(own_text, F.col("cuts")))
     columns = []
-    for n, c in zip(names, docs.columns):
-        kind = docs.schema[c].dataType
-        columns.append(F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(kind).alias(c) if c == "n_chars" else F.col(n).alias(c))
+    for n, f in zip(names, docs.schema.fields):
+        columns.append(F.col("kept_text").alias(f.name) if f.name == "text" else F.length("kept_text").cast(f.dataType).alias(f.name) if f.name == "n_chars" else F.col(n).alias(f.name))
     return out.select(*columns)

@@ -3,19 +3,23 @@
 Level 0 encodes the listed keys. Of all keys that the corpus can ask for (its key universe), some that
 are not listed pass level 0; level 1 encodes these. Listed keys that pass level 1 are encoded by level
 2, and so on until a level is passed by no wrong key. Over this universe the alternating answers are
-exact, and a lookup tests bits only: no join, no Python.
+exact, and a lookup tests bits only: no join, no Python. Level 0 has as many bits a key as the universe's
+size asks, so that about as many wrong keys pass as keys are listed; the others have ``bits_per_key``.
 
-Levels are built by aggregation: keys that pass are found where they lie, and only the few false
-positives are shuffled. A level is one row of 64-bit words that lookups read through a scalar
-subquery; its size follows the number of keys it encodes and may be at most ``max_words``. A list
-beyond that bound is looked up by a semi-join instead (:meth:`BloomCascade.filter_members`).
+Levels are built by aggregation: keys that pass are found where they lie, in one pass for all lists of a
+cascade, and only the few false positives are shuffled. A level is an array of chunks of at most
+``max_words`` 64-bit words, each gathered by itself; lookups read it through a scalar subquery. All lists
+of a level may have ``max_total`` words (32 MB), about 30 million keys. Longer lists are looked up by
+semi-joins instead, with the same answers (:meth:`BloomCascade.filter_members`, :func:`judge_urls`).
 
 Defined cases: a null key is not listed; an empty list contains nothing; repeated keys count once; a
-null url, or one without ``://``, has an empty host and path; extra columns of the pages are ignored.
+null url, or one without ``://``, has an empty host and path; repeated pages (and those without page_id) are
+judged each; a rule listed with both verdicts blocks; extra columns of the pages are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -24,88 +28,108 @@ from pyspark.sql import functions as F
 from granary.llm.common import durable
 
 
-def _positions(key: Column, level: int, hashes: int, words: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level * 64 + j)), F.lit(words * 64)) for j in range(hashes)]
+@dataclass(frozen=True)
+class Filter:
+    """Where the bits of a list are in its level: ``chunks`` chunks of ``words`` words from number ``start`` on."""
 
+    level: int
+    start: int
+    chunks: int
+    words: int
+    hashes: int
 
-def passes(key: Column, level: int, hashes: int, words: int, bits: Column) -> Column:
-    out = F.lit(True)
-    for p in _positions(key, level, hashes, words):
-        word = F.element_at(bits, (F.floor(p / 64) + 1).cast("int"))
-        out = out & (F.getbit(word, (p % 64).cast("int")) == 1)
-    return out
+    def positions(self, key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(key, F.lit(self.level * 64 + j)), F.lit(self.chunks * self.words * 64)) for j in range(self.hashes)]
+
+    def passes(self, key: Column, bits: Column) -> Column:
+        """Whether all bits of a key are set in a level (array of arrays of long)."""
+        out = F.lit(True)
+        for p in self.positions(key):
+            word = F.floor(p / 64)
+            chunk = F.element_at(bits, (F.floor(word / self.words) + (self.start + 1)).cast("int"))
+            out = out & (F.getbit(F.element_at(chunk, (word % self.words + 1).cast("int")), (p % 64).cast("int")) == 1)
+        return out
+
+
+def filter_level(keys: DataFrame, filters: dict[int, Filter], max_total: int) -> DataFrame:
+    """One row: the bits of a level, as chunks. keys: list and key."""
+    set_bits = None
+    for name, f in filters.items():
+        own = keys.filter(F.col("list") == name).select(F.explode(F.array(*f.positions(F.col("key")))).alias("p"))
+        own = own.select(F.floor(F.col("p") / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int")).alias("bits"))
+        own = own.select((F.floor(F.col("word") / f.words) + f.start).cast("int").alias("chunk"), (F.col("word") % f.words).cast("int").alias("at"), "bits")
+        none = keys.sparkSession.range(f.chunks * f.words).select((F.floor(F.col("id") / f.words) + f.start).cast("int").alias("chunk"), (F.col("id") % f.words).cast("int").alias("at"), F.lit(0).cast("long").alias("bits"))
+        set_bits = own.unionByName(none) if set_bits is None else set_bits.unionByName(own).unionByName(none)
+    dense = set_bits.groupBy("chunk", "at").agg(F.bit_or("bits").alias("bits"))
+    chunk = dense.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("all")).select("chunk", F.transform("all", lambda x: x["bits"]).alias("words"))
+    return chunk.agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "words"))), lambda x: x["words"]).alias("bits"))  # at most max_total words
 
 
 @dataclass
 class BloomCascade:
-    """A built cascade; ``levels`` are tables of one row each: words (array of long)."""
+    """A built cascade of one list or several; ``levels`` are tables of one row each."""
 
     bits_per_key: int = 8
-    hashes: int = 4
-    max_words: int = 1 << 18
-    max_levels: int = 40
+    max_words: int = 1 << 16
+    max_total: int = 1 << 22
     levels: list[DataFrame] = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
+    filters: list[dict[int, Filter]] = field(default_factory=list)
     listed: DataFrame | None = None
+    fits: bool = True
 
     def build(self, listed: DataFrame, universe: DataFrame) -> BloomCascade:
-        """Both have one column, key. ``universe`` holds every key that will be asked for, repeats allowed."""
-        keys = listed.select(F.col("key").cast("string").alias("key")).filter(F.col("key").isNotNull()).distinct()
-        self.listed = keys
-        wanted, asked = keys, universe.select(F.col("key").cast("string").alias("key")).filter(F.col("key").isNotNull())
-        own: DataFrame | None = None
-        for level in range(self.max_levels):
-            n = wanted.count()
-            if n == 0:
-                break
-            words = 1
-            while words * 64 < self.bits_per_key * n:
-                words *= 2
-            if words > self.max_words:
-                self.levels, self.sizes = [], []
+        """listed: key, and list (a number) if there are several. universe: key, every key that will be asked for, repeats allowed."""
+        number = F.col("list").cast("int") if "list" in listed.columns else F.lit(0)
+        keys = listed.select(number.alias("list"), F.col("key").cast("string").alias("key")).filter(F.col("key").isNotNull()).distinct()
+        self.listed = durable(keys, "listed")
+        asked = universe.select(F.col("key").cast("string").alias("key")).filter(F.col("key").isNotNull())
+        wanted, own, size = self.listed, None, None
+        while self.fits and (counts := {r["list"]: r["n"] for r in wanted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}):  # a row a list
+            if size is None:
+                size = asked.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
+            level, filters, start = len(self.levels), {}, 0
+            for name, n in sorted(counts.items()):
+                # bits for about one wrong key of the universe to a listed one at level 0, and for few of the level before later on
+                bits = max(self.bits_per_key, math.ceil(1.44 * math.log2(max(size / n, 2)))) if level == 0 else self.bits_per_key
+                total = -(-bits * n // 64)
+                chunks = -(-total // self.max_words)
+                filters[name] = Filter(level, start, chunks, -(-total // chunks), max(1, round(0.69 * bits)))
+                start += chunks
+            if sum(f.chunks * f.words for f in filters.values()) > self.max_total:
+                self.levels, self.filters, self.fits = [], [], False
                 return self
-            self.levels.append(self._filter(wanted, level, words))
-            self.sizes.append(words)
-            # what the new level must tell apart from what it encodes: at level 0 all keys asked for, later the encoded keys of the level before
-            others = asked if level == 0 else own
-            with_bits = others.withColumn("bits", self.levels[-1].scalar())
-            passed = with_bits.filter(passes(F.col("key"), level, self.hashes, words, F.col("bits"))).select("key").distinct()
-            wrong = durable(passed.join(wanted, "key", "left_anti"), f"cascade-{level}")
-            own, wanted = wanted, wrong
-        else:
-            self.levels, self.sizes = [], []
+            self.levels.append(durable(filter_level(wanted, filters, self.max_total), f"cascade-level-{level}"))
+            self.filters.append(filters)
+            bits = self.levels[-1].scalar()
+            if level == 0:  # all keys asked for, for all lists in one pass
+                hit = [F.when(f.passes(F.col("key"), F.col("bits")), F.lit(name)) for name, f in filters.items()]
+                passed = asked.withColumn("bits", bits).select(F.explode(F.array_compact(F.array(*hit))).alias("list"), "key").distinct()
+            else:  # the keys that the level before encodes
+                hit = F.lit(False)
+                for name, f in filters.items():
+                    hit = hit | ((F.col("list") == name) & f.passes(F.col("key"), F.col("bits")))
+                passed = own.withColumn("bits", bits).filter(hit).select("list", "key")
+            own, wanted = wanted, durable(passed.join(wanted, ["list", "key"], "left_anti"), f"cascade-{level}")
         return self
 
-    def _filter(self, keys: DataFrame, level: int, words: int) -> DataFrame:
-        at = F.explode(F.array(*_positions(F.col("key"), level, self.hashes, words)))
-        set_bits = keys.select(at.alias("p")).select(F.floor(F.col("p") / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int")).alias("bits"))
-        none = keys.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-        dense = set_bits.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-        packed = dense.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("all"))  # `words` rows, at most max_words
-        return durable(packed.select(F.transform("all", lambda x: x["bits"]).alias("words")), f"bloom-{level}")
-
-    @property
-    def fits(self) -> bool:
-        """Whether lookups go by the cascade (or the list is empty); otherwise the list was beyond the bound."""
-        return bool(self.levels) or self.listed is None or self.listed.isEmpty()
-
     def attach(self, df: DataFrame, prefix: str) -> DataFrame:
-        """df with a column of words for each level: constants that each row's expressions can read."""
+        """df with a column of bits for each level: constants that each row's expressions can read."""
         return df.withColumns({f"{prefix}{i}": t.scalar() for i, t in enumerate(self.levels)})
 
-    def contains(self, key: Column, prefix: str) -> Column:
-        """Whether a key of the universe is listed, on a table from :meth:`attach`."""
+    def contains(self, key: Column, prefix: str, name: int = 0) -> Column:
+        """Whether a key of the universe is in a list, on a table from :meth:`attach`."""
         out = F.lit(False)
-        for i in reversed(range(len(self.levels))):
-            out = passes(key, i, self.hashes, self.sizes[i], F.col(f"{prefix}{i}")) & ~out
+        for i, filters in reversed(list(enumerate(self.filters))):
+            if name in filters:
+                out = filters[name].passes(key, F.col(f"{prefix}{i}")) & ~out
         return F.coalesce(out, F.lit(False))
 
     def filter_members(self, df: DataFrame, key: str = "key") -> DataFrame:
-        """The rows of df whose key is listed: by the cascade, or by a semi-join for a list beyond the bound."""
+        """The rows of df whose key is listed (list 0): by the cascade, or by a semi-join for a list beyond the bound."""
+        names = [F.col(f"`{n}`") for n in df.columns]
         if not self.fits:
-            return df.join(self.listed.select(F.col("key").alias(key)), key, "left_semi")
-        names = df.columns
-        return self.attach(df, "__level").filter(self.contains(F.col(key), "__level")).select(*(F.col(f"`{n}`") for n in names))
+            return df.join(self.listed.filter("list = 0").select(F.col("key").alias(key)), key, "left_semi").select(*names)
+        return self.attach(df, "__level").filter(self.contains(F.col(key), "__level")).select(*names)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -128,32 +152,50 @@ def rule_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
     return F.flatten(F.array(*map(keys, path_lengths)))
 
 
-def judge_urls(pages: DataFrame, rules: dict[str, str], blocked_hosts: list[str] = (), *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: dict[str, str] | DataFrame, blocked_hosts: list[str] | DataFrame = (), *, cascade: BloomCascade | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
-    rules: ``host/path`` (the path begins at the first slash) to ``allow`` or ``block``; a rule fits its
-    host and all subdomains if the url's path starts with the rule's; the longest rule wins. Where no
-    rule fits, a page is blocked if its host or a domain above it is in ``blocked_hosts``.
+    rules: ``host/path`` (the path begins at the first slash) to ``allow`` or ``block``, as a dictionary or
+    as a table (key, verdict); a rule fits its host and all subdomains if the url's path starts with the
+    rule's; the longest rule wins. Where no rule fits, a page is blocked if its host or a domain above it
+    is in ``blocked_hosts`` (a list, or a table with a column key).
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
-    lengths = sorted({len(r) - r.index("/") for r in rules})
+    if isinstance(rules, dict):
+        rules = spark.createDataFrame(list(rules.items()), "key string, verdict string")
+    if not isinstance(blocked_hosts, DataFrame):
+        blocked_hosts = spark.createDataFrame([(k,) for k in blocked_hosts], "key string")
+    lengths = sorted(r[0] for r in rules.select((F.length("key") - F.instr("key", "/") + 1).alias("n")).distinct().collect())  # as many as there are lengths of paths
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     base = base.select("page_id", host.alias("host"), path.alias("path"))
     asked = base.select("*", rule_keys(F.col("host"), F.col("path"), lengths).alias("rule_keys"), rule_keys(F.col("host"), F.col("path"), [0]).alias("host_keys"))
+    # list 0: all rules; list 1: rules that block, and hosts
+    blocking = rules.filter(F.col("verdict") == "block").select("key").unionByName(blocked_hosts.select("key"))
+    listed = rules.select(F.lit(0).alias("list"), "key").unionByName(blocking.select(F.lit(1).alias("list"), "key"))
+    cascade = (cascade or BloomCascade()).build(listed, asked.select(F.explode(F.concat("rule_keys", "host_keys")).alias("key")))
+    if not cascade.fits:
+        return _judged_by_joins(asked, cascade.listed)
+    out = cascade.attach(asked, "__bits")
+    fitting = F.filter("rule_keys", lambda k: cascade.contains(k, "__bits"))
+    out = out.withColumn("rule", _longest(F.transform(fitting, lambda k: F.struct(F.length(k).alias("n"), k.alias("key")))))
+    hit = F.exists("host_keys", lambda k: cascade.contains(k, "__bits", 1))
+    block = F.when(F.col("rule").isNotNull(), cascade.contains(F.col("rule"), "__bits", 1)).otherwise(hit)
+    return out.select("page_id", "host", "path", "rule", F.when(block, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
+
+
+def _longest(found: Column) -> Column:
+    return F.array_max(found)["key"]
+
 
-    def table(keys):
-        return spark.createDataFrame([(k,) for k in keys], "key string")
-
-    universe = asked.select(F.explode(F.concat("rule_keys", "host_keys")).alias("key"))
-    all_rules = BloomCascade().build(table(rules), universe)
-    blocking = BloomCascade().build(table([r for r, v in rules.items() if v == "block"] + list(blocked_hosts)), universe)
-    if not (all_rules.fits and blocking.fits):
-        raise ValueError("the rules exceed max_words of a cascade: look up by filter_members")
-    out = blocking.attach(all_rules.attach(asked, "__rule"), "__block")
-    fitting = F.filter("rule_keys", lambda k: all_rules.contains(k, "__rule"))
-    longest = F.array_max(F.transform(fitting, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
-    out = out.withColumn("rule", longest)
-    listed = F.exists("host_keys", lambda k: blocking.contains(k, "__block"))
-    block = F.when(F.col("rule").isNotNull(), blocking.contains(F.col("rule"), "__block")).otherwise(listed)
+def _judged_by_joins(asked: DataFrame, listed: DataFrame) -> DataFrame:
+    """The same verdicts for lists too long for a cascade: keys meet the lists by semi-joins, and pages their keys by number."""
+    asked = durable(asked.withColumn("number", F.monotonically_increasing_id()), "asked")
+    of = lambda n: listed.filter(F.col("list") == n).select("key")
+    fitting = asked.select("number", F.explode("rule_keys").alias("key")).join(of(0), "key", "left_semi")
+    longest = fitting.groupBy("number").agg(F.max(F.struct(F.length("key").alias("n"), "key"))["key"].alias("rule"))
+    ruled = longest.join(of(1).select(F.col("key").alias("rule"), F.lit(True).alias("rule_blocks")), "rule", "left")
+    hosts = asked.select("number", F.explode("host_keys").alias("key")).join(of(1), "key", "left_semi").select("number", F.lit(True).alias("host_blocks")).distinct()
+    out = asked.join(ruled, "number", "left").join(hosts, "number", "left")
+    block = F.coalesce(F.when(F.col("rule").isNotNull(), F.col("rule_blocks")).otherwise(F.col("host_blocks")), F.lit(False))
     return out.select("page_id", "host", "path", "rule", F.when(block, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))

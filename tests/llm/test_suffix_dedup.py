@@ -48,10 +48,48 @@ def test_against_brute_force(spark, hard_rows, monkeypatch):
     df = spark.createDataFrame(hard_rows, "doc_id long, text string").withColumns({"h": F.lit("x"), "wanted": F.lit(1), "at": F.lit(2)}).repartition(5)
     want = brute(hard_rows)
     assert digests(df) == want
-    monkeypatch.setattr(S, "MOST_CONTEXTS", 2)  # the way of anchors with very many contexts
-    assert digests(df) == want
-    twice = df.unionByName(df.filter("doc_id < 9"))
+    twice = df.unionByName(df.filter("doc_id < 9 or doc_id > 60"))
     assert digests(twice) == want and S.dedup_digests(twice).count() == twice.count()
+    monkeypatch.setattr(S, "TOGETHER", 50)  # texts read together are few
+    assert digests(df) == want
+    monkeypatch.setattr(S, "MOST_CONTEXTS", 2)  # anchors with very many contexts
+    assert digests(df) == want
+    assert digests(twice) == want
+
+
+def test_nothing_goes_but_by_suffix_arrays(spark, hard_rows, monkeypatch):
+    df = spark.createDataFrame(hard_rows, "doc_id long, text string")
+    monkeypatch.setattr(S, "suffix_array", lambda s: S.np.argsort(s, kind="stable").tolist())  # not sorted beyond the first symbol
+    monkeypatch.setattr(S, "earlier_matches", lambda sa, lcp, rank: [0] * len(sa))
+    monkeypatch.setattr(S, "common_prefixes", lambda s, sa: [0] * len(s))
+    empty = S._verdicts(spark.createDataFrame([], S._CONTEXT))
+    assert empty.count() == 0
+    rows = [(7, 1, 0, b"x" * 100, 1, 1, 0, True, False), (8, 1, 0, b"y" * 100, 1, 1, 0, True, False), (8, 2, 1, b"z" + b"y" * 100, 1, 1, 9, False, False)]
+    x = [S.np.array(c) for c in zip(*rows)]
+    assert S.judged_contexts(x[0], x[1], x[2], [r[3] for r in rows], x[4], x[5], x[6], x[7]).num_rows == 0
+    monkeypatch.undo()
+    assert S.judged_contexts(x[0], x[1], x[2], [r[3] for r in rows], x[4], x[5], x[6], x[7]).num_rows == 3
+    monkeypatch.setattr(S, "_verdicts", lambda contexts: empty)
+    assert S.judged(df).count() == 0
+
+
+def test_one_anchor_with_very_many_contexts(spark):
+    """A shared ending after 25,000 different beginnings: dense anchors, in one task's stream and as windows."""
+    rnd = random.Random(6)
+    tail = "".join(rnd.choice("abcdefgh ") for _ in range(150))
+    rows = [(i, "".join(rnd.choice("pqrstuvw") for _ in range(90)) + tail) for i in range(25_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.dedup_digests(df).collect()
+    want = {i: (240, 0 if i == 0 else None) for i, _ in rows}
+    seen = {}
+    for i, t in rows:  # the longest run before the shared ending that an earlier text shares with it
+        k = 0
+        while t[90 - k - 1 : 90] in seen:
+            k += 1
+        for m in range(1, 30):
+            seen.setdefault(t[90 - m : 90], i)
+        want[i] = 0 if i == 0 else 150 + k
+    assert {r["doc_id"]: r["n_removed"] for r in got} == want
 
 
 def test_small_table(spark, small):
