@@ -10,9 +10,10 @@ are judged on the input.
    Contexts that are equal (under two independent 64-bit hashes, of anchor and context) collapse to their
    first occurrence and the knowledge that others follow. Of equal contexts that a task reads together
    only the first travels to meet the anchor's others, so a common passage is no hot key.
-2. *Suffix arrays* decide what goes. The contexts of an anchor, each once as its first occurrence and once
-   more for those that follow, are cut into blocks where any two of them begin to differ; each block becomes
-   a symbol, and a suffix array over the symbol strings of many anchors is built by linear grouping: suffixes
+2. *Suffix arrays* decide what goes. The contexts of an anchor are cut into blocks where those that were equal
+   so far begin to differ; each block becomes a symbol. Contexts that are equal as far as they share anything have the
+   same string, which stands once for the first of them and once more for those that follow. A suffix array over
+   the strings of many anchors is built by linear grouping: suffixes
    are grouped by their Lyndon prefix; groups are processed in descending order, each moving the suffixes
    that its previous-smaller pointers name into new groups; a single pass then emits each group's order. With
    its LCP array, a scan finds for each suffix the longest match with an earlier occurrence, and so the
@@ -51,7 +52,7 @@ LEFT = WINDOW - GRAM
 #: Bytes hashed at once, few enough for a processor's cache; longer texts are read in stretches that overlap by a window.
 STRETCH = 1 << 15
 #: Different contexts of one anchor that are compared with each other; with more, its windows are.
-MOST_CONTEXTS = 10_000
+MOST_CONTEXTS = 30_000
 _LOW = np.uint64((1 << 20) - 1)
 #: Contexts compared at once, unless one anchor has more.
 CHUNK = 20_000
@@ -274,83 +275,90 @@ def _sides(group: np.ndarray, side: np.ndarray, length: np.ndarray) -> tuple[np.
 
 
 def _symbols(group, order, shared, reach, side_no):
-    """(context, depth, width, code) of the blocks on one side: cut at every depth where two contexts of a group part."""
+    """(context, depth, width, code) of the blocks on one side, by context and depth: cut where contexts that were equal so far part, or one ends."""
     g = group[order]
-    cut = np.unique(np.stack([g[shared > 0], shared[shared > 0]], 1), axis=0) if (shared > 0).any() else np.zeros((0, 2), np.int64)
-    width = cut[:, 1].copy()
-    width[1:] -= np.where(cut[1:, 0] == cut[:-1, 0], cut[:-1, 1], 0)
-    first = np.searchsorted(cut[:, 0], g, side="left")
-    here = reach[order]
-    # the cuts of a group are sorted by depth: those up to a context's own reach count
-    key = cut[:, 0] * 256 + cut[:, 1]
-    n_cuts = np.searchsorted(key, g * 256 + here, side="right") - first
+    end = reach[order]
+    cut = np.unique(np.concatenate([(g * 256 + shared)[shared > 0], (g * 256 + end)[end > 0]]))
+    first = np.searchsorted(cut, g * 256, side="left")
+    # the cuts of a group are sorted by depth: those up to a context's own reach may count
+    n_cuts = np.searchsorted(cut, g * 256 + end, side="right") - first
     owner = np.repeat(np.arange(len(order)), n_cuts)
-    cut_no = np.arange(len(owner)) - np.repeat(np.cumsum(n_cuts) - n_cuts, n_cuts) + np.repeat(first, n_cuts)
-    depth = cut[cut_no, 1]
+    depth = cut[np.arange(len(owner)) - np.repeat(np.cumsum(n_cuts) - n_cuts, n_cuts) + np.repeat(first, n_cuts)] % 256
     # class at a depth: the last place at or before the context whose shared part is shorter than the depth
-    classes = np.zeros(len(owner), np.int64)
-    for d in np.unique(depth):
-        begins = np.maximum.accumulate(np.where(shared < d, np.arange(len(order)), 0))
+    classes, parts = np.zeros(len(owner), np.int64), np.zeros(len(owner), bool)
+    place = np.arange(len(order))
+    for d in np.unique(depth).tolist():
+        begins = np.maximum.accumulate(np.where(shared < d, place, 0))
         at = depth == d
         classes[at] = begins[owner[at]]
-    code = (classes * 256 + depth) * 2 + side_no
-    return order[owner], depth, width[cut_no], code
+        here = np.zeros(len(order), bool)
+        here[begins[(shared == d) | (end == d)]] = True
+        parts[at] = here[classes[at]]
+    owner, depth, classes = owner[parts], depth[parts], classes[parts]
+    width = depth.copy()
+    width[1:] -= np.where(owner[1:] == owner[:-1], depth[:-1], 0)
+    return order[owner], depth, width, (classes * 256 + depth) * 2 + side_no
 
 
-def _strings(group: np.ndarray, rank: np.ndarray, lefts: np.ndarray, left_len: np.ndarray, rights: np.ndarray, right_len: np.ndarray) -> tuple[list, list, list, list, list]:
-    """Contexts as strings of symbols, one after another, each closed by the symbol 1: symbols, where each begins and ends (seen from the anchor), rank and context of each.
+def _classes(group: np.ndarray, alone: np.ndarray, lefts: np.ndarray, left_len: np.ndarray, rights: np.ndarray, right_len: np.ndarray):
+    """Contexts by what they can share: for each its class (-1: too little), and the blocks of each class in order (class, from, to, symbol).
 
-    group: number of each context's anchor; rank: order of occurrences. lefts: bytes before the
-    anchor, nearest first; rights: bytes from its start.
+    group: number of each context's anchor; alone: those that are shared in full, as equal ones follow. lefts:
+    bytes before the anchor, nearest first; rights: bytes from its start. Contexts that are equal as far as each shares
+    anything are one class; from, to are seen from the anchor.
     """
     n = len(group)
-    lo, ls = _sides(group, lefts, left_len)
-    ro, rs = _sides(group, rights, right_len)
-    reach_l, reach_r = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for order, shared, reach in ((lo, ls, reach_l), (ro, rs, reach_r)):
+    sides = []
+    for side, length in ((lefts, left_len), (rights, right_len)):
+        order, shared = _sides(group, side, length)
+        reach = np.zeros(n, np.int64)
         reach[order] = np.maximum(np.maximum(shared, np.append(shared[1:], -1)), 0)
-    active = reach_l + reach_r >= WINDOW
-    s, starts, ends, ranks, owner = [], [], [], [], []
-    if not active.any():
-        return s, starts, ends, ranks, owner
-    left = _symbols(group, lo, ls, np.where(active, reach_l, 0), 0)
-    right = _symbols(group, ro, rs, np.where(active, reach_r, 0), 1)
-    context = np.concatenate([left[0], right[0]])
-    place = np.concatenate([-left[1], right[1] - right[2]])  # where a block starts, seen from the anchor
-    width = np.concatenate([left[2], right[2]])
-    _, code = np.unique(np.concatenate([left[3], right[3]]), return_inverse=True)
-    by = np.lexsort([place, context])
-    context, place, width, code = context[by], place[by], width[by], code[by] + 2
-    border = np.append(np.nonzero(np.diff(context))[0] + 1, len(context))
-    begin = 0
-    for end in border.tolist():
-        c = int(context[begin])
-        s += code[begin:end].tolist()
-        starts += place[begin:end].tolist()
-        ends += (place[begin:end] + width[begin:end]).tolist()
-        ranks += [int(rank[c])] * (end - begin + 1)
-        owner += [c] * (end - begin + 1)
-        s.append(1)
-        starts.append(0)
-        ends.append(0)
-        begin = end
-    return s, starts, ends, ranks, owner
-
-
-def matched(s: list[int], starts: list[int], ends: list[int], ranks: list[int], owner: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(context, from, to): what each context shares with earlier ones, windows of 100 bytes at least. s: strings that end with 1."""
-    s, ranks = [*s, 0], [*ranks, -1]
+        sides.append((order, shared, np.where(alone, length, reach)))
+    active = sides[0][2] + sides[1][2] >= WINDOW
+    blocks, deepest = [], []
+    for k, (order, shared, reach) in enumerate(sides):
+        context, depth, width, code = _symbols(group, order, shared, np.where(active, reach, 0), k)
+        last = np.full(n, -1, np.int64)  # the deepest block tells all before it
+        by = np.lexsort((depth, context))
+        last[context[by]] = code[by]
+        deepest.append(last)
+        blocks.append((context, -depth, width - depth, code) if k == 0 else (context, depth - width, depth, code))
+    _, first, of = np.unique(np.stack([group, *deepest], 1)[active], axis=0, return_index=True, return_inverse=True)
+    of_context = np.full(n, -1, np.int64)
+    of_context[active] = of.reshape(-1)
+    shown = np.full(n, -1, np.int64)  # a class shows the blocks of one of its contexts
+    shown[np.nonzero(active)[0][first]] = np.arange(len(first))
+    context, a, z, code = (np.concatenate(x) for x in zip(*blocks))
+    own = shown[context]
+    by = np.nonzero(own >= 0)[0]
+    by = by[np.lexsort((a[by], own[by]))]
+    return of_context, own[by], a[by], z[by], np.unique(code[by], return_inverse=True)[1].astype(np.int64)
+
+
+def matched(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranks: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, from, to): the stretches of 100 bytes at least that strings share with those of a smaller rank.
+
+    symbols: strings one after another, each (owner) closed by the symbol 1 or made of one symbol that no other but its like has.
+    """
+    if not len(symbols):
+        return (np.zeros(0, np.int64),) * 3
+    s = [*symbols.tolist(), 0]
     sa = suffix_array(s)
-    shared = earlier_matches(sa, common_prefixes(s, sa), ranks)
-    left_of = 0
-    for i in range(len(s) - 2, -1, -1):
-        if s[i] == 1:
-            left_of = 0
-            continue
-        left_of += 1
-        blocks = min(shared[i], left_of)
-        if blocks and (to := ends[i + blocks - 1]) - starts[i] >= WINDOW:
-            yield owner[i], starts[i], to
+    shared = np.array(earlier_matches(sa, common_prefixes(s, sa), [*ranks.tolist(), -1])[:-1], np.int64)
+    # how many symbols of its own string are left from each place on
+    last = np.append(owner[1:] != owner[:-1], True)
+    end = np.nonzero(last)[0]
+    left = np.repeat(end - (symbols[end] == 1), np.diff(np.append(-1, end))) + 1 - np.arange(len(symbols))
+    blocks = np.minimum(shared, left)
+    i = np.nonzero(blocks > 0)[0]
+    a, z, of = starts[i], ends[i + blocks[i] - 1], owner[i]
+    long = z - a >= WINDOW
+    a, z, of = a[long], z[long], of[long]
+    by = np.lexsort((a, of))
+    a, z, of = a[by], z[by], of[by]
+    far = np.maximum.accumulate(of * 1024 + z + 256)  # a string's stretches are within 256 bytes of its anchor
+    new = np.append(True, (of * 1024 + a + 256)[1:] > far[:-1]) if len(of) else np.zeros(0, bool)
+    return of[new], a[new], (far - of * 1024 - 256)[np.append(new[1:], True)] if len(of) else z
 
 
 _ANCHOR = "h long, ctx long, doc_id long, text_hash long, at int, flags byte"
@@ -489,35 +497,52 @@ def judged_contexts(h, ctx, left, context: list[bytes], doc, text, at, copies) -
     rank[np.lexsort((at, text, doc))] = np.arange(n)
     _, group = _runs(h)
     several = np.bincount(group)[group] > 1
-    # those that follow are contexts of their own, after all first ones
     some = np.nonzero(several)[0]
-    rows = np.concatenate([some, some[copies[some]]])
-    ranks = np.concatenate([rank[some], n + rank[some[copies[some]]]])
-    follows = np.arange(len(rows)) >= len(some)
-    llen = left[rows].astype(np.int64)
-    held = [context[i] for i in rows.tolist()]
+    llen = left[some].astype(np.int64)
+    held = [context[i] for i in some.tolist()]
     rlen = np.array([len(c) for c in held], np.int64) - llen
-    lefts = np.frombuffer(b"".join(c[:m][::-1].ljust(LEFT, b"\0") for c, m in zip(held, llen.tolist())), np.uint8).reshape(-1, LEFT)
-    rights = np.frombuffer(b"".join(c[m:].ljust(WINDOW, b"\0") for c, m in zip(held, llen.tolist())), np.uint8).reshape(-1, WINDOW)
-    s, starts, ends, of_rank, owner = _strings(group[rows], ranks, lefts, llen, rights, rlen) if len(rows) else ([], [], [], [], [])
-    # a lone context differs from no other: it is one block, first occurrence and those that follow
-    lone = np.nonzero(~several & copies)[0].tolist()
-    symbol, place = max(s, default=1) + 1, len(rows)
-    for k, i in enumerate(lone):
-        a, z = -int(left[i]), len(context[i]) - int(left[i])
-        s += [symbol + k, 1, symbol + k, 1]
-        starts += [a, 0, a, 0]
-        ends += [z, 0, z, 0]
-        of_rank += [int(rank[i])] * 2 + [n + int(rank[i])] * 2
-        owner += [place + 2 * k] * 2 + [place + 2 * k + 1] * 2
-    rows = np.concatenate([rows, np.repeat(np.array(lone, np.int64), 2)])
-    follows = np.concatenate([follows, np.tile([False, True], len(lone))])
-    lost: dict[int, list[tuple[int, int]]] = {}
-    for i, a, z in matched(s, starts, ends, of_rank, owner):
-        lost.setdefault(i, []).append((a, z))
-    found = [(i, a, z) for i, spans in lost.items() for a, z in _union(spans)]
-    i, a, z = np.array(found, np.int64).reshape(-1, 3).T
-    return _batch(_VERDICT, h[rows[i]], ctx[rows[i]], follows[i].astype(bool), a.astype(np.int32), z.astype(np.int32))
+    lefts = np.frombuffer(b"".join([c[:m][::-1].ljust(LEFT, b"\0") for c, m in zip(held, llen.tolist())]), np.uint8).reshape(-1, LEFT)
+    rights = np.frombuffer(b"".join([c[m:].ljust(WINDOW, b"\0") for c, m in zip(held, llen.tolist())]), np.uint8).reshape(-1, WINDOW)
+    of, block_of, a, z, code = _classes(group[some], copies[some], lefts, llen, rights, rlen)
+    # a lone context differs from no other: it is one block and a class of its own
+    lone = np.nonzero(~several & copies)[0]
+    n_classes, n_all = (int(of.max()) + 1 if len(of) else 0), (int(of.max()) + 1 if len(of) else 0) + len(lone)
+    kind = np.full(n, -1, np.int64)
+    kind[some], kind[lone] = of, n_classes + np.arange(len(lone))
+    has = np.nonzero(kind >= 0)[0]
+    has = has[np.argsort(rank[has], kind="stable")]
+    leader = np.full(n_all, -1, np.int64)
+    leader[kind[has][::-1]] = has[::-1]  # the first occurrence of a class
+    follows = np.bincount(kind[has], 1 + copies[has], minlength=n_all) > 1
+    # each class once as its first occurrence (string k) and once more for those that follow, after all first ones (n_all + k)
+    block = [block_of, a, z, code + 2]
+    close = [np.arange(n_classes), np.zeros(n_classes, np.int64), np.zeros(n_classes, np.int64), np.ones(n_classes, np.int64)]
+    block = [np.concatenate(x) for x in zip(block, close)]
+    by = np.lexsort((block[3] == 1, block[0]))  # blocks are in order already
+    block = [x[by] for x in block]
+    again = follows[block[0]] if n_classes else np.zeros(0, bool)
+    single = np.arange(n_classes, n_all)
+    length = np.array([len(context[i]) for i in lone.tolist()], np.int64)
+    symbol = (int(code.max()) if len(code) else 0) + 3 + np.arange(len(lone))
+    strings = np.concatenate([block[0], n_all + block[0][again], single, n_all + single])
+    starts = np.concatenate([block[1], block[1][again], *[-left[lone].astype(np.int64)] * 2])
+    ends = np.concatenate([block[2], block[2][again], *[length - left[lone]] * 2])
+    symbols = np.concatenate([block[3], block[3][again], symbol, symbol])
+    ranks = np.append(rank[leader], n + rank[leader])[strings]
+    string, a, z = matched(symbols, starts, ends, ranks, strings)
+    # what goes to whom: the first occurrence of a class; the others of it; and what follows each
+    lead = string < n_all
+    of_class = np.argsort(kind[has], kind="stable")
+    members, begin = has[of_class], np.searchsorted(kind[has][of_class], np.arange(n_all + 1))
+    which = string[~lead] - n_all
+    times = begin[which + 1] - begin[which]
+    to = members[np.repeat(begin[which] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+    a_to, z_to, of_to = (np.repeat(x, times) for x in (a[~lead], z[~lead], which))
+    others, followed = leader[of_to] != to, copies[to]
+    row = np.concatenate([leader[string[lead]], to[others], to[followed]])
+    later = np.repeat([False, True], [int(lead.sum()) + int(others.sum()), int(followed.sum())])
+    a, z = np.concatenate([a[lead], a_to[others], a_to[followed]]), np.concatenate([z[lead], z_to[others], z_to[followed]])
+    return _batch(_VERDICT, h[row], ctx[row], later, a.astype(np.int32), z.astype(np.int32))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -556,16 +581,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield judged(held)
 
 
-def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, z in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
-
-
 def _kept(raw: bytes, cuts: list[int]) -> bytes:
     return b"".join(raw[a:z] for a, z in zip([0, *cuts[1::2]], [*cuts[::2], len(raw)]))
 
