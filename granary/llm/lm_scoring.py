@@ -7,6 +7,9 @@ the target model's loss less the background model's: below zero, it is more like
 
 p(w | v) = (c(v, w) + mass * p(w)) / (c(v) + mass), with p(w) = (c(w) + 1) / (n + words + 1).
 
+A document's own counts are left out of both models when it is scored, so that what it alone says helps it in
+neither: a text that occurs twice is known to the background, one that occurs once is not.
+
 Counts are exact and over all documents: tasks count their words and pairs, which meet by partial sums in
 a table that grows with the input (keys are 64-bit hashes). A pair that is not in it occurs once.
 
@@ -17,8 +20,9 @@ scores do not depend on their sizes.
 
 Defined cases: a null or empty text has no tokens, and losses and score 0; texts of any length are read
 whole; a document is a target once, however often its label repeats; repeated documents count as often
-as they come; without target texts the target model is uniform; an empty table gives an empty result;
-other columns are ignored.
+as they come; without other target texts the target model is uniform; words of equal counts are known by
+table or by join as their counts fall, which changes no score; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,7 +60,7 @@ class _Words:
         words, memo = raw.lower().split(), self.memo
         new = set(words).difference(memo)
         if new:
-            if len(memo) + len(new) > 600_000:
+            if len(memo) + len(new) > 200_000:
                 memo.clear()
                 new = set(words)
             memo.update((w, word_hash(w)) for w in new)
@@ -135,7 +139,7 @@ def _marked(base: DataFrame, targets: DataFrame) -> DataFrame:
     """base with a column target: whether doc_id is a target.
 
     The target ids are a list over the universe of all doc_ids, so a filter cascade tells exactly, without
-    moving any text; a list beyond the cascade's bound is joined.
+    moving any text; a list beyond the cascade's bound is joined, with the same result.
     """
     chosen = targets.select(F.col("doc_id").cast("long").cast("string").alias("key"))
     key = F.col("doc_id").cast("string")
@@ -145,10 +149,10 @@ def _marked(base: DataFrame, targets: DataFrame) -> DataFrame:
     return base.join(chosen.distinct().select(F.col("key").cast("long").alias("doc_id"), F.lit(True).alias("target")), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
-_SCHEMA = "uid long, doc_id long, n_tokens long, lt double, lb double, pair long, n2 long, t2 long, word long, n1 long, t1 long"
+_SCHEMA = "uid long, doc_id long, n_tokens long, lt double, lb double, before boolean, own boolean, size long, pair long, n2 long, t2 long, o2 long, word long, n1 long, t1 long, o1 long"
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, hot_words: int = 1 << 19, bits: int = 22, mass: float = 50.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, hot_words: int = 1 << 18, bits: int = 21, mass: float = 50.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score of every row. targets: doc_id of the target texts."""
     marked = _marked(texts(docs, id_col=id_col, text_col=text_col), targets).select("doc_id", "text", F.col("target").cast("boolean").alias("target"))
     context = docs.sparkSession.sparkContext
@@ -158,7 +162,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, hot_words:
     is_word = F.col("key") != START
     total = words.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.when(is_word, F.col("n")), F.when(is_word, F.col("t")), F.col("n"), F.col("t"), F.when(is_word, F.lit(1))))).first()
     n_words, scale = total[4], total[3] / total[2] if total[2] and total[3] else 1.0
-    n_target, n_background = float(total[1]), total[0] * scale
+    n_target, n_background = float(total[1]), float(total[0])
 
     hot_word, hot_pair = _hot(words, hot_words), _hot(pairs, 1 << bits)
     spot, width = F.explode(F.array(F.shiftrightunsigned("key", 58 - bits), F.col("key").bitwiseAND((1 << (bits + 6)) - 1))), 1 << bits
@@ -170,6 +174,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, hot_words:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, (of_word, of_pair, mask) = _Words(), known.value
         uid = TaskContext.get().partitionId() << 33
+        names = [x.split()[0] for x in _SCHEMA.split(", ")]
 
         def in_filter(keys):
             out = np.ones(len(keys), bool)
@@ -177,6 +182,14 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, hot_words:
                 out &= (mask[(x >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (x & np.uint64(63))) & np.uint64(1) == 1
             return out
 
+        def looked_up(table, keys, doc, own):
+            """Of each key: whether its counts are known, the counts (of one that is nowhere: this once), and how often its document has it."""
+            u, back = np.unique(keys, return_inverse=True)
+            hit, n, t = _look_up(table, u)
+            has, hit, n, t = (hit | ~in_filter(u))[back], hit[back], n[back], t[back]
+            _, at, times = np.unique(doc * len(u) + back, return_inverse=True, return_counts=True)
+            return has, np.where(hit, n, 1), np.where(hit, t, own), times[at]
+
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 rows = b.slice(at, 512)
@@ -189,54 +202,55 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, hot_words:
                 cold = []
                 if some:
                     doc, w = np.repeat(np.arange(len(ids)), sizes), np.concatenate(some)
-                    v = _before(some)
-                    own = np.repeat(np.array(rows.column(2).to_pylist(), np.int64), sizes)
-                    u, back = np.unique(np.concatenate([w, v]), return_inverse=True)
-                    hit, n1, t1 = _look_up(of_word, u)
-                    has, hit, n1, t1 = (hit | ~in_filter(u))[back], hit[back], n1[back], t1[back]
-                    n1, t1 = np.where(hit, n1, 1), np.where(hit, t1, np.tile(own, 2))
-                    has_w, has_v = has[: len(w)], has[len(w) :]
+                    v, m = _before(some), len(w)
+                    is_target = np.array(rows.column(2).to_pylist(), np.int64)
+                    own = is_target[doc]
+                    # words and starts of the documents together, as the word before may be either
+                    full = np.nonzero(sizes)[0]
+                    has, n1, t1, o1 = looked_up(of_word, np.concatenate([w, np.full(len(full), START)]), np.append(doc, full), np.append(own, is_target[full]))
+                    place = np.arange(m) - 1  # where the word before is
+                    firsts = np.cumsum(np.append(0, sizes[full][:-1]))
+                    place[firsts] = m + np.arange(len(full))
+                    has_w, has_v = has[:m], has[place]
                     pair = _pair(v, w)
-                    u, back = np.unique(pair, return_inverse=True)
-                    hit, n2, t2 = _look_up(of_pair, u)
-                    has_p, hit, n2, t2 = (hit | ~in_filter(u))[back], hit[back], n2[back], t2[back]
-                    n2, t2 = np.where(hit, n2, 1), np.where(hit, t2, own)
+                    has_p, n2, t2, o2 = looked_up(of_pair, pair, doc, own)
                     whole = has_w & has_p
-                    for into, f, n, two, one in ((lt, 1.0, n_target, t2, t1), (lb, scale, n_background, n2, n1)):
-                        p_word = (f * one[: len(w)] + 1) / (n + n_words + 1)
+                    for into, f, n, two, one, mine in ((lt, 1.0, n_target, t2 - own * o2, t1 - np.append(own, is_target[full]) * o1, own), (lb, scale, n_background, n2 - o2, n1 - o1, 1)):
+                        p_word = (f * one[:m] + 1) / (f * (n - mine * sizes[doc]) + n_words + 1)
                         into -= np.bincount(doc[whole], np.log(f * two + mass * p_word)[whole], len(ids))
-                        into += np.bincount(doc[has_v], np.log(f * one[len(w) :] + mass)[has_v], len(ids))
+                        into += np.bincount(doc[has_v], np.log(f * one[place] + mass)[has_v], len(ids))
                     open_, before = np.nonzero(~whole)[0], np.nonzero(~has_v)[0]
-                    no = np.zeros(len(before), np.int64)
+                    both, of = np.concatenate([open_, before]), np.concatenate([open_, place[before]])
+                    is_before = np.arange(len(both)) >= len(open_)
                     cold = [
-                        np.concatenate([uids[doc[open_]], uids[doc[before]]]),
-                        pa.array(np.concatenate([pair[open_], no]), mask=np.concatenate([has_p[open_], no == 0])),
-                        pa.array(np.concatenate([n2[open_], no])),  # 0: only the word before is asked for
-                        pa.array(np.concatenate([t2[open_], no])),
-                        pa.array(np.concatenate([w[open_], v[before]]), mask=np.concatenate([has_w[open_], no != 0])),
-                        pa.array(np.concatenate([n1[: len(w)][open_], no])),
-                        pa.array(np.concatenate([t1[: len(w)][open_], no])),
-                    ]
-                names = [x.split()[0] for x in _SCHEMA.split(", ")]
-                longs = pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(uids), rows.column(0), pa.array(sizes.astype(np.int64)), pa.array(lt), pa.array(lb), *[longs] * 6], names)
+                        pa.array(is_before), pa.array(own[both] == 1), pa.array(sizes[doc[both]]),
+                        pa.array(pair[both], mask=is_before | has_p[both]), pa.array(n2[both]), pa.array(t2[both]), pa.array(o2[both]),
+                        pa.array(np.where(is_before, v[both], w[both]), mask=~is_before & has_w[both]), pa.array(n1[of]), pa.array(t1[of]), pa.array(o1[of]),
+                    ]
+                longs, no = pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(uids), rows.column(0), pa.array(sizes.astype(np.int64)), pa.array(lt), pa.array(lb), no, no, *[longs] * 9], names)
                 if cold and len(cold[0]):
                     n = len(cold[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(cold[0]), *[pa.nulls(n, pa.int64())] * 2, *[pa.nulls(n, pa.float64())] * 2, *cold[1:]], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[doc[both]]), *[pa.nulls(n, pa.int64())] * 2, *[pa.nulls(n, pa.float64())] * 2, *cold], names)
         pa.default_memory_pool().release_unused()
 
     sent = durable(marked.mapInArrow(score, _SCHEMA), "losses")
-    cold = sent.filter(F.col("n_tokens").isNull()).select("uid", "pair", "n2", "t2", "word", "n1", "t1")
-    asked = cold.filter(F.col("word").isNotNull()).join(words.select(F.col("key").alias("word"), F.col("n").alias("n"), F.col("t").alias("t")), "word")
-    told = asked.select("uid", "pair", "n2", "t2", F.col("n").alias("n1"), F.col("t").alias("t1")).unionByName(cold.filter(F.col("word").isNull()).drop("word"))
-    asked = told.filter(F.col("pair").isNotNull()).join(pairs.filter(F.col("n") < hot_pair).select(F.col("key").alias("pair"), "n", "t"), "pair", "left")
-    told = asked.select("uid", F.coalesce("n", "n2").alias("n2"), F.coalesce("t", "t2").alias("t2"), "n1", "t1").unionByName(told.filter(F.col("pair").isNull()).drop("pair"))
-
-    def loss(f, n, two, one):
-        p_word = (f * F.col(one) + 1.0) / F.lit(n + n_words + 1.0)
-        return F.when(F.col("n2") == 0, F.log(f * F.col(one) + mass)).otherwise(-F.log(f * F.col(two) + mass * p_word))
-
-    more = told.groupBy("uid").agg(F.sum(loss(F.lit(1.0), n_target, "t2", "t1")).alias("mt"), F.sum(loss(F.lit(float(scale)), n_background, "n2", "n1")).alias("mb"))
+    # what the broadcasts did not settle: the word's counts first, then the pair's
+    cold = sent.filter(F.col("n_tokens").isNull()).drop("doc_id", "n_tokens", "lt", "lb")
+    of_words = words.select(F.col("key").alias("word"), "n", "t")
+    asked = cold.filter(F.col("word").isNotNull()).join(of_words, "word").withColumns({"n1": F.col("n"), "t1": F.col("t")}).drop("word", "n", "t")
+    told = asked.unionByName(cold.filter(F.col("word").isNull()).drop("word"))
+    of_pairs = pairs.filter(F.col("n") < hot_pair).select(F.col("key").alias("pair"), "n", "t")
+    asked = told.filter(F.col("pair").isNotNull()).join(of_pairs, "pair", "left").withColumns({"n2": F.coalesce("n", "n2"), "t2": F.coalesce("t", "t2")}).drop("pair", "n", "t")
+    told = asked.unionByName(told.filter(F.col("pair").isNull()).drop("pair"))
+
+    def loss(f, n, two, one, mine):
+        c1, c2 = f * (F.col(one) - mine * F.col("o1")), f * (F.col(two) - mine * F.col("o2"))
+        p_word = (c1 + 1.0) / (f * (F.lit(n) - mine * F.col("size")) + F.lit(n_words + 1.0))
+        return F.when(F.col("before"), F.log(c1 + mass)).otherwise(-F.log(c2 + mass * p_word))
+
+    mt, mb = loss(F.lit(1.0), n_target, "t2", "t1", F.col("own").cast("int")), loss(F.lit(float(scale)), n_background, "n2", "n1", F.lit(1))
+    more = told.groupBy("uid").agg(F.sum(mt).alias("mt"), F.sum(mb).alias("mb"))
     base = sent.filter(F.col("n_tokens").isNotNull()).join(more, "uid", "left")
     mean = [(F.coalesce((F.col(a) + F.coalesce(b, F.lit(0.0))) / F.nullif("n_tokens", F.lit(0)), F.lit(0.0))).alias(c) for a, b, c in (("lt", "mt", "loss_target"), ("lb", "mb", "loss_background"))]
     return base.select("doc_id", "n_tokens", *mean).withColumn("score", F.col("loss_target") - F.col("loss_background"))
