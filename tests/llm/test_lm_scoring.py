@@ -59,7 +59,7 @@ def test_texts_that_occur_twice_are_told_apart(spark):
     assert max(twice) < min(got[i] for i in range(20, 200))
 
 
-@pytest.mark.parametrize(("bits", "hot_words"), [(0, 0), (4, 50), (10, 1000), (21, 1 << 18)])
+@pytest.mark.parametrize(("bits", "hot_words"), [(0, 0), (4, 50), (10, 1000), (22, 1 << 20)])
 def test_every_word_and_pair_counts(spark, bits, hot_words):
     """70,000 words and some 200,000 pairs: more than fit what is broadcast, and each has its own count."""
     rng = random.Random(3)
