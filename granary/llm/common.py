@@ -18,9 +18,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a new folder, but only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -51,7 +53,25 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/granary-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind what :func:`durable` returned, when nothing will read it again."""
+    _written[:] = [x for x in _written if x[1] != df.durable_path]
+    forget(df.sparkSession, df.durable_path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, as a durable table; the tables made on the way are deleted."""
+    before = len(_written)
+    out = durable(make(), name)
+    for spark, path in _written[before:-1]:
+        forget(spark, path)
+    del _written[before:-1]
+    return out
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:

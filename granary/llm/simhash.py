@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import arrow_map, durable, texts, utf8
+from granary.llm.common import arrow_map, discard, durable, texts, utf8
 
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Generator polynomial of the binary Golay code of length 23: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -308,7 +308,8 @@ def components(edges: DataFrame, *, name: str = "component") -> DataFrame:
     now = durable(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), name)
     before = None
     while True:
-        now = durable(star(star(now, True), False), name)
+        last, now = now, durable(star(star(now, True), False), name)
+        discard(last)
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if before == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
