@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.expressions import ancestors, parent, rollup_sum, strict_sum
+from granary.operators.ranges import sum_before
 
 
 def with_first_occurrence(files: DataFrame) -> DataFrame:
@@ -93,16 +94,15 @@ def nested_intervals(tree: DataFrame) -> DataFrame:
     """dfs_left and dfs_right of every row of a tree (source_id, path), children in the order of their paths.
 
     left = 2 * position - 1 - depth and right = left + 2 * size - 1, from the preorder position (from 1),
-    depth and subtree size: no recursion. The position is counted within a source.
+    depth and subtree size: no recursion. The position is counted within a source, by ranges of its paths.
     """
-    from pyspark.sql import Window
-
     parts = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "/"))
     rows = tree.select("source_id", "path", parts.alias("parts"))
     sizes = rows.select("source_id", F.explode(F.when(F.col("path") == "", F.array(F.lit(""))).otherwise(F.array_append(ancestors("path"), F.col("path")))).alias("path")).groupBy("source_id", "path").agg(F.count(F.lit(1)).alias("subtree"))
-    preorder = F.row_number().over(Window.partitionBy("source_id").orderBy("parts"))
-    left = (2 * F.col("preorder") - 1 - F.size("parts")).cast("long")
-    return rows.withColumn("preorder", preorder).join(sizes, ["source_id", "path"]).select("source_id", "path", left.alias("dfs_left"), (left + 2 * F.col("subtree") - 1).alias("dfs_right"))
+    # paths in the order of their parts: a separator comes before any character of a name
+    numbered = sum_before(rows, ["source_id"], F.translate("path", "/", "\0"), F.lit(1), "earlier")
+    left = (2 * (F.col("earlier") + 1) - 1 - F.size("parts")).cast("long")
+    return numbered.join(sizes, ["source_id", "path"]).select("source_id", "path", left.alias("dfs_left"), (left + 2 * F.col("subtree") - 1).alias("dfs_right"))
 
 
 def observation_status(entries: DataFrame) -> DataFrame:

@@ -66,3 +66,21 @@ def change_counts(diffs: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def comparison_rows(diffs: dict[str, DataFrame]) -> DataFrame:
+    """The differences of all sections as section, row_key and change."""
+    out = None
+    for name, d in diffs.items():
+        rows = d.select(F.lit(name).alias("section"), row_key(name).alias("row_key"), "change")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def comparison_page(rows: DataFrame, limit: int, *, section: str | None = None, after: tuple[str, str] | None = None) -> DataFrame:
+    """A page by (section, row_key), of one section or all, after the last row of the page before."""
+    if section is not None:
+        rows = rows.filter(F.col("section") == section)
+    if after is not None:
+        rows = rows.filter((F.col("section") > after[0]) | ((F.col("section") == after[0]) & (F.col("row_key") > after[1])))
+    return rows.orderBy("section", "row_key").limit(limit)

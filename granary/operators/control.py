@@ -189,3 +189,10 @@ def misfires(occurrences: DataFrame, now, window_hours: int = 6) -> DataFrame:
     at = F.lit(now).cast("timestamp")
     latest = occurrences.filter((F.col("planned_at") <= at) & ~F.col("skipped_nonexistent")).groupBy("profile_id").agg(F.max("planned_at").alias("planned_at"))
     return latest.filter(F.col("planned_at") >= at - F.expr(f"interval {int(window_hours)} hours"))
+
+
+def occurrence_listing(occurrences: DataFrame, limit: int = 50) -> DataFrame:
+    """Occurrences, latest first: by the planned instant, or the local wall time where there is none; then by key. 1 to 1000 rows, with their place."""
+    order = [F.coalesce("planned_at", "planned_local_at").desc(), F.col("occurrence_key").desc()]
+    top = occurrences.orderBy(*order).limit(min(max(limit, 1), 1000))
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))

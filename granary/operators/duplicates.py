@@ -2,7 +2,8 @@
 
 Stages, each keeping what the next has to read small: sizes with two identities or more; candidate
 keys; sample fingerprints of large files; whole contents only where a peer shares the sample; groups.
-Contents never take part in a shuffle: they are hashed where they lie.
+Sizes and identities come first, from a table without contents; contents are a table of their own (entry_id,
+content) and read by semi-joins with the few entries that the stage before left.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import expressions as X
+from granary.operators.ranges import sum_before
 
 
 def size_buckets(files: DataFrame, minimum: int = 1, maximum: int | None = None) -> DataFrame:
@@ -21,12 +23,30 @@ def size_buckets(files: DataFrame, minimum: int = 1, maximum: int | None = None)
     return ids.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("identities")).filter("identities > 1")
 
 
-def candidates(files: DataFrame, *, minimum: int = 1, maximum: int | None = None, same_name: bool = False, same_mtime: bool = False, region: int = X.SAMPLE_REGION, threshold: int = X.SAMPLE_THRESHOLD) -> DataFrame:
-    """Files in a size bucket, with key, sample and whole digest; ``content`` is read but not kept."""
-    hashed = files.withColumn("sample_hash", X.sample_fingerprint("content", region=region, threshold=threshold)).withColumn("full_sha256", X.content_sha256("content")).drop("content")
+def candidates(files: DataFrame, *, minimum: int = 1, maximum: int | None = None, same_name: bool = False, same_mtime: bool = False) -> DataFrame:
+    """Files in a size bucket with an identity, and their candidate key. No content is read."""
     buckets = size_buckets(files, minimum, maximum).select("size_bytes")
-    key = X.candidate_key(F.col("size_bytes"), F.col("display_name") if same_name else None, (F.col("mtime_sec"), F.col("mtime_nsec")) if same_mtime else None)
-    return hashed.join(buckets, "size_bytes", "left_semi").filter(F.col("file_identity_key").isNotNull()).withColumn("candidate_key", key)
+    key = candidate_key_of(same_name, same_mtime)
+    known = files.filter(F.col("file_identity_key").isNotNull())
+    return known.join(buckets, "size_bytes", "left_semi").withColumn("candidate_key", key)
+
+
+def candidate_key_of(same_name: bool, same_mtime: bool) -> Column:
+    return X.candidate_key(F.col("size_bytes"), F.col("display_name") if same_name else None, (F.col("mtime_sec"), F.col("mtime_nsec")) if same_mtime else None)
+
+
+def sampled(found: DataFrame, contents: DataFrame, *, region: int = X.SAMPLE_REGION, threshold: int = X.SAMPLE_THRESHOLD) -> DataFrame:
+    """found with sample_hash: the sample of files over the threshold, null for the others. Only the large ones are read."""
+    large = found.filter(F.col("size_bytes") > threshold).select("entry_id")
+    samples = contents.join(large, "entry_id", "left_semi").select("entry_id", X.sample_fingerprint("content", region=region, threshold=threshold).alias("sample_hash"))
+    return found.join(samples, "entry_id", "left")
+
+
+def hashed(found: DataFrame, contents: DataFrame, *, region: int = X.SAMPLE_REGION, threshold: int = X.SAMPLE_THRESHOLD) -> DataFrame:
+    """Those of found that may have an equal, with sample_hash and full_sha256: whole contents are read of survivors only."""
+    left = survivors(sampled(found, contents, region=region, threshold=threshold), threshold)
+    digests = contents.join(left.select("entry_id"), "entry_id", "left_semi").select("entry_id", X.content_sha256("content").alias("full_sha256"))
+    return left.join(digests, "entry_id")
 
 
 def skip_reason(available: Column, metadata_only: Column, remote: Column, over_budget: Column) -> Column:
@@ -34,15 +54,16 @@ def skip_reason(available: Column, metadata_only: Column, remote: Column, over_b
     return F.when(~available, "source_unavailable").when(metadata_only, "metadata_only").when(remote, "remote_content_disallowed").when(over_budget, "hash_budget_exceeded")
 
 
-def within_budget(found: DataFrame, budget: int) -> DataFrame:
+def within_budget(found: DataFrame, budget: int, ranges: int = 64) -> DataFrame:
     """Adds within_budget: whether the running total of bytes, by size and entry, stays inside the budget.
 
-    The total over earlier sizes comes from sums by size, so only files of equal size are ordered together.
+    The total over smaller sizes comes from sums by size, the rest from files of equal size; both in ranges, so
+    that neither all sizes nor all files of one size are ordered in one task.
     """
-    sums = found.groupBy("size_bytes").agg(F.sum("size_bytes").alias("bytes"))
-    before = sums.withColumn("before", F.coalesce(F.sum("bytes").over(Window.orderBy("size_bytes").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("bytes")
-    own = F.sum("size_bytes").over(Window.partitionBy("size_bytes").orderBy("entry_id").rowsBetween(Window.unboundedPreceding, 0))
-    return found.join(before, "size_bytes").withColumn("within_budget", F.col("before") + own <= budget).drop("before")
+    sums = found.groupBy("size_bytes").agg(F.sum("size_bytes").alias("bytes")).withColumn("all", F.lit(0))
+    before = sum_before(sums, ["all"], F.col("size_bytes"), F.col("bytes"), "before", ranges).select("size_bytes", "before")
+    own = sum_before(found, ["size_bytes"], F.col("entry_id"), F.col("size_bytes"), "own", ranges)
+    return own.join(before, "size_bytes").withColumn("within_budget", F.col("before") + F.col("own") + F.col("size_bytes") <= budget).drop("before", "own")
 
 
 def survivors(found: DataFrame, threshold: int = X.SAMPLE_THRESHOLD) -> DataFrame:
@@ -73,6 +94,11 @@ def members(found: DataFrame, group_table: DataFrame, listed: int = 1000) -> Dat
     return alias.withColumn("place", place).filter(F.col("place") <= listed).select(F.col("full_sha256").alias("sha256"), "entry_id", "is_hardlink_alias")
 
 
+def member_details(listed: DataFrame, files: DataFrame, digests: DataFrame) -> DataFrame:
+    """Members with their entries, and what is known of their digests (null where nothing is): entry_id, sample_hash, full_sha256."""
+    return listed.join(files, "entry_id").join(digests.select("entry_id", "sample_hash", "full_sha256"), "entry_id", "left")
+
+
 def with_alias_flag(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("file_identity_key").agg(F.min("entry_id").alias("first_id"))
     return rows.join(first, "file_identity_key").withColumn("is_hardlink_alias", F.col("entry_id") > F.col("first_id")).drop("first_id")

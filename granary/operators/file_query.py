@@ -157,8 +157,8 @@ class Order:
     def columns(self) -> list[Column]:
         def way(k):
             c = F.col(k)
-            if self.descending:
-                return c.desc_nulls_last() if self.nulls_last else c.desc_nulls_last()
+            if self.descending:  # nulls are smallest, and so last
+                return c.desc_nulls_last()
             return c.asc_nulls_last() if self.nulls_last else c.asc_nulls_first()
 
         return [*map(way, self.keys), *(F.col(k).asc() for k in self.tie)]

@@ -8,7 +8,7 @@ from granary.operators import aggregates as A
 from granary.operators import duplicates as D
 from granary.operators.rankings import ranking
 from granary.registry import query
-from granary.sources.bindings import FILE_ENTRIES_SQL, ORDER_ENTRIES_SQL, file_entries, order_entries, table
+from granary.sources.bindings import FILE_ENTRIES_SQL, ORDER_ENTRIES_SQL, file_contents, file_entries, order_entries, table
 
 STRICT = "CASE WHEN count({0}) = count(*) THEN sum({0})::BIGINT END"
 _SIZE, _ALLOC = STRICT.format("size_bytes"), STRICT.format("allocated_bytes_estimate")
@@ -110,28 +110,28 @@ def a12(spark, sf):
 
 _GROUPS = """, hashed AS (SELECT *, sha256(content) AS sha256 FROM file_entries WHERE size_bytes >= 1 AND file_identity_key IS NOT NULL),
 groups AS (
-  SELECT size_bytes, 'size:' || size_bytes AS candidate_key, sha256, count(*) AS member_count, count(DISTINCT file_identity_key) AS identities, least(count(*), 3) AS listed_member_count,
-    (count(DISTINCT file_identity_key) - 1) * size_bytes AS logical_redundancy_bytes, count(*) > 3 AS truncated, CASE WHEN count(*) > 3 THEN 'hash_incomplete' ELSE 'hash_complete' END AS verification
+  SELECT size_bytes, 'size:' || size_bytes AS candidate_key, sha256, count(*) AS member_count, count(DISTINCT file_identity_key) AS identities, least(count(*), 1000) AS listed_member_count,
+    (count(DISTINCT file_identity_key) - 1) * size_bytes AS logical_redundancy_bytes, count(*) > 1000 AS truncated, CASE WHEN count(*) > 1000 THEN 'hash_incomplete' ELSE 'hash_complete' END AS verification
   FROM hashed GROUP BY 1, 2, 3 HAVING count(DISTINCT file_identity_key) > 1) """
 
 
-def _candidates(spark, sf):
-    return D.candidates(file_entries(spark, sf, content=True))
+def _hashed(spark, sf):
+    return D.hashed(D.candidates(file_entries(spark, sf)), file_contents(spark, sf))
 
 
 @query("a13_duplicate_groups", FILE_ENTRIES_SQL + _GROUPS + "SELECT * FROM groups")
 def a13(spark, sf):
-    return D.groups(_candidates(spark, sf), listed=3)
+    return D.groups(_hashed(spark, sf))
 
 
 @query("a14_redundancy_total", FILE_ENTRIES_SQL + _GROUPS + "SELECT count(*) AS group_count, sum(logical_redundancy_bytes)::DECIMAL(38, 0) AS redundant_bytes FROM groups")
 def a14(spark, sf):
-    return D.redundancy_total(D.groups(_candidates(spark, sf), listed=3))
+    return D.redundancy_total(D.groups(_hashed(spark, sf)))
 
 
 @query("d1_size_candidates", FILE_ENTRIES_SQL + ", b AS (SELECT size_bytes FROM file_entries WHERE size_bytes >= 1 GROUP BY 1 HAVING count(DISTINCT file_identity_key) > 1) SELECT entry_id, 'size:' || size_bytes || '|name:' || lower(hex(display_name)) || '|mtime:' || mtime_sec || '.' || mtime_nsec AS candidate_key FROM file_entries WHERE size_bytes IN (FROM b) AND file_identity_key IS NOT NULL")
 def d1(spark, sf):
-    return D.candidates(file_entries(spark, sf, content=True), same_name=True, same_mtime=True).select("entry_id", "candidate_key")
+    return D.candidates(file_entries(spark, sf), same_name=True, same_mtime=True).select("entry_id", "candidate_key")
 
 
 @query("d3_skip_reasons", FILE_ENTRIES_SQL + "SELECT source_id, CASE WHEN source_id = 'src1' THEN 'source_unavailable' WHEN source_id = 'src2' THEN 'metadata_only' WHEN uid % 10 = 3 THEN 'remote_content_disallowed' WHEN size_bytes > 20000 THEN 'hash_budget_exceeded' END AS skip_reason, count(*) AS n FROM file_entries GROUP BY 1, 2")
@@ -140,30 +140,49 @@ def d3(spark, sf):
     return file_entries(spark, sf).groupBy("source_id", reason.alias("skip_reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d4_sample_survivors", FILE_ENTRIES_SQL + """, s AS (SELECT *, CASE WHEN size_bytes > 600 THEN content[1:200] END AS head FROM file_entries WHERE size_bytes >= 1 AND file_identity_key IS NOT NULL),
-b AS (SELECT size_bytes FROM file_entries WHERE size_bytes >= 1 GROUP BY 1 HAVING count(DISTINCT file_identity_key) > 1)
-SELECT entry_id FROM s WHERE size_bytes IN (FROM b) AND (size_bytes <= 600 OR EXISTS (SELECT 1 FROM s t WHERE t.size_bytes = s.size_bytes AND t.entry_id <> s.entry_id AND sha256(t.content) = sha256(s.content)))""")
+#: Samples of 200 bytes beyond 600: the texts are short. Of the same layout as the defaults.
+_SAMPLES = """, s AS (SELECT entry_id, size_bytes, CASE WHEN size_bytes > 600 THEN substr(hex(content), 1, 400) || substr(hex(content), 2 * (size_bytes // 2 - 100) + 1, 400) || substr(hex(content), 2 * (size_bytes - 200) + 1, 400) END AS sample
+  FROM file_entries WHERE size_bytes >= 1 AND file_identity_key IS NOT NULL), b AS (SELECT size_bytes FROM file_entries WHERE size_bytes >= 1 GROUP BY 1 HAVING count(DISTINCT file_identity_key) > 1) """
+
+
+@query("d4_sample_survivors", FILE_ENTRIES_SQL + _SAMPLES + "SELECT entry_id FROM s WHERE size_bytes IN (FROM b) QUALIFY sample IS NULL OR count(*) OVER (PARTITION BY size_bytes, sample) > 1")
 def d4(spark, sf):
-    # a sample is equal wherever whole contents are; on these texts also only there
-    found = D.candidates(file_entries(spark, sf, content=True), region=200, threshold=600)
+    found = D.sampled(D.candidates(file_entries(spark, sf)), file_contents(spark, sf), region=200, threshold=600)
     return D.survivors(found, threshold=600).select("entry_id")
 
 
+_LE = "printf('%02x%02x%02x%02x00000000', {0} % 256, {0} // 256 % 256, {0} // 65536 % 256, {0} // 16777216)"
+
+
+@query("f12_sample_fingerprints", FILE_ENTRIES_SQL + ", p AS (SELECT entry_id, size_bytes AS n, hex(content) AS h, unnest([0, size_bytes // 2 - 100, size_bytes - 200]) AS o, unnest([1, 2, 3]) AS k FROM file_entries WHERE size_bytes > 600)"
+  + f" SELECT entry_id, sha256(unhex('01000000' || {_LE.format('n')} || string_agg({_LE.format('o')} || {_LE.format('200')} || substr(h, 2 * o + 1, 400), '' ORDER BY k))) AS sample_hash FROM p GROUP BY entry_id, n")
+def f12(spark, sf):
+    return D.sampled(file_entries(spark, sf).filter("size_bytes > 600"), file_contents(spark, sf), region=200, threshold=600).select("entry_id", "sample_hash")
+
+
 @query("d6_byte_budget", FILE_ENTRIES_SQL + ", b AS (SELECT size_bytes FROM file_entries WHERE size_bytes >= 1 GROUP BY 1 HAVING count(DISTINCT file_identity_key) > 1), c AS (SELECT entry_id, size_bytes FROM file_entries WHERE size_bytes IN (FROM b) AND file_identity_key IS NOT NULL) SELECT entry_id, sum(size_bytes) OVER (ORDER BY size_bytes, entry_id ROWS UNBOUNDED PRECEDING) <= 200000 AS within_budget FROM c")
 def d6(spark, sf):
-    return D.within_budget(_candidates(spark, sf), 200000).select("entry_id", "within_budget")
+    return D.within_budget(D.candidates(file_entries(spark, sf)), 200000).select("entry_id", "within_budget")
 
 
 @query("d8_duplicate_members", FILE_ENTRIES_SQL + _GROUPS + """, m AS (SELECT h.*, row_number() OVER (PARTITION BY h.size_bytes, h.sha256 ORDER BY entry_id) AS place, entry_id > min(entry_id) OVER (PARTITION BY file_identity_key) AS is_hardlink_alias
-  FROM hashed h JOIN groups USING (size_bytes, sha256)) SELECT sha256, entry_id, is_hardlink_alias FROM m WHERE place <= 3""")
+  FROM hashed h JOIN groups USING (size_bytes, sha256)) SELECT sha256, entry_id, is_hardlink_alias FROM m WHERE place <= 1000""")
 def d8(spark, sf):
-    found = _candidates(spark, sf)
-    return D.members(found, D.groups(found, listed=3), listed=3)
+    found = _hashed(spark, sf)
+    return D.members(found, D.groups(found))
+
+
+@query("j7_member_details", FILE_ENTRIES_SQL + _GROUPS + """SELECT h.sha256, entry_id, path, uid, CASE WHEN h.size_bytes <= 2000 THEN h.sha256 END AS full_sha256 FROM hashed h JOIN groups USING (size_bytes, sha256)
+  QUALIFY row_number() OVER (PARTITION BY h.size_bytes, h.sha256 ORDER BY entry_id) <= 1000""")
+def j7(spark, sf):
+    found = _hashed(spark, sf)
+    digests = found.filter("size_bytes <= 2000")  # digests that are known: a left join keeps the other members
+    return D.member_details(D.members(found, D.groups(found)), file_entries(spark, sf), digests).select("sha256", "entry_id", "path", "uid", "full_sha256")
 
 
 @query("d10_complete_groups", FILE_ENTRIES_SQL + _GROUPS + "SELECT sha256, member_count, logical_redundancy_bytes FROM groups WHERE NOT truncated")
 def d10(spark, sf):
-    return D.groups(_candidates(spark, sf), listed=3).filter(~F.col("truncated")).select("sha256", "member_count", "logical_redundancy_bytes")
+    return D.groups(_hashed(spark, sf)).filter(~F.col("truncated")).select("sha256", "member_count", "logical_redundancy_bytes")
 
 
 @query("d11_cleanup_eligibility", FILE_ENTRIES_SQL + "SELECT CASE WHEN uid = 0 THEN 'protected' WHEN nlink > 1 THEN 'hardlink' WHEN size_bytes IS NULL THEN 'missing' WHEN mtime_nsec > 900 THEN 'changed' END AS blocked, count(*) AS n FROM file_entries GROUP BY 1")

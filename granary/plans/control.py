@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from granary.functions.schedule import occurrence_table
 from granary.operators import control as K
 from granary.registry import query
-from granary.sources.bindings import table
+from granary.sources.bindings import SAMPLES_SQL, table, volume_samples
 
 NOW = "2024-01-20 12:00:00"
 
@@ -163,15 +163,38 @@ def u5(spark, sf):
     return K.upsert(q, q.filter("id % 4 = 0").withColumn("origin", F.lit("new")), ["id"])
 
 
-@query("u5_insert_or_ignore", "SELECT l_orderkey, min(l_linenumber)::INT AS l_linenumber FROM lineitem GROUP BY 1")
+@query("u5_insert_or_ignore", "SELECT l_orderkey, min(l_linenumber)::INT AS l_linenumber FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1 UNION ALL SELECT o_orderkey, -1 FROM orders WHERE o_orderkey % 3 = 0")
 def u5_ignore(spark, sf):
+    # orders that are there already keep their row
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return K.insert_or_ignore(li.limit(0), li, ["l_orderkey"], "l_linenumber")
+    there = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(-1).alias("l_linenumber"))
+    return K.insert_or_ignore(there, li, ["l_orderkey"], "l_linenumber")
 
 
-@query("i8_error_log", "SELECT event_id AS error_id FROM events WHERE event_id % 50 = 0 ORDER BY event_id LIMIT 10000")
+@query("i8_error_log", SAMPLES_SQL + "SELECT event_id AS error_id FROM volume_samples WHERE quality = 'error' ORDER BY event_id LIMIT 10000")
 def i8(spark, sf):
-    return K.error_log(table(spark, sf, "events").filter("event_id % 50 = 0").select(F.col("event_id").alias("error_id")))[0]
+    return K.error_log(volume_samples(spark, sf).filter("quality = 'error'").select(F.col("event_id").alias("error_id")))[0]
+
+
+@query("k7_profile_sources", "SELECT o_orderkey AS source_id FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01'")
+def k7(spark, sf):
+    sources = table(spark, sf, "orders").select(F.col("o_orderkey").alias("source_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    return K.profile_sources({"sources": "all", "created_at": "1996-01-01 00:00:00"}, sources).select("source_id")
+
+
+@query("f28_planned_order", """SELECT event_id, row_number() OVER (ORDER BY coalesce(planned_at, planned_local_at) DESC, occurrence_key DESC) AS place FROM (
+  SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M') END AS planned_at, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M') AS planned_local_at, strftime(ts, '%Y-%m-%dT%H:%M') || '#' || event_id AS occurrence_key FROM events WHERE user_id = 1) ORDER BY place LIMIT 1000""")
+def f28(spark, sf):
+    minute = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm")
+    e = table(spark, sf, "events").filter("user_id = 1")
+    e = e.select("event_id", F.when(F.col("event_id") % 4 != 0, minute("ts")).alias("planned_at"), minute(F.col("ts") + F.expr("interval 1 hour")).alias("planned_local_at"), F.concat_ws("#", minute("ts"), F.col("event_id").cast("string")).alias("occurrence_key"))
+    return K.occurrence_listing(e, 1000).select("event_id", "place")
+
+
+@query("e4_cron_minutes", "SELECT strftime(d, '%Y-%m-%dT%H:%M') AS occurrence_key FROM (SELECT unnest(generate_series(TIMESTAMP '2024-02-01 12:00:00', TIMESTAMP '2024-02-20 12:00:00', INTERVAL 15 MINUTE)) AS d) WHERE dayofweek(d) IN (1, 3) AND hour(d) IN (6, 7) AND d > TIMESTAMP '2024-02-01 12:00:00'")
+def e4(spark, sf):
+    t = occurrence_table(spark, [("p", "*/15 6-7 * feb mon,wed", "UTC")], datetime(2024, 2, 1, 12, tzinfo=UTC), datetime(2024, 2, 20, 12, tzinfo=UTC))
+    return t.select("occurrence_key")
 
 
 @query("e2_schedule_expansion", """SELECT 'p' AS profile_id, strftime(d, '%Y-%m-%dT02:30') AS occurrence_key, d = DATE '2024-03-31' AS skipped_nonexistent FROM (SELECT unnest(generate_series(DATE '2024-03-25', DATE '2024-04-05', INTERVAL 1 DAY)) AS d)""")

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from granary.functions import expressions as X
 from granary.operators import file_query as Q
-from granary.operators.aggregates import directories, directory_rollup
+from granary.functions.categories import DEFAULT_RULESET
+from granary.operators.aggregates import directories, directory_rollup, grouped_sizes
+from granary.operators.ranges import sum_before
+from granary.operators.rankings import ranking
 from granary.operators.rules import PathRules, excluded_by_directory
 from granary.registry import query
 from granary.sources.bindings import FILE_ENTRIES_SQL, ORDER_ENTRIES_SQL, file_entries, order_entries, table
@@ -92,7 +95,7 @@ def f11(spark, sf):
 def f19(spark, sf):
     i = F.col("doc_id")
     t = F.when(i % 3 == 0, F.concat(F.lit("="), "lang")).when(i % 3 == 1, F.concat(F.lit("  -"), "lang")).otherwise(F.col("lang"))
-    return table(spark, sf, "documents").select("doc_id", X.csv_safe(t).alias("safe"))
+    return table(spark, sf, "documents").select("doc_id", X.guard_formula(t).alias("safe"))
 
 
 @query("f20_html_escape", """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
@@ -135,7 +138,7 @@ def _placed(rows, order, n):
     return top.withColumn("place", F.row_number().over(Window.orderBy(*order.columns())).cast("long"))
 
 
-for _sort, _descending, _sql in (("size", True, "size_bytes DESC NULLS LAST"), ("size", False, "size_bytes ASC NULLS FIRST"), ("mtime", False, "mtime_sec ASC NULLS FIRST, mtime_nsec ASC NULLS FIRST"), ("name", True, "display_name DESC"), ("owner", False, "uid ASC NULLS FIRST"), ("category", False, "category_id ASC")):
+for _sort, _descending, _sql in (("size", True, "size_bytes DESC NULLS LAST"), ("size", False, "size_bytes ASC NULLS FIRST"), ("atime", True, "atime_sec DESC NULLS LAST, atime_nsec DESC NULLS LAST"), ("allocated", False, "allocated_bytes_estimate ASC NULLS FIRST"), ("mtime", False, "mtime_sec ASC NULLS FIRST, mtime_nsec ASC NULLS FIRST"), ("name", True, "display_name DESC"), ("owner", False, "uid ASC NULLS FIRST"), ("category", False, "category_id ASC")):
 
     @query(f"s2_sort_{_sort}_{'desc' if _descending else 'asc'}", FILE_ENTRIES_SQL + f"SELECT entry_id, row_number() OVER (ORDER BY {_sql}, entry_id) AS place FROM file_entries ORDER BY place LIMIT 200")
     def s2(spark, sf, sort=_sort, descending=_descending):
@@ -144,7 +147,92 @@ for _sort, _descending, _sql in (("size", True, "size_bytes DESC NULLS LAST"), (
 
 @query("s4_owner_sort", FILE_ENTRIES_SQL + "SELECT uid, row_number() OVER (ORDER BY uid NULLS FIRST) AS place FROM (SELECT DISTINCT uid FROM file_entries)")
 def s4(spark, sf):
-    return _placed(file_entries(spark, sf).select("uid").distinct(), Q.Order(("uid",), tie=()), 1000)
+    # place by ranges of owners, the unknown one (null) first
+    owners = file_entries(spark, sf).select(F.coalesce("uid", F.lit(-1)).alias("key"), "uid", F.lit(0).alias("all")).distinct()
+    return sum_before(owners, ["all"], F.col("key"), F.lit(1), "earlier").select("uid", (F.col("earlier") + 1).cast("long").alias("place"))
+
+
+@query("s5_category_sort", FILE_ENTRIES_SQL + ", c AS (SELECT category_id, CASE WHEN count(size_bytes) = count(*) THEN sum(size_bytes)::BIGINT END AS logical_bytes FROM file_entries GROUP BY 1) SELECT category_id, logical_bytes, row_number() OVER (ORDER BY logical_bytes DESC NULLS LAST, category_id) AS place FROM c ORDER BY place LIMIT 50")
+def s5(spark, sf):
+    return _placed(grouped_sizes(file_entries(spark, sf), "category_id").select("category_id", "logical_bytes"), Q.metric_order("logical_bytes", True, ("category_id",)), 50)
+
+
+@query("p11_largest_filtered", FILE_ENTRIES_SQL + "SELECT entry_id, rank FROM (SELECT *, row_number() OVER (ORDER BY size_bytes DESC, entry_id) AS rank FROM file_entries WHERE size_bytes IS NOT NULL) WHERE rank <= 200 AND category_id IN ('archives', 'pictures') AND size_bytes >= 3000")
+def p11(spark, sf):
+    spec = Q.QuerySpec(category_ids=("archives", "pictures"), min_size_bytes="3000").check_section("largest")
+    return Q.find(ranking(file_entries(spark, sf), "largest"), spec).select("entry_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("p13_direct_children", FILE_ENTRIES_SQL + "SELECT entry_id FROM file_entries WHERE source_id = 'src0' AND starts_with(path, 'en/d1/') AND NOT contains(substr(path, 7), '/')")
+def p13(spark, sf):
+    return Q.direct_children(file_entries(spark, sf), "src0", "en/d1").select("entry_id")
+
+
+@query("p15_scope", FILE_ENTRIES_SQL + "SELECT 'current' AS scope, count(*) AS n FROM file_entries WHERE extension = 'txt' UNION ALL SELECT 'all', count(*) FROM file_entries")
+def p15(spark, sf):
+    spec, files = Q.QuerySpec(extensions=("txt",)), file_entries(spark, sf)
+    current, every = (Q.find(files, spec.scoped(s)).agg(F.lit(s).alias("scope"), F.count(F.lit(1)).alias("n")) for s in ("current", "all"))
+    return current.unionByName(every)
+
+
+@query("f3_derived_ruleset", FILE_ENTRIES_SQL + "SELECT CASE WHEN extension = 'bin' THEN 'documents' WHEN extension = 'ts' THEN 'other' ELSE category_id END AS category_id, count(*) AS n FROM file_entries GROUP BY 1")
+def f3(spark, sf):
+    category, _ = X.classify("display_name", DEFAULT_RULESET.derive({"bin": "documents"}, ["ts"]).mapping)
+    return file_entries(spark, sf).groupBy(category.alias("category_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f4_valid_extensions", "SELECT p_partkey, regexp_full_match(e, '[a-z0-9+_-]+(\\.[a-z0-9+_-]+)*') AND length(e) <= 64 AS valid FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'tar.' || p_partkey WHEN 1 THEN 'a..b' WHEN 2 THEN 'X' || p_partkey ELSE repeat('e', (p_partkey % 130)::INT) END AS e FROM part)")
+def f4(spark, sf):
+    i = F.col("p_partkey")
+    e = F.when(i % 4 == 0, F.concat(F.lit("tar."), i.cast("string"))).when(i % 4 == 1, "a..b").when(i % 4 == 2, F.concat(F.lit("X"), i.cast("string"))).otherwise(F.expr("repeat('e', cast(p_partkey % 130 as int))"))
+    return table(spark, sf, "part").select("p_partkey", X.valid_extension(e).alias("valid"))
+
+
+@query("f7_display_paths", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || chr(65533) ELSE lang END AS path, doc_id % 3 = 0 AS warning FROM documents")
+def f7(spark, sf):
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("lang").cast("binary"), F.unhex(F.lit("FF")))).otherwise(F.col("lang").cast("binary"))
+    return table(spark, sf, "documents").select("doc_id", X.display_path(raw).alias("path"), X.encoding_warning(raw).alias("warning"))
+
+
+@query("f13_cache_keys", FILE_ENTRIES_SQL + "SELECT entry_id, 'e7:d' || uid || ':i' || entry_id || ':s' || size_bytes || ':m' || mtime_sec || '.' || mtime_nsec || ':c' || mtime_sec || '.0:sha256v1' AS key FROM file_entries WHERE uid IS NOT NULL AND size_bytes IS NOT NULL")
+def f13(spark, sf):
+    rows = file_entries(spark, sf).filter("uid is not null and size_bytes is not null")
+    key = X.hash_cache_key(F.lit(7), F.col("uid"), F.col("entry_id"), F.col("size_bytes"), (F.col("mtime_sec"), F.col("mtime_nsec")), (F.col("mtime_sec"), F.lit(0)))
+    return rows.select("entry_id", key.alias("key"))
+
+
+@query("f15_minutes", "SELECT event_id, date_trunc('minute', ts) AS floor, CASE WHEN date_trunc('minute', ts) = ts THEN ts ELSE date_trunc('minute', ts) + INTERVAL 1 MINUTE END AS ceil FROM events")
+def f15(spark, sf):
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, sf, "events").select("event_id", X.minute_floor(ts).cast("timestamp_ntz").alias("floor"), X.minute_ceil(ts).cast("timestamp_ntz").alias("ceil"))
+
+
+@query("f22_numeric_order", "SELECT p_partkey, row_number() OVER (ORDER BY t::DECIMAL(38, 0), p_partkey) AS place FROM (SELECT p_partkey, '00' || (p_partkey * 7919 % 1000) || '000000000000000000' AS t FROM part) ORDER BY place LIMIT 100")
+def f22(spark, sf):
+    t = F.concat(F.lit("00"), (F.col("p_partkey") * 7919 % 1000).cast("string"), F.lit("0" * 18))
+    return _placed(table(spark, sf, "part").select("p_partkey", X.numeric_order(t).alias("n")), Q.Order(("n",), tie=("p_partkey",)), 100).select("p_partkey", "place")
+
+
+@query("f25_without_secrets", """SELECT event_id, '{"user":' || user_id || ',"at":[{"Session_Key":"<redacted>","k":"' || event_type || '"}]}' AS shown FROM events""")
+def f25(spark, sf):
+    text = F.format_string('{"user":%d, "at": [{"Session_Key": {"token": 1}, "k": "%s"}]}', "user_id", "event_type")
+    return table(spark, sf, "events").select("event_id", X.without_secrets(text).alias("shown"))
+
+
+@query("f26_path_overlaps", FILE_ENTRIES_SQL + "SELECT entry_id, starts_with(path, 'en/d1/') OR path = 'en/d1' AS overlaps FROM file_entries")
+def f26(spark, sf):
+    return file_entries(spark, sf).select("entry_id", X.path_overlaps("path", F.lit("/en/d1/")).alias("overlaps"))
+
+
+@query("f27_retry_delays", "SELECT a AS attempt, CASE a WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 30 END AS minutes FROM (SELECT DISTINCT l_linenumber AS a FROM lineitem)")
+def f27(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("attempt")).distinct().withColumn("minutes", X.retry_delay_minutes("attempt"))
+
+
+@query("f29_scope_fingerprint", "SELECT sha256(unhex(hex('{\"all\":true}') || string_agg(hex(n_name) || hex('/' || n_name) || printf('%02x00000000000000', n_nationkey) || hex('online'), '' ORDER BY n_name))) AS fingerprint FROM nation")
+def f29(spark, sf):
+    sources = table(spark, sf, "nation").select(F.col("n_name").alias("source_id"), F.concat(F.lit("/"), "n_name").alias("root"), F.col("n_nationkey").cast("long").alias("epoch"), F.lit("online").alias("availability"))
+    return X.scope_fingerprint('{"all":true}', sources)
 
 
 @query("s6_keyset_after_null", FILE_ENTRIES_SQL + "SELECT entry_id FROM file_entries WHERE size_bytes IS NULL AND entry_id > 100 ORDER BY entry_id LIMIT 50")

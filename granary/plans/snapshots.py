@@ -63,3 +63,20 @@ def c4(spark, sf):
 @query("a19_change_counts", _SIDES + f"""SELECT 'files' AS section, change, count(*) AS n FROM (SELECT {_CHANGE.format("entry_id", "l.size_bytes IS DISTINCT FROM r.size_bytes")} AS change FROM l FULL JOIN r ON l.source_id = r.source_id AND l.path = r.path) WHERE change IS NOT NULL GROUP BY 1, 2""")
 def a19(spark, sf):
     return C.change_counts({"files": C.snapshot_diff(*_sides(spark, sf), ["source_id", "path"], list(C.FILE_COLUMNS))})
+
+
+@query("s11_comparison_page", _SIDES + _FOLDERS + f""", lo AS (SELECT source_id, uid, count(*) AS n FROM l GROUP BY 1, 2), ro AS (SELECT source_id, uid, count(*) AS n FROM r GROUP BY 1, 2),
+lc AS (SELECT source_id, category_id, count(*) AS n FROM l GROUP BY 1, 2), rc AS (SELECT source_id, category_id, count(*) AS n FROM r GROUP BY 1, 2),
+d AS (SELECT 'categories' AS section, coalesce(r.source_id, l.source_id) || ':' || coalesce(r.category_id, l.category_id) AS row_key, {_CHANGE.format("n", "l.n <> r.n")} AS change FROM lc l FULL JOIN rc r ON l.source_id = r.source_id AND l.category_id = r.category_id
+UNION ALL SELECT 'files', coalesce(r.source_id, l.source_id) || ':' || lower(hex(coalesce(r.path, l.path))), {_CHANGE.format("entry_id", "l.size_bytes IS DISTINCT FROM r.size_bytes")} FROM l FULL JOIN r ON l.source_id = r.source_id AND l.path = r.path
+UNION ALL SELECT 'folders', coalesce(r.source_id, l.source_id) || ':' || lower(hex(coalesce(r.dir, l.dir))), {_CHANGE.format("n", "l.n <> r.n OR l.b IS DISTINCT FROM r.b")} FROM lf l FULL JOIN rf r ON l.source_id = r.source_id AND l.dir = r.dir
+UNION ALL SELECT 'owners', coalesce(r.source_id, l.source_id) || ':' || coalesce(coalesce(r.uid, l.uid)::VARCHAR, 'unknown'), {_CHANGE.format("n", "l.n <> r.n")} FROM lo l FULL JOIN ro r ON l.source_id = r.source_id AND l.uid IS NOT DISTINCT FROM r.uid)
+SELECT section, row_key, change FROM d WHERE change IS NOT NULL AND (section > 'categories' OR row_key > 'src1') ORDER BY section, row_key LIMIT 200""")
+def s11(spark, sf):
+    left, right = _sides(spark, sf)
+    of = lambda f, keys, values: C.snapshot_diff(f(left), f(right), keys, values)
+    diffs = {
+        "categories": of(lambda x: A.grouped_sizes(x, "source_id", "category_id"), ["source_id", "category_id"], ["file_count"]), "files": of(lambda x: x, ["source_id", "path"], ["size_bytes"]),
+        "folders": of(A.directory_rollup, ["source_id", "path"], ["file_count", "logical_bytes"]), "owners": of(A.owner_aggregate, ["source_id", "uid"], ["file_count"]),
+    }
+    return C.comparison_page(C.comparison_rows(diffs), 200, after=("categories", "src1"))

@@ -44,6 +44,11 @@ def file_entries(spark: SparkSession, sf_dir: str, *, content: bool = False) ->
     )
 
 
+def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entry_id and content of every file."""
+    return file_entries(spark, sf_dir, content=True).select("entry_id", "content")
+
+
 #: The same rows in SQL: put before a query that reads ``file_entries``.
 FILE_ENTRIES_SQL = f"""
 WITH named AS (

@@ -14,7 +14,7 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.expressions import csv_safe, html_escape, quote_csv
+from granary.functions.expressions import csv_field, guard_formula, html_escape
 
 #: The fields that each exported row has, in this order.
 BASE_FIELDS = ("report_id", "source_name", "relative_path_display", "owner_uid", "category", "logical_size_bytes", "allocated_size_estimate_bytes", "mtime", "atime", "status")
@@ -32,7 +32,7 @@ def check_schema(rows: DataFrame, extra: tuple[str, ...] = ()) -> list[str]:
 
 
 def csv_record(columns: list[str]) -> Column:
-    return F.concat(F.concat_ws(",", *(quote_csv(csv_safe(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns)), F.lit("\r"))
+    return F.concat(F.concat_ws(",", *(csv_field(guard_formula(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns)), F.lit("\r"))
 
 
 def csv_lines(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -101,14 +101,23 @@ def export_zip(sections: dict[str, DataFrame], target: str, manifest: dict, *, m
 
 
 def publish_report(tables: dict[str, DataFrame], folder: str, manifest: dict) -> None:
-    """Writes tables and manifest beside the target, then renames the whole: a report is there or it is not."""
+    """Writes tables, checksums and manifest beside the target, then renames the whole: a report is there or it is not.
+
+    checksums: the SHA-256 of every data file (name, bytes, sha256), taken in the tasks that read it back; the
+    manifest has each table's rows and the digest of the checksums.
+    """
     spark: SparkSession = next(iter(tables.values())).sparkSession
     staged = f"{folder}.staged-{uuid.uuid4().hex}"
-    rows = {}
+    rows, sums = {}, None
     for name, t in tables.items():
         t.write.parquet(f"{staged}/{name}")
-        rows[name] = spark.read.parquet(f"{staged}/{name}").agg(F.count(F.lit(1)).alias("rows"), F.expr("sum(cast(xxhash64(*) as decimal(38,0)))").cast("string").alias("digest")).first().asDict()
-    spark.createDataFrame([(json.dumps({**manifest, "tables": rows}),)], "value string").coalesce(1).write.text(f"{staged}/manifest")
+        rows[name] = {"rows": spark.read.parquet(f"{staged}/{name}").count()}
+        own = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{staged}/{name}")
+        own = own.select(F.concat(F.lit(f"{name}/"), F.element_at(F.split("path", "/"), -1)).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        sums = own if sums is None else sums.unionByName(own)
+    sums.write.parquet(f"{staged}/checksums")
+    of_files = spark.read.parquet(f"{staged}/checksums").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "sha256", "name"))), "\n"), 256).alias("d")).first()["d"]  # a line a file
+    spark.createDataFrame([(json.dumps({**manifest, "tables": rows, "checksums_sha256": of_files}),)], "value string").coalesce(1).write.text(f"{staged}/manifest")
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(path(folder)) or not fs.rename(path(staged), path(folder)):

@@ -1,4 +1,9 @@
-"""A small tree whose rollups, categories and duplicates are known."""
+"""A small tree whose rollups, categories and duplicates are worked out by hand.
+
+home (three folders, five files): notes/todo.md 9, notes/again.md 9 (equal), notes/linked.md 9 (a hard link of todo.md),
+pics/cat.jpg 20, pics/odd "name", x.png 4. work: again.md 9 (equal to todo.md), AGAIN.md 9 (other letters), zero.log 0.
+All: 9 + 9 + 9 + 20 + 4 + 9 + 9 + 0 = 69 bytes; the link counts once: 60.
+"""
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,15 +13,15 @@ from granary.operators import aggregates as A
 from granary.operators import duplicates as D
 
 FILES = [
-    (1, "alpha/docs/readme.txt", "hello\n", "d:1"), (2, "alpha/docs/copy.txt", "hello\n", "d:2"), (3, "alpha/docs/hard.txt", "hello\n", "d:1"),
-    (4, "alpha/media/movie.bin", "B" * 17, "d:3"), (5, "alpha/empty.dat", "", "d:4"), (6, "alpha/名称,\n换行.txt", "xyz", "d:5"),
-    (7, "beta/copy.txt", "hello\n", "d:6"), (8, "beta/changed.txt", "HELLO\n", "d:7"),
+    (11, "home/notes/todo.md", "buy milk\n", "7:100"), (12, "home/notes/again.md", "buy milk\n", "7:101"), (13, "home/notes/linked.md", "buy milk\n", "7:100"),
+    (14, "home/pics/cat.jpg", "\xff" * 10, "7:102"), (15, 'home/pics/odd "name", x.png', "\x89PNG"[1:] + "!", "7:103"),
+    (16, "work/again.md", "buy milk\n", "7:104"), (17, "work/AGAIN.md", "BUY MILK\n", "7:105"), (18, "work/zero.log", "", "7:106"),
 ]
 
 
 @pytest.fixture
 def tree(spark):
-    rows = [(i, "s", p, p.split("/")[-1], c, len(c), len(c), k) for i, p, c, k in FILES]
+    rows = [(i, "disk", p, p.split("/")[-1], c, len(c.encode()), len(c.encode()), k) for i, p, c, k in FILES]
     df = spark.createDataFrame(rows, "entry_id long, source_id string, path string, display_name string, content string, size_bytes long, allocated_bytes_estimate long, file_identity_key string")
     category, extension = classify("display_name")
     return df.select("*", category.alias("category_id"), extension.alias("extension"), F.lit("regular_file").alias("entry_kind"), F.lit(0).alias("mtime_sec"), F.lit(0).alias("mtime_nsec"), F.lit(1).alias("uid"))
@@ -24,40 +29,51 @@ def tree(spark):
 
 def test_rollup(tree):
     r = {x["path"]: x for x in A.directory_rollup(tree).collect()}
-    assert (r[""]["file_count"], r[""]["dir_count"], r[""]["logical_bytes"], r[""]["unique_bytes"]) == (8, 4, 50, 44)
-    assert (r["alpha"]["logical_bytes"], r["alpha"]["unique_bytes"], r["beta"]["logical_bytes"]) == (38, 32, 12)
-    assert (r["alpha/docs"]["logical_bytes"], r["alpha/docs"]["unique_bytes"]) == (18, 12)
+    assert {p: (x["file_count"], x["dir_count"], x["logical_bytes"], x["unique_bytes"]) for p, x in r.items()} == {
+        "": (8, 4, 69, 60), "home": (5, 2, 51, 42), "home/notes": (3, 0, 27, 18), "home/pics": (2, 0, 24, 24), "work": (3, 0, 18, 18),
+    }
 
 
 def test_categories(tree):
     got = {r["category_id"]: (r["file_count"], r["logical_bytes"]) for r in A.category_aggregate(tree).collect()}
-    assert got == {"documents": (6, 33), "disk_images": (1, 17), "other": (1, 0)}
+    assert got["pictures"] == (2, 24) and sum(n for n, _ in got.values()) == 8 and sum(b for _, b in got.values()) == 69
 
 
 def test_duplicates(tree):
-    found = D.candidates(tree)
-    (g,) = D.groups(found).collect()
-    assert (g["size_bytes"], g["member_count"], g["identities"], g["logical_redundancy_bytes"]) == (6, 4, 3, 12)
-    assert found.agg(F.sum("size_bytes")).first()[0] == 30
-    assert D.members(found, D.groups(found)).filter("is_hardlink_alias").count() == 1
+    found = D.candidates(tree.drop("content"))
+    assert sorted(r["entry_id"] for r in found.collect()) == [11, 12, 13, 16, 17]  # five files of nine bytes
+    whole = D.hashed(found, tree.select("entry_id", "content"))
+    (g,) = D.groups(whole).collect()
+    assert (g["size_bytes"], g["member_count"], g["identities"], g["logical_redundancy_bytes"]) == (9, 4, 3, 18)
+    assert sorted((r["entry_id"], r["is_hardlink_alias"]) for r in D.members(whole, D.groups(whole)).collect()) == [(11, False), (12, False), (13, True), (16, False)]
+
+
+def test_intervals_nest(tree):
+    dirs = A.directories(tree).unionByName(tree.select("source_id", "path"))
+    got = {r["path"]: (r["dfs_left"], r["dfs_right"]) for r in A.nested_intervals(dirs).collect()}
+    assert got[""] == (1, 26) and len(got) == 13
+    for a, (la, ra) in got.items():
+        for b, (lb, rb) in got.items():
+            assert (la <= lb and rb <= ra) == (a == "" or b == a or b.startswith(a + "/"))
 
 
 def test_unknown_values_are_never_sums(spark, tree):
-    broken = tree.withColumn("size_bytes", F.when(F.col("entry_id") != 4, F.col("size_bytes")))
+    broken = tree.withColumn("size_bytes", F.when(F.col("entry_id") != 14, F.col("size_bytes")))
     r = {x["path"]: x for x in A.directory_rollup(broken).collect()}
-    assert r[""]["logical_bytes"] is None and r["alpha"]["unique_bytes"] is None and r["beta"]["logical_bytes"] == 12
+    assert r[""]["logical_bytes"] is None and r["home"]["unique_bytes"] is None and r["work"]["logical_bytes"] == 18
     assert A.directory_rollup(tree.limit(0)).count() == 0
 
 
 def test_samples_that_collide(spark):
-    same = bytearray(b"z" * 524288)
-    other = bytearray(same)
-    other[102400] = 1
-    rows = [(1, "a", bytes(same), "k1"), (2, "b", bytes(other), "k2"), (3, "c", bytes(same), "k3")]
-    df = spark.createDataFrame(rows, "entry_id long, display_name string, content binary, file_identity_key string").withColumn("size_bytes", F.octet_length("content").cast("long"))
-    found = D.candidates(df)
-    assert found.select("sample_hash").distinct().count() == 1 and D.survivors(found).count() == 3
-    (g,) = D.groups(found).collect()
+    """Two large files that differ only between the sampled regions: their digests part them."""
+    same, size = bytes(i % 251 for i in range(400_000)), 400_000
+    other = same[:150_000] + b"?" + same[150_001:]
+    rows = [(1, "a", same, "k1"), (2, "b", other, "k2"), (3, "c", same, "k3"), (4, "d", same[::-1], "k4")]
+    df = spark.createDataFrame(rows, "entry_id long, display_name string, content binary, file_identity_key string").withColumn("size_bytes", F.lit(size).cast("long"))
+    found = D.candidates(df.drop("content"))
+    marked = D.sampled(found, df.select("entry_id", "content"))
+    assert marked.select("sample_hash").distinct().count() == 2 and sorted(r["entry_id"] for r in D.survivors(marked).collect()) == [1, 2, 3]
+    (g,) = D.groups(D.hashed(found, df.select("entry_id", "content"))).collect()
     assert g["member_count"] == 2
 
 

@@ -1,5 +1,6 @@
 """Rules, paging, capacity, comparison, control logic, sinks and streams."""
 
+import hashlib
 import json
 import zipfile
 from datetime import UTC, datetime
@@ -11,7 +12,7 @@ from granary.functions import expressions as X
 from granary.functions.categories import DEFAULT_RULESET, Ruleset
 from granary.functions.schedule import occurrences, parse_cron
 from granary.operators import capacity as C
-from granary.operators import compare, control
+from granary.operators import aggregates, compare, control
 from granary.operators import file_query as Q
 from granary.operators.rules import PathRules
 from granary.sources import bindings, files, sinks
@@ -79,8 +80,8 @@ def test_query_specs():
 
 def test_scalar_expressions(spark):
     assert one(spark, X.format_bytes("n"), n=1536) == "1.50 KiB" and one(spark, X.format_bytes("n"), n=1023) == "1023 B" and one(spark, X.format_bytes("n"), n=1 << 40) == "1.00 TiB"
-    assert one(spark, X.csv_safe("s"), s=" =1+1") == "' =1+1" and one(spark, X.csv_safe("s"), s="a=1") == "a=1"
-    assert one(spark, X.quote_csv("s"), s='a"b') == '"a""b"'
+    assert one(spark, X.guard_formula("s"), s=" =1+1") == "' =1+1" and one(spark, X.guard_formula("s"), s="a=1") == "a=1"
+    assert one(spark, X.csv_field("s"), s='a"b') == '"a""b"'
     assert one(spark, X.html_escape("s"), s="<a&'\">") == "&lt;a&amp;&#39;&quot;&gt;"
     assert one(spark, X.encoding_warning("b"), b=b"\xff") and "�" in one(spark, X.display_path("b"), b=b"a\xff")
     assert one(spark, X.path_overlaps("a", "b"), a="x/y", b="x/y/z") and not one(spark, X.path_overlaps("a", "b"), a="x/y", b="x/yz")
@@ -88,7 +89,7 @@ def test_scalar_expressions(spark):
     assert one(spark, X.usage_percent("u", "t"), u=1, t=3) == 33.33 and one(spark, X.usage_percent("u", "t"), u=1, t=0) is None
     assert str(one(spark, X.minute_ceil(F.lit("2024-01-01 00:00:01").cast("timestamp")))) == "2024-01-01 00:01:00"
     assert str(one(spark, X.minute_ceil(F.lit("2024-01-01 00:01:00").cast("timestamp")))) == "2024-01-01 00:01:00"
-    hidden = json.loads(one(spark, X.redact_json("s"), s='{"a":[{"smtp_PASSword":1,"b":2}],"Token":"x"}'))
+    hidden = json.loads(one(spark, X.without_secrets("s"), s='{"a":[{"smtp_PASSword":1,"b":2}],"Token":"x"}'))
     assert hidden == {"a": [{"smtp_PASSword": "<redacted>", "b": 2}], "Token": "<redacted>"}
     assert one(spark, X.valid_extension("s"), s="tar.gz") and not one(spark, X.valid_extension("s"), s="a..b")
     assert one(spark, X.numeric_order("s"), s="18446744073709551615") == 2**64 - 1
@@ -195,7 +196,78 @@ def test_sinks(spark, tmp_path):
 
 def test_scan_of_real_files(spark, tmp_path):
     (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "empty").mkdir()
     (tmp_path / "a/b/x.tar.gz").write_bytes(b"123")
     (tmp_path / "y.txt").write_bytes(b"1")
-    got = {r["path"]: (r["size_bytes"], r["category_id"]) for r in files.scan_files(spark, str(tmp_path), "s").collect()}
-    assert got == {"a/b/x.tar.gz": (3, "archives"), "y.txt": (1, "documents")}
+    (tmp_path / "a/none.dat").write_bytes(b"")
+    found = files.scan_files(spark, str(tmp_path), "s", content=True).collect()
+    got = {r["path"]: (r["size_bytes"], r["category_id"], r["content"] and bytes(r["content"])) for r in found if r["entry_kind"] == "regular_file"}
+    assert got == {"a/b/x.tar.gz": (3, "archives", b"123"), "y.txt": (1, "documents", b"1"), "a/none.dat": (0, "other", b"")}
+    assert {r["path"] for r in found if r["entry_kind"] == "directory"} == {"a", "a/b", "empty"}
+    assert files.scan_files(spark, str(tmp_path / "empty"), "s").count() == 0
+
+
+def test_published_files_have_checksums(spark, tmp_path):
+    sinks.publish_report({"t": spark.range(10), "u": spark.range(3)}, str(tmp_path / "r"), {"id": 2})
+    sums = {r["name"]: r for r in files.read_report(spark, str(tmp_path / "r"), "checksums").collect()}
+    parts = [p for t in "tu" for p in (tmp_path / "r" / t).glob("part-*")]
+    assert len(sums) == len(parts) > 1
+    for p in parts:
+        r = sums[f"{p.parent.name}/{p.name}"]
+        assert (r["bytes"], r["sha256"]) == (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest())
+    manifest = json.loads(next((tmp_path / "r/manifest").glob("part-*")).read_text())
+    assert manifest["tables"] == {"t": {"rows": 10}, "u": {"rows": 3}}
+    lines = sorted(f"{r['sha256']} {n}" for n, r in sums.items())
+    assert manifest["checksums_sha256"] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def test_import_end_to_end(spark, tmp_path):
+    base = {"principal_namespace": "posix", "principal_uid": 1, "scope_kind": "volume", "scope_id": "v", "metric": "space", "origin": "manual", "limit_state": "known", "observed_at": "2024-01-01T00:00:00Z", "expires_at": None, "provider_label": "p"}
+    (tmp_path / "q.json").write_text(json.dumps([{**base, "id": "a", "limit_bytes": str(2**64 - 1), "used_bytes": "1"}, {**base, "id": "b", "limit_bytes": "7", "used_bytes": None}]))
+    imported = files.read_import(spark, str(tmp_path / "q.json"))
+    existing = files.apply_import(imported.limit(0).withColumns({c: F.col(c).cast("decimal(20,0)") for c in ("limit_bytes", "used_bytes")}), imported.filter("id = 'a'").withColumn("limit_bytes", F.lit("5")))
+    after = {r["id"]: (int(r["limit_bytes"]), r["used_bytes"]) for r in files.apply_import(existing, imported).collect()}
+    assert after == {"a": (2**64 - 1, 1), "b": (7, None)}
+    (tmp_path / "bad.json").write_text(json.dumps([{**base, "id": "a", "surprise": 1}]))
+    with pytest.raises(ValueError):
+        files.read_import(spark, str(tmp_path / "bad.json"))
+
+
+def test_sums_before_in_ranges(spark):
+    from granary.operators.ranges import sum_before
+
+    rows = [(k % 3 or None, (k * 37) % 500, k % 7) for k in range(500)]
+    df = spark.createDataFrame(rows, "g int, k int, v int")
+    for ranges in (1, 2, 9, 64):
+        got = sum_before(df, ["g"], F.col("k"), F.col("v"), "s", ranges).collect()
+        assert len(got) == 500 and all(r["s"] == sum(v for g, k, v in rows if g == r["g"] and k < r["k"]) for r in got)
+
+
+def test_sums_beyond_a_long_raise(spark):
+    from pyspark.errors import ArithmeticException
+
+    df = spark.createDataFrame([(2**63 - 1,), (1,)], "size_bytes long").withColumns({"source_id": F.lit("s"), "uid": F.lit(1)})
+    with pytest.raises(ArithmeticException):
+        aggregates.owner_aggregate(df).collect()
+
+
+def test_batches_overwrite_their_days(spark, small, tmp_path):
+    from granary.streaming import capacity as S
+
+    (tmp_path / "in").mkdir()
+    spark.read.parquet(f"{small}/events.parquet").write.parquet(str(tmp_path / "in/a.parquet"))
+    for run in ("c", "d"):  # a second run over the same files leaves the same rows
+        q = S.sink_batches(S.daily_rollup(S.event_stream(spark, str(tmp_path / "in/a.parquet"))), str(tmp_path / "out"), str(tmp_path / run), every="1 second")
+        q.processAllAvailable()
+        q.stop()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == C.daily_rollup(bindings.raw_samples(spark, small)).count()
+
+
+def test_contents_are_read_last(spark, small):
+    """No content takes part before sizes and identities have left candidates."""
+    from granary.operators import duplicates as D
+
+    found = D.candidates(bindings.file_entries(spark, small))
+    assert "content" not in found.columns
+    plan = D.hashed(found, bindings.file_contents(spark, small))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 3
