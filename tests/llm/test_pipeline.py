@@ -32,16 +32,17 @@ def test_stages(spark, small):
     check(seen[4], corpus_pipeline.run(spark, small).collect())
 
 
-def test_odd_documents(spark, small, odd_docs, no_docs):
+def test_odd_documents(spark, tmp_path, odd_docs, no_docs):
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     long = [(i, " ".join(f"word{i}x{k}" for k in range(80)), "en", i) for i in (70, 70, 71)] + [(None, " ".join(f"other{k}" for k in range(90)), None, None)] * 2
     odd = odd_docs.unionByName(spark.createDataFrame([(i, t, s, h, "x", "k", 1, True, 0, "w") for i, t, s, h in long], odd_docs.schema)).withColumnRenamed("words", "with.dot")
     for docs, left in ((odd, {70: 1, 71: 1, None: 1}), (no_docs.withColumnRenamed("words", "with.dot"), {})):
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            docs = durable(stage(spark, docs, small), name)
+            docs = durable(stage(spark, docs, str(tmp_path)), name)
             assert docs.columns == odd.columns
         rows = [r["doc_id"] for r in docs.collect()]
         assert {i: rows.count(i) for i in left} == left and len([i for i in rows if i in left]) == sum(left.values())
-        assert corpus_pipeline.pack(spark, docs, small).count() == len(rows)
+        assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() == len(rows)
 
 
 def test_classifier_stage_learns_from_known_rows_only(spark, small):
