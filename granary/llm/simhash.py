@@ -23,7 +23,7 @@ the shared folder. Rows whose fingerprint neither repeats nor links find nothing
 
 :class:`NearCopies` is the setting for a corpus: texts are copies if their sets of five-word shingles have
 a Jaccard similarity of 0.8 or more. Fingerprints of two-word shingles (an edit changes fewer of them) bring
-candidates together by ``near_pairs``, within ``max_bits`` = 14; whatever is connected that way is one loose
+candidates together by ``near_pairs``, within ``max_bits`` = 10; whatever is connected that way is one loose
 group. The shingle sets of a group's texts meet once (a large group in pairs of blocks), every pair is
 compared in full, and the links that hold make the components. No link is made without that comparison.
 
@@ -364,7 +364,7 @@ class NearCopies:
     shingle: int = 5
     similarity: float = 0.8
     probe: int = 2
-    max_bits: int = 14
+    max_bits: int = 10
     block: int = 1000
 
     def components(self, docs: DataFrame) -> DataFrame:
