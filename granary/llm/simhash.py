@@ -225,10 +225,13 @@ def _cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tupl
     cell, held = None, {n: [] for n in names}
     for b in batches:
         key = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
-        edges = np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1
-        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
-            if start == end:
-                continue
+        if not len(key):
+            continue
+        starts = np.append(0, np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1)
+        ends = np.append(starts[1:], len(key))
+        several = ends - starts > 1
+        several[[0, -1]] = True  # they may go on in other batches; within one, a row alone in its cell meets none
+        for start, end in zip(starts[several].tolist(), ends[several].tolist()):
             own = tuple(key[start].tolist())
             if own != cell:
                 if cell is not None:
