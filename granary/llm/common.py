@@ -47,6 +47,11 @@ def _forget_all() -> None:
             return
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder when the driver ends."""
+    _written.append((spark, path))
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
