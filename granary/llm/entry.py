@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, chat_format, filter_audit, lm_scoring, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filters
+from granary.llm import bpe, chat_format, filter_audit, lexical_search, lm_scoring, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, topk, url_filters
 
 #: op6: rule (host/path) to verdict; hosts blocked where no rule fits. Fixed values of the query.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -81,6 +81,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
@@ -158,6 +162,22 @@ r AS (
   FROM c, s GROUP BY 1, 2, 3, 4)
 SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL["op13_lexical_search"] = f"""
+WITH d AS (SELECT * FROM (SELECT row_number() OVER () AS uid, doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+i AS (SELECT row_number() OVER () AS qid, item_id, {_TERMS} AS w FROM benchmark),
+q AS (SELECT qid, item_id, term, count(*) AS times FROM (SELECT qid, item_id, unnest(w) AS term FROM i) GROUP BY 1, 2, 3),
+p AS (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+t AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term, n_docs),
+m AS (SELECT uid, doc_id, 25 + (75 * len(w) * n_docs) // n_terms AS m FROM d, s),
+r AS (
+  SELECT qid, item_id, uid, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN p USING (term) JOIN m USING (uid) GROUP BY 1, 2, 3, 4)
+SELECT item_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST, uid)::INT AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST, uid) <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
