@@ -6,6 +6,7 @@ All are built from Spark's own functions, so they stay inside code generation an
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -244,8 +245,10 @@ def usage_percent(used: Column | str, total: Column | str) -> Column:
 
 
 def hash_cache_key(epoch: Column, device: Column, inode: Column, size: Column, mtime: tuple[Column, Column], ctime: tuple[Column, Column]) -> Column:
-    """The key under which a file's digest may be used again (a fixed form): never by inode or path alone."""
-    return F.format_string("e%d:d%d:i%d:s%d:m%d.%d:c%d.%d:sha256v" + str(HASH_VERSION), epoch, device, inode, size, *mtime, *ctime)
+    """The key under which a file's digest may be used again (a fixed form): never by inode or path alone; null if any part is unknown."""
+    parts = [epoch, device, inode, size, *mtime, *ctime]
+    known = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
+    return F.when(known, F.format_string("e%d:d%d:i%d:s%d:m%d.%d:c%d.%d:sha256v" + str(HASH_VERSION), *parts))
 
 
 def scope_fingerprint(scope_json: str, sources: DataFrame) -> DataFrame:

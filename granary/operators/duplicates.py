@@ -2,8 +2,10 @@
 
 Stages, each keeping what the next has to read small: sizes with two identities or more; candidate
 keys; sample fingerprints of large files; whole contents only where a peer shares the sample; groups.
-Sizes and identities come first, from a table without contents; contents are a table of their own (entry_id,
-content) and read by semi-joins with the few entries that the stage before left.
+Sizes and identities come first, from a table without contents. What a stage leaves is written as a narrow
+table (entry_id, size, key, identity, digests) that the next stages read, so plans do not nest. Contents are
+read through an object with two methods, ``samples`` and ``digests``, that get the entries to read; those of a
+digest cache (:mod:`granary.operators.digest_cache`) are asked only for what no earlier run has read.
 """
 
 from __future__ import annotations
@@ -13,6 +15,25 @@ from pyspark.sql import functions as F
 
 from granary.functions import expressions as X
 from granary.operators.ranges import sum_before
+from granary.sources.stages import stage
+
+
+class ContentTable:
+    """Contents as a table (entry_id, content), read by semi-joins with the entries asked for."""
+
+    def __init__(self, contents: DataFrame):
+        self.contents = contents
+
+    def samples(self, entries: DataFrame, region: int, threshold: int) -> DataFrame:
+        """entry_id and sample_hash of the entries."""
+        return self._of(entries).select("entry_id", X.sample_fingerprint("content", region=region, threshold=threshold).alias("sample_hash"))
+
+    def digests(self, entries: DataFrame) -> DataFrame:
+        """entry_id and full_sha256 of the entries."""
+        return self._of(entries).select("entry_id", X.content_sha256("content").alias("full_sha256"))
+
+    def _of(self, entries: DataFrame) -> DataFrame:
+        return self.contents.join(entries.select("entry_id"), "entry_id", "left_semi")
 
 
 def size_buckets(files: DataFrame, minimum: int = 1, maximum: int | None = None) -> DataFrame:
@@ -23,30 +44,32 @@ def size_buckets(files: DataFrame, minimum: int = 1, maximum: int | None = None)
     return ids.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("identities")).filter("identities > 1")
 
 
-def candidates(files: DataFrame, *, minimum: int = 1, maximum: int | None = None, same_name: bool = False, same_mtime: bool = False) -> DataFrame:
-    """Files in a size bucket with an identity, and their candidate key. No content is read."""
-    buckets = size_buckets(files, minimum, maximum).select("size_bytes")
-    key = candidate_key_of(same_name, same_mtime)
-    known = files.filter(F.col("file_identity_key").isNotNull())
-    return known.join(buckets, "size_bytes", "left_semi").withColumn("candidate_key", key)
+def candidates(files: DataFrame, *, minimum: int = 1, maximum: int | None = None, same_name: bool = False, same_mtime: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Files with an identity in a size bucket: entry_id, size_bytes, file_identity_key, candidate_key and ``keep``, as a stage table. No content is read."""
+    s = F.col("size_bytes")
+    known = files.filter(F.col("file_identity_key").isNotNull() & (s >= minimum) & (s <= maximum if maximum is not None else F.lit(True)))
+    sizes = stage(known.select("entry_id", "size_bytes", "file_identity_key", candidate_key_of(same_name, same_mtime).alias("candidate_key"), *keep), "sizes")
+    return stage(sizes.join(size_buckets(sizes).select("size_bytes"), "size_bytes", "left_semi"), "candidates")
 
 
 def candidate_key_of(same_name: bool, same_mtime: bool) -> Column:
     return X.candidate_key(F.col("size_bytes"), F.col("display_name") if same_name else None, (F.col("mtime_sec"), F.col("mtime_nsec")) if same_mtime else None)
 
 
-def sampled(found: DataFrame, contents: DataFrame, *, region: int = X.SAMPLE_REGION, threshold: int = X.SAMPLE_THRESHOLD) -> DataFrame:
-    """found with sample_hash: the sample of files over the threshold, null for the others. Only the large ones are read."""
+def sampled(found: DataFrame, contents: DataFrame | ContentTable, *, region: int = X.SAMPLE_REGION, threshold: int = X.SAMPLE_THRESHOLD) -> DataFrame:
+    """found with sample_hash, as a stage table: the sample of files over the threshold, null for the others. Only the large ones are read."""
     large = found.filter(F.col("size_bytes") > threshold).select("entry_id")
-    samples = contents.join(large, "entry_id", "left_semi").select("entry_id", X.sample_fingerprint("content", region=region, threshold=threshold).alias("sample_hash"))
-    return found.join(samples, "entry_id", "left")
+    return stage(found.join(_readable(contents).samples(large, region, threshold), "entry_id", "left"), "samples")
 
 
-def hashed(found: DataFrame, contents: DataFrame, *, region: int = X.SAMPLE_REGION, threshold: int = X.SAMPLE_THRESHOLD) -> DataFrame:
-    """Those of found that may have an equal, with sample_hash and full_sha256: whole contents are read of survivors only."""
+def hashed(found: DataFrame, contents: DataFrame | ContentTable, *, region: int = X.SAMPLE_REGION, threshold: int = X.SAMPLE_THRESHOLD) -> DataFrame:
+    """Those of found that may have an equal, with sample_hash and full_sha256, as a stage table: whole contents are read of survivors only."""
     left = survivors(sampled(found, contents, region=region, threshold=threshold), threshold)
-    digests = contents.join(left.select("entry_id"), "entry_id", "left_semi").select("entry_id", X.content_sha256("content").alias("full_sha256"))
-    return left.join(digests, "entry_id")
+    return stage(left.join(_readable(contents).digests(left), "entry_id"), "digests")
+
+
+def _readable(contents: DataFrame | ContentTable) -> ContentTable:
+    return ContentTable(contents) if isinstance(contents, DataFrame) else contents
 
 
 def skip_reason(available: Column, metadata_only: Column, remote: Column, over_budget: Column) -> Column:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary.functions import expressions as X
 from granary.operators import aggregates as A
 from granary.operators import duplicates as D
+from granary.operators.digest_cache import DigestCache
 from granary.operators.rankings import ranking
 from granary.registry import query
-from granary.sources.bindings import FILE_ENTRIES_SQL, ORDER_ENTRIES_SQL, file_contents, file_entries, order_entries, table
+from granary.sources.bindings import ALIAS_BASE, FILE_ENTRIES_SQL, ORDER_ENTRIES_SQL, file_contents, file_entries, order_entries, table
+from granary.sources.stages import new_folder
 
 STRICT = "CASE WHEN count({0}) = count(*) THEN sum({0})::BIGINT END"
 _SIZE, _ALLOC = STRICT.format("size_bytes"), STRICT.format("allocated_bytes_estimate")
@@ -160,6 +163,29 @@ def f12(spark, sf):
     return D.sampled(file_entries(spark, sf).filter("size_bytes > 600"), file_contents(spark, sf), region=200, threshold=600).select("entry_id", "sample_hash")
 
 
+#: At the defaults: regions of 64 KiB beyond 192 KiB. Texts that ten times over are longer than that stand for large files.
+_LARGE = """, large AS (SELECT entry_id, 10 * size_bytes AS n, repeat(content, 10) AS content FROM file_entries WHERE 10 * size_bytes > 196608),
+p AS (SELECT entry_id, n, hex(content) AS h, unnest([0, n // 2 - 32768, n - 65536]) AS o, unnest([1, 2, 3]) AS k FROM large),
+s AS (SELECT entry_id, n, sha256(unhex('01000000' || """ + _LE.format("n") + " || string_agg(" + _LE.format("o") + " || " + _LE.format("65536") + """ || substr(h, 2 * o + 1, 131072), '' ORDER BY k))) AS sample_hash FROM p GROUP BY entry_id, n) """
+
+
+def _large(spark, sf):
+    files = file_entries(spark, sf).withColumn("size_bytes", 10 * F.col("size_bytes")).filter(F.col("size_bytes") > X.SAMPLE_THRESHOLD)
+    return files, file_contents(spark, sf).withColumn("content", F.repeat("content", F.lit(10)))
+
+
+@query("f12_default_regions", FILE_ENTRIES_SQL + _LARGE + "SELECT entry_id, sample_hash FROM s")
+def f12_large(spark, sf):
+    files, contents = _large(spark, sf)
+    return D.sampled(files.select("entry_id", "size_bytes"), contents).select("entry_id", "sample_hash")
+
+
+@query("d4_default_regions", FILE_ENTRIES_SQL + _LARGE + ", f AS (SELECT s.*, file_identity_key FROM s JOIN file_entries USING (entry_id) WHERE file_identity_key IS NOT NULL), b AS (SELECT n FROM f GROUP BY 1 HAVING count(DISTINCT file_identity_key) > 1) SELECT entry_id FROM f WHERE n IN (FROM b) QUALIFY count(*) OVER (PARTITION BY n, sample_hash) > 1")
+def d4_large(spark, sf):
+    files, contents = _large(spark, sf)
+    return D.survivors(D.sampled(D.candidates(files), contents)).select("entry_id")
+
+
 @query("d6_byte_budget", FILE_ENTRIES_SQL + ", b AS (SELECT size_bytes FROM file_entries WHERE size_bytes >= 1 GROUP BY 1 HAVING count(DISTINCT file_identity_key) > 1), c AS (SELECT entry_id, size_bytes FROM file_entries WHERE size_bytes IN (FROM b) AND file_identity_key IS NOT NULL) SELECT entry_id, sum(size_bytes) OVER (ORDER BY size_bytes, entry_id ROWS UNBOUNDED PRECEDING) <= 200000 AS within_budget FROM c")
 def d6(spark, sf):
     return D.within_budget(D.candidates(file_entries(spark, sf)), 200000).select("entry_id", "within_budget")
@@ -180,6 +206,28 @@ def j7(spark, sf):
     return D.member_details(D.members(found, D.groups(found)), file_entries(spark, sf), digests).select("sha256", "entry_id", "path", "uid", "full_sha256")
 
 
+def _cached(spark, sf):
+    """Two runs over the same files with one cache; before the second some have been written to (another time, the same bytes)."""
+    files = file_entries(spark, sf).withColumn("run_2_nsec", F.when(F.col("entry_id") % 7 == 0, F.col("mtime_nsec") + 1).otherwise(F.col("mtime_nsec")))
+    cache = DigestCache(spark, new_folder(spark, "digest-cache"))
+    contents, found = D.ContentTable(file_contents(spark, sf)), None
+    for run, nsec in (("run-1", "mtime_nsec"), ("run-2", "run_2_nsec")):
+        time = (F.col("mtime_sec"), F.col(nsec))
+        keyed = files.withColumn("cache_key", X.hash_cache_key(F.lit(7), F.lit(1), F.col("entry_id") % ALIAS_BASE, F.col("size_bytes"), time, time))
+        found = cache.hashed(D.candidates(keyed, keep=("cache_key",)), contents, run)
+    return found
+
+
+@query("f13_digest_cache", FILE_ENTRIES_SQL + f", b AS (SELECT size_bytes FROM file_entries WHERE size_bytes >= 1 GROUP BY 1 HAVING count(DISTINCT file_identity_key) > 1), c AS (SELECT *, CASE WHEN entry_id % 7 = 0 THEN mtime_nsec + 1 ELSE mtime_nsec END AS nsec FROM file_entries WHERE size_bytes IN (FROM b) AND file_identity_key IS NOT NULL) SELECT entry_id, sha256(content) AS full_sha256, NOT EXISTS (SELECT 1 FROM c o WHERE o.entry_id % {ALIAS_BASE} = c.entry_id % {ALIAS_BASE} AND o.mtime_nsec = c.nsec) AS was_read FROM c")
+def f13_cache(spark, sf):
+    return _cached(spark, sf).select("entry_id", "full_sha256", "was_read")
+
+
+@query("j7_cached_groups", FILE_ENTRIES_SQL + _GROUPS + "SELECT * FROM groups")
+def j7_cached(spark, sf):
+    return D.groups(_cached(spark, sf))
+
+
 @query("d10_complete_groups", FILE_ENTRIES_SQL + _GROUPS + "SELECT sha256, member_count, logical_redundancy_bytes FROM groups WHERE NOT truncated")
 def d10(spark, sf):
     return D.groups(_hashed(spark, sf)).filter(~F.col("truncated")).select("sha256", "member_count", "logical_redundancy_bytes")
