@@ -224,11 +224,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, fold
     written = common.durable(rows.mapInArrow(run, SHARDS), "token-shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     based = written.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    manifest = common.durable(based.repartition("shard").mapInArrow(_write_offsets, SHARDS + ", base long"), "token-manifest")
+    manifest = common.durable(_dealt(based, written.count()).mapInArrow(_write_offsets, SHARDS + ", base long"), "token-manifest")
     common.discard(written)
     return manifest
 
 
+def _dealt(manifest: DataFrame, shards: int) -> DataFrame:
+    """As many tasks as shards: their rows are too short to tell how much work they stand for."""
+    return manifest.repartitionByRange(max(1, shards), "part")
+
+
 def _write_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each shard: where its documents start in the whole corpus, and where the last one ends."""
     for b in batches:
@@ -274,4 +279,4 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, *, keep_ids: bool
                         columns, names = [*columns, pa.array([x.astype(np.int32) for x in wide], pa.list_(pa.int32()))], [*names, "ids"]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return manifest.repartition("shard").mapInArrow(run, schema)
+    return _dealt(manifest, manifest.count()).mapInArrow(run, schema)
