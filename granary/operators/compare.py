@@ -49,6 +49,25 @@ def snapshot_diff(left: DataFrame, right: DataFrame, keys: list[str], values: li
     return j.select(*shown, "change", "before", "after", *delta)
 
 
+def publish_bucketed(rows: DataFrame, table: str, keys: list[str], buckets: int, folder: str) -> DataFrame:
+    """A section as a catalogue table in ``folder``, dealt into buckets by its keys: two such tables are compared without moving a row.
+
+    All sections to be compared with each other take the same number of buckets.
+    """
+    rows.repartition(buckets, *keys).write.option("path", folder).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
+def bucketed_diff(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Like :func:`snapshot_diff` for tables of :func:`publish_bucketed`: each bucket meets its own, nothing is exchanged. Keys must not be null."""
+    sides = [df.select(*keys, F.struct(*values).alias(name)) for df, name in ((left, "before"), (right, "after"))]
+    differs = F.lit(False)
+    for v in values:
+        differs = differs | ~F.col(f"before.{v}").eqNullSafe(F.col(f"after.{v}"))
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(differs, "changed")
+    return sides[0].join(sides[1], keys, "full_outer").withColumn("change", change).filter(F.col("change").isNotNull())
+
+
 def row_key(section: str) -> Column:
     """The text key of a difference."""
     return {

@@ -99,6 +99,29 @@ WITH order_entries AS (
 """
 
 
+def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tree known by ids alone: entry_id, parent_entry_id, entry_kind, display_name, size_bytes. Regions are roots."""
+    def rows(name: str, entry_id, parent_id, kind: str, shown, size):
+        return table(spark, sf_dir, name).select(entry_id.cast("long").alias("entry_id"), parent_id.cast("long").alias("parent_entry_id"), F.lit(kind).alias("entry_kind"), shown.alias("display_name"), size.cast("long").alias("size_bytes"))
+
+    none, k = F.lit(None), F.col
+    folders = [
+        rows("region", k("r_regionkey") + 1, none, "directory", k("r_name"), none), rows("nation", k("n_nationkey") + 100, k("n_regionkey") + 1, "directory", k("n_name"), none),
+        rows("customer", k("c_custkey") + 1000, k("c_nationkey") + 100, "directory", k("c_name"), none),
+    ]
+    files = rows("orders", k("o_orderkey") + ALIAS_BASE, k("o_custkey") + 1000, "regular_file", k("o_orderkey").cast("string"), F.round(k("o_totalprice") * 100))
+    return folders[0].unionByName(folders[1]).unionByName(folders[2]).unionByName(files)
+
+
+ORDER_TREE_SQL = f"""
+WITH RECURSIVE order_tree AS (
+  SELECT r_regionkey + 1 AS entry_id, NULL::BIGINT AS parent_entry_id, 'directory' AS entry_kind, r_name AS display_name, NULL::BIGINT AS size_bytes FROM region
+  UNION ALL SELECT n_nationkey + 100, n_regionkey + 1, 'directory', n_name, NULL FROM nation
+  UNION ALL SELECT c_custkey + 1000, c_nationkey + 100, 'directory', c_name, NULL FROM customer
+  UNION ALL SELECT o_orderkey + {ALIAS_BASE}, o_custkey + 1000, 'regular_file', o_orderkey::VARCHAR, CAST(round(o_totalprice * 100) AS BIGINT) FROM orders)
+"""
+
+
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Before minutes are thinned out: event_id tells which came first."""
     return samples_of(table(spark, sf_dir, "events"))
