@@ -49,7 +49,8 @@ def candidates(files: DataFrame, *, minimum: int = 1, maximum: int | None = None
     s = F.col("size_bytes")
     known = files.filter(F.col("file_identity_key").isNotNull() & (s >= minimum) & (s <= maximum if maximum is not None else F.lit(True)))
     sizes = stage(known.select("entry_id", "size_bytes", "file_identity_key", candidate_key_of(same_name, same_mtime).alias("candidate_key"), *keep), "sizes")
-    return stage(sizes.join(size_buckets(sizes).select("size_bytes"), "size_bytes", "left_semi"), "candidates")
+    shared = stage(size_buckets(sizes).select("size_bytes"), "shared-sizes")  # of known size: sent to all tasks if small, else joined with hot sizes split
+    return stage(sizes.join(shared, "size_bytes", "left_semi"), "candidates")
 
 
 def candidate_key_of(same_name: bool, same_mtime: bool) -> Column:
