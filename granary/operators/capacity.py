@@ -47,13 +47,14 @@ def maintain(samples: DataFrame, daily: DataFrame, now, raw_days: int, daily_day
 
 
 def raw_history(samples: DataFrame, start, end, volume_id: str | None = None, after=None) -> DataFrame:
-    """Samples of [start, end), bounds moved up to whole minutes, ascending; ``after`` is the last minute of the page before."""
+    """Samples of [start, end), bounds moved up to whole minutes, by volume and minute; ``after`` is the last (volume_id, minute) of the page before."""
     lo, hi = (minute_ceil(F.lit(t).cast("timestamp")) for t in (start, end))
     rows = samples.filter((F.col("sample_time") >= lo) & (F.col("sample_time") < hi))
     if volume_id is not None:
         rows = rows.filter(F.col("volume_id") == volume_id)
     if after is not None:
-        rows = rows.filter(F.col("sample_time") > F.lit(after).cast("timestamp"))
+        volume, minute = F.lit(after[0]), F.lit(after[1]).cast("timestamp")
+        rows = rows.filter((F.col("volume_id") > volume) | ((F.col("volume_id") == volume) & (F.col("sample_time") > minute)))
     return rows.orderBy("volume_id", "sample_time")
 
 

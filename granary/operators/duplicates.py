@@ -19,21 +19,23 @@ from granary.sources.stages import stage
 
 
 class ContentTable:
-    """Contents as a table (entry_id, content), read by semi-joins with the entries asked for."""
+    """Contents as a table (entry_id, content).
+
+    Such a table is scanned whole whichever entries are asked for, so digests are taken where it is scanned: what a join
+    moves are digests, never contents.
+    """
 
     def __init__(self, contents: DataFrame):
         self.contents = contents
 
     def samples(self, entries: DataFrame, region: int, threshold: int) -> DataFrame:
-        """entry_id and sample_hash of the entries."""
-        return self._of(entries).select("entry_id", X.sample_fingerprint("content", region=region, threshold=threshold).alias("sample_hash"))
+        """entry_id and sample_hash of the entries (each once)."""
+        found = self.contents.select("entry_id", X.sample_fingerprint("content", region=region, threshold=threshold).alias("sample_hash"))
+        return found.filter(F.col("sample_hash").isNotNull()).join(entries.select("entry_id"), "entry_id")
 
     def digests(self, entries: DataFrame) -> DataFrame:
-        """entry_id and full_sha256 of the entries."""
-        return self._of(entries).select("entry_id", X.content_sha256("content").alias("full_sha256"))
-
-    def _of(self, entries: DataFrame) -> DataFrame:
-        return self.contents.join(entries.select("entry_id"), "entry_id", "left_semi")
+        """entry_id and full_sha256 of the entries (each once)."""
+        return self.contents.select("entry_id", X.content_sha256("content").alias("full_sha256")).join(entries.select("entry_id"), "entry_id")
 
 
 def size_buckets(files: DataFrame, minimum: int = 1, maximum: int | None = None) -> DataFrame:
