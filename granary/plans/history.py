@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from granary.operators import capacity as C
 from granary.registry import query
-from granary.sources.bindings import SAMPLES_SQL, volume_samples
+from granary.sources.bindings import SAMPLES_SQL, raw_samples, volume_samples
+from granary.sources.stages import new_folder
 
 _DAILY = """, daily AS (SELECT volume_id, CAST(sample_time AS DATE) AS day, """ + ", ".join(f"min({m}_bytes) AS {m}_min, max({m}_bytes) AS {m}_max, arg_max({m}_bytes, (sample_time, event_id)) AS {m}_last" for m in C.METRICS) + """, count(*) AS sample_count
   FROM volume_samples WHERE quality = 'ok' GROUP BY 1, 2) """
@@ -86,13 +87,53 @@ def f24(spark, sf):
     return volume_samples(spark, sf).select("event_id", usage_percent("used_bytes", "total_bytes").alias("percent"))
 
 
+def _changelog(spark, sf):
+    """First samples of minutes by a stream with state of its own, over the events' files into a table."""
+    from granary.streaming import capacity as S
+    from granary.streaming import keyed
+
+    folder, checkpoint = new_folder(spark, "first-samples"), new_folder(spark, "stream")
+    keyed.to_table(keyed.first_samples(S.event_stream(spark, sf, "events.parquet")), folder, checkpoint).awaitTermination()
+    return C.first_per_minute(spark.read.parquet(folder))
+
+
+@query("t1_keyed_stream", SAMPLES_SQL + "SELECT event_id, volume_id, sample_time, used_bytes, quality FROM volume_samples")
+def t1_keyed(spark, sf):
+    return _ntz(_changelog(spark, sf).select("event_id", "volume_id", "sample_time", "used_bytes", "quality"), "sample_time")
+
+
 @query("t2_streaming_rollup", SAMPLES_SQL + _DAILY + "SELECT volume_id, day, used_min, used_max, used_last, sample_count FROM daily")
 def t2_streaming(spark, sf):
-    """The same rollup by Structured Streaming over the events' files."""
+    """The same rollup over what the stream has written."""
+    return C.daily_rollup(_changelog(spark, sf)).select("volume_id", "day", "used_min", "used_max", "used_last", "sample_count")
+
+
+@query("e1_event_log_stream", "SELECT user_id AS job_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events")
+def e1_stream(spark, sf):
+    """Events of a job numbered as they arrive."""
     from granary.streaming import capacity as S
+    from granary.streaming import keyed
+
+    events = spark.readStream.schema(S.EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf).select(F.col("user_id").alias("job_id"), "event_id", F.col("event_type").alias("type"))
+    folder = new_folder(spark, "event-log")
+    keyed.to_table(keyed.event_log(events), folder, new_folder(spark, "stream"), mode="append").awaitTermination()
+    return spark.read.parquet(folder).select("job_id", "event_id", "sequence")
+
+
+_ROUNDS = ("2024-01-12 00:00:00", "2024-01-20 12:34:00")
+
+
+@query("t7_sampler_rounds", SAMPLES_SQL.replace("FROM events)", f"FROM events WHERE ts < TIMESTAMP '{_ROUNDS[1]}')") + _DAILY + """
+SELECT 'raw' AS kind, volume_id, sample_time::DATE AS day, count(*) AS n, sum(used_bytes)::DECIMAL(30, 0) AS used FROM volume_samples WHERE sample_time >= TIMESTAMP '2024-01-15 12:34:00' GROUP BY 1, 2, 3
+UNION ALL SELECT 'daily', volume_id, day, sample_count, used_last::DECIMAL(30, 0) FROM daily WHERE day >= DATE '2024-01-10'""")
+def t7(spark, sf):
+    """Two rounds of the sampler: rows kept by day after the second."""
+    from granary.streaming import sampler as P
 
-    name = f"granary_daily_{abs(hash(sf)) % 10**9}"
-    firsts = S.minute_firsts(S.event_stream(spark, sf, "events.parquet"))
-    q = firsts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return C.daily_rollup(spark.table(name)).select("volume_id", "day", "used_min", "used_max", "used_last", "sample_count")
+    samples, folder, start = raw_samples(spark, sf), new_folder(spark, "sampler"), "2000-01-01 00:00:00"
+    for end in _ROUNDS:
+        P.sampling_round(samples.filter((F.col("ts") >= start) & (F.col("ts") < end)), folder, end, 5, 10)
+        start = end
+    raw = P.raw_table(spark, folder, end, 5).groupBy(F.lit("raw").alias("kind"), "volume_id", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("used_bytes").cast("decimal(30,0)").alias("used"))
+    daily = P.daily_table(spark, folder, end, 10).select(F.lit("daily").alias("kind"), "volume_id", "day", F.col("sample_count").alias("n"), F.col("used_last").cast("decimal(30,0)").alias("used"))
+    return raw.unionByName(daily)

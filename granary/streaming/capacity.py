@@ -39,13 +39,6 @@ def daily_rollup(samples: DataFrame, late: str = "1 day") -> DataFrame:
     return days.select("volume_id", F.to_date("window.start").alias("day"), *[c for c in days.columns if c not in ("volume_id", "window")])
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns the resulting table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def sink_batches(stream: DataFrame, folder: str, checkpoint: str, every: str = "15 minutes"):
     """Daily rows written by micro-batch, the volume-days of each batch overwriting what they had (idempotent)."""
 

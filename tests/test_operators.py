@@ -125,15 +125,28 @@ def test_capacity_days(spark):
     assert C.capacity_total(C.latest_per_volume(s), s.filter("false")).first()["total_bytes"] is None
 
 
+def test_pages_of_several_volumes_join_up(spark):
+    minutes = [f"2024-01-01 00:{m:02d}:00" for m in range(5)]
+    s = _samples(spark, [(k, v, t, "1", "ok") for k, (v, t) in enumerate((v, t) for v in "ab" for t in minutes)])
+    got, after = [], None
+    while rows := C.raw_history(s, "2024-01-01 00:00:00", "2024-01-02 00:00:00", after=after).limit(3).collect():
+        got += rows
+        after = (rows[-1]["volume_id"], rows[-1]["sample_time"])
+    assert [(r["volume_id"], str(r["sample_time"])) for r in got] == [(v, t) for v in "ab" for t in minutes]
+
+
 def test_stream_equals_batch(spark, small, tmp_path):
     from granary.streaming import capacity as S
+    from granary.streaming.keyed import to_table
 
     stream = S.daily_rollup(S.event_stream(spark, small, "events.parquet"))
-    got = S.run_to_table(stream, "daily_test", str(tmp_path / "c"))
+    S.sink_batches(stream, str(tmp_path / "daily"), str(tmp_path / "c"), every="1 second").processAllAvailable()
+    spark.streams.active[0].stop()
+    got = spark.read.parquet(str(tmp_path / "daily"))
     want = C.daily_rollup(bindings.raw_samples(spark, small))
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
-    deduped = S.run_to_table(S.minute_samples(S.event_stream(spark, small, "events.parquet")), "minutes_test", str(tmp_path / "d"), "append")
-    assert deduped.count() == bindings.volume_samples(spark, small).count()
+    to_table(S.minute_samples(S.event_stream(spark, small, "events.parquet")), str(tmp_path / "minutes"), str(tmp_path / "d"), mode="append").awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "minutes")).count() == bindings.volume_samples(spark, small).count()
 
 
 def test_differences(spark):
