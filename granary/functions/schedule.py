@@ -1,11 +1,13 @@
-"""Occurrences of five-field cron schedules in a time zone, as a small table for Spark."""
+"""Occurrences of five-field cron schedules in a time zone."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 _NAMES = {n: i for i, n in enumerate(("sun", "mon", "tue", "wed", "thu", "fri", "sat"))} | {n: i + 1 for i, n in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 _RANGES = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
@@ -40,23 +42,27 @@ def occurrences(expression: str, zone: str, start: datetime, end: datetime) -> l
     A wall time that a clock change leaves out is recorded as skipped; one that comes twice fires once, the first time.
     """
     minute, hour, day, month, weekday = parse_cron(expression)
+    times = [timedelta(hours=h, minutes=m) for h in sorted(hour) for m in sorted(minute)]
     tz, out = ZoneInfo(zone), []
-    local = start.astimezone(tz).replace(tzinfo=None, second=0, microsecond=0) - timedelta(hours=3)
-    last = end.astimezone(tz).replace(tzinfo=None) + timedelta(hours=3)
-    while local <= last:
-        if not (local.month in month and local.day in day and (local.weekday() + 1) % 7 in weekday):
-            local = (local + timedelta(days=1)).replace(hour=0, minute=0)
-            continue
-        if local.hour in hour and local.minute in minute:
-            instant = local.replace(tzinfo=tz, fold=0).astimezone(UTC)
-            real = instant.astimezone(tz).replace(tzinfo=None) == local
-            if start < instant <= end:
-                out.append((instant if real else None, local.strftime("%Y-%m-%dT%H:%M"), not real))
-        local += timedelta(minutes=1)
+    date = start.astimezone(tz).replace(tzinfo=None, hour=0, minute=0, second=0, microsecond=0) - timedelta(days=1)
+    last = end.astimezone(tz).replace(tzinfo=None) + timedelta(days=1)
+    while date <= last:
+        if date.month in month and date.day in day and (date.weekday() + 1) % 7 in weekday:
+            for local in (date + t for t in times):
+                instant = local.replace(tzinfo=tz, fold=0).astimezone(UTC)
+                if start < instant <= end:
+                    real = instant.astimezone(tz).replace(tzinfo=None) == local
+                    out.append((instant if real else None, local.strftime("%Y-%m-%dT%H:%M"), not real))
+        date += timedelta(days=1)
     return out
 
 
-def occurrence_table(spark: SparkSession, profiles: list[tuple[str, str, str]], start: datetime, end: datetime) -> DataFrame:
-    """Occurrences of (profile_id, cron, zone) schedules."""
-    rows = [(p, key, at, skipped) for p, cron, zone in profiles for at, key, skipped in occurrences(cron, zone, start, end)]
-    return spark.createDataFrame(rows, "profile_id string, occurrence_key string, planned_at timestamp, skipped_nonexistent boolean")
+def occurrence_table(profiles: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """Occurrences of schedules (profile_id, cron, zone), expanded in the tasks that hold the profiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, key, at, skipped) for p, cron, zone in zip(*(c.to_pylist() for c in b.columns)) for at, key, skipped in occurrences(cron, zone, start, end)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.bool_()))], ["profile_id", "occurrence_key", "planned_at", "skipped_nonexistent"])
+
+    return profiles.select("profile_id", "cron", "zone").mapInArrow(run, "profile_id string, occurrence_key string, planned_at timestamp, skipped_nonexistent boolean")

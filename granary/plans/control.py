@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.functions.schedule import occurrence_table
@@ -140,19 +141,28 @@ def k6(spark, sf):
     return K.recover_interrupted(jobs(spark, sf)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k1_transitions", "SELECT a, b, (a = 'QUEUED' AND b IN ('RUNNING', 'CANCELLING')) OR (a = 'RUNNING' AND b IN ('PAUSING', 'SUCCEEDED', 'PARTIAL', 'FAILED', 'CANCELLING')) OR (a = 'PAUSED' AND b IN ('RUNNING', 'CANCELLING')) OR (a = 'PAUSING' AND b IN ('PAUSED', 'CANCELLING')) OR (a = 'CANCELLING' AND b = 'CANCELLED') AS legal FROM (VALUES ('QUEUED', 'RUNNING'), ('QUEUED', 'FAILED'), ('RUNNING', 'PARTIAL'), ('PAUSED', 'RUNNING'), ('FAILED', 'RUNNING'), ('CANCELLING', 'CANCELLED')) t(a, b)")
+@query("k1_transitions", """WITH steps AS (SELECT ['QUEUED', 'RUNNING', 'PAUSING', 'PAUSED', 'CANCELLING', 'CANCELLED', 'SUCCEEDED', 'PARTIAL', 'FAILED', 'INTERRUPTED'][event_id % 10 + 1] AS b, user_id, event_id FROM events),
+moves AS (SELECT lag(b) OVER (PARTITION BY user_id ORDER BY event_id) AS a, b FROM steps)
+SELECT a, b, count(*) AS n, (a = 'QUEUED' AND b IN ('RUNNING', 'CANCELLING')) OR (a = 'RUNNING' AND b IN ('PAUSING', 'SUCCEEDED', 'PARTIAL', 'FAILED', 'CANCELLING')) OR (a = 'PAUSED' AND b IN ('RUNNING', 'CANCELLING')) OR (a = 'PAUSING' AND b IN ('PAUSED', 'CANCELLING')) OR (a = 'CANCELLING' AND b = 'CANCELLED') AS legal
+FROM moves WHERE a IS NOT NULL GROUP BY 1, 2""")
 def k1(spark, sf):
-    pairs = spark.createDataFrame([("QUEUED", "RUNNING"), ("QUEUED", "FAILED"), ("RUNNING", "PARTIAL"), ("PAUSED", "RUNNING"), ("FAILED", "RUNNING"), ("CANCELLING", "CANCELLED")], "a string, b string")
-    return pairs.withColumn("legal", K.legal(F.col("a"), F.col("b")))
+    """What a log of states holds: each move from one state of a job to the next, and whether it is a legal one."""
+    states = ("QUEUED", "RUNNING", "PAUSING", "PAUSED", "CANCELLING", "CANCELLED", "SUCCEEDED", "PARTIAL", "FAILED", "INTERRUPTED")
+    steps = table(spark, sf, "events").select("user_id", "event_id", F.element_at(F.array(*map(F.lit, states)), (F.col("event_id") % 10 + 1).cast("int")).alias("b"))
+    moves = steps.withColumn("a", F.lag("b").over(Window.partitionBy("user_id").orderBy("event_id"))).filter(F.col("a").isNotNull())
+    return moves.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("legal", K.legal(F.col("a"), F.col("b")))
 
 
-@query("j8_due_purges", """WITH items AS (SELECT o_orderkey AS item_id, o_custkey AS plan_id, o_orderdate AS quarantined_at FROM orders), plans AS (SELECT c_custkey AS plan_id, c_nationkey AS source_id FROM customer), taken AS (SELECT json_extract_string(props, '$.k')::BIGINT AS k FROM events)
-SELECT item_id, plan_id FROM items JOIN plans USING (plan_id) JOIN nation ON source_id = n_nationkey WHERE quarantined_at <= TIMESTAMP '1996-01-01' AND NOT EXISTS (SELECT 1 FROM taken WHERE k = item_id AND k = plan_id) ORDER BY quarantined_at, item_id LIMIT 100""")
+@query("j8_due_purges", """WITH items AS (SELECT o_orderkey AS item_id, o_custkey AS plan_id, o_orderdate AS quarantined_at FROM orders), plans AS (SELECT c_custkey AS plan_id, c_nationkey AS source_id FROM customer),
+taken AS (SELECT o_orderkey AS item_id, CASE WHEN o_orderstatus = 'O' THEN o_custkey + 1 ELSE o_custkey END AS plan_id FROM orders WHERE o_orderstatus <> 'P')
+SELECT item_id, plan_id FROM items JOIN plans USING (plan_id) JOIN nation ON source_id = n_nationkey WHERE quarantined_at <= TIMESTAMP '1996-01-01' AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.item_id = items.item_id AND t.plan_id = items.plan_id) ORDER BY quarantined_at, item_id LIMIT 100""")
 def j8(spark, sf):
-    items = table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("plan_id"), F.col("o_orderdate").alias("quarantined_at"))
+    """Jobs have taken the items of one status; those of another name the item under a plan that is not its own, and so do not count."""
+    orders = table(spark, sf, "orders")
+    items = orders.select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("plan_id"), F.col("o_orderdate").alias("quarantined_at"))
     plans = table(spark, sf, "customer").select(F.col("c_custkey").alias("plan_id"), F.col("c_nationkey").alias("source_id"))
-    k = F.get_json_object("props", "$.k")
-    taken = table(spark, sf, "events").select(F.format_string('{"item_id": %s, "plan_id": %s}', k, k).alias("params_json"))
+    plan = F.col("o_custkey") + F.when(F.col("o_orderstatus") == "O", 1).otherwise(0)
+    taken = orders.filter("o_orderstatus <> 'P'").select(F.format_string('{"item_id": %d, "plan_id": %d}', "o_orderkey", plan).alias("params_json"))
     sources = table(spark, sf, "nation").select(F.col("n_nationkey").alias("source_id"))
     return K.due_purges(items, plans, sources, taken, "1996-01-01 00:00:00").select("item_id", "plan_id")
 
@@ -191,15 +201,24 @@ def f28(spark, sf):
     return K.occurrence_listing(e, 1000).select("event_id", "place")
 
 
-@query("e4_cron_minutes", "SELECT strftime(d, '%Y-%m-%dT%H:%M') AS occurrence_key FROM (SELECT unnest(generate_series(TIMESTAMP '2024-02-01 12:00:00', TIMESTAMP '2024-02-20 12:00:00', INTERVAL 15 MINUTE)) AS d) WHERE dayofweek(d) IN (1, 3) AND hour(d) IN (6, 7) AND d > TIMESTAMP '2024-02-01 12:00:00'")
+@query("e4_cron_minutes", "SELECT s_suppkey::VARCHAR AS profile_id, strftime(d, '%Y-%m-%dT%H:%M') AS occurrence_key FROM supplier, (SELECT unnest(generate_series(TIMESTAMP '2024-02-01 12:00:00', TIMESTAMP '2024-02-20 12:00:00', INTERVAL 5 MINUTE)) AS d) WHERE dayofweek(d) IN (1, 3) AND hour(d) IN (s_nationkey % 24, (s_nationkey + 1) % 24) AND minute(d) % 15 = 5 * (s_suppkey % 3) AND d > TIMESTAMP '2024-02-01 12:00:00'")
 def e4(spark, sf):
-    t = occurrence_table(spark, [("p", "*/15 6-7 * feb mon,wed", "UTC")], datetime(2024, 2, 1, 12, tzinfo=UTC), datetime(2024, 2, 20, 12, tzinfo=UTC))
-    return t.select("occurrence_key")
+    """A schedule for each supplier, of steps, a list of hours and names of weekdays."""
+    n, k = F.col("s_nationkey"), F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    cron = F.concat(text(5 * (k % 3)), F.lit("-59/15 "), text(n % 24), F.lit(","), text((n + 1) % 24), F.lit(" * feb mon,wed"))
+    profiles = table(spark, sf, "supplier").select(text(k).alias("profile_id"), cron.alias("cron"), F.lit("UTC").alias("zone"))
+    return occurrence_table(profiles, datetime(2024, 2, 1, 12, tzinfo=UTC), datetime(2024, 2, 20, 12, tzinfo=UTC)).select("profile_id", "occurrence_key")
 
 
-@query("e2_schedule_expansion", """SELECT 'p' AS profile_id, strftime(d, '%Y-%m-%dT02:30') AS occurrence_key, d = DATE '2024-03-31' AS skipped_nonexistent FROM (SELECT unnest(generate_series(DATE '2024-03-25', DATE '2024-04-05', INTERVAL 1 DAY)) AS d)""")
+@query("e2_schedule_expansion", """SELECT c_custkey::VARCHAR AS profile_id, strftime(d, '%Y-%m-%dT') || lpad((c_custkey % 24)::VARCHAR, 2, '0') || ':' || lpad((c_custkey % 60)::VARCHAR, 2, '0') AS occurrence_key, d = DATE '2024-03-31' AND c_custkey % 24 = 2 AS skipped_nonexistent
+FROM customer, (SELECT unnest(generate_series(DATE '2024-03-25', DATE '2024-04-05', INTERVAL 1 DAY)) AS d)""")
 def e2(spark, sf):
-    t = occurrence_table(spark, [("p", "30 2 * * *", "Europe/Berlin")], datetime(2024, 3, 24, 12, tzinfo=UTC), datetime(2024, 4, 5, 12, tzinfo=UTC))
+    """A daily schedule for each customer, over the night in which an hour is missing."""
+    k = F.col("c_custkey")
+    cron = F.concat_ws(" ", (k % 60).cast("string"), (k % 24).cast("string"), F.lit("* * *"))
+    profiles = table(spark, sf, "customer").select(k.cast("string").alias("profile_id"), cron.alias("cron"), F.lit("Europe/Berlin").alias("zone"))
+    t = occurrence_table(profiles, datetime(2024, 3, 24, 22, 59, tzinfo=UTC), datetime(2024, 4, 5, 21, 59, tzinfo=UTC))
     return t.select("profile_id", "occurrence_key", "skipped_nonexistent")
 
 

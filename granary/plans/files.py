@@ -8,11 +8,13 @@ from granary.functions import expressions as X
 from granary.operators import file_query as Q
 from granary.functions.categories import DEFAULT_RULESET
 from granary.operators.aggregates import directories, directory_rollup, grouped_sizes
+from granary.operators.pages import StoredOrder
 from granary.operators.ranges import sum_before
 from granary.operators.rankings import ranking
 from granary.operators.rules import PathRules, excluded_by_directory
 from granary.registry import query
 from granary.sources.bindings import FILE_ENTRIES_SQL, ORDER_ENTRIES_SQL, file_entries, order_entries, table
+from granary.sources.stages import new_folder
 
 
 def select(name, where, spec, columns="entry_id, size_bytes"):
@@ -235,6 +237,16 @@ def f29(spark, sf):
     return X.scope_fingerprint('{"all":true}', sources)
 
 
+@query("s6_pages_by_layout", FILE_ENTRIES_SQL + "SELECT entry_id, row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, entry_id) AS place FROM file_entries ORDER BY place LIMIT 50 OFFSET 100")
+def s6_layout(spark, sf):
+    """The third page of the files by size, from a section stored in that order: a page opens the file it lies in."""
+    files, order = file_entries(spark, sf).select("entry_id", "size_bytes"), Q.order_of(Q.QuerySpec(sort="size", descending=True))
+    stored, last = StoredOrder.publish(files, order, new_folder(spark, "pages")), None
+    for _ in range(3):
+        shown, last = stored.page(50, last)
+    return spark.createDataFrame([(r["entry_id"], 101 + k) for k, r in enumerate(shown)], "entry_id long, place long")
+
+
 @query("s6_keyset_after_null", FILE_ENTRIES_SQL + "SELECT entry_id FROM file_entries WHERE size_bytes IS NULL AND entry_id > 100 ORDER BY entry_id LIMIT 50")
 def s6(spark, sf):
     order = Q.Order(("size_bytes",), True)

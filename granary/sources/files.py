@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import expressions as X
+from granary.sources.stages import stage
 
 
 _LISTED = "path string, is_file boolean, length long, mtime_ns long"
@@ -14,8 +15,9 @@ _LISTED = "path string, is_file boolean, length long, mtime_ns long"
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file and directory below a folder, files of no bytes included.
 
-    Directories are listed in tasks, one level after another (a Spark job a level of depth), each as a
-    stream; nothing but "is there a further level" comes to the driver.
+    For object stores and other file systems that :mod:`pyarrow.fs` reads; of a mounted tree :mod:`granary.sources.tree` tells
+    more. Directories are listed in tasks, one level after another (a Spark job a level of depth), one folder
+    at a time in memory; each level is written, and nothing but "is there a further level" comes to the driver.
     """
 
     def children(frames):
@@ -33,7 +35,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     level = spark.createDataFrame([(root if "://" in root else f"file://{root}",)], "path string")
     found = None
     while True:
-        level = level.select("path").repartition(F.col("path")).mapInPandas(children, _LISTED).persist()
+        level = stage(level.select("path").repartition(F.col("path")).mapInPandas(children, _LISTED), "listed")
         found = level if found is None else found.unionByName(level)
         folders = level.filter(~F.col("is_file"))
         if folders.isEmpty():

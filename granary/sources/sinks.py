@@ -1,16 +1,19 @@
-"""Exports (CSV, JSON, HTML, ZIP) and published reports.
+"""Exports (CSV, JSON, HTML) and published reports; archives of them are in :mod:`granary.sources.archive`.
 
 Rows are rendered as text by column expressions, in the tasks that hold them; one file is written for
 each partition, with the frame (header, envelope) kept apart, so an export of any size never passes the
-driver. :func:`export_zip` is the download of a small report and says so.
+driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
-import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,31 +81,31 @@ def full_report(sections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def export_zip(sections: dict[str, DataFrame], target: str, manifest: dict, *, max_rows: int = 100_000) -> None:
-    """A ZIP of CSV, JSON and a manifest with digests. For reports of up to ``max_rows`` rows a section; ValueError beyond."""
-    import hashlib
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """path, bytes and sha256 of every part file below a folder, hashed as streams in the tasks: files may be of any size."""
 
-    digests = {}
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path in b.column(0).to_pylist():
+                system, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                digest = hashlib.sha256()
+                with system.open_input_stream(place) as f:
+                    while block := f.read(1 << 20):
+                        digest.update(block)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], ["path", "bytes", "sha256"])
 
-        def put(name: str, data: bytes) -> None:
-            digests[name] = hashlib.sha256(data).hexdigest()
-            z.writestr(name, data)
-
-        for name, rows in sections.items():
-            extra = tuple(c for c in rows.columns if c not in BASE_FIELDS)
-            columns = check_schema(rows, extra)
-            found = rows.select(csv_record(columns).alias("c"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("j")).limit(max_rows + 1).collect()
-            if len(found) > max_rows:
-                raise ValueError(f"{name} has more than {max_rows} rows: write it with write_csv")
-            put(f"{name}.csv", (BOM + ",".join(columns) + "\r\n" + "".join(r["c"] + "\n" for r in found)).encode())
-            put(f"{name}.json", json.dumps({"manifest": manifest, "columns": columns, "rows": [json.loads(r["j"]) for r in found]}, ensure_ascii=False).encode())
-        z.writestr("manifest.json", json.dumps({**manifest, "sha256": digests}, ensure_ascii=False))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
+    return listed.repartition("path").mapInArrow(run, "path string, bytes long, sha256 string")
 
 
 def publish_report(tables: dict[str, DataFrame], folder: str, manifest: dict) -> None:
     """Writes tables, checksums and manifest beside the target, then renames the whole: a report is there or it is not.
 
+    The rename is one step on HDFS and on mounted file systems. On an object store it is not: there, take a report as
+    published when its manifest is there.
+
     checksums: the SHA-256 of every data file (name, bytes, sha256), taken in the tasks that read it back; the
     manifest has each table's rows and the digest of the checksums.
     """
@@ -112,14 +115,13 @@ def publish_report(tables: dict[str, DataFrame], folder: str, manifest: dict) ->
     for name, t in tables.items():
         t.write.parquet(f"{staged}/{name}")
         rows[name] = {"rows": spark.read.parquet(f"{staged}/{name}").count()}
-        own = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{staged}/{name}")
-        own = own.select(F.concat(F.lit(f"{name}/"), F.element_at(F.split("path", "/"), -1)).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        own = file_digests(spark, f"{staged}/{name}").select(F.concat(F.lit(f"{name}/"), F.element_at(F.split("path", "/"), -1)).alias("name"), "bytes", "sha256")
         sums = own if sums is None else sums.unionByName(own)
     sums.write.parquet(f"{staged}/checksums")
     of_files = spark.read.parquet(f"{staged}/checksums").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "sha256", "name"))), "\n"), 256).alias("d")).first()["d"]  # a line a file
     spark.createDataFrame([(json.dumps({**manifest, "tables": rows, "checksums_sha256": of_files}),)], "value string").coalesce(1).write.text(f"{staged}/manifest")
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(folder)) or not fs.rename(path(staged), path(folder)):
-        fs.delete(path(staged), True)
+    store = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(path(folder)) or not store.rename(path(staged), path(folder)):
+        store.delete(path(staged), True)
         raise FileExistsError(folder)

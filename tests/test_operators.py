@@ -15,7 +15,7 @@ from granary.operators import capacity as C
 from granary.operators import aggregates, compare, control
 from granary.operators import file_query as Q
 from granary.operators.rules import PathRules
-from granary.sources import bindings, files, sinks
+from granary.sources import archive, bindings, files, sinks
 
 
 def one(spark, expr, **values):
@@ -193,9 +193,9 @@ def test_sinks(spark, tmp_path):
     assert body.count(b"\r\n") == 20
     sinks.write_json(rows, str(tmp_path / "json"), {"id": 1})
     sinks.write_html(rows, str(tmp_path / "html"))
-    sinks.export_zip({"files": rows}, str(tmp_path / "r.zip"), {"id": 1})
+    archive.write_archive({"files": rows}, str(tmp_path / "r.zip"), {"id": 1})
     with zipfile.ZipFile(tmp_path / "r.zip") as z:
-        assert len(json.loads(z.read("files.json"))["rows"]) == 20 and set(json.loads(z.read("manifest.json"))["sha256"]) == {"files.csv", "files.json"}
+        assert len(json.loads(z.read("files.json"))["rows"]) == 20 and set(json.loads(z.read("manifest.json"))["members"]) == {"files.csv", "files.json", "files.html"}
     with pytest.raises(ValueError):
         sinks.check_schema(rows.drop("mtime"))
     with pytest.raises(ValueError):
