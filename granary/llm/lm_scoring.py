@@ -10,35 +10,43 @@ p(w | v) = (c(v, w) + mass * p(w)) / (c(v) + mass), with p(w) = (c(w) + 1) / (n
 A document's own counts are left out of both models when it is scored, so that what it alone says helps it in
 neither: a text that occurs twice is known to the background, one that occurs once is not.
 
-Counts are exact and over all documents: tasks count their words and pairs, which meet by partial sums in
-a table that grows with the input (keys are 64-bit hashes). A pair that is not in it occurs once.
-
-Scoring: the most frequent words and pairs (at most ``hot_words`` and ``2 ** bits``) are broadcast, with a
-filter of ``2 ** (bits + 6)`` bits over the others that repeat; what the filter does not hold occurs once. What these do not settle, a rare word
-or pair, goes to the table by a join, and the losses meet by document. The broadcasts only save rows: the
-scores do not depend on their sizes.
+Counts are exact and over all documents (keys are 64-bit hashes of words and pairs). Documents are taken in blocks
+of about a million tokens, and the look-up goes by block, not by token: a block sends each of its distinct keys once,
+sorted and packed, to the bucket of hashes that the key lies in. A bucket sums the counts of all blocks and
+answers each with the totals in the order of its keys, so an answer names no keys. A block with its answers
+is scored by itself; its texts wait in the shared folder meanwhile. What moves is a few bytes for each distinct key
+of a block, there and back; nothing is broadcast, and the driver sees five totals. Buckets are as many as the texts'
+size asks for, so none outgrows a task.
 
 Defined cases: a null or empty text has no tokens, and losses and score 0; texts of any length are read
 whole; a document is a target once, however often its label repeats; repeated documents count as often
-as they come; without other target texts the target model is uniform; words of equal counts are known by
-table or by join as their counts fall, which changes no score; an empty table gives an empty result; other
+as they come; without other target texts the target model is uniform; an empty table gives an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import durable, texts, utf8
+from granary.llm.common import durable, forget_at_exit, shared_dir, texts, utf8
 from granary.llm.url_filters import BloomCascade
 
+#: A block is closed at so many tokens or documents, whichever comes first.
+BLOCK_TOKENS, BLOCK_DOCS = 1 << 20, 50_000
+#: Bytes of text for which a bucket of keys is opened.
+BUCKET_BYTES = 16 << 20
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,61 +86,128 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (v.view(np.uint64) * _MIX + w.view(np.uint64)).view(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    split, held, size = _Words(), [], 0
-
-    def close():
-        found = [ids for ids, _ in held]
-        w = np.concatenate(found)
-        own = np.repeat([t for _, t in held], [len(x) for x in found])
-        starts = np.full(len(found), START)
-        for pair, keys, target in ((True, _pair(_before(found), w), own), (False, np.concatenate([w, starts]), np.concatenate([own, [t for _, t in held]]))):
-            u, at, n = np.unique(keys, return_inverse=True, return_counts=True)
-            t = np.bincount(at, weights=target, minlength=len(u)).astype(np.int64)
-            for i in range(0, len(u), 1 << 17):
-                k = slice(i, i + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u[k]), pair)), pa.array(u[k]), pa.array(n[k].astype(np.int64)), pa.array(t[k])], ["pair", "key", "n", "t"])
-
-    for b in batches:
-        for raw, target in zip(utf8(b.column(0)), b.column(1).to_pylist()):
-            ids = split(raw)
-            if len(ids):
-                held.append((ids, int(target)))
-                size += len(ids)
-            if size >= 1 << 20:
-                yield from close()
-                held, size = [], 0
-    if held:
-        yield from close()
-    pa.default_memory_pool().release_unused()
-
-
-def _hot(counts: DataFrame, limit: int, cap: int = 1 << 16) -> int:
-    """The least count that at most ``limit`` rows reach."""
-    least, rows = 1 << 62, 0
-    for r in sorted(counts.groupBy(F.least("n", F.lit(cap)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):  # at most cap rows
-        rows += r["rows"]
-        if rows > limit:
-            break
-        least = r["n"]
-    return least
-
-
-def _sorted(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    table = counts.select("key", "n", "t").toArrow()
-    key, n, t = (table.column(c).to_numpy() for c in ("key", "n", "t"))
-    order = np.argsort(key)
-    small = np.int32 if n.max(initial=0) < 1 << 31 else np.int64
-    return key[order], n[order].astype(small), t[order].astype(small)
-
-
-def _look_up(table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each key is in a sorted table, and its counts."""
-    key, n, t = table
-    if not len(key):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
-    return key[at] == keys, n[at].astype(np.int64), t[at].astype(np.int64)
+class _Block:
+    """The tokens of some documents, and their distinct keys in the order of the hashes taken as unsigned."""
+
+    def __init__(self, ids: list[np.ndarray], target: np.ndarray):
+        self.sizes = np.array([len(x) for x in ids], np.int64)
+        some, self.full = [x for x in ids if len(x)], np.nonzero(self.sizes)[0]
+        self.doc = np.repeat(np.arange(len(ids)), self.sizes)
+        w = np.concatenate(some) if some else np.zeros(0, np.int64)
+        v = _before(some) if some else w
+        self.own, self.own_full = target[self.doc], target[self.full]
+        # words and starts of the documents together, as the word before may be either
+        self.words, self.word_at = np.unique(np.append(w, np.full(len(self.full), START)).view(np.uint64), return_inverse=True)
+        self.pairs, self.pair_at = np.unique(_pair(v, w).view(np.uint64), return_inverse=True)
+
+    def counts(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """keys, how often, and how often in targets: of words with starts, and of pairs."""
+        own = (np.append(self.own, self.own_full), self.own)
+        out = []
+        for keys, at, target in zip((self.words, self.pairs), (self.word_at, self.pair_at), own):
+            out.append((keys, np.bincount(at, minlength=len(keys)), np.bincount(at, weights=target, minlength=len(keys)).astype(np.int64)))
+        return out
+
+
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _packed(keys: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Sorted keys: their lower 40 bits as they are, the steps of the upper 24 and the counts compressed."""
+    low = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    steps = np.diff(keys >> np.uint64(40), prepend=np.uint64(0)).astype("<u4")
+    return len(keys).to_bytes(8, "little") + low + _squeeze(b"".join([steps.tobytes(), *(c.astype("<i8").tobytes() for c in counts)]))
+
+
+def _unpacked(raw: bytes, counts: int) -> tuple[np.ndarray, ...]:
+    n = int.from_bytes(raw[:8], "little")
+    rest = _expand(raw[8 + 5 * n :])
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 8).reshape(n, 5)
+    high = np.cumsum(np.frombuffer(rest, "<u4", n), dtype=np.uint64) << np.uint64(40)
+    return keys.view(np.uint64).reshape(n) | high, *(np.frombuffer(rest, "<i8", n, 4 * n + 8 * n * k) for k in range(counts))
+
+
+_ASKED = "bucket long, block long, crc long, words binary, pairs binary"
+_TOLD = "block long, crc long, bucket long, words binary, pairs binary, n long, t long, n_all long, t_all long, distinct long"
+_TOLD_ARROW = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in _TOLD.split(", ")])
+
+
+def _asking(folder: str, bits: int):
+    """Blocks of documents: their rows to a file, their distinct keys to buckets (the first ``bits`` bits of the hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, part, number = _Words(), TaskContext.get().partitionId(), 0
+        rows, ids, size = [], [], 0
+
+        def close():
+            table = pa.Table.from_batches(rows)
+            block = _Block(ids, np.array(table.column(2).to_pylist(), np.int64))
+            counts = block.counts()
+            crc = zlib.crc32(block.pairs.tobytes(), zlib.crc32(block.words.tobytes()))
+            name = part << 24 | number
+            _write_block(f"{folder}/{name}-{crc}", table)
+            borders = np.append(np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64), np.uint64(0))
+            cuts = [np.append(np.searchsorted(keys, borders[:-1]), len(keys)) for keys, _, _ in counts]
+            out = []
+            for k in range(1 << bits):
+                spans = [slice(c[k], c[k + 1]) for c in cuts]
+                if k == 0 or any(x.stop > x.start for x in spans):  # the first bucket hears of every block, even of one without tokens
+                    out.append((k, name, crc, *(_packed(keys[x], n[x], t[x]) for (keys, n, t), x in zip(counts, spans))))
+            for at in range(0, len(out), 64):
+                some = out[at : at + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], pa.int64() if c < 3 else pa.binary()) for c in range(5)], ["bucket", "block", "crc", "words", "pairs"])
+
+        for b in batches:
+            start = 0
+            for at, raw in enumerate(utf8(b.column(1))):
+                ids.append(split(raw))
+                size += len(ids[-1])
+                if size >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
+                    rows.append(b.slice(start, at + 1 - start))
+                    yield from close()
+                    rows, ids, size, start, number = [], [], 0, at + 1, number + 1
+            if start < b.num_rows:
+                rows.append(b.slice(start))
+        if ids:
+            yield from close()
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _write_block(path: str, table: pa.Table) -> None:
+    """Under its name when whole: a task that runs again writes the same."""
+    system, place = fs.FileSystem.from_uri(path)
+    staged = f"{place}.{uuid.uuid4().hex}"
+    with system.open_output_stream(staged) as out, pa.ipc.new_file(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    if system.get_file_info(place).type != fs.FileType.NotFound:
+        system.delete_file(place)
+    system.move(staged, place)
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """A bucket's totals, to each block in the order of its keys; with the first answer, the bucket's share of the corpus totals."""
+    rows, known = asked.to_pylist(), {}
+    spans = {c: [_unpacked(r[c], 2) for r in rows] for c in ("words", "pairs")}
+    sums = [0] * 5
+    for c, found in spans.items():
+        keys, at = np.unique(np.concatenate([k for k, _, _ in found]), return_inverse=True)
+        # counts stay far below 2**53, up to which sums of doubles are exact
+        n, t = (np.bincount(at, weights=np.concatenate([x[i] for x in found]), minlength=len(keys)).astype(np.int64) for i in (1, 2))
+        if c == "words":
+            is_word = keys != np.int64(START).view(np.uint64)
+            sums = [int(n[is_word].sum()), int(t[is_word].sum()), int(n.sum()), int(t.sum()), int(is_word.sum())]
+        ends = np.cumsum([0, *(len(k) for k, _, _ in found)])
+        known[c] = [_squeeze(n[at[a:z]].astype("<i8").tobytes() + t[at[a:z]].astype("<i8").tobytes()) for a, z in zip(ends[:-1], ends[1:])]
+    out = [(r["block"], r["crc"], r["bucket"], w, p, *(sums if i == 0 else [0] * 5)) for i, (r, w, p) in enumerate(zip(rows, known["words"], known["pairs"]))]
+    return pa.Table.from_pydict({f.name: pa.array([r[k] for r in out], f.type) for k, f in enumerate(_TOLD_ARROW)}, _TOLD_ARROW)
 
 
 def _marked(base: DataFrame, targets: DataFrame) -> DataFrame:
@@ -149,110 +224,60 @@ def _marked(base: DataFrame, targets: DataFrame) -> DataFrame:
     return base.join(chosen.distinct().select(F.col("key").cast("long").alias("doc_id"), F.lit(True).alias("target")), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
-FIXED = float(1 << 36)
-_SCHEMA = "uid long, doc_id long, n_tokens long, lt double, lb double, before boolean, own boolean, size long, pair long, n2 long, t2 long, o2 long, word long, n1 long, t1 long, o1 long"
+_SCORED = "doc_id long, n_tokens long, loss_target double, loss_background double"
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, hot_words: int = 1 << 20, bits: int = 22, mass: float = 50.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, mass: float = 50.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background and score of every row. targets: doc_id of the target texts."""
-    marked = _marked(texts(docs, id_col=id_col, text_col=text_col), targets).select("doc_id", "text", F.col("target").cast("boolean").alias("target"))
-    context = docs.sparkSession.sparkContext
-    found = marked.select("text", "target").mapInArrow(_count, "pair boolean, key long, n long, t long").groupBy("pair", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    counts = durable(found.filter(~F.col("pair") | (F.col("n") > 1)), "counts")
-    words, pairs = counts.filter(~F.col("pair")), counts.filter("pair")
-    is_word = F.col("key") != START
-    total = words.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.when(is_word, F.col("n")), F.when(is_word, F.col("t")), F.col("n"), F.col("t"), F.when(is_word, F.lit(1))))).first()
+    spark = docs.sparkSession
+    base = texts(docs, id_col=id_col, text_col=text_col)
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(3, (size // BUCKET_BYTES).bit_length())
+    folder = f"{shared_dir(spark)}/granary-blocks-{uuid.uuid4().hex}"
+    forget_at_exit(spark, folder)
+    system, place = fs.FileSystem.from_uri(folder)
+    system.create_dir(place)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = _marked(base, targets).select("doc_id", "text", F.col("target").cast("boolean").alias("target"))
+    asked = marked.mapInArrow(_asking(folder, bits), _ASKED)
+    told = durable(asked.repartition(max(tasks, 1 << bits), "bucket").groupBy("bucket").applyInArrow(_answer, _TOLD), "counts")
+    total = told.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "t", "n_all", "t_all", "distinct"))).first()
     n_words, scale = total[4], total[3] / total[2] if total[2] and total[3] else 1.0
     n_target, n_background = float(total[1]), float(total[0])
 
-    hot_word, hot_pair = _hot(words, hot_words), _hot(pairs, 1 << bits)
-    spot, width = F.explode(F.array(F.shiftrightunsigned("key", 58 - bits), F.col("key").bitwiseAND((1 << (bits + 6)) - 1))), 1 << bits
-    rest = counts.filter((F.col("n") > 1) & (F.col("n") < F.when(F.col("pair"), F.lit(hot_pair)).otherwise(F.lit(hot_word)))).select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("mask")).toArrow()  # at most 2 ** bits rows
-    repeats = np.zeros(width, np.int64)
-    repeats[rest.column("at").to_numpy()] = rest.column("mask").to_numpy()
-    known = context.broadcast((_sorted(words.filter(F.col("n") >= hot_word)), _sorted(pairs.filter(F.col("n") >= hot_pair)), repeats))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, (of_word, of_pair, mask) = _Words(), known.value
-        uid = TaskContext.get().partitionId() << 33
-        names = [x.split()[0] for x in _SCHEMA.split(", ")]
-
-        def in_filter(keys):
-            out = np.ones(len(keys), bool)
-            for x in (keys.view(np.uint64) >> np.uint64(58 - bits), keys.view(np.uint64) & np.uint64((1 << (bits + 6)) - 1)):
-                out &= (mask[(x >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (x & np.uint64(63))) & np.uint64(1) == 1
-            return out
-
-        def looked_up(table, keys, doc, own):
-            """Of each key: whether its counts are known, the counts (of one that is nowhere: this once), and how often its document has it."""
-            u, back = np.unique(keys, return_inverse=True)
-            hit, n, t = _look_up(table, u)
-            has, hit, n, t = (hit | ~in_filter(u))[back], hit[back], n[back], t[back]
-            _, at, times = np.unique(doc * len(u) + back, return_inverse=True, return_counts=True)
-            return has, np.where(hit, n, 1), np.where(hit, t, own), times[at]
-
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                rows = b.slice(at, 512)
-                ids = [split(raw) for raw in utf8(rows.column(1))]
-                sizes = np.array([len(x) for x in ids])
-                some = [x for x in ids if len(x)]
-                uids = uid + np.arange(len(ids))
-                uid += len(ids)
-                lt, lb = np.zeros(len(ids)), np.zeros(len(ids))
-                cold = []
-                if some:
-                    doc, w = np.repeat(np.arange(len(ids)), sizes), np.concatenate(some)
-                    v, m = _before(some), len(w)
-                    is_target = np.array(rows.column(2).to_pylist(), np.int64)
-                    own = is_target[doc]
-                    # words and starts of the documents together, as the word before may be either
-                    full = np.nonzero(sizes)[0]
-                    has, n1, t1, o1 = looked_up(of_word, np.concatenate([w, np.full(len(full), START)]), np.append(doc, full), np.append(own, is_target[full]))
-                    place = np.arange(m) - 1  # where the word before is
-                    firsts = np.cumsum(np.append(0, sizes[full][:-1]))
-                    place[firsts] = m + np.arange(len(full))
-                    has_w, has_v = has[:m], has[place]
-                    pair = _pair(v, w)
-                    has_p, n2, t2, o2 = looked_up(of_pair, pair, doc, own)
-                    whole = has_w & has_p
-                    for into, f, n, two, one, mine in ((lt, 1.0, n_target, t2 - own * o2, t1 - np.append(own, is_target[full]) * o1, own), (lb, scale, n_background, n2 - o2, n1 - o1, 1)):
-                        p_word = (f * one[:m] + 1) / (f * (n - mine * sizes[doc]) + n_words + 1)
-                        into -= np.bincount(doc[whole], np.log(f * two + mass * p_word)[whole], len(ids))
-                        into += np.bincount(doc[has_v], np.log(f * one[place] + mass)[has_v], len(ids))
-                    open_, before = np.nonzero(~whole)[0], np.nonzero(~has_v)[0]
-                    both, of = np.concatenate([open_, before]), np.concatenate([open_, place[before]])
-                    is_before = np.arange(len(both)) >= len(open_)
-                    cold = [
-                        pa.array(is_before), pa.array(own[both] == 1), pa.array(sizes[doc[both]]),
-                        pa.array(pair[both], mask=is_before | has_p[both]), pa.array(n2[both]), pa.array(t2[both]), pa.array(o2[both]),
-                        pa.array(np.where(is_before, v[both], w[both]), mask=~is_before & has_w[both]), pa.array(n1[of]), pa.array(t1[of]), pa.array(o1[of]),
-                    ]
-                longs, no = pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(uids), rows.column(0), pa.array(sizes.astype(np.int64)), pa.array(lt), pa.array(lb), no, no, *[longs] * 9], names)
-                if cold and len(cold[0]):
-                    n = len(cold[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(uids[doc[both]]), *[pa.nulls(n, pa.int64())] * 2, *[pa.nulls(n, pa.float64())] * 2, *cold], names)
-        pa.default_memory_pool().release_unused()
-
-    sent = durable(marked.mapInArrow(score, _SCHEMA), "losses")
-    # what the broadcasts did not settle: the word's counts first, then the pair's
-    cold = sent.filter(F.col("n_tokens").isNull()).drop("doc_id", "n_tokens", "lt", "lb")
-    of_words = words.select(F.col("key").alias("word"), "n", "t")
-    asked = cold.filter(F.col("word").isNotNull()).join(of_words, "word").withColumns({"n1": F.col("n"), "t1": F.col("t")}).drop("word", "n", "t")
-    told = asked.unionByName(cold.filter(F.col("word").isNull()).drop("word"))
-    of_pairs = pairs.filter(F.col("n") < hot_pair).select(F.col("key").alias("pair"), "n", "t")
-    asked = told.filter(F.col("pair").isNotNull()).join(of_pairs, "pair", "left").withColumns({"n2": F.coalesce("n", "n2"), "t2": F.coalesce("t", "t2")}).drop("pair", "n", "t")
-    told = asked.unionByName(told.filter(F.col("pair").isNull()).drop("pair"))
-
-    def loss(f, n, two, one, mine):
-        c1, c2 = f * (F.col(one) - mine * F.col("o1")), f * (F.col(two) - mine * F.col("o2"))
-        p_word = (c1 + 1.0) / (f * (F.lit(n) - mine * F.col("size")) + F.lit(n_words + 1.0))
-        # as an integer of 2^-36: sums that no order of the rows changes, and fewer bytes to move
-        return F.round(F.when(F.col("before"), F.log(c1 + mass)).otherwise(-F.log(c2 + mass * p_word)) * FIXED).cast("long")
-
-    mt, mb = loss(F.lit(1.0), n_target, "t2", "t1", F.col("own").cast("int")), loss(F.lit(float(scale)), n_background, "n2", "n1", F.lit(1))
-    more = told.groupBy("uid").agg(F.sum(mt).alias("mt"), F.sum(mb).alias("mb"))
-    base = sent.filter(F.col("n_tokens").isNotNull()).join(more, "uid", "left")
-    mean = [(F.coalesce((F.col(a) + F.coalesce(F.col(b) / FIXED, F.lit(0.0))) / F.nullif("n_tokens", F.lit(0)), F.lit(0.0))).alias(c) for a, b, c in (("lt", "mt", "loss_target"), ("lb", "mb", "loss_background"))]
-    return base.select("doc_id", "n_tokens", *mean).withColumn("score", F.col("loss_target") - F.col("loss_background"))
+    def score(answers: pa.Table) -> pa.Table:
+        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        own, path = fs.FileSystem.from_uri(f"{folder}/{rows[0]['block']}-{rows[0]['crc']}")
+        with own.open_input_file(path) as f:
+            table = pa.ipc.open_file(f).read_all()
+        split = _Words()
+        ids = [split(raw) for raw in utf8(table.column(1))]
+        block = _Block(ids, np.array(table.column(2).to_pylist(), np.int64))
+        counts = []
+        for c, keys in (("words", block.words), ("pairs", block.pairs)):
+            both = [np.frombuffer(_expand(r[c]), "<i8").reshape(2, -1) for r in rows]
+            n, t = np.concatenate(both, axis=1)
+            if len(n) != len(keys):
+                raise RuntimeError("a block has not got an answer for each of its keys: its input changed between runs of a task")
+            counts.append((n, t))
+
+        def of(which: int, at: np.ndarray, doc: np.ndarray):
+            """Of each occurrence: counts in all texts and in targets, and how often its document has it."""
+            n, t = counts[which]
+            _, back, times = np.unique(doc * len(n) + at, return_inverse=True, return_counts=True)
+            return n[at], t[at], times[back]
+
+        doc, full, sizes, m = block.doc, block.full, block.sizes, len(block.doc)
+        n1, t1, o1 = of(0, block.word_at, np.append(doc, full))
+        n2, t2, o2 = of(1, block.pair_at, doc)
+        before = np.arange(m) - 1  # where the word before is
+        before[np.cumsum(np.append(0, sizes[full][:-1]))[: len(full)]] = m + np.arange(len(full))
+        losses, mine_1 = [], np.append(block.own, block.own_full)
+        for f, n, two, one, mine in ((1.0, n_target, t2 - block.own * o2, t1 - mine_1 * o1, block.own), (scale, n_background, n2 - o2, n1 - o1, 1)):
+            p_word = (f * one[:m] + 1) / (f * (n - mine * sizes[doc]) + n_words + 1)
+            loss = np.log(f * one[before] + mass) - np.log(f * two + mass * p_word)
+            losses.append(np.bincount(doc, loss, len(ids)) / np.maximum(sizes, 1))
+        return pa.table([table.column(0), pa.array(sizes), *map(pa.array, losses)], ["doc_id", "n_tokens", "loss_target", "loss_background"])
+
+    scored = told.drop("n", "t", "n_all", "t_all", "distinct").repartition(tasks, "block", "crc").groupBy("block", "crc").applyInArrow(score, _SCORED)
+    return scored.withColumn("score", F.col("loss_target") - F.col("loss_background"))
