@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.expressions import ancestors, parent, rollup_sum, strict_sum
 from granary.operators.ranges import sum_before
+from granary.sources.stages import stage
 
 
 def with_first_occurrence(files: DataFrame) -> DataFrame:
@@ -65,18 +66,24 @@ def directory_rollup(files: DataFrame, excluded: DataFrame | None = None) -> Dat
     Files are summed by the directory they lie in first, and only these sums are multiplied by depth.
     A metric is null if a value that it needs is unknown anywhere below.
     """
-    size, key, allocated = F.col("size_bytes"), F.col("file_identity_key"), F.col("allocated_bytes_estimate")
-    once = with_first_occurrence(files)
-    leaf = once.groupBy("source_id", parent("path").alias("dir")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("logical"), F.sum(F.when(F.col("is_first"), size)).alias("uniq"), F.sum(F.when(F.col("is_first"), allocated)).alias("alloc"),
+    size, key, allocated, place = F.col("size_bytes"), F.col("file_identity_key"), F.col("allocated_bytes_estimate"), parent("path").alias("dir")
+    rows = files.select("source_id", place, "entry_id", key, size, allocated)
+    own = rows.groupBy("source_id", "dir").agg(
+        F.count(F.lit(1)).alias("files"), F.sum(size).alias("logical"), F.lit(None).cast("long").alias("uniq"), F.lit(None).cast("long").alias("alloc"),
         F.max(size.isNull().cast("int")).alias("bad_logical"), F.max((key.isNull() | size.isNull()).cast("int")).alias("bad_unique"), F.max((key.isNull() | allocated.isNull()).cast("int")).alias("bad_allocated"),
     )
+    # an identity counts in the directory of its lowest entry, over all sources
+    first = rows.filter(key.isNotNull()).groupBy("file_identity_key").agg(F.min_by(F.struct("source_id", "dir", size, allocated), "entry_id").alias("f")).select("f.*")
+    none = [F.lit(0).alias(c) for c in ("bad_logical", "bad_unique", "bad_allocated")]
+    firsts = first.groupBy("source_id", "dir").agg(F.lit(0).cast("long").alias("files"), F.lit(None).cast("long").alias("logical"), F.sum(size).alias("uniq"), F.sum(allocated).alias("alloc"), *none)
+    leaf = stage(own.unionByName(firsts), "leaf-sums")  # two rows a directory at most
     above = leaf.withColumn("path", F.explode(F.array_append(ancestors("dir"), F.col("dir"))))
     sums = above.groupBy("source_id", "path").agg(
         F.sum("files").alias("file_count"),
         rollup_sum("logical", F.col("bad_logical") == 1).alias("logical_bytes"), rollup_sum("uniq", F.col("bad_unique") == 1).alias("unique_bytes"), rollup_sum("alloc", F.col("bad_allocated") == 1).alias("allocated_bytes"),
     )
-    inner = directories(files).filter(F.col("path") != "").select("source_id", F.explode(ancestors("path")).alias("path")).groupBy("source_id", "path").agg(F.count(F.lit(1)).alias("dir_count"))
+    dirs = leaf.select("source_id", F.explode(F.array_append(ancestors("dir"), F.col("dir"))).alias("path")).distinct()
+    inner = dirs.filter(F.col("path") != "").select("source_id", F.explode(ancestors("path")).alias("path")).groupBy("source_id", "path").agg(F.count(F.lit(1)).alias("dir_count"))
     out = sums.join(inner, ["source_id", "path"], "left").withColumn("dir_count", F.coalesce("dir_count", F.lit(0).cast("long")))
     if excluded is not None:
         away = excluded.groupBy("source_id", parent("path").alias("dir")).agg(F.count(F.lit(1)).alias("n")).withColumn("path", F.explode(F.array_append(ancestors("dir"), F.col("dir"))))

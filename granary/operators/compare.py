@@ -26,6 +26,16 @@ def not_comparable(left: dict, right: dict) -> list[str]:
     return reasons + ["partial_report"] * (left["status"] != "succeeded" or right["status"] != "succeeded")
 
 
+def comparability(pairs: DataFrame) -> DataFrame:
+    """pairs (columns left and right, structs of a report) with comparable and reasons, as :func:`not_comparable` gives them; a pair with a failed report is not comparable and has no reasons."""
+    of = lambda side, key: F.col(f"{side}.{key}")
+    found = [F.when(~of("left", key).eqNullSafe(of("right", key)), reason) for key, reason in REASONS.items()]
+    partial = F.when((of("left", "status") != "succeeded") | (of("right", "status") != "succeeded"), "partial_report")
+    failed = (of("left", "status") == "failed") | (of("right", "status") == "failed")
+    reasons = F.when(failed, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*found, partial)))
+    return pairs.withColumns({"reasons": reasons, "comparable": ~failed & (F.size(reasons) == 0)})
+
+
 def snapshot_diff(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], *, deltas: list[str] = ()) -> DataFrame:
     """Rows added, removed or changed, with both sides and the deltas of some values.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import expressions as X
+from granary.operators.file_query import clamped
 from granary.operators.ranges import sum_before
 from granary.sources.stages import stage
 
@@ -101,7 +102,7 @@ def survivors(found: DataFrame, threshold: int = X.SAMPLE_THRESHOLD) -> DataFram
 
 def groups(found: DataFrame, listed: int = 1000) -> DataFrame:
     """Groups of equal content: members, distinct identities, redundant bytes."""
-    keys = ["size_bytes", "candidate_key", "full_sha256"]
+    keys, listed = ["size_bytes", "candidate_key", "full_sha256"], clamped("listed", listed)
     per_identity = found.groupBy(*keys, "file_identity_key").agg(F.count(F.lit(1)).alias("n"))
     g = per_identity.groupBy(*keys).agg(F.sum("n").alias("member_count"), F.count(F.lit(1)).alias("identities")).filter("identities > 1")
     return g.select(
@@ -113,6 +114,7 @@ def groups(found: DataFrame, listed: int = 1000) -> DataFrame:
 
 def members(found: DataFrame, group_table: DataFrame, listed: int = 1000) -> DataFrame:
     """The first members of each group by entry_id, and whether an earlier member is the same file."""
+    listed = clamped("listed", listed)
     g = group_table.select("size_bytes", "candidate_key", F.col("sha256").alias("full_sha256"))
     rows = found.join(g, ["size_bytes", "candidate_key", "full_sha256"], "left_semi")
     alias = with_alias_flag(rows)

@@ -190,13 +190,21 @@ def metric_order(metric: str, descending: bool, tie: tuple[str, ...] = ("entry_i
     return Order((metric,), descending, True, tie)
 
 
+#: Least, most and default of what a caller may ask for: rows of a page, ranks of a ranking, listed members of a group.
+LIMITS = {"page": (1, 200, 50), "rank": (1, 10_000, 200), "listed": (1, 100_000, 1000)}
+
+
+def clamped(kind: str, asked: int | None) -> int:
+    """What is asked for, cut to its limits; the default where nothing is."""
+    least, most, default = LIMITS[kind]
+    return default if asked is None else min(max(asked, least), most)
+
+
 def page_size(asked: int | None, *, strict: bool = False) -> int:
     """50 by default, 1 to 200: cut to the range, or refused outside it."""
-    if asked is None:
-        return 50
-    if strict and not 1 <= asked <= 200:
+    if strict and asked is not None and clamped("page", asked) != asked:
         raise ValueError("a page has 1 to 200 rows")
-    return min(max(asked, 1), 200)
+    return clamped("page", asked)
 
 
 @dataclass

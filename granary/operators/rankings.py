@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.file_query import clamped
+
 
 def order_of(kind: str) -> list[Column]:
     """Fixed orders; nulls are smallest, ties go to the lower entry_id."""
@@ -17,7 +19,7 @@ def order_of(kind: str) -> list[Column]:
 
 def ranking(files: DataFrame, kind: str, limit: int = 200, *, exclude_unknown_atime: bool = False) -> DataFrame:
     """The first rows of a kind with their rank: a distributed top-k, ranked only after it is small."""
-    limit = min(max(limit, 1), 10_000)
+    limit = clamped("rank", limit)
     rows = files.filter((F.col("entry_kind") == "regular_file") & F.col("size_bytes").isNotNull())
     if exclude_unknown_atime:
         rows = rows.filter(F.col("atime_sec").isNotNull())

@@ -14,6 +14,7 @@ from granary.plans.control import NOW, QUOTAS_SQL, quota_records
 from granary.registry import query
 from granary.sources import sinks
 from granary.sources.bindings import FILE_ENTRIES_SQL, SAMPLES_SQL, file_contents, file_entries, table, volume_samples
+from granary.sources.stages import stage
 
 REPORT = "r1"
 
@@ -39,8 +40,8 @@ def files_section(files, names=None, keep=()):
 
 
 def ordered_sections(spark, sf, names=None):
-    """Each of the ten sections: its rows (the ten fields and what orders them) and the columns of its order."""
-    files = file_entries(spark, sf)
+    """Each of the ten sections: its rows (the ten fields and what orders them) and the columns of its order. The files' metadata is read once."""
+    files = stage(file_entries(spark, sf), "files")
     r, known = F.lit(REPORT), {"report_id": F.lit(REPORT), "source_name": F.col("source_name")}
     out = {}
     folders = named(A.directory_rollup(files), names)
@@ -144,7 +145,7 @@ SELECT 'owners', 'count', count(DISTINCT coalesce(uid, -1))::VARCHAR FROM file_e
 SELECT 'duplicates', 'group_count', count(*)::VARCHAR FROM s_duplicates UNION ALL SELECT 'duplicates', 'logical_redundancy_bytes', sum(b)::BIGINT::VARCHAR FROM s_duplicates""")
 def n1_sources(spark, sf):
     """Long form (section, metric, value): folders at depth 0, totals, owners and duplicates; nothing that names a file."""
-    files = file_entries(spark, sf)
+    files = stage(file_entries(spark, sf), "files")
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     top = named(A.directory_rollup(files).filter("path = ''"), source_names(spark, sf))
     lines = [F.col("source_name"), *(F.concat(F.lit(f"{m}="), shown(m)) for m in ("file_count", "logical_bytes")), F.concat(F.lit("completeness="), F.when(F.col("logical_bytes").isNull(), "unknown").otherwise("complete"))]

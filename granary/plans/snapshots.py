@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.operators import aggregates as A
 from granary.operators import compare as C
 from granary.registry import query
-from granary.sources.bindings import FILE_ENTRIES_SQL, file_entries
+from granary.sources.bindings import FILE_ENTRIES_SQL, file_entries, table
 
 #: left lacks some files, right others; some sizes grew.
 _SIDES = FILE_ENTRIES_SQL + """, l AS (SELECT * FROM file_entries WHERE entry_id % 11 <> 0),
@@ -80,3 +81,19 @@ def s11(spark, sf):
         "folders": of(A.directory_rollup, ["source_id", "path"], ["file_count", "logical_bytes"]), "owners": of(A.owner_aggregate, ["source_id", "uid"], ["file_count"]),
     }
     return C.comparison_page(C.comparison_rows(diffs), 200, after=("categories", "src1"))
+
+
+#: Reports from orders; a customer's order and the next are a pair.
+@query("c1_comparable", """WITH r AS (SELECT o_orderkey AS id, o_custkey, o_orderkey % 2 AS profile_id, o_orderpriority AS scope_fingerprint, o_orderkey % 3 = 0 AS classification_version, o_orderstatus, lead(o_orderkey) OVER w AS next_id FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+p AS (SELECT l.id AS left_id, r.id AS right_id, l.o_orderstatus = 'P' OR r.o_orderstatus = 'P' AS failed, list_filter([CASE WHEN l.profile_id <> r.profile_id THEN 'different_profile' END, CASE WHEN l.scope_fingerprint <> r.scope_fingerprint THEN 'scope_fingerprint_mismatch' END,
+  CASE WHEN l.classification_version <> r.classification_version THEN 'classification_version_mismatch' END, CASE WHEN l.o_orderstatus = 'O' OR r.o_orderstatus = 'O' THEN 'partial_report' END], lambda x: x IS NOT NULL) AS reasons FROM r l JOIN r ON l.next_id = r.id)
+SELECT left_id, right_id, CASE WHEN failed THEN '' ELSE array_to_string(reasons, ',') END AS reasons, NOT failed AND len(reasons) = 0 AS comparable FROM p""")
+def c1(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "partial").otherwise("failed")
+    one = F.struct(
+        F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2).alias("profile_id"), F.col("o_orderpriority").alias("scope_fingerprint"), (F.col("o_orderkey") % 3 == 0).alias("classification_version"),
+        F.lit("same").alias("source_identities"), status.alias("status"),
+    )
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    pairs = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", one.alias("left")).withColumn("right", F.lead("left").over(w)).filter(F.col("right").isNotNull())
+    return C.comparability(pairs).select(F.col("left.id").alias("left_id"), F.col("right.id").alias("right_id"), F.array_join("reasons", ",").alias("reasons"), "comparable")

@@ -69,6 +69,7 @@ def test_query_specs():
     with pytest.raises(ValueError):
         Q.QuerySpec(extensions=("txt",)).check_section("owners")
     assert Q.page_size(None) == 50 and Q.page_size(999) == 200
+    assert [Q.clamped("listed", n) for n in (None, 0, 7, 10**6)] == [1000, 1, 7, 100_000] and [Q.clamped("rank", n) for n in (-1, 10**6)] == [1, 10_000]
     with pytest.raises(ValueError):
         Q.page_size(0, strict=True)
     token = Q.Cursor("r", "h", {"entry_id": 3}).sign(b"k")
