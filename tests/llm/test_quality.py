@@ -143,3 +143,65 @@ def test_held_out_rows(spark):
     df = spark.range(200).withColumn("o", C.held_out("id"))
     assert all(r["o"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in df.collect())
     assert df.filter(F.col("o")).count() > 0
+
+
+def plain_vector(raw, bits):
+    """Index to value of a text, gram by gram in whole numbers."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+
+    def shape(w):
+        ascii_alnum = bool(re.search(rb"[0-9A-Za-z\x80-\xff]", w))
+        kind = 1 if re.fullmatch(rb"[0-9]+", w) else 2 if not ascii_alnum else 3 if re.search(rb"[0-9]", w) else 4 if re.match(rb"[A-Z]", w) else 5 if re.search(rb"[^0-9A-Za-z\x80-\xff]\Z", w) else 6
+        return kind + 8 * min(len(w) // 4, 7)
+
+    h = [zlib.crc32(re.sub(rb"[A-Z]", lambda m: bytes([m[0][0] + 32]), w)) for w in words]
+    s = [7 if i and h[i] == h[i - 1] else shape(w) for i, w in enumerate(words)]
+    grams = [1 << 50, *(x + 1 for x in h), *(x + (2 << 50) for x in s)]
+    grams += [(a * 0xD6E8FEB86659FD93 % 2**64) ^ (b + (1 << 40)) for a, b in zip(h, h[1:])] + [a * 64 + b + (3 << 50) for a, b in zip(s, s[1:])]
+    grams += [(a * 64 + b) * 64 + c + (4 << 50) for a, b, c in zip(s, s[1:], s[2:])] if len(s) > 2 else []
+    times = Counter(((g ^ (g >> 31)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits) for g in grams)
+    norm = math.sqrt(sum(math.log1p(n) ** 2 for n in times.values()))
+    return {i: math.log1p(n) / norm for i, n in times.items()}
+
+
+def plain_training(rows, alpha, beta, l1, l2, passes):
+    """Follow the regularised leader, one weight after another."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(passes):
+        for vector, label in rows:
+            w = {i: weight(i) for i in vector}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in vector.items())))
+            for i, v in vector.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+TEXTS = ["Good words stand here, and more of them.", "buy buy BUY now!!! 100% FREE $$$", "", "   ", "a1 B2 c3 ... 77 77", "é É 漢字 naïve-word end.", "one", "The same the SAME the same", "x" * 5000 + " tail"] + [f"text {k} of the set, number {k * k}" for k in range(12)]
+
+
+def test_vectors_by_brute_force():
+    for bits in (8, 20):
+        hasher = C.Hasher(bits)
+        for t in TEXTS:
+            index, value = hasher(t.encode())
+            want = plain_vector(t.encode(), bits)
+            assert index.tolist() == sorted(want) and np.allclose(value, [want[i] for i in sorted(want)], atol=1e-12)
+
+
+def test_training_and_scores_by_brute_force(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
+    labels = [(i, int(i % 3 != 1)) for i in range(len(TEXTS)) if i != 4]
+    model = C.QualityClassifier(bits=12).fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    order = sorted(labels, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    rows = [({i: float(np.float32(v)) for i, v in plain_vector(TEXTS[d].encode(), 12).items()}, q) for d, q in order]
+    want = plain_training(rows, 0.5, 1.0, 0.02, 0.5, 3)
+    assert np.allclose(model.weights, [want.get(i, 0.0) for i in range(1 << 12)], atol=1e-5)
+    for r in model.score(docs).collect():
+        dot = sum(want.get(i, 0.0) * v for i, v in plain_vector(TEXTS[r["doc_id"]].encode(), 12).items())
+        assert abs(r["score"] - 1 / (1 + math.exp(-dot))) < 1e-5
