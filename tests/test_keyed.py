@@ -32,8 +32,9 @@ def rows(df):
 def test_first_samples_over_restarts(spark, arrivals, tmp_path):
     events, arrive, folder = arrivals
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "c")
-    for k in range(6):  # each round is a restart from the checkpoint
+    for k in range(0, 6, 2):  # each round is a restart from the checkpoint
         arrive(k)
+        arrive(k + 1)
         keyed.to_table(keyed.first_samples(S.event_stream(spark, folder, files_per_batch=1), late="60 days", late_ms=60 * 86_400_000), out, checkpoint).awaitTermination()
     columns = ["event_id", "volume_id", "sample_time", "used_bytes", "quality"]
     changes = spark.read.parquet(out)
@@ -103,8 +104,9 @@ def test_sampler_as_a_stream(spark, arrivals, tmp_path):
     """Rounds over shuffled arrivals, one of them repeated, leave what one batch leaves."""
     events, arrive, folder = arrivals
     out, checkpoint, now = str(tmp_path / "out"), str(tmp_path / "c"), "2024-01-14 10:30:00"
-    for k in range(6):
+    for k in range(0, 6, 2):
         arrive(k)
+        arrive(k + 1)
         sampler.run_sampler(S.event_stream(spark, folder), out, checkpoint, 60, 60, every=None, now=now).awaitTermination()
     samples = bindings.samples_of(events)
     sampler.sampling_round(samples.filter("event_id % 3 = 0"), out, now, 60, 60)
