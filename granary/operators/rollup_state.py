@@ -19,7 +19,7 @@ from granary.functions.expressions import ancestors, parent
 from granary.operators.aggregates import directories
 from granary.sources.stages import stage
 
-_ROW = ("entry_id", "source_id", "path", "size_bytes", "allocated_bytes_estimate", "file_identity_key")
+ROW = ("entry_id", "source_id", "path", "size_bytes", "allocated_bytes_estimate", "file_identity_key")
 _BY_FILE = ("files", "logical", "unknown_logical", "unknown_unique", "unknown_allocated")
 _SUMS = (*_BY_FILE, "uniq", "alloc")
 
@@ -51,7 +51,7 @@ def _spread(shares: DataFrame) -> DataFrame:
 
 def rollup_state(files: DataFrame) -> DataFrame:
     """source_id, path, the sums and counts of everything below, and dir_count."""
-    rows = files.select(*_ROW)
+    rows = files.select(*ROW)
     inner = directories(rows).filter(F.col("path") != "").select("source_id", F.explode(ancestors("path")).alias("path")).groupBy("source_id", "path").agg(F.count(F.lit(1)).alias("dir_count"))
     sums = _spread(_shares(rows, 1).unionByName(_first_shares(rows, 1)))
     return sums.join(inner, ["source_id", "path"], "left").withColumn("dir_count", F.coalesce("dir_count", F.lit(0).cast("long")))
@@ -59,20 +59,21 @@ def rollup_state(files: DataFrame) -> DataFrame:
 
 def changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows that go and the rows that come between two tables of files (unique by entry_id)."""
-    old, new = before.select(*_ROW), after.select(*_ROW)
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in _ROW[1:]]
+    old, new = before.select(*ROW), after.select(*ROW)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ROW[1:]]
     on = F.col("l.entry_id") == F.col("r.entry_id")
     for c in same:
         on = on & c
-    return old.alias("l").join(new.alias("r"), on, "left_anti"), new.alias("l").join(old.alias("r"), on, "left_anti")
+    gone, come = old.alias("l").join(new.alias("r"), on, "left_anti"), new.alias("l").join(old.alias("r"), on, "left_anti")
+    return stage(gone, "gone"), stage(come, "come")  # each is read three times
 
 
 def rollup_difference(before: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
     """Signed sums for every directory above a change."""
-    gone, come = removed.select(*_ROW), added.select(*_ROW)
+    gone, come = removed.select(*ROW), added.select(*ROW)
     touched = gone.unionByName(come).select("file_identity_key").filter(F.col("file_identity_key").isNotNull()).distinct()
-    held = stage(before.select(*_ROW).join(touched, "file_identity_key", "left_semi").select(*_ROW), "touched-identities")
-    now = held.join(gone.select("entry_id"), "entry_id", "left_anti").select(*_ROW).unionByName(come)
+    held = stage(before.select(*ROW).join(touched, "file_identity_key", "left_semi").select(*ROW), "touched-identities")
+    now = held.join(gone.select("entry_id"), "entry_id", "left_anti").select(*ROW).unionByName(come)
     return _spread(_shares(gone, -1).unionByName(_shares(come, 1)).unionByName(_first_shares(held, -1)).unionByName(_first_shares(now, 1)))
 
 

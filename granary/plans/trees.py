@@ -14,7 +14,7 @@ from granary.plans.aggregates import _ROLLUP
 from granary.plans.snapshots import _CHANGE, _SIDES, _sides
 from granary.registry import query
 from granary.sources.bindings import FILE_ENTRIES_SQL, ORDER_TREE_SQL, file_entries, order_tree
-from granary.sources.stages import new_folder
+from granary.sources.stages import new_folder, stage
 
 
 @query("j13_subtree_by_ids", ORDER_TREE_SQL + ", below AS (SELECT * FROM order_tree WHERE entry_id = 106 UNION ALL SELECT t.* FROM order_tree t JOIN below b ON t.parent_entry_id = b.entry_id) SELECT entry_id, entry_kind, size_bytes FROM below")
@@ -38,7 +38,7 @@ def p7_interval(spark, sf):
 
 @query("a4_incremental_rollup", _SIDES + _ROLLUP.format(t="r"))
 def a4_incremental(spark, sf):
-    before, after = _sides(spark, sf)
+    before, after = (stage(side.select(*R.ROW), "snapshot") for side in _sides(spark, sf))
     state = R.rollup_state(before)
     return R.rollup_view(R.apply_difference(state, R.rollup_difference(before, *R.changes(before, after))))
 
