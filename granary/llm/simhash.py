@@ -24,8 +24,16 @@ the shared folder. Rows whose fingerprint neither repeats nor links find nothing
 :class:`NearCopies` is the setting for a corpus: texts are copies if their sets of five-word shingles have
 a Jaccard similarity of 0.8 or more. Fingerprints of two-word shingles (an edit changes fewer of them) bring
 candidates together by ``near_pairs``, within ``max_bits`` = 10; whatever is connected that way is one loose
-group. The shingle sets of a group's texts meet once (a large group in pairs of blocks), every pair is
-compared in full, and the links that hold make the components. No link is made without that comparison.
+group, and no link is made without comparing shingle sets in full. With more texts, ever more unrelated ones
+are within ten bits, so loose groups are made finer before they are compared; no step loses a pair of theirs:
+
+* A group beyond ``block`` texts or ``block_bytes`` of sets is cut by *prefixes*: shingles are put into one order
+  (rarest first, by a histogram of fixed size, then by hash); two sets that are alike share one of the first
+  fifth of theirs. Only texts connected by such shingles stay together; this moves ids, never sets.
+* In a group that is still as large, every set meets its *leader* (one text, copied to each part of the group).
+  Those like the leader are linked. Distance (one less the similarity) is a metric, so of them only those
+  can be like one that is not which are as far from the leader as the others are near; only these go on.
+* What is left is compared in cells of at most two parts, dealt by number and by bytes of sets.
 
 Defined cases: null and empty texts have fingerprint zero and link with each other; texts of any length
 are read whole; repeated rows are repeated in the result; a row without doc_id belongs to its component
@@ -45,6 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import arrow_map, discard, durable, texts, utf8
+from granary.llm.suffix_dedup import among
 
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Generator polynomial of the binary Golay code of length 23: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -201,21 +210,35 @@ def _links(left: np.ndarray, right: np.ndarray, forest: _Forest, max_bits: int,
                 i, j = i[apart], j[apart]
 
 
-def in_cells(rows: DataFrame, by: str, item: str, block: int) -> DataFrame:
+def _large(rows: DataFrame, by: str, block: int, size: str | None, most: int) -> tuple[DataFrame, int]:
+    """A durable table (large, parts) of the values of ``by`` with over ``block`` rows or ``most`` of ``size``, and how many there are."""
+    n = F.count(F.lit(1)) / block
+    share = n if size is None else F.greatest(n, F.sum(size) / most)
+    sizes = rows.groupBy(by).agg(share.alias("share"), F.count(F.lit(1)).alias("n_rows")).filter("share > 1 and n_rows > 1")
+    large = durable(sizes.select(F.col(by).alias("large"), F.ceil("share").cast("int").alias("parts")), "large-groups")
+    return large, large.count()
+
+
+def _with_parts(rows: DataFrame, by: str, item: str, large: tuple[DataFrame, int], how: str = "left") -> DataFrame:
+    """rows with parts (1, if ``by`` is not large) and own, the part that the hash of ``item`` deals the row to."""
+    table, n = large
+    small = F.broadcast(table) if n <= 100_000 else table
+    cut = rows.join(small, rows[by] == table["large"], how).drop("large").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return cut.withColumn("own", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
+
+
+def in_cells(rows: DataFrame, by: str, item: str, block: int, *, size: str | None = None, most: int = 1) -> DataFrame:
     """rows with columns lo, hi and own, dealt out by (by, lo, hi) and sorted so.
 
-    A value of ``by`` that over ``block`` rows have is cut into parts by the hash of ``item``; a row goes to the cells of
-    its part (own) with every part, so that every two rows meet, and none holds more than two parts. Others are one cell.
+    A value of ``by`` that over ``block`` rows have (or over ``most`` of the column ``size``) is cut into parts by the hash of
+    ``item``; a row goes to the cells of its part (own) with every part, so that every two rows meet, and none holds more
+    than two parts. Others are one cell.
     """
-    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > block)
-    large = durable(sizes.select(F.col(by).alias("large"), F.ceil(F.col("n_rows") / block).cast("int").alias("parts")), "large-groups")
-    n = large.count()
-    if n == 0:
+    large = _large(rows, by, block, size, most)
+    if large[1] == 0:
         cells = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0), "own": F.lit(0)})
     else:
-        small = F.broadcast(large) if n <= 100_000 else large
-        cut = rows.join(small, rows[by] == large["large"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        cut = cut.withColumn("own", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
+        cut = _with_parts(rows, by, item, large)
         cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*rows.columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
     return cells.repartition(by, "lo", "hi").sortWithinPartitions(by, "lo", "hi")
 
@@ -354,12 +377,33 @@ def similar_pairs(sets: list[np.ndarray], others: list[np.ndarray] | None, simil
         held[owner[some], code[some] - at] = 1
         overlap += held[: len(sets)] @ held[split:].T
     union = size[: len(sets), None] + size[None, split:] - overlap
-    i, j = np.nonzero(overlap >= similarity * union - 1e-6)
+    i, j = np.nonzero(_alike(overlap, union, similarity))
     if others is None:
         i, j = i[i < j], j[i < j]
     return i, j
 
 
+def _alike(overlap: np.ndarray | int, union: np.ndarray | int, similarity: float):
+    return overlap >= similarity * union - 1e-6
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a set (sorted, each once) that any set with this Jaccard similarity shares one of.
+
+    counts: a histogram over the leading bits of shingles, of 2^n places. Of alike sets at least ``similarity`` of the
+    larger is shared, so leaving out one shingle less than that leaves one of the shared. Shingles come by count, then
+    by value: the order must be one for all sets, but any will do. An empty set has the shingle 0, to be alike to others.
+    """
+    if not len(shingles):
+        return np.zeros(1, np.uint64)
+    take = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-6)) + 1
+    return shingles[np.lexsort((shingles, counts[_place(shingles, len(counts))]))[:take]]
+
+
+def _place(shingles: np.ndarray, places: int) -> np.ndarray:
+    return (shingles >> np.uint64(65 - places.bit_length())).astype(np.int64)
+
+
 @dataclass
 class NearCopies:
     """Texts whose shingle sets are alike; see the module's head."""
@@ -369,6 +413,8 @@ class NearCopies:
     probe: int = 2
     max_bits: int = 10
     block: int = 1000
+    block_bytes: int = 32 << 20
+    places: int = 1 << 18
 
     def components(self, docs: DataFrame) -> DataFrame:
         """doc_id, sig (hash of the exact text), component_id (its smallest doc_id) and first (whether the row is the one that stands for it) of every row."""
@@ -392,55 +438,149 @@ class NearCopies:
 
     def _links(self, docs: DataFrame, members: DataFrame) -> DataFrame:
         """a, b: hashes of texts that are alike, of those of one loose group; links that span all links."""
-        shingle, similarity = self.shingle, self.similarity
+        sets = durable(self._sets(docs, members), "shingle-sets")
+        large, n = found = _large(sets, "group", self.block, "size", self.block_bytes)
+        if not n:
+            return self._compared(sets.withColumn("core", F.lit(False)))
+        # both joins are with few groups or few columns; large groups are read from the one table, not copied
+        in_large = _with_parts(sets, "group", "sig", found, "inner").drop("parts", "own")
+        rest = sets.join(F.broadcast(large) if n <= 100_000 else large, sets["group"] == large["large"], "left_anti")
+        finer = in_large.drop("group").join(self._finer(in_large), "sig").select(*sets.columns)
+        still = _large(finer, "group", self.block, "size", self.block_bytes)
+        if not still[1]:
+            return self._compared(rest.unionByName(finer).withColumn("core", F.lit(False)))
+        met = durable(self._met_leader(finer, still), "met-leaders")
+        # the most like its leader of those that are not linked to it: None, if all are
+        nearest = met.groupBy("group").agg(F.max(F.when(~F.col("near"), F.col("like"))).alias("nearest"))
+        needed = met.join(nearest.filter(F.col("nearest").isNotNull()), "group").filter(~F.col("near") | (F.col("like") <= F.col("nearest") + (1 - self.similarity) + 1e-6))
+        needed = needed.select("group", "sig", F.col("near").alias("core"))
+        small = finer.join(F.broadcast(still[0]) if still[1] <= 100_000 else still[0], finer["group"] == still[0]["large"], "left_anti")
+        left = rest.unionByName(small).withColumn("core", F.lit(False)).unionByName(finer.join(needed, ["group", "sig"]))
+        to_leader = met.filter(F.col("near") & (F.col("sig") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("sig").alias("b"))
+        return self._compared(left).unionByName(to_leader)
+
+    def _sets(self, docs: DataFrame, members: DataFrame) -> DataFrame:
+        """group, sig, set (sorted shingle hashes) and size (its bytes and some for the row) of every member, each once."""
+        shingle = self.shingle
 
         def make():
             def run(b: pa.RecordBatch) -> pa.RecordBatch:
                 sets = [np.unique(shingle_hashes(x, shingle)).tobytes() for x in utf8(b.column(2))]
-                return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["group", "sig", "set"])
+                size = pa.array([len(x) + 64 for x in sets], pa.int64())
+                return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary()), size], ["group", "sig", "set", "size"])
 
             return run
 
+        # texts that no group holds stay where they are; of the copies of one only those with its smallest doc_id come here
+        base = among(_signed(texts(docs)).withColumnRenamed("sig", "text_hash"), members.select("doc_id", F.col("sig").alias("text_hash")))
+        by = {"id0": F.coalesce("doc_id", F.lit(0).cast("long")), "no_id": F.col("doc_id").isNull()}
+        one = base.withColumns(by).groupBy("text_hash", "id0", "no_id").agg(F.first("text").alias("text"))
+        wanted = members.withColumns(by).select("group", F.col("sig").alias("text_hash"), "id0", "no_id")
+        joined = one.join(wanted, ["text_hash", "id0", "no_id"]).select("group", F.col("text_hash").alias("sig"), "text")
+        return arrow_map(joined, make, "group long, sig long, set binary, size long")
+
+    def _finer(self, sets: DataFrame) -> DataFrame:
+        """sig and group: what shingles of prefixes connect within each group; texts that share none with another have no row."""
+        similarity, places = self.similarity, self.places
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(places, np.int64)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                seen = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(0)])
+                total += np.bincount(_place(seen, places), minlength=places)
+            held = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["place", "n"])
+
+        sums = sets.select("set").mapInArrow(tally, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # at most `places` rows
+        counts = np.zeros(places, np.int64)
+        counts[sums.column("place").to_numpy()] = sums.column("n").to_numpy()
+
+        def make():
+            def run(b: pa.RecordBatch) -> pa.RecordBatch:
+                firsts = [prefix(np.frombuffer(x.as_buffer(), np.uint64), counts, similarity) for x in b.column(2)]
+                at = np.repeat(np.arange(b.num_rows), [len(x) for x in firsts])
+                shingle = np.concatenate(firsts).view(np.int64)
+                return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(shingle)], ["group", "sig", "shingle"])
+
+            return run
+
+        keys = arrow_map(sets.select("group", "sig", "set"), make, "group long, sig long, shingle long")
+        keys = durable(keys.select("sig", F.xxhash64("group", "shingle").alias("key")), "prefixes")
+        least = keys.groupBy("key").agg(F.min("sig").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        edges = keys.join(least, "key").filter(F.col("sig") != F.col("least")).select(F.col("least").alias("a"), F.col("sig").alias("b"))
+        return components(edges, name="finer").select(F.col("node").alias("sig"), F.col("root").alias("group"))
+
+    def _met_leader(self, sets: DataFrame, large: tuple[DataFrame, int]) -> DataFrame:
+        """group, sig, leader, like (similarity to it) and near (whether they are alike) of every row of a large group."""
+        similarity = self.similarity
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leader, own = None, 0
+            for b in batches:
+                rows = []
+                for group, sig, leads, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                    one = np.frombuffer(x.as_buffer(), np.uint64)
+                    if leads:
+                        leader, own = one, sig
+                        continue
+                    overlap = len(np.intersect1d(leader, one, assume_unique=True))
+                    union = len(leader) + len(one) - overlap
+                    rows.append((group, sig, own, overlap / union if union else 1.0, bool(_alike(overlap, union, similarity))))
+                columns = list(zip(*rows)) or [[]] * 5
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["group", "sig", "leader", "like", "near"])
+
+        rows = _with_parts(sets, "group", "sig", large, "inner").select("group", "parts", "own", "sig", F.lit(False).alias("leads"), "set")
+        chosen = rows.groupBy("group").agg(F.min("sig").alias("sig"))
+        leaders = rows.join(chosen, ["group", "sig"]).withColumns({"own": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "leads": F.lit(True)})
+        dealt = rows.unionByName(leaders).repartition("group", "own").sortWithinPartitions("group", "own", F.col("leads").desc())
+        return dealt.select("group", "sig", "leads", "set").mapInArrow(compare, "group long, sig long, leader long, like double, near boolean")
+
+    def _compared(self, sets: DataFrame) -> DataFrame:
+        """a, b: links within groups, each pair compared in full, but for two of the core, which have one already."""
+        similarity = self.similarity
+
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forest = _Forest()
 
             def found():
-                for lo, hi, held in _cells(batches, ["own", "sig", "set"]):
+                for lo, hi, held in _cells(batches, ["own", "sig", "core", "set"]):
                     sig = np.concatenate([x.to_numpy() for x in held["sig"]]).view(np.uint64)
+                    core = np.concatenate([x.to_numpy(zero_copy_only=False) for x in held["core"]])
                     sets = [np.frombuffer(x, np.uint64) for part in held["set"] for x in part.to_pylist()]
                     left = np.concatenate([x.to_numpy() for x in held["own"]]) == lo
-                    if lo == hi:
-                        a, b = sig, sig
-                        i, j = similar_pairs(sets, None, similarity)
-                    else:
-                        a, b = sig[left], sig[~left]
-                        i, j = similar_pairs([x for x, of in zip(sets, left) if of], [x for x, of in zip(sets, left) if not of], similarity)
-                    for x, y in zip(a[i].tolist(), b[j].tolist()):
+                    rows = np.nonzero(left)[0] if lo != hi else np.arange(len(sig))
+                    columns = np.nonzero(~left)[0] if lo != hi else rows
+                    i, j = similar_pairs([sets[x] for x in rows], None if lo == hi else [sets[x] for x in columns], similarity)
+                    i, j = rows[i], columns[j]
+                    new = ~(core[i] & core[j])
+                    for x, y in zip(sig[i[new]].tolist(), sig[j[new]].tolist()):
                         if forest.join(x, y):
                             yield min(x, y), max(x, y)
 
             yield from _pairs(found())
 
-        base = _signed(texts(docs))
-        wanted = members.select("group", "sig", F.col("doc_id").alias("own_id"))
-        # one row for each text; of its copies only those with its smallest doc_id come here
-        one = base.join(wanted, (base["sig"] == wanted["sig"]) & base["doc_id"].eqNullSafe(wanted["own_id"])).select("group", wanted["sig"], "text")
-        sets = arrow_map(one.groupBy("group", "sig").agg(F.first("text").alias("text")), make, "group long, sig long, set binary")
-        return in_cells(durable(sets, "shingle-sets"), "group", "sig", self.block).select("group", "lo", "hi", "own", "sig", "set").mapInArrow(compare, "a long, b long")
+        cells = in_cells(sets, "group", "sig", self.block, size="size", most=self.block_bytes)
+        return cells.select("group", "lo", "hi", "own", "sig", "core", "set").mapInArrow(compare, "a long, b long")
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row of each component, with all its columns: the first. found: of :meth:`NearCopies.components`, over docs.
 
-    Of rows equal in doc_id and text, and so of the first's, one stays.
+    Of rows equal in doc_id and text, and so of the first's, one stays. Only rows that repeat or stand behind another
+    are dealt out; all others stay where they are.
     """
-    pairs = found.groupBy("doc_id", "sig").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n")).filter(~F.col("first") | (F.col("n") > 1))
-    told = pairs.select(F.col("doc_id").alias("told_id"), F.col("sig").alias("told_sig"), F.col("first").alias("told_first"))
+    judged = found.groupBy("doc_id", "sig").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n")).filter(~F.col("first") | (F.col("n") > 1))
+    told = durable(judged.select("doc_id", F.col("sig").alias("text_hash"), "first"), "told-copies")
     names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, they do not clash
     own = docs.toDF(*names)
     doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
-    own = own.withColumns({"own_id": doc_id.cast("long"), "own_sig": F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))})
-    judged = own.join(told, own["own_id"].eqNullSafe(told["told_id"]) & (own["own_sig"] == told["told_sig"]), "left")
-    alone = judged.filter(F.col("told_first").isNull()).select(*names)
-    several = judged.filter("told_first").groupBy("own_id", "own_sig").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
-    return alone.unionByName(several).toDF(*docs.columns)
+    own = own.withColumns({"doc_id": doc_id.cast("long"), "text_hash": F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))})
+    marked = among(own, told.select("doc_id", "text_hash"), mark="asked")
+    by = {"id0": F.coalesce("doc_id", F.lit(0).cast("long")), "no_id": F.col("doc_id").isNull()}
+    keys = ["id0", "no_id", "text_hash"]
+    asked = marked.filter("asked").withColumns(by).join(told.withColumns(by).select(*keys, "first"), keys, "left")
+    several = asked.filter(F.coalesce("first", F.lit(True))).groupBy(*keys).agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+    return marked.filter(~F.col("asked")).select(*names).unionByName(several).toDF(*docs.columns)

@@ -603,17 +603,20 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(_JUDGED, part.column(0), part.column(1), pa.array(cuts, pa.list_(pa.int64())), pa.array(sha), pa.array(removed, pa.int64()))
 
 
-def _among(base: DataFrame, wanted: DataFrame, most_words: int = 1 << 22) -> DataFrame:
-    """base without most of the documents that ``wanted`` lacks, so that texts not needed stay where they are.
+def among(base: DataFrame, wanted: DataFrame, most_words: int = 1 << 22, mark: str | None = None) -> DataFrame:
+    """base (doc_id, text_hash, others) without most of the documents that ``wanted`` lacks, so that texts not needed stay where they are.
 
     By a Bloom filter of ten bits a document, of 32 MB at most: with very many documents it lets more of the others pass.
+    mark: all rows stay, and this column says whether the filter lets them pass.
     """
     key = lambda: F.concat_ws(":", "doc_id", "text_hash")
     total = min(most_words, max(1, -(-10 * wanted.count() // 64)))
     chunks = -(-total // (1 << 16))
     f = Filter(0, 0, chunks, -(-total // chunks), 3)
     bits = durable(filter_level(wanted.select(F.lit(0).alias("list"), key().alias("key")), {0: f}, most_words), "documents-with-repeats")
-    return base.withColumn("bits", bits.scalar()).filter(f.passes(key(), F.col("bits"))).drop("bits")
+    passes = f.passes(key(), F.col("bits"))
+    held = base.withColumn("bits", bits.scalar())
+    return (held.filter(passes) if mark is None else held.withColumn(mark, passes)).drop("bits")
 
 
 def _dense_verdicts(contexts: DataFrame) -> DataFrame:
@@ -647,7 +650,7 @@ def judged(docs: DataFrame) -> DataFrame:
     occurrences = durable(found.repartition(meeting).sortWithinPartitions("h", "ctx").mapInArrow(_occurrences, _OCCURRENCE), "occurrences")
     by = ["doc_id", "text_hash"]
     # the same in both uses below, so that texts are dealt out once
-    held = _among(base, occurrences.select(*by).distinct())
+    held = among(base, occurrences.select(*by).distinct())
     firsts = occurrences.filter(~F.col("later")).groupBy(*by).agg(F.collect_list(F.struct("at", "h", "ctx", "copies", "dense")).alias("places"))  # of one text
     contexts = held.join(firsts, by).select(*by, "text", "places").mapInArrow(_context_rows, _CONTEXT)
     if occurrences.filter("dense").limit(1).count():

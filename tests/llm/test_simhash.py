@@ -193,3 +193,89 @@ def test_components_of_a_chain(spark):
     got = S.components(edges.unionByName(spark.createDataFrame([(900, 901), (901, 900), (7, 7)], "a long, b long")))
     by = {r["node"]: r["root"] for r in got.collect()}
     assert all(by[i] == 0 for i in range(n + 1)) and by[901] == by[900] == 900
+
+
+def test_prefixes_of_alike_sets_share_a_shingle():
+    rng = np.random.default_rng(11)
+    counts = rng.integers(0, 5, 1 << 6)
+    alike = 0
+    for _ in range(3000):
+        a = rng.integers(0, 1 << 63, int(rng.integers(1, 40)), dtype=np.uint64) << np.uint64(1)
+        keep = rng.random(len(a)) >= 0.12
+        b = np.concatenate([a[keep], rng.integers(0, 1 << 63, int(rng.integers(0, 3)), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        shared = len(np.intersect1d(a, b))
+        if shared >= 0.8 * (len(a) + len(b) - shared):
+            alike += 1
+            assert len(np.intersect1d(S.prefix(a, counts, 0.8), S.prefix(b, counts, 0.8)))
+    assert alike > 500
+    assert S.prefix(np.zeros(0, np.uint64), counts, 0.8).tolist() == [0]
+    assert len(S.prefix(np.arange(10, dtype=np.uint64), counts, 0.8)) == 3
+
+
+def drifting(rng, n):
+    """Texts of which each differs from the one before by one word: alike to some before it, ever less to the first."""
+    words = [f"w{i}" for i in range(120)]
+    out = []
+    for i in range(n):
+        words[int(rng.integers(len(words)))] = f"d{i}"
+        out.append(" ".join(words))
+    return out
+
+
+def linked(spark, texts, **settings):
+    """The components that NearCopies finds if all texts are one loose group, as sets of places."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sigs = {r["sig"]: r["doc_id"] for r in S._signed(df).collect()}
+    assert len(sigs) == len(texts)
+    members = S.durable(S._signed(df).select("doc_id", "sig", F.lit(5).cast("long").alias("group")), "members")
+    up = S._Forest()
+    for a, b in map(tuple, S.NearCopies(**settings)._links(df, members).collect()):
+        up.join(sigs[a], sigs[b])
+    return up
+
+
+def test_large_loose_group_is_compared_exactly(spark):
+    """One group, cut by prefixes, leaders and cells, whatever their sizes: the links of brute force, no more and no fewer."""
+    rng = np.random.default_rng(12)
+    texts = list(dict.fromkeys(planted(rng, 40) + drifting(rng, 60) + ["", " ", "\n", "one", "two words", "One", "x y z x y z"]))
+    sets = [np.unique(S.shingle_hashes(x.encode(), 5)) for x in texts]
+    want = S._Forest()
+    for i, j in zip(*(x.tolist() for x in S.similar_pairs(sets, None, 0.8))):
+        want.join(i, j)
+    n_groups = len({want.root(i) for i in range(len(texts))})
+    assert 5 < n_groups < len(texts) - 20
+    for settings in ({}, {"block": 3}, {"block": 25, "places": 1 << 4}, {"block_bytes": 20_000}):
+        got = linked(spark, texts, **settings)
+        assert [got.root(i) for i in range(len(texts))] == [want.root(i) for i in range(len(texts))]
+
+
+def test_loose_group_of_20000_texts(spark):
+    """Unlike texts in one loose group leave it by their prefixes; 3,000 near copies of one text meet its leader, not each other."""
+    rng = np.random.default_rng(13)
+    first = [f"t{i}" for i in range(100)]
+    texts = []
+    for i in range(3000):
+        own = list(first)
+        own[int(rng.integers(5, 95))] = f"own{i}"
+        texts.append(" ".join(own))
+    for i in range(8500):
+        text = [f"u{x}" for x in rng.integers(0, 5000, 30)] + [f"k{i}"]
+        texts += [" ".join(text), " ".join([*text, "end"])]
+    got = linked(spark, texts)
+    assert len({got.root(i) for i in range(3000)}) == 1
+    assert all(got.root(i) == i and got.root(i + 1) == i for i in range(3000, 20_000, 2))
+
+
+def test_very_long_texts(spark):
+    """Texts of a megabyte: cells are dealt by bytes, too."""
+    rng = np.random.default_rng(14)
+    texts = []
+    for f in range(3):
+        words = [f"f{f}w{x}" for x in rng.integers(0, 99_999, 110_000)]
+        for c in range(3):
+            words[1000 * c] = f"edit{c}"
+            texts.append(" ".join(words))
+    assert min(map(len, texts)) > 900_000
+    got = linked(spark, texts, block_bytes=1 << 20)
+    assert [got.root(i) for i in range(9)] == [0, 0, 0, 3, 3, 3, 6, 6, 6]
