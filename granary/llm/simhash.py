@@ -420,7 +420,9 @@ class NearCopies:
         """doc_id, sig (hash of the exact text), component_id (its smallest doc_id) and first (whether the row is the one that stands for it) of every row."""
         prints = durable(fingerprints(docs, shingle=self.probe), "copy-fingerprints")
         exact = durable(prints.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")), "exact-copies")
-        loose = components(links(exact.select("fp").distinct(), self.max_bits, near_pairs=True), name="loose")
+        # fingerprints are small and their keys many: a number given keeps them from being coalesced into few tasks
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        loose = components(links(exact.select("fp").repartition(tasks, "fp").distinct(), self.max_bits, near_pairs=True), name="loose")
         grouped = exact.join(loose.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("group", F.coalesce("root", "fp")).drop("root")
         several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
         members = durable(grouped.join(several, "group", "left_semi"), "loose-groups")
