@@ -6,11 +6,15 @@ from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _NAMES = {n: i for i, n in enumerate(("sun", "mon", "tue", "wed", "thu", "fri", "sat"))} | {n: i + 1 for i, n in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 _RANGES = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
+#: Occurrences that a task remembers of the schedules it has expanded, and those it hands on together, each up to one schedule more.
+REMEMBERED = 500_000
+TOGETHER = 100_000
 
 
 def parse_cron(expression: str) -> list[set[int]]:
@@ -57,12 +61,50 @@ def occurrences(expression: str, zone: str, start: datetime, end: datetime) -> l
     return out
 
 
-def occurrence_table(profiles: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """Occurrences of schedules (profile_id, cron, zone), expanded in the tasks that hold the profiles."""
+def _columns(found: list[tuple[datetime | None, str, bool]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in ((1, pa.string()), (0, pa.timestamp("us", "UTC")), (2, pa.bool_()))], ["occurrence_key", "planned_at", "skipped_nonexistent"])
+
+
+def _expanded(batches: Iterator[pa.RecordBatch], start: datetime, end: datetime) -> Iterator[pa.RecordBatch]:
+    """Rows of profiles (profile_id, cron, zone) with each occurrence of their schedules."""
+    known: dict[tuple[str, str], pa.RecordBatch] = {}
+    n_known = 0
+
+    def dealt(ids: pa.Array, which: list[int], used: list[pa.RecordBatch]) -> pa.RecordBatch:
+        size = np.array([x.num_rows for x in used])
+        n = size[which]
+        at = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rows = pa.concat_batches(used).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(n)), n))), *rows.columns], ["profile_id", *rows.schema.names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(p, key, at, skipped) for p, cron, zone in zip(*(c.to_pylist() for c in b.columns)) for at, key, skipped in occurrences(cron, zone, start, end)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.timestamp("us", "UTC"), pa.bool_()))], ["profile_id", "occurrence_key", "planned_at", "skipped_nonexistent"])
+    for b in batches:
+        order: dict[tuple[str, str], int] = {}
+        which: list[int] = []
+        used: list[pa.RecordBatch] = []
+        first, n = 0, 0
+        for k, schedule in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            place = order.get(schedule)
+            if place is None:
+                if schedule not in known:
+                    if n_known > REMEMBERED:
+                        known.clear()
+                        n_known = 0
+                    known[schedule] = _columns(occurrences(*schedule, start, end))
+                    n_known += 1 + known[schedule].num_rows
+                place = order[schedule] = len(used)
+                used.append(known[schedule])
+            which.append(place)
+            n += used[place].num_rows
+            if n >= TOGETHER:
+                yield dealt(b.column(0)[first : k + 1], which, used)
+                order, which, used, first, n = {}, [], [], k + 1, 0
+        if which:
+            yield dealt(b.column(0)[first:], which, used)
 
-    return profiles.select("profile_id", "cron", "zone").mapInArrow(run, "profile_id string, occurrence_key string, planned_at timestamp, skipped_nonexistent boolean")
+
+def occurrence_table(profiles: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """Occurrences of schedules (profile_id, cron, zone), expanded in the tasks that hold the profiles.
+
+    A task expands a schedule that several profiles have once, as long as it is remembered, and copies it to each.
+    """
+    return profiles.select("profile_id", "cron", "zone").mapInArrow(lambda batches: _expanded(batches, start, end), "profile_id string, occurrence_key string, planned_at timestamp, skipped_nonexistent boolean")

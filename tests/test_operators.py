@@ -5,11 +5,13 @@ import json
 import zipfile
 from datetime import UTC, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import expressions as X
 from granary.functions.categories import DEFAULT_RULESET, Ruleset
+from granary.functions import schedule
 from granary.functions.schedule import occurrences, parse_cron
 from granary.operators import capacity as C
 from granary.operators import aggregates, compare, control
@@ -183,6 +185,28 @@ def test_schedules():
             parse_cron(bad)
 
 
+def test_a_schedule_of_many_profiles_is_expanded_once(spark, monkeypatch):
+    start, end = datetime(2024, 3, 30, tzinfo=UTC), datetime(2024, 4, 1, 12, tzinfo=UTC)
+    zones, crons = ("Europe/Berlin", "UTC"), ("30 2 * * *", "0 */6 * * *", "0 0 1 1 *")  # the last has no occurrence
+    rows = [(f"p{k}", crons[k % 3], zones[k % 2]) for k in range(500)]
+    want = sorted(((p, key, at, gap) for p, cron, zone in rows for at, key, gap in occurrences(cron, zone, start, end)), key=str)
+    asked = []
+    monkeypatch.setattr(schedule, "occurrences", lambda *x: asked.append(x) or occurrences(*x))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 200])], ["profile_id", "cron", "zone"]) for a in range(0, 500, 200)]
+
+    def got():
+        return [tuple(r.values()) for b in schedule._expanded(iter(batches), start, end) for r in b.to_pylist()]
+
+    assert sorted(got(), key=str) == want and len(asked) == 6
+    monkeypatch.setattr(schedule, "TOGETHER", 20)
+    assert sorted(got(), key=str) == want and max(b.num_rows for b in schedule._expanded(iter(batches), start, end)) < 40
+    monkeypatch.setattr(schedule, "REMEMBERED", 5)
+    assert sorted(got(), key=str) == want
+    monkeypatch.undo()
+    table = schedule.occurrence_table(spark.createDataFrame(rows, "profile_id string, cron string, zone string").repartition(3), start, end)
+    assert sorted(((r[0], r[1]) for r in table.select("profile_id", "occurrence_key").collect()), key=str) == sorted((x[:2] for x in want), key=str)
+
+
 def test_sinks(spark, tmp_path):
     from granary.plans.exports import files_section
 
