@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: The bytes of ``[\x20\x09-\x0D]``; ``bytes.split()`` splits at just these.
 SPACES = b" \t\n\x0b\x0c\r"
 
+#: Whether Spark deletes the shuffle files of a query when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -53,10 +56,18 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage is cut and a lost executor costs nothing."""
+    """``df`` written to the shared folder and read again: its lineage is cut and a lost executor costs nothing.
+
+    The shuffle files of the write go as soon as it ends, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path
