@@ -49,7 +49,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import arrow_map, discard, durable, texts, utf8
@@ -317,21 +317,21 @@ def components(edges: DataFrame, *, name: str = "component") -> DataFrame:
     """Connected components of a table (a, b): node and root, for every node that has an edge.
 
     Rounds of star contraction: each node is linked to the smallest node it knows of, larger neighbours
-    first, then smaller ones. Edges shrink to stars in O(log^2 n) rounds; each round is aggregated by
-    partial minima, and its result is written to the shared folder.
+    first, then smaller ones. Edges shrink to stars in O(log^2 n) rounds; a round is two shuffles, as a node's
+    rows come sorted, the smallest neighbour first, and its result is written to the shared folder.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        j = both.join(least, "a")
+        rows = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        neighbours = Window.partitionBy("a").orderBy("b")
+        met = rows.withColumns({"m": F.least("a", F.first("b").over(neighbours)), "k": F.row_number().over(neighbours)})
         if large:
-            out = j.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return out.filter(F.col("a") != F.col("b")).distinct()
+            out = met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:  # the first row links the node itself, the others its further neighbours; repeated rows go here
+            out = met.select(F.when(F.col("k") == 1, F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        return out.filter(F.col("a") != F.col("b"))
 
-    now = durable(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), name)
+    now = durable(star(edges.select("a", "b").filter(F.col("a") != F.col("b")), False), name)
     before = None
     while True:
         last, now = now, durable(star(star(now, True), False), name)

@@ -195,6 +195,20 @@ def test_components_of_a_chain(spark):
     assert all(by[i] == 0 for i in range(n + 1)) and by[901] == by[900] == 900
 
 
+def test_rounds_of_components_are_short(spark):
+    """Repeated edges, both ways round, cost nothing, and a round has few stages: each is tasks that the driver keeps account of."""
+    chain = spark.range(-450, 450).selectExpr("id as a", "id + 1 as b").repartition(5)
+    sc = spark.sparkContext
+    sc.setJobGroup("rounds", "rounds")
+    try:
+        got = S.components(chain.unionByName(chain).unionByName(chain.selectExpr("b as a", "a as b"))).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r["node"], r["root"]) for r in got) == [(x, -450) for x in range(-450, 451)]
+    status = sc.statusTracker()
+    assert sum(len(status.getJobInfo(j).stageIds) for j in status.getJobIdsForGroup("rounds")) < 140
+
+
 def test_prefixes_of_alike_sets_share_a_shingle():
     rng = np.random.default_rng(11)
     counts = rng.integers(0, 5, 1 << 6)
