@@ -32,6 +32,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +45,18 @@ from granary.llm.common import durable, texts
 
 #: Chunks of text whose ids a task remembers. A memo only: it changes no result.
 MEMO_ENTRIES = 400_000
+#: What of it a worker keeps for its next task: the first it met, and so the most common ones.
+MEMO_KEPT = 100_000
 #: Chunks encoded as one text: more are slower, since what the tokeniser keeps for a text outgrows a processor's cache.
 JOINED = 32
 #: Places where the pre-tokeniser always ends a token, whatever stands around: before a blank that follows
 #: something visible; around a single line end between visible characters; between a letter and a full
-#: stop or comma. \x01 marks them; a text that holds it is not cut.
+#: stop or comma. \x01 marks them; a text that holds it is not cut. Blanks are many: all are marked, and
+#: the marks that follow other white space, which are few, are taken back.
 _MARK = "\x01"
+_BLANK = (" ", "\x01 ")
 _CUTS = (
-    (r"([^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) ", "\\1\x01 "),
+    (r"([\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])\x01", "\\1"),
     (r"([!-~])\n([!-~])", "\\1\x01\n\x01\\2"),
     (r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,])", "\\1\x01\\2"),
 )
@@ -84,6 +89,10 @@ class TokenCounter:
         (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.memo: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Keep no more of the memo than a worker may hold between tasks."""
+        self.memo = dict(islice(self.memo.items(), MEMO_KEPT))
+
     def _encoded(self, chunks: pa.Array) -> list[bytes]:
         """The ids of each chunk: those not remembered are encoded many to a text, a line end between any two."""
         memo, known = self.memo, chunks.to_pylist()
@@ -118,7 +127,7 @@ class TokenCounter:
         """The ids of all texts one after another, and where each text's end."""
         n = len(texts)
         whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False).astype(bool)
-        cut = texts.filter(pa.array(~whole))
+        cut = pc.replace_substring(texts.filter(pa.array(~whole)), *_BLANK)
         for pattern, marked in _CUTS:
             cut = pc.replace_substring_regex(cut, pattern, marked)
         words = pc.split_pattern(cut, _MARK)
@@ -182,7 +191,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, en
                         begin = to
                     yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)], names)
         finally:  # the worker goes on to other tasks
-            counter.memo.clear()
+            counter.forget()
             pa.default_memory_pool().release_unused()
 
     return texts(docs, id_col=id_col, text_col=text_col).mapInArrow(run, _PIECES)

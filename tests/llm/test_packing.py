@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -126,3 +127,36 @@ def test_places_are_gapless():
             assert o == at
             at += n
         assert at <= 64
+
+
+class Spy:
+    """A tokeniser that notes what it was asked to encode."""
+
+    def __init__(self, inner):
+        self.inner, self.asked = inner, []
+
+    def encode_batch_fast(self, texts, **settings):
+        self.asked += texts
+        return self.inner.encode_batch_fast(texts, **settings)
+
+
+def test_a_worker_encodes_common_chunks_once(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_KEPT", 50)
+    counter = packing.TokenCounter(PATH)
+    common = pa.array([" ".join(f"common{i}" for i in range(40))])
+    want = counter.ids(common)[0].tolist()
+    counter.ids(pa.array([" ".join(f"rare{i}" for i in range(400))]))
+    counter.forget()  # the task ends
+    assert len(counter.memo) == 50
+    counter.tokenizer = spy = Spy(counter.tokenizer)
+    assert counter.ids(common)[0].tolist() == want == PLAIN.encode(common[0].as_py(), add_special_tokens=False).ids
+    assert not spy.asked
+
+
+def test_cuts_at_any_white_space():
+    rng = np.random.default_rng(8)
+    parts = [" ", " ", "  ", "\n", "\t", "\x1c", "\xa0", "　", "\x85", "\r", "a", "Z", ".", ",", "é", "漢", "1", "'s", "!", "<|endoftext|>", "\x01", "🙂"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(5000)]
+    ids, ends = packing.TokenCounter(PATH).ids(pa.array(texts))
+    want = [e.ids for e in PLAIN.encode_batch_fast(texts, add_special_tokens=False)]
+    assert ids.tolist() == [x for e in want for x in e] and ends.tolist() == np.cumsum([len(e) for e in want]).tolist()
