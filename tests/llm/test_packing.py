@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -129,28 +130,9 @@ def test_places_are_gapless():
         assert at <= 64
 
 
-class Spy:
-    """A tokeniser that notes what it was asked to encode."""
-
-    def __init__(self, inner):
-        self.inner, self.asked = inner, []
-
-    def encode_batch_fast(self, texts, **settings):
-        self.asked += texts
-        return self.inner.encode_batch_fast(texts, **settings)
-
-
-def test_a_worker_encodes_common_chunks_once(monkeypatch):
-    monkeypatch.setattr(packing, "MEMO_KEPT", 50)
-    counter = packing.TokenCounter(PATH)
-    common = pa.array([" ".join(f"common{i}" for i in range(40))])
-    want = counter.ids(common)[0].tolist()
-    counter.ids(pa.array([" ".join(f"rare{i}" for i in range(400))]))
-    counter.forget()  # the task ends
-    assert len(counter.memo) == 50
-    counter.tokenizer = spy = Spy(counter.tokenizer)
-    assert counter.ids(common)[0].tolist() == want == PLAIN.encode(common[0].as_py(), add_special_tokens=False).ids
-    assert not spy.asked
+def test_plain_words_leave_nothing_to_regular_expressions():
+    marked = pa.array([" ".join(f"word{i}" for i in range(40)).replace(*packing._BLANK)])
+    assert not any(pc.match_substring_regex(marked, pattern)[0].as_py() for pattern, _ in packing._CUTS)
 
 
 def test_cuts_at_any_white_space():
